@@ -169,3 +169,106 @@ f AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, min(x
 SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept,
        round(slope * x_min + intercept, 6) AS y_at_min, round(slope * x_max + intercept, 6) AS y_at_max FROM f""",
                                    "dv_cve")
+
+# ---------------------------------------------------------------- repositories
+_J = """, j AS (SELECT c.cve_id, c.repository, r.size, c.cvss_score
+             FROM dv_cve c JOIN dv_repo r ON c.repository = r.repository),
+f5 AS (SELECT * FROM j WHERE cvss_score IS NOT NULL AND repository IS NOT NULL AND size IS NOT NULL),
+m20 AS (SELECT repository, arg_min(size, cve_id) AS size, count(cvss_score) AS vuln_count, avg(cvss_score) AS avg_cvss
+        FROM f5 GROUP BY repository),
+m22 AS (SELECT size AS repo_size, count(*) AS vulnerabilities, avg(cvss_score) AS avg_cvss FROM f5 GROUP BY size),
+m23 AS (SELECT size AS repo_size, count(*) AS vulnerabilities, avg(coalesce(cvss_score, 0)) AS avg_cvss,
+               stddev_samp(coalesce(cvss_score, 0)) AS std_cvss,
+               CAST(count(*) AS DOUBLE) / nullif(CAST(size AS DOUBLE), 0) AS vuln_density
+        FROM j GROUP BY size)"""
+
+
+def R(sql: str) -> str:
+    return W(_J + "\n" + sql, "dv_cve", "dv_repo")
+
+
+ORACLES["j01_join_repo"] = R("SELECT cve_id, repository, size FROM j")
+ORACLES["a20_repo_metrics"] = R("SELECT repository, size, vuln_count, round(avg_cvss, 6) AS avg_cvss FROM m20")
+ORACLES["a21_repo_summary"] = R("""
+SELECT count(*) AS n_repositories, round(avg(vuln_count), 6) AS mean_vuln_count,
+       round(avg(avg_cvss), 6) AS mean_avg_cvss, max(size) AS max_size,
+       (SELECT repository FROM m20 ORDER BY vuln_count DESC, repository LIMIT 1) AS top_repository
+FROM m20""")
+ORACLES["a22_size_metrics"] = R("SELECT repo_size, vulnerabilities, round(avg_cvss, 6) AS avg_cvss FROM m22")
+ORACLES["a23_size_metrics_ext"] = R("""
+SELECT repo_size, vulnerabilities, round(avg_cvss, 6) AS avg_cvss, round(std_cvss, 6) AS std_cvss,
+       round(vuln_density, 6) AS vuln_density FROM m23""")
+ORACLES["a24_size_report"] = R("""
+SELECT count(*) AS size_groups, CAST(sum(vulnerabilities) AS BIGINT) AS total_vulnerabilities,
+       round(median(CAST(repo_size AS DOUBLE)), 6) AS median_size, round(avg(repo_size), 6) AS mean_size,
+       round(avg(vulnerabilities), 6) AS mean_vulnerabilities,
+       round(median(CAST(vulnerabilities AS DOUBLE)), 6) AS median_vulnerabilities,
+       round(avg(avg_cvss), 6) AS mean_avg_cvss, round(median(avg_cvss), 6) AS median_avg_cvss,
+       round(corr(CAST(repo_size AS DOUBLE), CAST(vulnerabilities AS DOUBLE)), 6) AS corr_size_count,
+       round(corr(CAST(repo_size AS DOUBLE), avg_cvss), 6) AS corr_size_score
+FROM m23""")
+_CC = ["repo_size", "vulnerabilities", "avg_cvss", "vuln_density", "std_cvss"]
+ORACLES["a25_correlation_matrix"] = R("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM m23"
+    for a in _CC for b in _CC))
+_LP = """, lp AS (SELECT log10(CAST(repo_size AS DOUBLE)) AS lx, log10(CAST(vulnerabilities AS DOUBLE)) AS ly
+         FROM m23 WHERE repo_size > 0 AND vulnerabilities > 0)"""
+ORACLES["a26_loglog_fit"] = R(_LP + """
+SELECT regr_count(ly, lx) AS n, round(regr_slope(ly, lx), 6) AS slope, round(regr_intercept(ly, lx), 6) AS intercept
+FROM lp""")
+ORACLES["a27_loglog_curve"] = R(_LP + """
+, one AS (SELECT min(lx) AS lo, max(lx) AS hi, regr_slope(ly, lx) AS slope, regr_intercept(ly, lx) AS intercept FROM lp)
+SELECT CAST(g.i AS BIGINT) AS i, round(pow(10.0, lo + (hi - lo) * g.i / CAST(99 AS DOUBLE)), 6) AS size,
+       round(pow(10.0, slope * (lo + (hi - lo) * g.i / CAST(99 AS DOUBLE)) + intercept), 6) AS fitted_count
+FROM one, range(100) g(i)""")
+
+
+def _bin(v: str, lo: str, hi: str, bins: int) -> str:
+    return (f"CASE WHEN {v} >= {lo} AND {v} <= {hi} THEN "
+            f"least(CAST(floor(({v} - {lo}) * CAST({bins} AS DOUBLE) / nullif({hi} - {lo}, 0)) AS BIGINT), {bins - 1}) END")
+
+
+ORACLES["a28_hist2d"] = R(f"""
+, st AS (SELECT max(CASE WHEN repo_size > 0 THEN log10(CAST(repo_size AS DOUBLE)) END) AS x_hi,
+                quantile_cont(CAST(vulnerabilities AS DOUBLE), 0.995) AS y_hi FROM m22),
+b AS (SELECT {_bin('CASE WHEN repo_size > 0 THEN log10(CAST(repo_size AS DOUBLE)) END', 'CAST(0 AS DOUBLE)', 'st.x_hi', 50)} AS x_bin,
+             {_bin('CAST(vulnerabilities AS DOUBLE)', 'CAST(0 AS DOUBLE)', 'st.y_hi', 50)} AS y_bin FROM m22, st)
+SELECT x_bin, y_bin, count(*) AS n FROM b WHERE x_bin IS NOT NULL AND y_bin IS NOT NULL GROUP BY 1, 2""")
+ORACLES["a29_hist2d_log"] = R(f"""
+, st AS (SELECT min(CASE WHEN repo_size > 0 THEN log10(CAST(repo_size AS DOUBLE)) END) AS x_lo,
+                max(CASE WHEN repo_size > 0 THEN log10(CAST(repo_size AS DOUBLE)) END) AS x_hi,
+                log10(greatest(min(CAST(vulnerabilities AS DOUBLE)), 0.1)) AS y_lo,
+                log10(max(CAST(vulnerabilities AS DOUBLE))) AS y_hi FROM m23),
+b AS (SELECT {_bin('CASE WHEN repo_size > 0 THEN log10(CAST(repo_size AS DOUBLE)) END', 'st.x_lo', 'st.x_hi', 49)} AS x_bin,
+             {_bin('CASE WHEN vulnerabilities > 0 THEN log10(CAST(vulnerabilities AS DOUBLE)) END', 'st.y_lo', 'st.y_hi', 49)} AS y_bin
+      FROM m23, st)
+SELECT x_bin, y_bin, count(*) AS n FROM b WHERE x_bin IS NOT NULL AND y_bin IS NOT NULL GROUP BY 1, 2""")
+_DEC = """, lx AS (SELECT *, log10(CAST(repo_size AS DOUBLE)) AS lx FROM m22 WHERE repo_size > 0),
+ed AS (SELECT quantile_cont(lx, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM lx),
+dec AS (SELECT lx.*, 'Q' || CAST(1 + len(list_filter(ed.e, lambda x: x < lx.lx)) AS VARCHAR) AS decile FROM lx, ed)"""
+ORACLES["a30_size_decile"] = R(_DEC + """
+SELECT repo_size, vulnerabilities, round(avg_cvss, 6) AS avg_cvss, decile FROM dec""")
+ORACLES["a31_box_stats"] = R(_DEC + """
+, q AS (SELECT decile, quantile_cont(CAST(vulnerabilities AS DOUBLE), 0.25) AS q1,
+               quantile_cont(CAST(vulnerabilities AS DOUBLE), 0.5) AS median,
+               quantile_cont(CAST(vulnerabilities AS DOUBLE), 0.75) AS q3 FROM dec GROUP BY decile)
+SELECT d.decile, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3, count(*) AS n,
+       round(min(CASE WHEN vulnerabilities >= q.q1 - 1.5 * (q.q3 - q.q1) THEN CAST(vulnerabilities AS DOUBLE) END), 6)
+         AS whisker_low,
+       round(max(CASE WHEN vulnerabilities <= q.q3 + 1.5 * (q.q3 - q.q1) THEN CAST(vulnerabilities AS DOUBLE) END), 6)
+         AS whisker_high
+FROM dec d JOIN q ON d.decile = q.decile GROUP BY d.decile, q.q1, q.median, q.q3""")
+ORACLES["a32_upper_cut"] = R("SELECT round(quantile_cont(CAST(vulnerabilities AS DOUBLE), 0.995), 6) AS upper_cut FROM m22")
+ORACLES["a33_kde"] = R("""
+, st AS (SELECT count(avg_cvss) AS n, stddev_samp(avg_cvss) * pow(CAST(count(avg_cvss) AS DOUBLE), -0.2) AS bw,
+                min(avg_cvss) AS lo, max(avg_cvss) AS hi FROM m23),
+g AS (SELECT i, st.lo - 2.0 * st.bw + i * ((st.hi - st.lo + 4.0 * st.bw) / 99.0) AS x FROM st, range(100) t(i))
+SELECT CAST(g.i AS BIGINT) AS i, round(g.x, 6) AS x,
+       round(sum(exp(-0.5 * ((g.x - m.avg_cvss) / st.bw) * ((g.x - m.avg_cvss) / st.bw))
+                 / (st.bw * sqrt(2 * pi()))) / st.n, 6) AS density
+FROM g, m23 m, st WHERE m.avg_cvss IS NOT NULL GROUP BY g.i, g.x, st.n""")
+ORACLES["p34_vuln_density"] = R("SELECT repo_size, vulnerabilities, round(vuln_density, 6) AS vuln_density FROM m23")
+ORACLES["p35_log10_col"] = W("""
+SELECT repository, round(CASE WHEN size > 0 THEN log10(CAST(size AS DOUBLE)) END, 6) AS log10_size FROM dv_repo""",
+                             "dv_repo")
+ORACLES["f11_finite"] = R(_LP + " SELECT round(lx, 6) AS lx, round(ly, 6) AS ly FROM lp")

@@ -224,3 +224,119 @@ def _a18w(spark, sf):
 @q("a19_regression_line")
 def _a19(spark, sf):
     return cov.regression_line(cov.time_regression(cov.coverage_by(dv.dv_cve(spark, sf), "week"), "pct"))
+
+
+# ---------------------------------------------------------------- repositories
+from vulnlake.functions import features as ff  # noqa: E402
+from vulnlake.operators import joins as jn  # noqa: E402
+from vulnlake.operators import repos as rp  # noqa: E402
+
+
+def _cve_repo(spark, sf):
+    """J01 inner: CVEs with their repository's size."""
+    return jn.join_repo(dv.dv_cve(spark, sf), dv.dv_repo(spark, sf).select("repository", "size"), "inner")
+
+
+def _m20(spark, sf):
+    return rp.repo_metrics(flt.scored(_cve_repo(spark, sf), "not_null", require=["repository", "size"]))
+
+
+def _m22(spark, sf):
+    return rp.size_metrics(flt.scored(_cve_repo(spark, sf), "not_null", require=["repository", "size"]))
+
+
+def _m23(spark, sf):
+    return rp.size_metrics_ext(_cve_repo(spark, sf))
+
+
+@q("j01_join_repo")
+def _j01(spark, sf):
+    return _cve_repo(spark, sf).select("cve_id", "repository", "size")
+
+
+@q("a20_repo_metrics")
+def _a20(spark, sf):
+    return _m20(spark, sf)
+
+
+@q("a21_repo_summary")
+def _a21(spark, sf):
+    return rp.repo_summary(_m20(spark, sf))
+
+
+@q("a22_size_metrics")
+def _a22(spark, sf):
+    return _m22(spark, sf)
+
+
+@q("a23_size_metrics_ext")
+def _a23(spark, sf):
+    return _m23(spark, sf)
+
+
+@q("a24_size_report")
+def _a24(spark, sf):
+    return rp.size_report(_m23(spark, sf))
+
+
+@q("a25_correlation_matrix")
+def _a25(spark, sf):
+    return rp.correlation_matrix(_m23(spark, sf))
+
+
+@q("a26_loglog_fit")
+def _a26(spark, sf):
+    return rp.loglog_fit(_m23(spark, sf))
+
+
+@q("a27_loglog_curve")
+def _a27(spark, sf):
+    return rp.loglog_curve(_m23(spark, sf))
+
+
+@q("a28_hist2d")
+def _a28(spark, sf):
+    return rp.hist2d(_m22(spark, sf))
+
+
+@q("a29_hist2d_log")
+def _a29(spark, sf):
+    return rp.hist2d_log(_m23(spark, sf))
+
+
+@q("a30_size_decile")
+def _a30(spark, sf):
+    return rp.size_decile(_m22(spark, sf))
+
+
+@q("a31_box_stats")
+def _a31(spark, sf):
+    return rp.box_stats(_m22(spark, sf))
+
+
+@q("a32_upper_cut")
+def _a32(spark, sf):
+    return rp.upper_cut(_m22(spark, sf))
+
+
+@q("a33_kde")
+def _a33(spark, sf):
+    return rp.kde(_m23(spark, sf))
+
+
+@q("p34_vuln_density")
+def _p34(spark, sf):
+    return _m23(spark, sf).select("repo_size", "vulnerabilities", "vuln_density")
+
+
+@q("p35_log10_col")
+def _p35(spark, sf):
+    r = dv.dv_repo(spark, sf)
+    return r.select("repository", ff.log10_col(F.col("size")).alias("log10_size"))
+
+
+@q("f11_finite")
+def _f11(spark, sf):
+    m = _m23(spark, sf).select(ff.log10_col(F.col("repo_size")).alias("lx"),
+                               ff.log10_col(F.col("vulnerabilities")).alias("ly"))
+    return flt.finite(m, ["lx", "ly"])
