@@ -272,3 +272,120 @@ ORACLES["p35_log10_col"] = W("""
 SELECT repository, round(CASE WHEN size > 0 THEN log10(CAST(size AS DOUBLE)) END, 6) AS log10_size FROM dv_repo""",
                              "dv_repo")
 ORACLES["f11_finite"] = R(_LP + " SELECT round(lx, 6) AS lx, round(ly, 6) AS ly FROM lp")
+
+# ---------------------------------------------------------------- URLs and names
+PATH_RE = r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)"
+NETLOC_RE = r"^(?:[^:/?#]+:)?//([^/?#]*)"
+
+
+def upath(u: str) -> str:
+    return f"regexp_extract(coalesce({u}, ''), '{PATH_RE}', 1)"
+
+
+def gh_repo(u: str) -> str:
+    parts = f"string_split({upath(u)}, '/')"
+    return f"CASE WHEN len({parts}) >= 3 THEN {parts}[2] || '/' || {parts}[3] END"
+
+
+def gh_commit(u: str) -> str:
+    parts = f"string_split({upath(u)}, '/')"
+    return f"CASE WHEN list_position({parts}, 'commit') > 0 THEN {parts}[list_position({parts}, 'commit') + 1] END"
+
+
+ORACLES["p01_is_github"] = "SELECT page_id, coalesce(contains(url, 'github.com'), false) AS is_github FROM pages"
+ORACLES["p02_url_path"] = W(f"SELECT page_id, {upath('url')} AS path FROM dv_ref", "dv_ref")
+ORACLES["p03_github_repo"] = W(f"SELECT page_id, {gh_repo('url')} AS repository FROM dv_ref WHERE contains(url, 'github.com')",
+                               "dv_ref")
+ORACLES["p04_github_commit"] = W(f"SELECT page_id, {gh_commit('url')} AS commit FROM dv_ref WHERE contains(url, 'github.com')",
+                                 "dv_ref")
+ORACLES["p05_is_patch_url"] = W("""
+SELECT page_id, coalesce(contains(url, 'github.com') AND ends_with(url, '.patch'), false) AS is_patch FROM dv_ref""",
+                                "dv_ref")
+ORACLES["p06_owner_repo"] = W(f"""
+, s AS (SELECT page_id, string_split(regexp_replace({upath('url')}, '^/', ''), '/') AS p FROM dv_ref)
+SELECT page_id, CASE WHEN len(p) = 2 THEN p[1] END AS owner, CASE WHEN len(p) = 2 THEN p[2] END AS repo FROM s""",
+                              "dv_ref")
+ORACLES["p07_repo_dir"] = W("SELECT repository, replace(repository, '/', '_') AS dir_name FROM dv_repo", "dv_repo")
+ORACLES["p08_repo_from_dir"] = W("""
+SELECT replace(repository, '/', '_') || '_x' AS dir_name, replace(replace(repository, '/', '_') || '_x', '_', '/') AS repository
+FROM dv_repo""", "dv_repo")
+ORACLES["p09_patch_file_name"] = W("""
+SELECT cve_id, cve_id || '_' || replace(repository, '/', '_') || '.patch' AS file_name FROM dv_cve""", "dv_cve")
+_PN = """'CVE-2024-' || printf('%07d', doc_id) || '_org' || CAST(doc_id % 7 AS VARCHAR) || '_' || source || '.patch'"""
+ORACLES["p10_parse_patch_name"] = f"""
+WITH p AS (SELECT doc_id, {_PN} AS n FROM documents)
+SELECT doc_id, nullif(split_part(n, '_', 1), '') AS cve_id,
+       nullif(replace(replace(n, split_part(n, '_', 1) || '_', ''), '.patch', ''), '') AS repo FROM p"""
+ORACLES["p11_default_patch_url"] = W(f"""
+, s AS (SELECT page_id, url,
+               CASE WHEN contains(url, 'github.com') AND ends_with(url, '.patch') THEN url ELSE '' END AS pu,
+               {gh_repo('url')} AS repo, {gh_commit('url')} AS sha FROM dv_ref)
+SELECT page_id, CASE WHEN page_id % 2 = 0 AND sha IS NOT NULL AND sha <> ''
+                     THEN coalesce(nullif(pu, ''), 'https://github.com/' || repo || '/commit/' || sha || '.patch')
+                     ELSE pu END AS patch_url FROM s""", "dv_ref")
+ORACLES["p12_safe_name"] = r"""
+SELECT page_id, coalesce(regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g'), 'unknown_repository') AS safe FROM pages"""
+ORACLES["p13_url_file_name"] = f"""
+SELECT page_id, regexp_replace(regexp_extract(url, '{NETLOC_RE}', 1) || '_' ||
+         replace(regexp_replace({upath('url')}, '^/', ''), '/', '_'), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') || '.txt'
+       AS file_name FROM pages"""
+ORACLES["p14_basename"] = W("""
+SELECT sha, CAST(l_linenumber AS BIGINT) AS l_linenumber, string_split(filename, '/')[-1] AS basename FROM dv_commit_file""",
+                            "dv_commit_file")
+ORACLES["p14_extension"] = W(r"""
+SELECT sha, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       lower(regexp_extract(string_split(filename, '/')[-1], '^.+(\.[^.]*)$', 1)) AS extension FROM dv_commit_file""",
+                             "dv_commit_file")
+ORACLES["p16_repo_caption"] = R("""
+SELECT repository, 'Repository: ' || repository || '<br>Size: ' || format('{:,}', size) || ' KB<br>Vulnerabilities: '
+       || CAST(vuln_count AS VARCHAR) || '<br>Avg CVSS: ' || format('{:,.2f}', avg_cvss) AS caption FROM m20""")
+
+# ---------------------------------------------------------------- commit / repository features
+ORACLES["p26_message_features"] = """
+SELECT doc_id, split_part(text, chr(10), 1) AS title, CAST(length(text) AS BIGINT) AS length,
+       contains(text, chr(10)) AS has_description,
+       contains(lower(text), 'fix') OR contains(lower(text), 'close') OR contains(lower(text), 'resolve')
+         OR contains(lower(text), 'issue') OR contains(lower(text), '#') AS references_issue
+FROM documents"""
+
+
+def _any(col: str, pats: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), '{p}')" for p in pats) + ")"
+
+
+_SEC = ["security", "auth", "crypto", "password", "secret", "key"]
+_CFG = ["config", "settings", ".env", ".ini", ".yml", ".json"]
+_DEP = ["requirements.txt", "package.json", "gemfile", "cargo.toml"]
+_PAT = f"""count_if({_any('filename', _SEC)}) AS security_files, count_if({_any('filename', _CFG)}) AS config_files,
+       count_if({_any('filename', _DEP)}) AS dependency_files, count_if({_any('filename', ['test'])}) AS test_files"""
+_DIR = r"""count(DISTINCT CASE WHEN contains(filename, '/') THEN regexp_extract(filename, '^(.*)/[^/]*$', 1) ELSE '.' END)
+         AS unique_directories,
+       coalesce(max(len(list_filter(string_split(filename, '/'), lambda x: x <> '')) - 1), 0) AS max_directory_depth"""
+ORACLES["p27_file_pattern_counts"] = W(f"SELECT sha, {_PAT} FROM dv_commit_file GROUP BY sha", "dv_commit_file")
+ORACLES["p28_dir_features"] = W(f"SELECT sha, {_DIR} FROM dv_commit_file GROUP BY sha", "dv_commit_file")
+ORACLES["p29_changed_files"] = W("""
+SELECT sha, CAST(l_linenumber AS BIGINT) AS l_linenumber, filename, 'modified' AS status, round(additions, 6) AS additions,
+       CAST(0 AS DOUBLE) AS deletions FROM dv_commit_file""", "dv_commit_file")
+ORACLES["p30_author_stats"] = W("""
+SELECT 'user' || CAST(user_id AS VARCHAR) AS login, CAST(sum(c) AS BIGINT) AS total_commits,
+       round(sum(c) / count(*), 6) AS average_weekly_commits, round(sum(a), 6) AS total_additions,
+       round(sum(d), 6) AS total_deletions, count_if(c > 0) AS weeks_active
+FROM dv_weeks GROUP BY user_id""", "dv_weeks")
+ORACLES["p31_commit_activity"] = W("""
+SELECT 'repo' || CAST(user_id AS VARCHAR) AS repository, CAST(sum(c) AS BIGINT) AS total_commits_last_year,
+       round(sum(c) / CAST(52 AS DOUBLE), 6) AS avg_commits_per_week, count_if(c > 0) AS days_active_last_year
+FROM dv_weeks GROUP BY user_id""", "dv_weeks")
+ORACLES["a40_weekly_totals"] = W("""
+SELECT user_id, CAST(date_trunc('week', day) AS DATE) AS week, CAST(sum(c) AS BIGINT) AS c, round(sum(a), 6) AS a,
+       round(sum(d), 6) AS d, count_if(c > 0) AS days_active
+FROM dv_weeks GROUP BY 1, 2""", "dv_weeks")
+ORACLES["p32_repo_features"] = W("""
+, prot AS (SELECT key, count(*) AS n FROM dv_state WHERE status = 'success' GROUP BY key)
+SELECT r.repository, split_part(r.repository, '/', 2) AS name, split_part(r.repository, '/', 1) AS owner, r.size,
+       r.size % 2 = 0 AS has_security_policy, coalesce(p.n, 0) AS protected_branches,
+       coalesce(p.n, 0) > 0 AS has_protected_branches, false AS has_wiki, false AS has_issues,
+       true AS allow_forking, false AS is_template, r.license
+FROM dv_repo r LEFT JOIN prot p ON r.repository = p.key""", "dv_repo", "dv_state")
+ORACLES["p33_commit_features"] = W(f"""
+SELECT sha, round(sum(additions), 6) AS additions, count(*) AS n_files, {_PAT}, {_DIR}
+FROM dv_commit_file GROUP BY sha""", "dv_commit_file")

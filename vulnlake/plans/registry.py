@@ -340,3 +340,173 @@ def _f11(spark, sf):
     m = _m23(spark, sf).select(ff.log10_col(F.col("repo_size")).alias("lx"),
                                ff.log10_col(F.col("vulnerabilities")).alias("ly"))
     return flt.finite(m, ["lx", "ly"])
+
+
+# ---------------------------------------------------------------- URLs and names
+from vulnlake.functions import text as ft  # noqa: E402
+from vulnlake.functions import urls as fu  # noqa: E402
+from vulnlake.operators import features as of  # noqa: E402
+from vulnlake.operators import windows as wn  # noqa: E402
+
+
+def _ref(spark, sf):
+    return dv.dv_ref(spark, sf)
+
+
+@q("p01_is_github")
+def _p01(spark, sf):
+    return dv.table(spark, sf, "pages").select("page_id", fu.is_github(F.col("url")).alias("is_github"))
+
+
+@q("p02_url_path")
+def _p02(spark, sf):
+    return _ref(spark, sf).select("page_id", fu.url_path(F.col("url")).alias("path"))
+
+
+@q("p03_github_repo")
+def _p03(spark, sf):
+    r = _ref(spark, sf)
+    return r.filter(fu.is_github(F.col("url"))).select("page_id", fu.github_repo(F.col("url")).alias("repository"))
+
+
+@q("p04_github_commit")
+def _p04(spark, sf):
+    r = _ref(spark, sf)
+    return r.filter(fu.is_github(F.col("url"))).select("page_id", fu.github_commit(F.col("url")).alias("commit"))
+
+
+@q("p05_is_patch_url")
+def _p05(spark, sf):
+    r = _ref(spark, sf)
+    return r.select("page_id", (fu.is_github(F.col("url")) & fu.is_patch_url(F.col("url"))).alias("is_patch"))
+
+
+@q("p06_owner_repo")
+def _p06(spark, sf):
+    r = _ref(spark, sf)
+    o = fu.owner_repo(F.regexp_replace(fu.url_path(F.col("url")), "^/", ""))
+    return r.select("page_id", o["owner"].alias("owner"), o["repo"].alias("repo"))
+
+
+@q("p07_repo_dir")
+def _p07(spark, sf):
+    return dv.dv_repo(spark, sf).select("repository", fu.repo_dir(F.col("repository")).alias("dir_name"))
+
+
+@q("p08_repo_from_dir")
+def _p08(spark, sf):
+    d = dv.dv_repo(spark, sf).select(F.concat(fu.repo_dir(F.col("repository")), F.lit("_x")).alias("dir_name"))
+    return d.select("dir_name", fu.repo_from_dir(F.col("dir_name")).alias("repository"))
+
+
+@q("p09_patch_file_name")
+def _p09(spark, sf):
+    d = dv.dv_cve(spark, sf)
+    return d.select("cve_id", fu.patch_file_name(F.col("cve_id"), F.col("repository")).alias("file_name"))
+
+
+@q("p10_parse_patch_name")
+def _p10(spark, sf):
+    p = dv.dv_patch(spark, sf).select("doc_id", "file_name")
+    s = fu.parse_patch_name(F.col("file_name"))
+    return p.select("doc_id", s["cve_id"].alias("cve_id"), s["repo"].alias("repo"))
+
+
+@q("p11_default_patch_url")
+def _p11(spark, sf):
+    r = _ref(spark, sf)
+    u = F.col("url")
+    pu = F.when(fu.is_github(u) & fu.is_patch_url(u), u).otherwise(F.lit(""))
+    out = fu.default_patch_url(pu, fu.github_repo(u), fu.github_commit(u), F.col("page_id") % 2 == 0)
+    return r.select("page_id", out.alias("patch_url"))
+
+
+@q("p12_safe_name")
+def _p12(spark, sf):
+    d = dv.table(spark, sf, "pages")
+    return d.select("page_id", fu.safe_name(F.col("url")).alias("safe"))
+
+
+@q("p13_url_file_name")
+def _p13(spark, sf):
+    d = dv.table(spark, sf, "pages")
+    return d.select("page_id", fu.url_file_name(F.col("url")).alias("file_name"))
+
+
+@q("p14_basename")
+def _p14b(spark, sf):
+    f = dv.dv_commit_file(spark, sf)
+    return f.select("sha", "l_linenumber", ft.basename(F.col("filename")).alias("basename"))
+
+
+@q("p14_extension")
+def _p14e(spark, sf):
+    f = dv.dv_commit_file(spark, sf)
+    return f.select("sha", "l_linenumber", ft.extension(F.col("filename")).alias("extension"))
+
+
+@q("p16_repo_caption")
+def _p16(spark, sf):
+    m = _m20(spark, sf)
+    return m.select("repository", ft.repo_caption(F.col("repository"), F.col("size"), F.col("vuln_count"),
+                                                  F.col("avg_cvss")).alias("caption"))
+
+
+# ---------------------------------------------------------------- commit / repository features
+@q("p26_message_features")
+def _p26(spark, sf):
+    d = dv.table(spark, sf, "documents")
+    m = ff.message_features(F.col("text"))
+    return d.select("doc_id", m["title"].alias("title"), m["length"].alias("length"),
+                    m["has_description"].alias("has_description"), m["references_issue"].alias("references_issue"))
+
+
+@q("p27_file_pattern_counts")
+def _p27(spark, sf):
+    return of.file_pattern_counts_long(dv.dv_commit_file(spark, sf)).drop("unique_directories", "max_directory_depth")
+
+
+@q("p28_dir_features")
+def _p28(spark, sf):
+    return of.file_pattern_counts_long(dv.dv_commit_file(spark, sf)).select(
+        "sha", "unique_directories", "max_directory_depth")
+
+
+@q("p29_changed_files")
+def _p29(spark, sf):
+    f = dv.dv_commit_file(spark, sf)
+    return f.select("sha", "l_linenumber", "filename", F.lit("modified").alias("status"),
+                    F.col("additions"), F.lit(0.0).alias("deletions"))
+
+
+def _weeks_login(spark, sf):
+    return dv.dv_weeks(spark, sf).withColumn("login", F.concat(F.lit("user"), F.col("user_id").cast("string")))
+
+
+@q("p30_author_stats")
+def _p30(spark, sf):
+    return of.author_stats_long(_weeks_login(spark, sf))
+
+
+@q("p31_commit_activity")
+def _p31(spark, sf):
+    w = dv.dv_weeks(spark, sf).withColumn("repository", F.concat(F.lit("repo"), F.col("user_id").cast("string")))
+    return of.commit_activity_long(w)
+
+
+@q("a40_weekly_totals")
+def _a40(spark, sf):
+    return of.weekly_totals(dv.dv_weeks(spark, sf), "user_id")
+
+
+@q("p32_repo_features")
+def _p32(spark, sf):
+    from vulnlake.operators.features_repo import repo_features
+    return repo_features(dv.dv_repo(spark, sf), dv.dv_state(spark, sf))
+
+
+@q("p33_commit_features")
+def _p33(spark, sf):
+    from vulnlake.operators.features_repo import commit_features
+    files = dv.dv_commit_file(spark, sf)
+    return commit_features(files)
