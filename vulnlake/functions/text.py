@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd  # noqa: F401  (pandas_udf type hints)
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FENCE = "```"
 # Error codes a line -> commit map may hold instead of a hash.
@@ -29,7 +30,7 @@ def extension(p) -> Column:
     return F.lower(F.regexp_extract(basename(p), r"^.+(\.[^.]*)$", 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format_2f(x: "pd.Series") -> "pd.Series":  # noqa: F821
     """Two-decimal text of a double rounded on its exact binary value (Python's ``:.2f``;
     Java's formatter rounds the shortest decimal form half-up instead, so 4.225 differs)."""
