@@ -42,7 +42,7 @@ def repo_caption(repo, size, count, score) -> Column:
     return F.concat(F.lit("Repository: "), _c(repo),
                     F.lit("<br>Size: "), F.format_number(_c(size).cast("bigint"), 0), F.lit(" KB"),
                     F.lit("<br>Vulnerabilities: "), _c(count).cast("string"),
-                    F.lit("<br>Avg CVSS: "), format_2f(_c(score).cast("double")))
+                    F.lit("<br>Avg CVSS: "), format_2f(F.round(_c(score).cast("double"), 6)))
 
 
 def fenced_json(text) -> Column:

@@ -338,7 +338,7 @@ SELECT sha, CAST(l_linenumber AS BIGINT) AS l_linenumber,
                              "dv_commit_file")
 ORACLES["p16_repo_caption"] = R("""
 SELECT repository, 'Repository: ' || repository || '<br>Size: ' || format('{:,}', size) || ' KB<br>Vulnerabilities: '
-       || CAST(vuln_count AS VARCHAR) || '<br>Avg CVSS: ' || format('{:,.2f}', avg_cvss) AS caption FROM m20""")
+       || CAST(vuln_count AS VARCHAR) || '<br>Avg CVSS: ' || format('{:,.2f}', round(avg_cvss, 6)) AS caption FROM m20""")
 
 # ---------------------------------------------------------------- commit / repository features
 ORACLES["p26_message_features"] = """
