@@ -81,7 +81,7 @@ FILE_LEAVES = ["auth_util.py", "config.yml", "package.json", "test_main.c",
 
 
 def dv_commit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
     leaf = F.element_at(F.array(*[F.lit(x) for x in FILE_LEAVES]), (F.col("p_size") % 8 + 1).cast("int"))
     return (li.join(p, li.l_partkey == p.p_partkey)
@@ -92,6 +92,7 @@ def dv_commit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lower("p_type"), F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("/")),
                          F.lit("/"), leaf).alias("filename"),
                 F.col("l_quantity").alias("additions"),
+                F.col("l_shipdate").alias("commit_date"),
             ))
 
 
@@ -191,7 +192,7 @@ STATE_STATUSES = ["success", "failed: x", "started", "failed"]
 def dv_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = dv_repo(spark, sf_dir)
     st = F.element_at(F.array(*[F.lit(s) for s in STATE_STATUSES]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return r.select(F.col("repository").alias("key"), st.alias("status"))
+    return r.select(F.col("repository").alias("key"), st.alias("status"), F.col("c_custkey"))
 
 
 def dv_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,8 @@ dv_commit_file AS (
            CASE p.p_size % 8 WHEN 0 THEN 'auth_util.py' WHEN 1 THEN 'config.yml' WHEN 2 THEN 'package.json'
                 WHEN 3 THEN 'test_main.c' WHEN 4 THEN 'Gemfile' WHEN 5 THEN 'README' WHEN 6 THEN 'crypto.h'
                 ELSE 'main.go' END AS filename,
-         l.l_quantity AS additions
+         l.l_quantity AS additions,
+         l.l_shipdate AS commit_date
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 )"""
 
@@ -110,7 +111,8 @@ dv_reply AS (
 VIEWS["dv_state"] = """
 dv_state AS (
   SELECT 'org' || CAST(c_custkey % 97 AS VARCHAR) || '/repo' || CAST(c_custkey AS VARCHAR) AS key,
-         CASE c_custkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed: x' WHEN 2 THEN 'started' ELSE 'failed' END AS status
+         CASE c_custkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed: x' WHEN 2 THEN 'started' ELSE 'failed' END AS status,
+         c_custkey
   FROM customer
 )"""
 

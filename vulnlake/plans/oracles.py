@@ -389,3 +389,91 @@ FROM dv_repo r LEFT JOIN prot p ON r.repository = p.key""", "dv_repo", "dv_state
 ORACLES["p33_commit_features"] = W(f"""
 SELECT sha, round(sum(additions), 6) AS additions, count(*) AS n_files, {_PAT}, {_DIR}
 FROM dv_commit_file GROUP BY sha""", "dv_commit_file")
+
+# ---------------------------------------------------------------- joins, state, windows
+_FIX = """, cf AS (SELECT *, CASE WHEN has_commit THEN md5(CAST(cve_key AS VARCHAR)) END AS fix_commit,
+               CASE WHEN has_commit THEN 'https://github.com/' || repository || '/commit/' || md5(CAST(cve_key AS VARCHAR))
+                    || '.patch' END AS patch_url FROM dv_cve),
+cm AS (SELECT 'org' || CAST(o.o_custkey % 97 AS VARCHAR) || '/repo' || CAST(o.o_custkey AS VARCHAR) AS repository, p.*
+       FROM (SELECT sha, l_orderkey, count(*) AS n_files, sum(additions) AS additions, max(commit_date) AS commit_date
+             FROM dv_commit_file GROUP BY sha, l_orderkey) p JOIN orders o ON p.l_orderkey = o.o_orderkey),
+ps AS (SELECT cve_id AS key, CASE cve_key % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed: x' WHEN 2 THEN 'started'
+              ELSE 'failed' END AS status FROM dv_cve),
+refs AS (SELECT *, 'CVE-' || CAST(cve_key AS VARCHAR) AS cve_id FROM dv_ref)"""
+
+
+def J(sql: str, *extra: str) -> str:
+    return W(_FIX + "\n" + sql, "dv_cve", "dv_commit_file", "dv_ref", "dv_state", "dv_repo", *extra)
+
+
+ORACLES["j02_join_commit"] = J("""
+SELECT c.cve_id, c.fix_commit, m.n_files, round(m.additions, 6) AS additions, coalesce(m.commit_date, c.fix_date) AS fix_date
+FROM cf c LEFT JOIN cm m ON c.repository = m.repository AND c.fix_commit = m.sha""")
+ORACLES["j03_new_only"] = J("""
+SELECT cve_id, repository FROM dv_cve WHERE cve_id NOT IN
+  (SELECT cve_id FROM dv_cve WHERE published_date < TIMESTAMP '1997-01-01 00:00:00')""")
+_WL = """SELECT cve_id, repository FROM cf WHERE patch_url IS NOT NULL AND patch_url <> ''
+  AND repository IN (SELECT key FROM dv_state WHERE status = 'success')"""
+ORACLES["j04_patch_worklist"] = J(_WL)
+_PEND = """SELECT cve_id FROM cf WHERE patch_url IS NOT NULL
+  AND cve_id NOT IN (SELECT key FROM ps WHERE status IN ('success', 'failed'))"""
+ORACLES["j05_pending"] = J(_PEND)
+_CLONE = """SELECT DISTINCT repository FROM dv_cve WHERE repository IS NOT NULL AND repository <> ''
+  AND replace(repository, '/', '_') NOT IN (SELECT replace(repository, '/', '_') FROM dv_repo WHERE c_custkey % 5 = 0)
+  AND repository NOT IN (SELECT key FROM dv_state WHERE c_custkey % 3 = 0)"""
+ORACLES["j06_clone_worklist"] = J(_CLONE)
+ORACLES["j07_unscraped"] = J("""
+SELECT r.cve_id, r.url, r.page_id FROM refs r
+WHERE NOT EXISTS (SELECT 1 FROM refs i WHERE i.page_id % 3 = 0 AND i.cve_id = r.cve_id AND i.url = r.url)""")
+ORACLES["j10_join_author"] = W("""
+, c AS (SELECT sha, 'user' || regexp_replace(repository, '^repo', '') AS login FROM dv_event_commit),
+w AS (SELECT 'user' || CAST(user_id AS VARCHAR) AS login, day, c, a FROM dv_weeks),
+f AS (SELECT login, arg_min(c, day) AS c, arg_min(a, day) AS a FROM w GROUP BY login)
+SELECT c.sha, c.login, CAST(f.c AS BIGINT) AS c, round(f.a, 6) AS a FROM c LEFT JOIN f ON c.login = f.login""",
+                               "dv_event_commit", "dv_weeks")
+ORACLES["j11_join_scraped"] = J("""
+, s AS (SELECT r.cve_id, r.url, CAST(length(p.html) AS BIGINT) AS text_length FROM refs r JOIN pages p ON r.page_id = p.page_id
+        WHERE r.page_id % 2 = 0)
+SELECT r.cve_id, r.url, r.page_id, s.text_length FROM refs r LEFT JOIN s ON r.cve_id = s.cve_id AND r.url = s.url""")
+ORACLES["j12_upsert_state"] = J("""
+SELECT o.key, CASE WHEN o.c_custkey % 5 = 0 THEN 'success' ELSE o.status END AS status FROM dv_state o""")
+ORACLES["j14_join_patch_cve"] = J(f"""
+, p AS (SELECT doc_id, nullif(split_part({_PN}, '_', 1), '') AS cve_id FROM documents)
+SELECT p.doc_id, p.cve_id, c.repository FROM p LEFT JOIN dv_cve c ON p.cve_id = c.cve_id""")
+_ENH = """, e AS (SELECT c.cve_id, r.size, m.n_files, 'enhanced' AS processing_status FROM cf c
+        LEFT JOIN (SELECT repository, size FROM dv_repo WHERE c_custkey % 2 = 0) r ON c.repository = r.repository
+        LEFT JOIN cm m ON c.repository = m.repository AND c.fix_commit = m.sha)"""
+ORACLES["j17_enhance"] = J(_ENH + " SELECT * FROM e")
+ORACLES["f08_needs_enrichment"] = J("""
+SELECT c.cve_id FROM cf c LEFT JOIN (SELECT repository, size FROM dv_repo WHERE c_custkey % 2 = 0) r
+  ON c.repository = r.repository
+WHERE NOT ends_with(c.cve_id, '0')""")
+ORACLES["a37_state_summary"] = J("""
+SELECT count_if(status = 'success') AS success, count_if(status <> 'success') AS failed FROM dv_state""")
+ORACLES["a38_run_counts"] = J(f"""
+SELECT 'clone_worklist' AS name, count(*) AS n FROM ({_CLONE})
+UNION ALL SELECT 'patch_worklist', count(*) FROM ({_WL})
+UNION ALL SELECT 'patch_pending', count(*) FROM ({_PEND})""")
+ORACLES["a39_latest_result"] = """
+SELECT user_id AS key, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value
+FROM events GROUP BY user_id"""
+ORACLES["e01_distinct_repos"] = W("SELECT DISTINCT repository FROM dv_cve WHERE repository IS NOT NULL AND repository <> ''",
+                                  "dv_cve")
+ORACLES["f12_urls_of"] = J("SELECT cve_id, page_id, url FROM refs WHERE url IS NOT NULL AND url <> ''")
+ORACLES["f13_first_per_key"] = W("SELECT cve_key, min(pos) AS pos, arg_min(url, pos) AS url FROM dv_ref GROUP BY cve_key",
+                                 "dv_ref")
+ORACLES["f14_last_per_key"] = W("""
+, f AS (SELECT string_split(filename, '/')[-1] AS basename, l_orderkey, l_linenumber, filename, additions FROM dv_commit_file),
+r AS (SELECT *, row_number() OVER (PARTITION BY basename ORDER BY l_orderkey DESC, l_linenumber DESC, filename DESC,
+                                   additions DESC) AS rn FROM f)
+SELECT basename, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, filename, round(additions, 6) AS additions
+FROM r WHERE rn = 1""", "dv_commit_file")
+ORACLES["f15_surrounding_commits_intended"] = W("""
+SELECT sha, string_agg(sha, ',') OVER (PARTITION BY repository ORDER BY commit_ts, sha
+                                      ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS surrounding
+FROM dv_event_commit""", "dv_event_commit")
+ORACLES["f15_surrounding_commits_reference"] = W("""
+, r AS (SELECT repository, sha, row_number() OVER (PARTITION BY repository ORDER BY commit_ts DESC, sha DESC) AS rn
+        FROM dv_event_commit),
+t AS (SELECT repository, string_agg(sha, ',' ORDER BY rn) AS surrounding FROM r WHERE rn <= 5 GROUP BY repository)
+SELECT c.sha, t.surrounding FROM dv_event_commit c LEFT JOIN t ON c.repository = t.repository""", "dv_event_commit")

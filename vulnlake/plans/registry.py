@@ -510,3 +510,198 @@ def _p33(spark, sf):
     from vulnlake.operators.features_repo import commit_features
     files = dv.dv_commit_file(spark, sf)
     return commit_features(files)
+
+
+# ---------------------------------------------------------------- joins, state, windows (J*, A37-A39, E01, F08-F15)
+from vulnlake.operators import state as stt  # noqa: E402
+
+
+def _cve_fix(spark, sf):
+    """dv_cve with a fix commit and patch URL for the CVEs that have commit data."""
+    d = dv.dv_cve(spark, sf)
+    sha = F.when(F.col("has_commit"), F.md5(F.col("cve_key").cast("string")))
+    d = d.withColumn("fix_commit", sha)
+    return d.withColumn("patch_url", F.when(F.col("has_commit"), F.concat(
+        F.lit("https://github.com/"), F.col("repository"), F.lit("/commit/"), F.col("fix_commit"), F.lit(".patch"))))
+
+
+def _commits(spark, sf):
+    """Per fix commit: its repository (through the order), files, additions and date."""
+    f = dv.dv_commit_file(spark, sf)
+    per = f.groupBy("sha", "l_orderkey").agg(F.count(F.lit(1)).alias("n_files"), F.sum("additions").alias("additions"),
+                                             F.max("commit_date").alias("commit_date"))
+    o = dv.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return per.join(o, per.l_orderkey == o.o_orderkey).select(
+        dv._repo_name(F.col("o_custkey")).alias("repository"), "sha", "n_files", "additions", "commit_date")
+
+
+def _patch_state(spark, sf):
+    d = dv.dv_cve(spark, sf)
+    st = F.element_at(F.array(*[F.lit(s) for s in dv.STATE_STATUSES]), (F.col("cve_key") % 4 + 1).cast("int"))
+    return d.select(F.col("cve_id").alias("key"), st.alias("status"))
+
+
+def _refs(spark, sf):
+    r = dv.dv_ref(spark, sf)
+    return r.withColumn("cve_id", F.concat(F.lit("CVE-"), F.col("cve_key").cast("string")))
+
+
+@q("j02_join_commit")
+def _j02(spark, sf):
+    j = jn.join_commit(_cve_fix(spark, sf), _commits(spark, sf))
+    return j.select("cve_id", "fix_commit", F.col("fix_commit_details.n_files").alias("n_files"),
+                    F.col("fix_commit_details.additions").alias("additions"), "fix_date")
+
+
+@q("j03_new_only")
+def _j03(spark, sf):
+    d = dv.dv_cve(spark, sf)
+    existing = d.filter(F.col("published_date") < F.lit("1997-01-01").cast("timestamp"))
+    return jn.new_only(d.select("cve_id", "repository"), existing)
+
+
+@q("j04_patch_worklist")
+def _j04(spark, sf):
+    return jn.patch_worklist(_cve_fix(spark, sf), dv.dv_state(spark, sf)).select("cve_id", "repository")
+
+
+@q("j05_pending")
+def _j05(spark, sf):
+    work = _cve_fix(spark, sf).filter(F.col("patch_url").isNotNull()).select("cve_id")
+    return jn.pending(work, _patch_state(spark, sf))
+
+
+def _clone_inputs(spark, sf):
+    r = dv.dv_repo(spark, sf)
+    dirs = r.filter(F.col("c_custkey") % 5 == 0).select(fu.repo_dir(F.col("repository")).alias("dir_name"))
+    state = dv.dv_state(spark, sf).filter(F.col("c_custkey") % 3 == 0)
+    return dirs, state
+
+
+@q("j06_clone_worklist")
+def _j06(spark, sf):
+    dirs, state = _clone_inputs(spark, sf)
+    return jn.clone_worklist(dv.dv_cve(spark, sf), dirs, state)
+
+
+@q("j07_unscraped")
+def _j07(spark, sf):
+    r = _refs(spark, sf)
+    index = r.filter(F.col("page_id") % 3 == 0).select("cve_id", "url")
+    return jn.unscraped(r.select("cve_id", "url", "page_id"), index)
+
+
+@q("j10_join_author")
+def _j10(spark, sf):
+    c = dv.dv_event_commit(spark, sf).withColumn(
+        "login", F.concat(F.lit("user"), F.regexp_replace(F.col("repository"), "^repo", "")))
+    contrib = _weeks_login(spark, sf).select("login", F.unix_date("day").alias("pos"), "c", "a")
+    j = jn.join_author(c.select("sha", "login"), contrib)
+    return j.select("sha", "login", F.col("author_row.c").alias("c"), F.col("author_row.a").alias("a"))
+
+
+@q("j11_join_scraped")
+def _j11(spark, sf):
+    r = _refs(spark, sf)
+    scraped = r.filter(F.col("page_id") % 2 == 0).join(
+        dv.table(spark, sf, "pages").select("page_id", "html"), "page_id").select(
+        "cve_id", "url", F.length("html").alias("text_length"))
+    return jn.join_scraped(r.select("cve_id", "url", "page_id"), scraped)
+
+
+@q("j12_upsert_state")
+def _j12(spark, sf):
+    old = dv.dv_state(spark, sf)
+    new = old.filter(F.col("c_custkey") % 5 == 0).select("key", F.lit("success").alias("status"))
+    return jn.upsert_state(old.select("key", "status"), new)
+
+
+@q("j14_join_patch_cve")
+def _j14(spark, sf):
+    p = dv.dv_patch(spark, sf).select("doc_id", "file_name")
+    p = p.withColumn("cve_id", fu.parse_patch_name(F.col("file_name"))["cve_id"])
+    return jn.join_patch_cve(p, dv.dv_cve(spark, sf).select("cve_id", "repository")).select("doc_id", "cve_id", "repository")
+
+
+def _enh_inputs(spark, sf):
+    c = _cve_fix(spark, sf).select("cve_id", "repository", "fix_commit",
+                                   F.lit(None).cast("struct<size:bigint>").alias("repository_context"),
+                                   F.lit(None).cast("struct<n_files:bigint>").alias("fix_commit_details"))
+    repos = dv.dv_repo(spark, sf).filter(F.col("c_custkey") % 2 == 0).select("repository", "size")
+    commits = _commits(spark, sf).select("repository", "sha", "n_files")
+    return c, repos, commits
+
+
+@q("j17_enhance")
+def _j17(spark, sf):
+    c, repos, commits = _enh_inputs(spark, sf)
+    e = jn.enhance(c, repos, commits)
+    return e.select("cve_id", F.col("repository_context.size").alias("size"),
+                    F.col("fix_commit_details.n_files").alias("n_files"), "processing_status")
+
+
+@q("f08_needs_enrichment")
+def _f08(spark, sf):
+    c, repos, commits = _enh_inputs(spark, sf)
+    cur = c.drop("repository_context").join(
+        repos.select("repository", F.struct("size").alias("repository_context")), "repository", "left")
+    done = c.filter(F.col("cve_id").endswith("0")).select("cve_id")
+    return flt.needs_enrichment(cur, done=done).select("cve_id")
+
+
+@q("a37_state_summary")
+def _a37(spark, sf):
+    return stt.state_summary(dv.dv_state(spark, sf))
+
+
+@q("a38_run_counts")
+def _a38(spark, sf):
+    dirs, state = _clone_inputs(spark, sf)
+    clone = jn.clone_worklist(dv.dv_cve(spark, sf), dirs, state)
+    patch = jn.patch_worklist(_cve_fix(spark, sf), dv.dv_state(spark, sf))
+    pend = jn.pending(_cve_fix(spark, sf).filter(F.col("patch_url").isNotNull()).select("cve_id"),
+                      _patch_state(spark, sf))
+    return stt.run_counts({"clone_worklist": clone, "patch_worklist": patch, "patch_pending": pend})
+
+
+@q("a39_latest_result")
+def _a39(spark, sf):
+    e = dv.table(spark, sf, "events")
+    res = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"),
+                   F.struct("event_type", "value").alias("result"))
+    out = stt.latest_result(res)
+    return out.select("key", F.col("result.event_type").alias("event_type"), F.col("result.value").alias("value"))
+
+
+@q("e01_distinct_repos")
+def _e01(spark, sf):
+    return stt.distinct_repos(dv.dv_cve(spark, sf))
+
+
+@q("f12_urls_of")
+def _f12(spark, sf):
+    return flt.urls_of(_refs(spark, sf)).select("cve_id", "page_id", "url")
+
+
+@q("f13_first_per_key")
+def _f13(spark, sf):
+    return wn.first_per_key(dv.dv_ref(spark, sf).select("cve_key", "pos", "url"), "cve_key", ["pos"])
+
+
+@q("f14_last_per_key")
+def _f14(spark, sf):
+    f = dv.dv_commit_file(spark, sf).select(ft.basename(F.col("filename")).alias("basename"),
+                                            "l_orderkey", "l_linenumber", "filename", "additions")
+    return wn.last_per_key(f, "basename", ["l_orderkey", "l_linenumber", "filename", "additions"])
+
+
+@q("f15_surrounding_commits_intended")
+def _f15i(spark, sf):
+    s = wn.surrounding_commits(dv.dv_event_commit(spark, sf), "intended")
+    return s.select("sha", F.array_join("surrounding", ",").alias("surrounding"))
+
+
+@q("f15_surrounding_commits_reference")
+def _f15r(spark, sf):
+    s = wn.surrounding_commits(dv.dv_event_commit(spark, sf), "reference")
+    return s.select("sha", F.array_join("surrounding", ",").alias("surrounding"))
