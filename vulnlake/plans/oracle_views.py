@@ -132,3 +132,16 @@ def with_views(sql: str, *views: str) -> str:
     if sql.startswith(","):
         return "WITH " + ctes + sql
     return "WITH " + ctes + "\n" + sql
+
+VIEWS["dv_patch"] = """
+dv_patch AS (
+  SELECT doc_id, 'CVE-2024-' || printf('%07d', doc_id) || '_org' || CAST(doc_id % 7 AS VARCHAR) || '_' || source || '.patch' AS file_name,
+         source || '/f' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+         '--- a/' || source || '/f' || CAST(doc_id AS VARCHAR) || '.txt' || chr(10) ||
+         '+++ b/' || source || '/f' || CAST(doc_id AS VARCHAR) || '.txt' || chr(10) ||
+         '@@ -1,' || CAST(len(string_split(text, chr(10))) - len(string_split(text, chr(10))) // 3 AS VARCHAR) ||
+         ' +1,' || CAST(len(string_split(text, chr(10))) - (len(string_split(text, chr(10))) + 1) // 3 AS VARCHAR) || ' @@' || chr(10) ||
+         array_to_string(list_transform(string_split(text, chr(10)), lambda s, i: [' ', '-', '+'][((i - 1) % 3) + 1] || s), chr(10))
+         || chr(10) AS text
+  FROM documents
+)"""

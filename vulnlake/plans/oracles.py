@@ -477,3 +477,152 @@ ORACLES["f15_surrounding_commits_reference"] = W("""
         FROM dv_event_commit),
 t AS (SELECT repository, string_agg(sha, ',' ORDER BY rn) AS surrounding FROM r WHERE rn <= 5 GROUP BY repository)
 SELECT c.sha, t.surrounding FROM dv_event_commit c LEFT JOIN t ON c.repository = t.repository""", "dv_event_commit")
+
+# ---------------------------------------------------------------- patch / reply / snippet text
+_LINES = """, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                unnest(range(len(string_split(text, chr(10))))) AS pos FROM dv_patch)"""
+ORACLES["x01_patch_paths"] = W(_LINES + r"""
+, p AS (SELECT doc_id, regexp_replace(substr(line, 7), '^\s+|\s+$', '', 'g') AS path, pos FROM ln
+        WHERE starts_with(line, '--- a/') OR starts_with(line, '+++ b/'))
+SELECT doc_id, path, min(pos) AS first_pos FROM p WHERE path <> '' AND path <> '/dev/null' GROUP BY 1, 2""", "dv_patch")
+ORACLES["x01_patch_paths_parity"] = W(_LINES + r"""
+, p AS (SELECT doc_id, regexp_replace(string_split(line, ' ')[2], '^\s+|\s+$', '', 'g') AS path, pos FROM ln
+        WHERE starts_with(line, '--- a/') OR starts_with(line, '+++ b/'))
+SELECT doc_id, path, min(pos) AS first_pos FROM p WHERE path <> '' AND path <> '/dev/null' GROUP BY 1, 2""", "dv_patch")
+_DOCLINES = """, dl AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"""
+ORACLES["x02_patch_lines"] = _DOCLINES.replace(", dl AS", "WITH dl AS") + """
+SELECT doc_id, CAST(i + 3 AS BIGINT) AS pos, source || '/f' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(1 AS BIGINT) AS hunk,
+       [' ', '-', '+'][i % 3 + 1] AS sign,
+       CASE WHEN i % 3 <> 2 THEN CAST(1 + i - i // 3 AS BIGINT) END AS old_no,
+       CASE WHEN i % 3 <> 1 THEN CAST(1 + i - (i + 1) // 3 AS BIGINT) END AS new_no,
+       line AS text
+FROM dl"""
+_FJ = """, fj AS (SELECT doc_id, reply, instr(reply, '```json') AS s,
+                CASE WHEN instr(reply, '```json') > 0 THEN instr(substr(reply, instr(reply, '```json') + 7), '```') ELSE 0 END AS e
+         FROM dv_reply),
+fb AS (SELECT doc_id, reply, CASE WHEN s > 0 AND e > 0 THEN regexp_replace(substr(reply, s + 7, e - 1), '^\\s+|\\s+$', '', 'g') END AS body
+       FROM fj)"""
+ORACLES["x03_fenced_json"] = W(_FJ + """
+SELECT doc_id, body, CASE WHEN body IS NULL THEN 'no_markers' WHEN body = '' THEN 'empty' ELSE 'ok' END AS status FROM fb""",
+                               "dv_reply")
+ORACLES["x04_fenced_json_or_all"] = W(r"""
+SELECT doc_id, CASE WHEN regexp_matches(reply, '(?s)```json\s*(.*?)\s*```') THEN regexp_extract(reply, '(?s)```json\s*(.*?)\s*```', 1)
+                    ELSE reply END AS json_text FROM dv_reply""", "dv_reply")
+_PF = _FJ + """
+, pf AS (SELECT doc_id, body,
+               CASE WHEN body IS NULL THEN 'no_markers' WHEN body = '' THEN 'empty'
+                    WHEN NOT json_valid(body) THEN 'bad_json'
+                    WHEN json_type(CASE WHEN json_valid(body) THEN body END) <> 'ARRAY' THEN 'not_list'
+                    WHEN NOT coalesce(list_bool_and(list_transform(json_extract(CASE WHEN json_valid(body) THEN body END, '$[*]'),
+                                                                   lambda x: json_type(x) = 'OBJECT')), true)
+                      THEN 'item_not_dict'
+                    ELSE 'ok' END AS status FROM fb)"""
+ORACLES["x05_parse_findings"] = W(_PF + """
+SELECT doc_id, status, CASE WHEN status = 'ok' THEN CAST(json_array_length(body) AS BIGINT) END AS n_items,
+       CASE WHEN status = 'ok' THEN json_extract_string(body, '$[0].file_path') END AS first_path,
+       CASE WHEN status = 'ok' THEN array_to_string(CAST(json_extract(body, '$[0].line_numbers') AS INTEGER[]), ',') END AS first_lines
+FROM pf""", "dv_reply")
+ORACLES["x06_correction_prompt"] = W(_PF + """
+SELECT doc_id, CASE WHEN status <> 'ok' THEN
+         'The reply for ' || 'CVE-2024-' || printf('%07d', doc_id) || ' could not be used (' || status || '). ' ||
+         CASE WHEN status = 'bad_json' THEN 'The JSON syntax is invalid; return well-formed JSON. '
+              ELSE 'The JSON structure is wrong; return a list of objects with ''file_path'' and ''line_numbers''. ' END ||
+         CASE WHEN body IS NOT NULL AND body <> '' THEN 'Rejected text: `' || body || '`. ' ELSE '' END ||
+         'Answer again with the JSON alone inside ```json and ``` markers.' END AS prompt
+FROM pf""", "dv_reply")
+ORACLES["x07_parse_intent"] = W(r"""
+, r AS (SELECT doc_id, CASE doc_id % 3
+          WHEN 0 THEN '{"malicious_intent_likely": ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || ', "reason": "' || lang || '"}'
+          WHEN 1 THEN 'Result:' || chr(10) || '```json' || chr(10) || '{"malicious_intent_likely": ' ||
+                      CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || ', "reason": "' || lang || '"}' || chr(10) || '```'
+          ELSE description END AS reply FROM dv_desc),
+b AS (SELECT doc_id, reply, CASE WHEN regexp_matches(reply, '(?s)```json\s*(.*?)\s*```')
+                                 THEN regexp_extract(reply, '(?s)```json\s*(.*?)\s*```', 1) ELSE reply END AS body FROM r),
+v AS (SELECT doc_id, reply, CASE WHEN json_valid(body) THEN body END AS v FROM b),
+o AS (SELECT doc_id, reply, CASE WHEN json_type(v) = 'OBJECT' THEN v END AS o FROM v)
+SELECT doc_id,
+       CASE WHEN o IS NOT NULL THEN coalesce(CAST(json_extract(o, '$.malicious_intent_likely') AS BOOLEAN), false)
+            ELSE false END AS malicious_intent_likely,
+       CASE WHEN o IS NOT NULL THEN json_extract_string(o, '$.reason')
+            ELSE 'Could not parse model JSON output: ' || reply END AS reason
+FROM o""", "dv_desc")
+
+
+def _safe(x: str, null: str = "unknown_repository") -> str:
+    return f"coalesce(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}._-]', '_', 'g'), '{null}')"
+
+
+_PN2 = """, pn AS (SELECT doc_id, path, nullif(split_part(file_name, '_', 1), '') AS cve,
+               nullif(replace(replace(file_name, split_part(file_name, '_', 1) || '_', ''), '.patch', ''), '') AS repo FROM dv_patch)"""
+ORACLES["x08_finding_prompt"] = W(_PN2 + f"""
+SELECT doc_id, 'Identify the vulnerable lines fixed for ' || {_safe('cve', '')} || ' in repository ' || {_safe('repo')} ||
+       '. Answer with a JSON list of {{"file_path", "line_numbers"}} inside ```json and ```.' AS prompt FROM pn""", "dv_patch")
+ORACLES["x09_path_prompt"] = W(_PN2 + f"""
+SELECT doc_id, 'The file ' || path || ' was not found in ' || {_safe('repo')} || ' for ' || {_safe('cve', '')} ||
+       '. Give the correct path and line numbers as JSON inside ```json and ```.' AS prompt FROM pn""", "dv_patch")
+_BL = """WITH b AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE sha1(CAST(event_id AS VARCHAR)) END AS h FROM events)"""
+ORACLES["x12_parse_blame"] = _BL + " SELECT event_id, coalesce(h, 'parse_error') AS commit FROM b"
+ORACLES["x13_is_valid_commit"] = _BL + " SELECT event_id, h IS NOT NULL AS is_valid FROM b"
+ORACLES["x14_cut_snippet"] = """
+WITH s AS (SELECT doc_id, string_split(content_n, chr(10)) AS raw FROM
+             (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS content_n FROM documents)),
+l AS (SELECT doc_id, CASE WHEN raw[-1] = '' THEN raw[1:len(raw) - 1] ELSE raw END AS lines,
+             CAST(doc_id % 5 + 1 AS INTEGER) AS lo, CAST(doc_id % 5 + 3 AS INTEGER) AS hi FROM s),
+r AS (SELECT doc_id, lines, lo, hi, greatest(0, lo - 1 - 2) AS st, least(len(lines), hi + 3) AS en FROM l)
+SELECT doc_id, CASE WHEN en > st THEN array_to_string(list_transform(lines[st + 1:en], lambda x, i:
+         printf('%s%4d: %s', CASE WHEN st + i = lo OR st + i = hi THEN 'VULN> ' ELSE '      ' END, st + i, x)), chr(10)) END AS code
+FROM r"""
+_SNIP = _PF + """
+, d AS (SELECT doc_id, source FROM documents),
+f AS (SELECT 'CVE-2024-' || printf('%07d', pf.doc_id) AS cve_id, d.source AS repo_name, pf.doc_id,
+             json_extract_string(body, '$[0].file_path') AS file_path,
+             CAST(json_extract(body, '$[0].line_numbers') AS INTEGER[]) AS line_numbers,
+             CASE WHEN pf.doc_id % 11 = 0 THEN NULL WHEN pf.doc_id % 5 = 0 THEN 'blame_error' ELSE md5(CAST(pf.doc_id AS VARCHAR)) END AS first_sha
+      FROM pf JOIN d ON pf.doc_id = d.doc_id WHERE pf.status = 'ok' AND json_array_length(body) > 0),
+f9 AS (SELECT * FROM f WHERE file_path IS NOT NULL AND file_path <> '' AND len(line_numbers) > 0 AND first_sha IS NOT NULL),
+f10 AS (SELECT * FROM f9 WHERE first_sha NOT IN ('blame_error', 'parse_error', 'timeout_error', 'git_not_found', 'exception_error')
+                             AND first_sha <> ''),
+j AS (SELECT f10.*, s.content FROM f10 LEFT JOIN dv_snapshot s ON f10.repo_name = s.repo_name
+        AND f10.first_sha = md5(CAST(s.doc_id AS VARCHAR)) AND f10.file_path = s.path),
+cut AS (SELECT *, CASE WHEN content IS NULL THEN NULL ELSE
+          (SELECT CASE WHEN en > st THEN array_to_string(list_transform(ls[st + 1:en], lambda x, i:
+             printf('%s%4d: %s', CASE WHEN list_contains(line_numbers, st + i) THEN 'VULN> ' ELSE '      ' END, st + i, x)), chr(10)) END
+           FROM (SELECT ls, greatest(0, list_min(line_numbers) - 3) AS st, least(len(ls), list_max(line_numbers) + 3) AS en
+                 FROM (SELECT CASE WHEN string_split(content, chr(10))[-1] = '' THEN string_split(content, chr(10))[1:-2]
+                                   ELSE string_split(content, chr(10)) END AS ls))) END AS code FROM j),
+sn AS (SELECT * FROM cut WHERE code IS NOT NULL)"""
+
+
+def S(sql: str) -> str:
+    return W(_SNIP + "\n" + sql, "dv_reply", "dv_snapshot")
+
+
+ORACLES["f09_complete_snippets"] = S("SELECT cve_id, file_path FROM f9")
+ORACLES["f10_first_commit"] = S("SELECT cve_id, first_sha AS introducing_commit FROM f10")
+ORACLES["j15_join_content"] = S("SELECT cve_id, file_path, CAST(length(content) AS BIGINT) AS content_length FROM j")
+ORACLES["x15_snippet_metadata"] = S("""
+SELECT cve_id, file_path, array_to_string(line_numbers, ',') AS line_numbers, first_sha AS introducing_commit,
+       'vulnerable' AS label, code FROM sn""")
+ORACLES["a34_snippets_per_cve"] = S("""
+SELECT c.cve_id, coalesce(n.n, 0) AS n_snippets
+FROM (SELECT DISTINCT 'CVE-2024-' || printf('%07d', doc_id) AS cve_id FROM documents) c
+LEFT JOIN (SELECT cve_id, count(*) AS n FROM sn GROUP BY cve_id) n ON c.cve_id = n.cve_id""")
+ORACLES["a35_snippets_per_extension"] = S(r"""
+SELECT lower(regexp_extract(string_split(file_path, '/')[-1], '^.+(\.[^.]*)$', 1)) AS extension, count(*) AS n FROM sn GROUP BY 1""")
+ORACLES["a35_snippets_per_extension_parity"] = S("SELECT '.txt' AS extension, count(*) AS n FROM sn")
+ORACLES["a36_list_snippets"] = S("""
+SELECT cve_id, string_split(file_path, '/')[-1] || '.txt' AS file,
+       row_number() OVER (PARTITION BY cve_id ORDER BY string_split(file_path, '/')[-1] || '.txt', file_path) AS rank FROM sn""")
+ORACLES["j08_commit_before"] = W("""
+, c AS (SELECT event_id, repository, commit_ts AS published FROM dv_event_commit WHERE event_type = 'signup'),
+m AS (SELECT repository, sha, commit_ts FROM dv_event_commit WHERE event_type = 'click')
+SELECT c.event_id, m.sha AS commit_before FROM c ASOF LEFT JOIN m ON c.repository = m.repository AND c.published >= m.commit_ts""",
+                                 "dv_event_commit")
+ORACLES["j09_introducing_commits"] = _DOCLINES.replace(", dl AS", "WITH dl AS") + r"""
+, x AS (SELECT doc_id, CAST(i + 3 AS BIGINT) AS pos, source AS repo, 'f' || CAST(doc_id % 13 AS VARCHAR) || '.txt' AS file,
+               TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE AS ts, md5(CAST(doc_id AS VARCHAR)) AS sha,
+               i % 3 AS k, line AS text, length(regexp_replace(line, '\W', '', 'g')) >= 3 AS ok FROM dl),
+r AS (SELECT * FROM x WHERE k = 1), a AS (SELECT * FROM x WHERE k = 2 AND ok)
+SELECT r.doc_id, r.pos, CASE WHEN r.ok THEN coalesce(a.sha, 'blame_error') ELSE 'blame_error' END AS introducing_commit
+FROM r ASOF LEFT JOIN a ON r.repo = a.repo AND r.file = a.file AND r.text = a.text AND r.ts > a.ts"""

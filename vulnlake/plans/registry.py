@@ -705,3 +705,215 @@ def _f15i(spark, sf):
 def _f15r(spark, sf):
     s = wn.surrounding_commits(dv.dv_event_commit(spark, sf), "reference")
     return s.select("sha", F.array_join("surrounding", ",").alias("surrounding"))
+
+
+# ---------------------------------------------------------------- patch / reply / snippet text (X*, F09, F10, J08, J09, J13, J15, A34-A36)
+from vulnlake.operators import asof as ao  # noqa: E402
+from vulnlake.operators import findings as fd  # noqa: E402
+from vulnlake.operators import patches as pt  # noqa: E402
+from vulnlake.operators import snippets as sn  # noqa: E402
+
+
+@q("x01_patch_paths")
+def _x01(spark, sf):
+    return pt.patch_paths(dv.dv_patch(spark, sf), "doc_id")
+
+
+@q("x01_patch_paths_parity")
+def _x01p(spark, sf):
+    return pt.patch_paths(dv.dv_patch(spark, sf), "doc_id", parity=True)
+
+
+@q("x02_patch_lines")
+def _x02(spark, sf):
+    return pt.patch_lines(dv.dv_patch(spark, sf), "doc_id")
+
+
+@q("x03_fenced_json")
+def _x03(spark, sf):
+    r = dv.dv_reply(spark, sf)
+    fj = ft.fenced_json(F.col("reply"))
+    return r.select("doc_id", fj["body"].alias("body"), fj["status"].alias("status"))
+
+
+@q("x04_fenced_json_or_all")
+def _x04(spark, sf):
+    r = dv.dv_reply(spark, sf)
+    return r.select("doc_id", ft.fenced_json_or_all(F.col("reply")).alias("json_text"))
+
+
+@q("x05_parse_findings")
+def _x05(spark, sf):
+    r = dv.dv_reply(spark, sf)
+    p = fd.parse_findings(F.col("reply"))
+    return r.select("doc_id", p["status"].alias("status"), F.size(p["items"]).alias("n_items"),
+                    F.get(p["items"], 0)["file_path"].alias("first_path"),
+                    F.array_join(F.get(p["items"], 0)["line_numbers"], ",").alias("first_lines"))
+
+
+@q("x06_correction_prompt")
+def _x06(spark, sf):
+    r = dv.dv_reply(spark, sf)
+    p = fd.parse_findings(F.col("reply"))
+    cve = F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))
+    return r.select("doc_id", fd.correction_prompt(cve, p["status"], p["body"]).alias("prompt"))
+
+
+def _intent_replies(spark, sf):
+    d = dv.dv_desc(spark, sf)
+    k = F.col("doc_id") % 3
+    js = F.concat(F.lit('{"malicious_intent_likely": '), F.when(F.col("doc_id") % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
+                  F.lit(', "reason": "'), F.col("lang"), F.lit('"}'))
+    reply = (F.when(k == 0, js).when(k == 1, F.concat(F.lit("Result:\n```json\n"), js, F.lit("\n```")))
+             .otherwise(F.col("description")))
+    return d.select("doc_id", reply.alias("reply"))
+
+
+@q("x07_parse_intent")
+def _x07(spark, sf):
+    from vulnlake.operators import intent as it
+    r = _intent_replies(spark, sf)
+    p = it.parse_intent(F.col("reply"))
+    return r.select("doc_id", p["malicious_intent_likely"].alias("malicious_intent_likely"), p["reason"].alias("reason"))
+
+
+@q("x08_finding_prompt")
+def _x08(spark, sf):
+    p = dv.dv_patch(spark, sf)
+    pn = fu.parse_patch_name(F.col("file_name"))
+    return p.select("doc_id", fd.finding_prompt(pn["cve_id"], pn["repo"]).alias("prompt"))
+
+
+@q("x09_path_prompt")
+def _x09(spark, sf):
+    p = dv.dv_patch(spark, sf)
+    pn = fu.parse_patch_name(F.col("file_name"))
+    return p.select("doc_id", fd.path_prompt(pn["cve_id"], pn["repo"], F.col("path")).alias("prompt"))
+
+
+def _blame(spark, sf):
+    e = dv.table(spark, sf, "events")
+    txt = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("fatal: "), F.col("event_type"))).otherwise(
+        F.concat(F.lit("author "), F.col("event_type"), F.lit("\n"), F.sha1(F.col("event_id").cast("string")),
+                 F.lit(" 1 1 1\n\tline")))
+    return e.select("event_id", txt.alias("blame"))
+
+
+@q("x12_parse_blame")
+def _x12(spark, sf):
+    return _blame(spark, sf).select("event_id", ft.parse_blame(F.col("blame")).alias("commit"))
+
+
+@q("x13_is_valid_commit")
+def _x13(spark, sf):
+    b = _blame(spark, sf).select("event_id", ft.parse_blame(F.col("blame")).alias("commit"))
+    return b.select("event_id", ft.is_valid_commit(F.col("commit")).alias("is_valid"))
+
+
+@q("x14_cut_snippet")
+def _x14(spark, sf):
+    s = dv.dv_snapshot(spark, sf)
+    lines = F.array((F.col("doc_id") % 5 + 1).cast("int"), (F.col("doc_id") % 5 + 3).cast("int"))
+    return s.select("doc_id", ft.cut_snippet(F.col("content"), lines).alias("code"))
+
+
+def _snippet_findings(spark, sf):
+    """Findings rows from the parsed replies with a line -> commit list (F09 / F10 input)."""
+    r = dv.dv_reply(spark, sf)
+    d = dv.table(spark, sf, "documents").select("doc_id", "source")
+    p = fd.parse_findings(F.col("reply"))
+    f = r.join(d, "doc_id").select(
+        F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))).alias("cve_id"),
+        F.col("source").alias("repo_name"), "doc_id", F.explode(p["items"]).alias("it"))
+    sha = F.when(F.col("doc_id") % 5 == 0, F.lit("blame_error")).otherwise(F.md5(F.col("doc_id").cast("string")))
+    return f.select("cve_id", "repo_name", "doc_id", F.col("it.file_path").alias("file_path"),
+                    F.col("it.line_numbers").alias("line_numbers"),
+                    F.when(F.col("doc_id") % 11 == 0, F.array().cast("array<struct<line:int,sha:string>>")).otherwise(
+                        F.array(F.struct(F.lit(3).alias("line"), sha.alias("sha")))).alias("introducing_commits"))
+
+
+def _snippets(spark, sf):
+    f = sn.first_commit(flt.complete_snippets(_snippet_findings(spark, sf)))
+    snap = dv.dv_snapshot(spark, sf).select("repo_name", F.md5(F.col("doc_id").cast("string")).alias("sha"),
+                                            "path", "content")
+    return sn.snippet_rows(sn.join_content(f, snap))
+
+
+@q("f09_complete_snippets")
+def _f09(spark, sf):
+    return flt.complete_snippets(_snippet_findings(spark, sf)).select("cve_id", "file_path")
+
+
+@q("f10_first_commit")
+def _f10(spark, sf):
+    return sn.first_commit(flt.complete_snippets(_snippet_findings(spark, sf))).select("cve_id", "introducing_commit")
+
+
+@q("j15_join_content")
+def _j15(spark, sf):
+    f = sn.first_commit(flt.complete_snippets(_snippet_findings(spark, sf)))
+    snap = dv.dv_snapshot(spark, sf).select("repo_name", F.md5(F.col("doc_id").cast("string")).alias("sha"),
+                                            "path", "content")
+    return sn.join_content(f, snap).select("cve_id", "file_path", F.length("content").alias("content_length"))
+
+
+@q("x15_snippet_metadata")
+def _x15(spark, sf):
+    s = _snippets(spark, sf)
+    return s.select("cve_id", "file_path", F.array_join(F.transform("line_numbers", lambda x: x.cast("string")), ",")
+                    .alias("line_numbers"), "introducing_commit", "label", "code")
+
+
+@q("a34_snippets_per_cve")
+def _a34(spark, sf):
+    cves = dv.table(spark, sf, "documents").select(
+        F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))).alias("cve_id"))
+    return sn.snippets_per_cve(_snippets(spark, sf), cves)
+
+
+@q("a35_snippets_per_extension")
+def _a35(spark, sf):
+    return sn.snippets_per_extension(_snippets(spark, sf))
+
+
+@q("a35_snippets_per_extension_parity")
+def _a35p(spark, sf):
+    return sn.snippets_per_extension(_snippets(spark, sf), parity=True)
+
+
+@q("a36_list_snippets")
+def _a36(spark, sf):
+    return sn.list_snippets(_snippets(spark, sf))
+
+
+def _signup_commits(spark, sf):
+    e = dv.dv_event_commit(spark, sf)
+    cves = e.filter(F.col("event_type") == "signup").select("event_id", "repository", F.col("commit_ts").alias("published"))
+    commits = e.filter(F.col("event_type") == "click").select("repository", "sha", "commit_ts",
+                                                              F.lit("main").alias("branch"))
+    return cves, commits
+
+
+@q("j08_commit_before")
+def _j08(spark, sf):
+    cves, commits = _signup_commits(spark, sf)
+    return ao.commit_before(cves, commits, bucket="day").select("event_id", "commit_before")
+
+
+def _fix_lines(spark, sf):
+    p = dv.dv_patch(spark, sf).join(dv.table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    p = p.select("doc_id", "text", F.col("source").alias("repo"),
+                 F.concat(F.lit("f"), (F.col("doc_id") % 13).cast("string"), F.lit(".txt")).alias("file"),
+                 (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
+                     mins=F.col("doc_id").cast("int"))).alias("ts"),
+                 F.md5(F.col("doc_id").cast("string")).alias("sha"))
+    return pt.patch_lines(p, ["doc_id", "repo", "file", "ts", "sha"])
+
+
+@q("j09_introducing_commits")
+def _j09(spark, sf):
+    ln = _fix_lines(spark, sf)
+    removed = ln.filter(F.col("sign") == "-").select("doc_id", "pos", "repo", "file", "ts", "text")
+    added = ln.filter(F.col("sign") == "+").select("repo", "file", "ts", "text", "sha")
+    out = ao.introducing_commits(removed, added)
+    return out.select("doc_id", "pos", "introducing_commit")
