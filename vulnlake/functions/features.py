@@ -115,3 +115,12 @@ def log10_col(c) -> Column:
     """log10, null at <= 0 (numpy would give -inf)."""
     x = _c(c).cast("double")
     return F.when(x > 0, F.log10(x))
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson correlation over the rows where both are present; null (not an ANSI
+    divide-by-zero error) when either side has no variance."""
+    xc, yc = _c(x).cast("double"), _c(y).cast("double")
+    xm = F.when(yc.isNotNull(), xc)
+    ym = F.when(xc.isNotNull(), yc)
+    return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.functions.features import safe_corr
+
 from vulnlake.functions.cve import ordinal_day
 
 BUCKETS = ("year", "month", "week")
@@ -57,7 +59,7 @@ def time_regression(cov: DataFrame, y: str) -> DataFrame:
         F.regr_count("y", "x").alias("n"),
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
-        F.corr("y", "x").alias("r"),
+        safe_corr("y", "x").alias("r"),
         r2.alias("r2"),
         se.alias("std_err"),
         F.min("x").alias("x_min"),

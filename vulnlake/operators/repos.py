@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.functions.features import safe_corr
+
 from vulnlake.functions.features import log10_col, vuln_density
 
 DECILE_LABELS = [f"Q{i}" for i in range(1, 11)]
@@ -74,8 +76,8 @@ def size_report(m: DataFrame, approx: bool = False) -> DataFrame:
         med(F.col("vulnerabilities").cast("double")).alias("median_vulnerabilities"),
         F.avg("avg_cvss").alias("mean_avg_cvss"),
         med(F.col("avg_cvss")).alias("median_avg_cvss"),
-        F.corr(F.col("repo_size").cast("double"), F.col("vulnerabilities").cast("double")).alias("corr_size_count"),
-        F.corr(F.col("repo_size").cast("double"), F.col("avg_cvss")).alias("corr_size_score"),
+        safe_corr(F.col("repo_size").cast("double"), F.col("vulnerabilities").cast("double")).alias("corr_size_count"),
+        safe_corr(F.col("repo_size").cast("double"), F.col("avg_cvss")).alias("corr_size_score"),
     )
 
 
@@ -89,7 +91,7 @@ def correlation_matrix(m: DataFrame, cols: list[str] = CORR_COLUMNS) -> DataFram
     for a in cols:
         for b in cols:
             names.append((a, b))
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}"))
+            aggs.append(safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}"))
     wide = m.agg(*aggs)
     stack = "stack({n}, {items}) as (col_a, col_b, corr)".format(
         n=len(names), items=", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in names))

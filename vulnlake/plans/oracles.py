@@ -626,3 +626,83 @@ ORACLES["j09_introducing_commits"] = _DOCLINES.replace(", dl AS", "WITH dl AS")
 r AS (SELECT * FROM x WHERE k = 1), a AS (SELECT * FROM x WHERE k = 2 AND ok)
 SELECT r.doc_id, r.pos, CASE WHEN r.ok THEN coalesce(a.sha, 'blame_error') ELSE 'blame_error' END AS introducing_commit
 FROM r ASOF LEFT JOIN a ON r.repo = a.repo AND r.file = a.file AND r.text = a.text AND r.ts > a.ts"""
+
+# ---------------------------------------------------------------- planned analyses
+_F6 = ["repository", "cvss_score", "cwe_id", "attack_vector", "attack_complexity", "fix_date"]
+C = lambda sql: W(sql, "dv_cve")
+ORACLES["k01_missing_pct"] = C("SELECT cve_id, round((" + " + ".join(f"CAST({f} IS NULL AS INTEGER)" for f in _F6)
+                               + ") * CAST(100 AS DOUBLE) / 6, 6) AS pct_missing FROM dv_cve")
+ORACLES["k02_missing_report"] = C("\nUNION ALL\n".join(
+    f"SELECT '{f}' AS field, count_if({f} IS NULL) AS n_missing, round(count_if({f} IS NULL) * CAST(100 AS DOUBLE) / count(*), 6) AS pct FROM dv_cve"
+    for f in _F6))
+ORACLES["k03_cwe_distribution"] = C("SELECT cwe_id, count(*) AS n FROM dv_cve GROUP BY cwe_id")
+ORACLES["k04_vector_cube"] = C("""
+SELECT attack_vector, attack_complexity, count(*) AS n, CAST(grouping(attack_vector, attack_complexity) AS BIGINT) AS level
+FROM dv_cve GROUP BY CUBE (attack_vector, attack_complexity)""")
+ORACLES["k05_score_by_vector"] = C("""
+SELECT attack_vector, count(cvss_score) AS n, round(avg(cvss_score), 6) AS mean_score, round(stddev_samp(cvss_score), 6) AS std_score,
+       round(median(cvss_score), 6) AS median_score FROM dv_cve GROUP BY attack_vector""")
+ORACLES["k06_time_to_fix"] = C("""
+SELECT count(*) AS n, round(avg(date_diff('day', CAST(published_date AS DATE), CAST(fix_date AS DATE))), 6) AS mean_days,
+       round(median(date_diff('day', CAST(published_date AS DATE), CAST(fix_date AS DATE))), 6) AS median_days
+FROM dv_cve WHERE fix_date IS NOT NULL""")
+ORACLES["k07_seasonal"] = C("SELECT CAST(month(published_date) AS BIGINT) AS month, count(*) AS n FROM dv_cve GROUP BY 1")
+ORACLES["k08_hot_periods"] = W("""
+, o AS (SELECT repository, commit_ts, CASE WHEN commit_ts - lag(commit_ts) OVER (PARTITION BY repository ORDER BY commit_ts)
+                                          < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM dv_event_commit),
+s AS (SELECT repository, commit_ts, sum(brk) OVER (PARTITION BY repository ORDER BY commit_ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
+SELECT repository, min(commit_ts) AS start, max(commit_ts) + INTERVAL 6 HOUR AS "end", count(*) AS n
+FROM s GROUP BY repository, sid HAVING count(*) >= 3""", "dv_event_commit")
+ORACLES["k09_by_language"] = W("""
+SELECT r.license AS language, count(*) AS n FROM dv_cve c JOIN dv_repo r ON c.repository = r.repository GROUP BY 1""",
+                               "dv_cve", "dv_repo")
+ORACLES["k10_file_types"] = W(r"""
+SELECT lower(regexp_extract(string_split(filename, '/')[-1], '^.+(\.[^.]*)$', 1)) AS extension, count(*) AS n
+FROM dv_commit_file GROUP BY 1""", "dv_commit_file")
+ORACLES["k11_top_directories"] = W(r"""
+SELECT CASE WHEN contains(filename, '/') THEN regexp_extract(filename, '^(.*)/[^/]*$', 1) ELSE '.' END AS directory, count(*) AS n
+FROM dv_commit_file GROUP BY 1 ORDER BY n DESC, directory LIMIT 10""", "dv_commit_file")
+_CS = """, cs AS (SELECT f.sha, count(*) AS n_files, sum(additions) AS additions FROM dv_commit_file f GROUP BY f.sha),
+fx AS (SELECT DISTINCT md5(CAST(cve_key AS VARCHAR)) AS sha FROM dv_cve WHERE has_commit),
+k AS (SELECT cs.*, fx.sha IS NOT NULL AS is_fix FROM cs LEFT JOIN fx ON cs.sha = fx.sha)"""
+ORACLES["k12_files_fix_vs_other"] = W(_CS + " SELECT is_fix, count(*) AS n, round(avg(n_files), 6) AS mean_files FROM k GROUP BY is_fix",
+                                      "dv_cve", "dv_commit_file")
+ORACLES["k13_patch_size"] = W(_CS + """
+SELECT round(quantile_cont(additions, 0.25), 6) AS p25, round(quantile_cont(additions, 0.5), 6) AS p50,
+       round(quantile_cont(additions, 0.75), 6) AS p75, round(quantile_cont(additions, 0.9), 6) AS p90 FROM k""",
+                              "dv_cve", "dv_commit_file")
+ORACLES["k14_common_words"] = r"""
+WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents)
+SELECT word, count(*) AS n FROM w WHERE length(word) >= 3 GROUP BY word ORDER BY n DESC, word LIMIT 20"""
+ORACLES["k15_commits_per_fix"] = W(f"""
+, per AS (SELECT cve_key, count_if(contains(url, 'github.com') AND {gh_commit('url')} IS NOT NULL) AS n_commits
+          FROM dv_ref GROUP BY cve_key)
+SELECT n_commits, count(*) AS n_cves FROM per GROUP BY n_commits""", "dv_ref")
+ORACLES["k16_score_histogram"] = C("""
+SELECT CAST(floor(cvss_score) AS BIGINT) AS bucket, count(*) AS n FROM dv_cve WHERE cvss_score IS NOT NULL GROUP BY 1""")
+ORACLES["k16_score_stats"] = C("""
+, m AS (SELECT avg(cvss_score) AS mu FROM dv_cve)
+SELECT round(quantile_cont(cvss_score, 0.1), 6) AS p10, round(median(cvss_score), 6) AS p50,
+       round(quantile_cont(cvss_score, 0.9), 6) AS p90,
+       round(avg(pow(cvss_score - m.mu, 3)) / pow(avg(pow(cvss_score - m.mu, 2)), 1.5), 6) AS skewness
+FROM dv_cve, m""")
+ORACLES["k17_score_correlations"] = C("""
+SELECT round(corr(cvss_score, CAST(date_diff('day', CAST(published_date AS DATE), CAST(fix_date AS DATE)) AS DOUBLE)), 6)
+         AS corr_days_to_fix,
+       round(corr(cvss_score, CAST(cve_key AS DOUBLE)), 6) AS corr_cve_key FROM dv_cve""")
+ORACLES["k18_tag_distribution"] = W("SELECT unnest(tags) AS tag, count(*) AS n FROM dv_ref GROUP BY 1", "dv_ref")
+ORACLES["k19_refs_vs_score"] = W("""
+, n AS (SELECT cve_key, count(*) AS n_refs, count_if(contains(url, 'github.com')) AS n_github FROM dv_ref GROUP BY cve_key)
+SELECT round(corr(c.cvss_score, CAST(n.n_refs AS DOUBLE)), 6) AS corr_n_refs,
+       round(corr(c.cvss_score, CAST(n.n_github AS DOUBLE)), 6) AS corr_n_github FROM dv_cve c JOIN n ON c.cve_key = n.cve_key""",
+                                 "dv_cve", "dv_ref")
+ORACLES["k20_exploit_share"] = W("""
+, per AS (SELECT cve_key, max(CAST(list_contains(tags, 'Exploit') AS INTEGER)) AS h FROM dv_ref GROUP BY cve_key)
+SELECT count(*) AS n_cves, round(avg(h) * 100, 6) AS pct_exploit FROM per""", "dv_ref")
+ORACLES["k21_top_hosts"] = f"""
+SELECT lower(regexp_extract(regexp_extract(url, '{NETLOC_RE}', 1), '^(?:[^@]*@)?([^:]*)', 1)) AS host, count(*) AS n
+FROM pages GROUP BY 1 ORDER BY n DESC, host LIMIT 10"""
+ORACLES["k22_balanced_sample"] = C(f"""
+, s AS (SELECT cve_id, cvss_score, coalesce({sev('cvss_score')}, 'Unknown') AS stratum,
+               row_number() OVER (PARTITION BY coalesce({sev('cvss_score')}, 'Unknown') ORDER BY md5(cve_id)) AS rn FROM dv_cve)
+SELECT cve_id, round(cvss_score, 6) AS cvss_score, stratum FROM s WHERE rn <= 25""")

@@ -917,3 +917,137 @@ def _j09(spark, sf):
     added = ln.filter(F.col("sign") == "+").select("repo", "file", "ts", "text", "sha")
     out = ao.introducing_commits(removed, added)
     return out.select("doc_id", "pos", "introducing_commit")
+
+
+# ---------------------------------------------------------------- planned analyses
+from vulnlake.operators import planned as pl  # noqa: E402
+
+
+@q("k01_missing_pct")
+def _k01(spark, sf):
+    return pl.missing_pct(dv.dv_cve(spark, sf))
+
+
+@q("k02_missing_report")
+def _k02(spark, sf):
+    return pl.missing_report(dv.dv_cve(spark, sf))
+
+
+@q("k03_cwe_distribution")
+def _k03(spark, sf):
+    return pl.distribution(dv.dv_cve(spark, sf), "cwe_id")
+
+
+@q("k04_vector_cube")
+def _k04(spark, sf):
+    return pl.vector_cube(dv.dv_cve(spark, sf))
+
+
+@q("k05_score_by_vector")
+def _k05(spark, sf):
+    return pl.score_by(dv.dv_cve(spark, sf), "attack_vector")
+
+
+@q("k06_time_to_fix")
+def _k06(spark, sf):
+    return pl.time_to_fix(dv.dv_cve(spark, sf))
+
+
+@q("k07_seasonal")
+def _k07(spark, sf):
+    return pl.distribution(dv.dv_cve(spark, sf).withColumn("month", F.month("published_date")), "month")
+
+
+@q("k08_hot_periods")
+def _k08(spark, sf):
+    return pl.hot_periods(dv.dv_event_commit(spark, sf), "repository", "commit_ts")
+
+
+@q("k09_by_language")
+def _k09(spark, sf):
+    repos = dv.dv_repo(spark, sf).withColumn("languages", F.create_map(F.col("license"), F.col("size")))
+    return pl.by_language(dv.dv_cve(spark, sf), repos)
+
+
+@q("k10_file_types")
+def _k10(spark, sf):
+    return pl.file_types(dv.dv_commit_file(spark, sf))
+
+
+@q("k11_top_directories")
+def _k11(spark, sf):
+    return pl.top_directories(dv.dv_commit_file(spark, sf))
+
+
+def _commit_sizes(spark, sf):
+    f = dv.dv_commit_file(spark, sf).groupBy("sha").agg(F.count(F.lit(1)).alias("n_files"),
+                                                        F.sum("additions").alias("additions"))
+    fixes = _cve_fix(spark, sf).filter(F.col("fix_commit").isNotNull()).select(F.col("fix_commit").alias("sha")).distinct()
+    return f.join(fixes.withColumn("is_fix", F.lit(True)), "sha", "left").withColumn(
+        "is_fix", F.coalesce("is_fix", F.lit(False)))
+
+
+@q("k12_files_fix_vs_other")
+def _k12(spark, sf):
+    return pl.files_fix_vs_other(_commit_sizes(spark, sf))
+
+
+@q("k13_patch_size")
+def _k13(spark, sf):
+    return pl.patch_size(_commit_sizes(spark, sf))
+
+
+@q("k14_common_words")
+def _k14(spark, sf):
+    return pl.common_words(dv.table(spark, sf, "documents"))
+
+
+@q("k15_commits_per_fix")
+def _k15(spark, sf):
+    r = dv.dv_ref(spark, sf)
+    return pl.commits_per_fix(r, "cve_key", fu.is_github(F.col("url")) & fu.github_commit(F.col("url")).isNotNull())
+
+
+@q("k16_score_histogram")
+def _k16(spark, sf):
+    return pl.score_histogram(dv.dv_cve(spark, sf))
+
+
+@q("k16_score_stats")
+def _k16s(spark, sf):
+    return pl.score_stats(dv.dv_cve(spark, sf))
+
+
+@q("k17_score_correlations")
+def _k17(spark, sf):
+    c = dv.dv_cve(spark, sf).withColumn("days_to_fix", F.datediff("fix_date", "published_date"))
+    return pl.score_correlations(c, "cvss_score", ["days_to_fix", "cve_key"])
+
+
+@q("k18_tag_distribution")
+def _k18(spark, sf):
+    return pl.tag_distribution(dv.dv_ref(spark, sf))
+
+
+@q("k19_refs_vs_score")
+def _k19(spark, sf):
+    n = dv.dv_ref(spark, sf).groupBy("cve_key").agg(F.count(F.lit(1)).alias("n_refs"),
+                                                    F.count_if(fu.is_github(F.col("url"))).alias("n_github"))
+    c = dv.dv_cve(spark, sf).select("cve_key", "cvss_score")
+    return pl.score_correlations(c.join(n, "cve_key"), "cvss_score", ["n_refs", "n_github"])
+
+
+@q("k20_exploit_share")
+def _k20(spark, sf):
+    return pl.exploit_share(dv.dv_ref(spark, sf), "cve_key")
+
+
+@q("k21_top_hosts")
+def _k21(spark, sf):
+    return pl.top_hosts(dv.table(spark, sf, "pages"))
+
+
+@q("k22_balanced_sample")
+def _k22(spark, sf):
+    d = dv.dv_cve(spark, sf).select("cve_id", "cvss_score")
+    return pl.balanced_sample(d, 25, pl.severity_strata())
