@@ -107,3 +107,24 @@ def enhance(cves: DataFrame, repos: DataFrame, commits: DataFrame, repo: str = "
              .withColumn("fix_commit_details", F.coalesce(F.col("fix_commit_details"), F.col("_det")))
              .withColumn("processing_status", F.lit("enhanced"))
              .drop("_r", "_ctx", "_cr", "_cs", "_det"))
+
+
+def github_summary_long(refs: DataFrame, key: str = "cve_id", pos: str = "pos", url: str = "url") -> DataFrame:
+    """P20 in long form (one row per reference): repository = last GitHub match,
+    fix_commit = first non-empty commit, related_commits = every commit in reference
+    order (comma-joined), patch_url = last GitHub ``.patch`` URL.  ``max_by`` / ``min_by``
+    skip rows whose ordering is null, which is how non-matching rows are left out."""
+    from vulnlake.functions import urls as fu
+    u = F.coalesce(F.col(url), F.lit(""))
+    gh = fu.is_github(u)
+    repo = F.when(gh, fu.github_repo(u))
+    commit = F.when(gh, fu.github_commit(u))
+    patch = F.when(gh & u.endswith(".patch"), u)
+    p = F.col(pos)
+    return refs.groupBy(key).agg(
+        F.max_by(repo, F.when(repo.isNotNull(), p)).alias("repository"),
+        F.min_by(commit, F.when(commit.isNotNull() & (commit != ""), p)).alias("fix_commit"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(commit.isNotNull(), F.struct(p.alias("p"), commit.alias("c"))))),
+                                 lambda x: x["c"]), ",").alias("related_commits"),
+        F.max_by(patch, F.when(patch.isNotNull(), p)).alias("patch_url"),
+    )

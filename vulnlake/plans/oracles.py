@@ -706,3 +706,45 @@ ORACLES["k22_balanced_sample"] = C(f"""
 , s AS (SELECT cve_id, cvss_score, coalesce({sev('cvss_score')}, 'Unknown') AS stratum,
                row_number() OVER (PARTITION BY coalesce({sev('cvss_score')}, 'Unknown') ORDER BY md5(cve_id)) AS rn FROM dv_cve)
 SELECT cve_id, round(cvss_score, 6) AS cvss_score, stratum FROM s WHERE rn <= 25""")
+
+# ---------------------------------------------------------------- CVE record (P17-P21), intent
+ORACLES["p17_flatten_cve"] = C("""
+SELECT cve_id, round(cvss_score, 6) AS cvss_score,
+       CASE WHEN cvss_score IS NOT NULL THEN 'CVSS:3.1/AV:' || substr(attack_vector, 1, 1) END AS cvss_vector,
+       CASE WHEN cvss_score IS NOT NULL THEN attack_vector END AS attack_vector,
+       CASE WHEN cvss_score IS NOT NULL THEN attack_complexity END AS attack_complexity,
+       'Issue in ' || repository AS description, strftime(published_date, '%Y-%m-%dT%H:%M:%S.000') AS published_date
+FROM dv_cve""")
+ORACLES["p18_first_cwe"] = C("SELECT cve_id, CASE WHEN cve_key % 2 = 0 THEN cwe_id END AS cwe_id FROM dv_cve")
+ORACLES["p19_norm_refs"] = W("""
+SELECT cve_key, CAST(row_number() OVER (PARTITION BY cve_key ORDER BY pos) - 1 AS BIGINT) AS i, url,
+       CASE WHEN page_id % 3 = 2 THEN '' ELSE array_to_string(tags, '|') END AS tags FROM dv_ref""", "dv_ref")
+ORACLES["p20_github_summary"] = W(f"""
+, g AS (SELECT cve_key, pos, url, contains(coalesce(url, ''), 'github.com') AS gh FROM dv_ref),
+x AS (SELECT cve_key, pos, CASE WHEN gh THEN {gh_repo('url')} END AS repo, CASE WHEN gh THEN {gh_commit('url')} END AS cm,
+             CASE WHEN gh AND ends_with(url, '.patch') THEN url END AS pu FROM g)
+SELECT cve_key, arg_max(repo, pos) FILTER (WHERE repo IS NOT NULL) AS repository,
+       arg_min(cm, pos) FILTER (WHERE cm IS NOT NULL AND cm <> '') AS fix_commit,
+       coalesce(string_agg(cm, ',' ORDER BY pos) FILTER (WHERE cm IS NOT NULL), '') AS related_commits,
+       arg_max(pu, pos) FILTER (WHERE pu IS NOT NULL) AS patch_url
+FROM x GROUP BY cve_key""", "dv_ref")
+ORACLES["p21_with_metadata"] = C("SELECT cve_id, '2024-01-01T00:00:00' AS collected_at, 'raw' AS processing_status FROM dv_cve")
+ORACLES["x10_intent_prompt"] = W("""
+, s AS (SELECT cve_key, url, 'page ' || CAST(page_id AS VARCHAR) AS scraped_text FROM dv_ref WHERE page_id % 2 = 0),
+l AS (SELECT r.cve_key, r.pos, '- URL: ' || coalesce(r.url, 'N/A') || ', Tags: [' || array_to_string(coalesce(r.tags, []), ', ') || ']' || chr(10)
+             || CASE WHEN s.scraped_text IS NOT NULL THEN chr(10) || '---' || chr(10) || 'Scraped Content from ' || coalesce(r.url, 'N/A')
+                     || ':' || chr(10) || s.scraped_text || chr(10) || '---' || chr(10) ELSE '' END AS line
+      FROM dv_ref r LEFT JOIN s ON r.cve_key = s.cve_key AND r.url = s.url),
+per AS (SELECT cve_key, string_agg(line, '' ORDER BY pos) AS refs FROM l GROUP BY cve_key)
+SELECT d.doc_id AS cve_key,
+       'Decide whether this vulnerability was likely introduced on purpose.' || chr(10) || chr(10) || 'CVE Description: ' ||
+       coalesce(d.description, '') || '.' || chr(10) || chr(10) || 'References:' || chr(10) || coalesce(p.refs, '') ||
+       'Look for words such as backdoor, sabotage or malicious code, and tags such as exploit, malware or backdoor. ' ||
+       'Reply with ```json {"malicious_intent_likely": true/false, "reason": "..."} ```.' AS prompt
+FROM dv_desc d LEFT JOIN per p ON d.doc_id = p.cve_key""", "dv_ref", "dv_desc")
+ORACLES["x11_intent_signals"] = W("""
+, h AS (SELECT doc_id AS cve_key,
+               list_filter(['backdoor', 'sabotage', 'malicious code'], lambda w: contains(lower(coalesce(description, '')), w)) AS words,
+               CASE WHEN doc_id % 3 = 1 THEN ['exploit'] ELSE CAST([] AS VARCHAR[]) END AS tags FROM dv_desc)
+SELECT cve_key, len(list_distinct(words || tags)) > 0 AS malicious_intent_likely,
+       array_to_string(list_distinct(words || tags), ', ') AS reason FROM h""", "dv_desc")

@@ -1051,3 +1051,101 @@ def _k21(spark, sf):
 def _k22(spark, sf):
     d = dv.dv_cve(spark, sf).select("cve_id", "cvss_score")
     return pl.balanced_sample(d, 25, pl.severity_strata())
+
+
+# ---------------------------------------------------------------- CVE record (P17-P21), intent (X10, X11), J13
+from vulnlake.operators import intent as itn  # noqa: E402
+
+
+def _raw_cve(spark, sf):
+    """NVD-shaped raw records built from dv_cve (the ``cve`` struct of a feed element)."""
+    d = dv.dv_cve(spark, sf)
+    metric = F.when(F.col("cvss_score").isNotNull(), F.array(F.struct(F.struct(
+        F.col("cvss_score").alias("baseScore"),
+        F.concat(F.lit("CVSS:3.1/AV:"), F.substring("attack_vector", 1, 1)).alias("vectorString"),
+        F.col("attack_vector").alias("attackVector"), F.col("attack_complexity").alias("attackComplexity"),
+    ).alias("cvssData")))).otherwise(F.array())
+    weak = F.when(F.col("cve_key") % 2 == 0, F.array(
+        F.struct(F.array(F.struct(F.lit("NVD-CWE-noinfo").alias("value")), F.struct(F.col("cwe_id").alias("value"))).alias("description")),
+        F.struct(F.array(F.struct(F.lit("CWE-20").alias("value"))).alias("description")))).otherwise(F.array(
+        F.struct(F.array(F.struct(F.lit("NVD-CWE-Other").alias("value"))).alias("description")),
+        F.struct(F.array(F.struct(F.col("cwe_id").alias("value"))).alias("description"))))
+    cve = F.struct(
+        F.col("cve_id").alias("id"),
+        F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("published"),
+        F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("lastModified"),
+        F.array(F.struct(F.concat(F.lit("Issue in "), F.col("repository")).alias("value"))).alias("descriptions"),
+        F.struct(metric.alias("cvssMetricV31")).alias("metrics"),
+        weak.alias("weaknesses"),
+        F.array().cast("array<struct<url:string,source:string,tags:array<string>>>").alias("references"))
+    return d.select("cve_key", cve.alias("cve"))
+
+
+@q("p17_flatten_cve")
+def _p17(spark, sf):
+    f = fc.flatten_cve(_raw_cve(spark, sf))
+    return f.select("cve_id", "cvss_score", "cvss_vector", "attack_vector", "attack_complexity", "description",
+                    "published_date")
+
+
+@q("p18_first_cwe")
+def _p18(spark, sf):
+    r = _raw_cve(spark, sf)
+    return r.select(F.col("cve.id").alias("cve_id"), fc.first_cwe(F.col("cve.weaknesses")).alias("cwe_id"))
+
+
+@q("p19_norm_refs")
+def _p19(spark, sf):
+    r = dv.dv_ref(spark, sf).withColumn("tags", F.when(F.col("page_id") % 3 != 2, F.col("tags")))
+    per = r.groupBy("cve_key").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "source", "tags"))).alias("refs"))
+    n = per.select("cve_key", F.posexplode(fc.norm_refs(F.col("refs"))).alias("i", "ref"))
+    return n.select("cve_key", F.col("i").cast("bigint").alias("i"), F.col("ref.url").alias("url"),
+                    F.array_join(F.col("ref.tags"), "|").alias("tags"))
+
+
+@q("p20_github_summary")
+def _p20(spark, sf):
+    return jn.github_summary_long(dv.dv_ref(spark, sf), "cve_key")
+
+
+@q("p21_with_metadata")
+def _p21(spark, sf):
+    d = fc.with_metadata(dv.dv_cve(spark, sf).select("cve_id"), "raw", now="2024-01-01T00:00:00")
+    return d.select("cve_id", F.col("collection_metadata.collected_at").alias("collected_at"),
+                    F.col("collection_metadata.processing_status").alias("processing_status"))
+
+
+def _desc_cves(spark, sf):
+    return dv.dv_desc(spark, sf).select(F.col("doc_id").alias("cve_key"), "description")
+
+
+@q("x10_intent_prompt")
+def _x10(spark, sf):
+    refs = dv.dv_ref(spark, sf).select("cve_key", "pos", "url", "tags")
+    scraped = dv.dv_ref(spark, sf).filter(F.col("page_id") % 2 == 0).select(
+        "cve_key", "url", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("scraped_text"))
+    return itn.intent_prompt(_desc_cves(spark, sf), refs, scraped, key="cve_key")
+
+
+@q("x11_intent_signals")
+def _x11(spark, sf):
+    d = _desc_cves(spark, sf)
+    tags = (F.when(F.col("cve_key") % 3 == 0, F.array(F.lit("Patch")))
+            .when(F.col("cve_key") % 3 == 1, F.array(F.lit("Exploit"), F.lit("Third Party Advisory")))
+            .otherwise(F.array().cast("array<string>")))
+    return itn.intent_signals(d.withColumn("tags", tags)).select("cve_key", "malicious_intent_likely", "reason")
+
+
+@q("j13_resolve_path")
+def _j13(spark, sf):
+    """Findings from the parsed replies; snapshot lacks every third document; corrections
+    answer for half of the misses; the patch paths are the fallback."""
+    f = _snippet_findings(spark, sf).select(F.col("cve_id"), "repo_name", "file_path", "line_numbers", "doc_id")
+    snap = dv.dv_snapshot(spark, sf).filter(F.col("doc_id") % 3 != 0).select("repo_name", "path")
+    corr = f.filter(F.col("doc_id") % 2 == 0).select(
+        "cve_id", "file_path", F.concat(F.lit("f"), (F.col("doc_id") + 1).cast("string"), F.lit(".txt")).alias("c_path"),
+        F.array(F.lit(4)).alias("c_lines"), F.when(F.col("doc_id") % 4 == 0, F.lit("ok")).otherwise(F.lit("empty")).alias("c_status"))
+    pp = pt.patch_paths(dv.dv_patch(spark, sf).withColumn(
+        "cve_id", F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))), "cve_id")
+    pp = pp.select("cve_id", F.regexp_replace("path", "^[^/]*/", "").alias("path"), "first_pos")
+    return fd.resolve_path(f.drop("doc_id"), corr, pp, snap)
