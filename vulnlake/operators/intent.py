@@ -75,7 +75,8 @@ def score(df: DataFrame, prompt_col: str, fn: Callable, out_col: str = "reply")
     """Run the caller's ``fn(list[str]) -> list[str]`` over the prompt column, one
     call per Arrow batch inside ``mapInPandas``.  A failing batch yields null replies,
     which ``parse_intent`` turns into the ``Could not parse`` fallback."""
-    schema = df.schema.add(out_col, "string")
+    from pyspark.sql import types as _T
+    schema = _T.StructType([f for f in df.schema.fields if f.name != out_col] + [_T.StructField(out_col, _T.StringType())])
 
     def run(batches):
         for pdf in batches:
@@ -93,11 +94,63 @@ def score_until(df: DataFrame, prompt_col: str, fn: Callable, ok: Callable[[Colu
     """Score, then re-score only the rows whose reply is not ``ok`` with a correction
     prompt, up to ``rounds`` more times.  Each round is a filtered DataFrame; only
     still-failing rows reach ``fn`` again."""
-    cur = score(df, prompt_col, fn)
+    from vulnlake.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # Materialise each round once (reliable checkpoint in the shared folder): the two
+    # filters below would otherwise call ``fn`` twice per batch.
+    cur = score(df, prompt_col, fn).checkpoint()
     done = cur.filter(ok(F.col("reply")))
     todo = cur.filter(~ok(F.col("reply")))
     for _ in range(rounds):
-        again = score(retry_prompt(todo.drop("reply")), prompt_col, fn)
+        again = score(retry_prompt(todo.drop("reply")), prompt_col, fn).checkpoint()
         done = done.unionByName(again.filter(ok(F.col("reply"))))
         todo = again.filter(~ok(F.col("reply")))
     return done.unionByName(todo)
+
+
+# ---------------------------------------------------------------- U01: HTML to text
+from html.parser import HTMLParser  # noqa: E402
+
+import pandas as pd  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+# Elements whose text is not page text.
+SKIP_TAGS = {"script", "style", "template"}
+
+
+class _Text(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.skip = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIP_TAGS:
+            self.skip += 1
+
+    def handle_endtag(self, tag):
+        if tag in SKIP_TAGS and self.skip:
+            self.skip -= 1
+
+    def handle_data(self, data):
+        if not self.skip:
+            s = data.strip()
+            if s:
+                self.parts.append(s)
+
+
+def html_to_text(html: str | None) -> str | None:
+    """The page's strings, each stripped, empty ones dropped, joined by one space;
+    script, style, template, comments and doctype excluded."""
+    if html is None:
+        return None
+    p = _Text()
+    p.feed(html)
+    p.close()
+    return " ".join(p.parts)
+
+
+@F.pandas_udf(T.StringType())
+def html_text(s: pd.Series) -> pd.Series:
+    """``html_to_text`` over a column, one Arrow batch at a time."""
+    return s.map(html_to_text)

@@ -748,3 +748,6 @@ ORACLES["x11_intent_signals"] = W("""
                CASE WHEN doc_id % 3 = 1 THEN ['exploit'] ELSE CAST([] AS VARCHAR[]) END AS tags FROM dv_desc)
 SELECT cve_key, len(list_distinct(words || tags)) > 0 AS malicious_intent_likely,
        array_to_string(list_distinct(words || tags), ', ') AS reason FROM h""", "dv_desc")
+ORACLES["t03_stream_weekly"] = W("""
+SELECT CAST(date_trunc('week', published_date) AS DATE) AS bucket, count(*) AS n_all, count_if(has_commit) AS n_with
+FROM dv_cve GROUP BY 1""", "dv_cve")

@@ -1149,3 +1149,254 @@ def _j13(spark, sf):
         "cve_id", F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))), "cve_id")
     pp = pp.select("cve_id", F.regexp_replace("path", "^[^/]*/", "").alias("path"), "first_pos")
     return fd.resolve_path(f.drop("doc_id"), corr, pp, snap)
+
+
+# ---------------------------------------------------------------- sources, sinks, streaming, Python hooks (rows-only)
+from vulnlake import schemas as sch  # noqa: E402
+from vulnlake.session import scratch_dir  # noqa: E402
+from vulnlake.sources import readers as rd  # noqa: E402
+from vulnlake.sources import sinks as sk  # noqa: E402
+from vulnlake.streaming import incremental as stm  # noqa: E402
+
+
+def _cve_docs(spark, sf):
+    """dv_cve in the nested CVE document shape of the collector."""
+    d = dv.dv_cve(spark, sf)
+    ts = F.date_format("published_date", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return d.select(
+        "cve_id",
+        F.struct(F.col("repository"), F.lit(None).cast("string").alias("fix_commit"),
+                 F.array().cast("array<string>").alias("related_commits"),
+                 F.lit(None).cast("string").alias("patch_url")).alias("github_data"),
+        F.struct(F.col("cvss_score"), F.lit(None).cast("string").alias("cvss_vector"), "cwe_id",
+                 F.lit(None).cast("string").alias("description"), "attack_vector", "attack_complexity").alias("vulnerability_details"),
+        F.struct(ts.alias("published_date"), ts.alias("last_modified"),
+                 F.date_format("fix_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fix_date")).alias("temporal_data"),
+        F.array().cast("array<struct<url:string,source:string,tags:array<string>>>").alias("references"),
+        F.struct(F.lit("2024-01-01T00:00:00").alias("collected_at"), F.lit("raw").alias("processing_status")).alias("collection_metadata"),
+    )
+
+
+@q("w01_write_cves")
+def _w01(spark, sf):
+    out = scratch_dir(spark, "w01")
+    sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
+    return rd.read_cves(spark, out).select("cve_id", "github_data.repository")
+
+
+@q("s02_read_cves")
+def _s02(spark, sf):
+    out = scratch_dir(spark, "s02")
+    sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
+    # one undecodable document next to the good ones: reported, not fatal
+    dv.table(spark, sf, "documents").limit(1).select(F.lit("{not json").alias("value")).write.text(out + "/bad")
+    good = rd.read_cves(spark, out + "/*")
+    return good.select("cve_id", "vulnerability_details.cvss_score")
+
+
+@q("s02_read_cves_rejects")
+def _s02r(spark, sf):
+    out = scratch_dir(spark, "s02r")
+    sk.write_cves(_cve_docs(spark, sf), out + "/good", fmt="json")
+    dv.table(spark, sf, "documents").select(F.concat(F.lit("{broken "), F.col("doc_id").cast("string")).alias("value")) \
+        .write.text(out + "/bad")
+    return rd.read_cves_rejects(spark, out + "/*", glob="*")
+
+
+@q("s03_read_cves_glob")
+def _s03(spark, sf):
+    out = scratch_dir(spark, "s03")
+    sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
+    return rd.read_cves(spark, out, glob="part-*.json").select("cve_id")
+
+
+@q("s01_read_cve_feed")
+def _s01(spark, sf):
+    out = scratch_dir(spark, "s01")
+    raw = _raw_cve(spark, sf).withColumn("page", (F.col("cve_key") / 2000).cast("bigint") * 2000)
+    pages = raw.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("cve_key", "cve"))).alias("v"))
+    pages.select(F.col("page").alias("startIndex"),
+                 F.transform("v", lambda x: F.struct(x["cve"].alias("cve"))).alias("vulnerabilities")).write.json(out)
+    f = rd.read_cve_feed(spark, out)
+    return fc.flatten_cve(f).select("page", "pos", "cve_id", "cvss_score")
+
+
+@q("s04_read_payloads")
+def _s04(spark, sf):
+    out = scratch_dir(spark, "s04")
+    r = dv.dv_repo(spark, sf).select(F.col("owner"), F.split("repository", "/")[1].alias("repo"),
+                                     F.split("repository", "/")[1].alias("name"), "size",
+                                     F.struct(F.lower("license").alias("key")).alias("license"))
+    r.write.json(out)
+    return rd.read_payloads(spark, out, "repo").select("owner", "repo", "size", F.col("license.key").alias("license"))
+
+
+@q("s05_read_patches")
+def _s05(spark, sf):
+    out = scratch_dir(spark, "s05")
+    p = dv.dv_patch(spark, sf).select("file_name", F.regexp_replace("text", "\n$", "").alias("text"))
+    p.repartition("file_name").write.partitionBy("file_name").text(out)
+    return rd.read_patches(spark, out).select("file_name", F.length("text").alias("n_chars"))
+
+
+@q("w06_write_findings")
+def _w06(spark, sf):
+    out = scratch_dir(spark, "w06")
+    f = _snippet_findings(spark, sf)
+    g = f.groupBy("cve_id", "repo_name").agg(F.collect_list(F.struct(
+        "file_path", "line_numbers", F.map_from_entries("introducing_commits").alias("introducing_commits")))
+        .alias("vulnerable_snippets")).withColumnRenamed("repo_name", "repo_name_from_patch")
+    sk.write_findings(g, out)
+    return rd.read_findings(spark, out).select("cve_id", "repo_name_from_patch", F.size("vulnerable_snippets").alias("n"))
+
+
+@q("s06_read_findings")
+def _s06(spark, sf):
+    return _w06(spark, sf)
+
+
+@q("w08_write_state")
+def _w08(spark, sf):
+    out = scratch_dir(spark, "w08")
+    sk.write_state(jn.upsert_state(dv.dv_state(spark, sf).select("key", "status"),
+                                   dv.dv_state(spark, sf).filter(F.col("c_custkey") % 5 == 0)
+                                   .select("key", F.lit("success").alias("status"))), out)
+    return rd.read_state(spark, out)
+
+
+@q("s07_read_state")
+def _s07(spark, sf):
+    return _w08(spark, sf)
+
+
+@q("s09_read_snapshots")
+def _s09(spark, sf):
+    out = scratch_dir(spark, "s09")
+    dv.dv_snapshot(spark, sf).select("path", "content").repartition("path").write.partitionBy("path").text(out)
+    return rd.read_snapshots(spark, out).select(F.regexp_extract("file", r"path=([^/]*)", 1).alias("path"),
+                                                F.length("content").alias("n_chars"))
+
+
+@q("s10_read_pages")
+def _s10(spark, sf):
+    return rd.read_pages(spark, f"{sf.rstrip('/')}/pages.parquet").select("page_id", F.length("html").alias("n"))
+
+
+@q("w02_write_repos")
+def _w02(spark, sf):
+    out = scratch_dir(spark, "w02")
+    sk.write_repos(_cve_repo(spark, sf).select("repository", "size"), out)
+    return spark.read.schema("repository string, size bigint").json(out)
+
+
+@q("w03_write_csv")
+def _w03(spark, sf):
+    out = scratch_dir(spark, "w03")
+    sk.write_csv(_m22(spark, sf), out)
+    return spark.read.option("header", True).schema("repo_size bigint, vulnerabilities bigint, avg_cvss double").csv(out)
+
+
+@q("w04_write_report")
+def _w04(spark, sf):
+    out = scratch_dir(spark, "w04")
+    r = rp.size_report(_m23(spark, sf))
+    lines = r.select(F.posexplode(F.array(
+        F.lit("Statistical Analysis Report"),
+        F.format_string("Total Repositories Analyzed: %d", F.col("size_groups")),
+        F.format_string("Total Vulnerabilities: %d", F.col("total_vulnerabilities")),
+        F.format_string("Median Size: %.0f KB", F.col("median_size")),
+        F.format_string("Size-Vulnerability Correlation: %.3f", F.col("corr_size_count")))).alias("n", "line"))
+    sk.write_report(lines, out)
+    return spark.read.text(out)
+
+
+@q("w05_append_results")
+def _w05(spark, sf):
+    out = scratch_dir(spark, "w05")
+    r = _intent_replies(spark, sf)
+    p = itn.parse_intent(F.col("reply"))
+    res = r.select(F.concat(F.lit("CVE-"), F.col("doc_id").cast("string")).alias("cve_id"), p.alias("result"))
+    sk.append_results(res, out)
+    sk.append_results(res.filter(F.col("cve_id").endswith("7")), out)
+    back = spark.read.text(out).select(F.explode(F.from_json("value", "map<string,struct<malicious_intent_likely:boolean,reason:string>>"))
+                                       .alias("cve_id", "result"))
+    return back.select("cve_id", F.col("result.malicious_intent_likely").alias("flag"))
+
+
+@q("w07_write_snippets")
+def _w07(spark, sf):
+    out = scratch_dir(spark, "w07")
+    sk.write_snippets(_snippets(spark, sf), out)
+    return spark.read.json(out).select("cve_id", "file_path", "label")
+
+
+@q("s08_read_scrape_index")
+def _s08(spark, sf):
+    out = scratch_dir(spark, "s08")
+    r = _refs(spark, sf).select("cve_id", "url", fu.url_file_name(F.col("url")).alias("filename"))
+    # one small index object per CVE file (the reference keeps one JSON object per index)
+    per = r.groupBy("cve_id").agg(F.collect_list(F.struct("url", "filename")).alias("items"))
+    per.select(F.to_json(F.create_map("cve_id", "items")).alias("value")).write.text(out)
+    return rd.read_scrape_index(spark, out)
+
+
+@q("t01_stream_cves")
+def _t01(spark, sf):
+    src, sink, ck = scratch_dir(spark, "t01src"), scratch_dir(spark, "t01out"), scratch_dir(spark, "t01ck")
+    d = dv.dv_cve(spark, sf).select("cve_id", "repository", "published_date", "cvss_score", "has_commit")
+    d.filter(F.year("published_date") < 1998).write.json(src + "/b1")
+    schema = d.schema
+    stm.run_available_now(stm.stream_cves(spark, src + "/*", schema), sink, ck)
+    d.filter(F.year("published_date") >= 1998).write.json(src + "/b2")  # a second batch of new files
+    stm.run_available_now(stm.stream_cves(spark, src + "/*", schema), sink, ck)
+    return spark.read.parquet(sink).select("cve_id", "repository")
+
+
+@q("t02_stream_dedupe")
+def _t02(spark, sf):
+    src, sink, ck = scratch_dir(spark, "t02src"), scratch_dir(spark, "t02out"), scratch_dir(spark, "t02ck")
+    d = dv.dv_cve(spark, sf).select("cve_id", "published_date")
+    d.write.json(src + "/b1")
+    stm.run_available_now(stm.stream_dedupe(stm.stream_cves(spark, src + "/*", d.schema)), sink, ck)
+    d.filter(F.col("cve_id").endswith("1")).write.json(src + "/b2")  # copies of CVEs already seen
+    stm.run_available_now(stm.stream_dedupe(stm.stream_cves(spark, src + "/*", d.schema)), sink, ck)
+    return spark.read.parquet(sink)
+
+
+@q("t03_stream_weekly")
+def _t03(spark, sf):
+    src, sink, ck = scratch_dir(spark, "t03src"), scratch_dir(spark, "t03out"), scratch_dir(spark, "t03ck")
+    d = dv.dv_cve(spark, sf).select("cve_id", "published_date", "has_commit")
+    d.write.json(src + "/b1")
+    stm.run_available_now(stm.stream_weekly(stm.stream_cves(spark, src + "/*", d.schema)), sink, ck, mode="complete")
+    return spark.read.parquet(sink).select(F.to_date("w.start").alias("bucket"), "n_all", "n_with")
+
+
+@q("p15_html_text")
+def _p15(spark, sf):
+    return dv.table(spark, sf, "pages").select("page_id", itn.html_text(F.col("html")).alias("text"))
+
+
+def _fake_model(prompts):
+    """A stand-in scoring function for tests and the registry: flags prompts that
+    mention an exploit tag.  Real use passes the caller's model client."""
+    return ['{"malicious_intent_likely": %s, "reason": "tags"}' % ("true" if "Exploit" in p else "false")
+            for p in prompts]
+
+
+@q("u02_score")
+def _u02(spark, sf):
+    refs = dv.dv_ref(spark, sf).select("cve_key", "pos", "url", "tags")
+    pr = itn.intent_prompt(_desc_cves(spark, sf), refs, None, key="cve_key")
+    s = itn.score(pr, "prompt", _fake_model)
+    p = itn.parse_intent(F.col("reply"))
+    return s.select("cve_key", p["malicious_intent_likely"].alias("malicious_intent_likely"))
+
+
+@q("u03_score_until")
+def _u03(spark, sf):
+    r = dv.dv_reply(spark, sf).select("doc_id", F.col("reply").alias("prompt"))
+    ok = lambda c: fd.parse_findings(c)["status"] == "ok"
+    fix = lambda df: df.withColumn("prompt", F.concat(F.col("prompt"), F.lit("\n```json\n[]\n```")))
+    out = itn.score_until(r, "prompt", lambda ps: ps, ok, fix, rounds=2, key="doc_id")
+    return out.select("doc_id", fd.parse_findings(F.col("reply"))["status"].alias("status"))

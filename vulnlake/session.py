@@ -62,11 +62,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
     (local tests) do we choose a fresh scratch folder ourselves.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        # Only reached where the cluster names none (local tests): a fresh scratch folder.
         d = tempfile.mkdtemp(prefix="vulnlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
+
+
+def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local one
+    on a cluster), for jobs that write and read back intermediate tables."""
+    import uuid
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/vulnlake-{name}-{uuid.uuid4().hex[:12]}"
