@@ -53,11 +53,10 @@ def fenced_json(text) -> Column:
     opener = FENCE + "json"
     start = F.instr(t, opener)
     body_from = start + F.lit(len(opener))
-    rest = F.substring(t, body_from, 1 << 30)
-    rel = F.instr(rest, FENCE)
-    close = F.when((start > 0) & (rel > 0), body_from + rel - 1).otherwise(F.lit(0))
+    # locate() with a column start position: no copy of the text after the opener
+    close = F.when(start > 0, F.call_function("locate", F.lit(FENCE), t, body_from)).otherwise(F.lit(0))
     body = F.substring(t, body_from, close - body_from)
-    body = F.when((start > 0) & (close > 0), F.regexp_replace(body, r"^\s+|\s+$", ""))
+    body = F.when((start > 0) & (close > 0), F.btrim(body, F.lit(" \t\n\r\x0b\x0c")))
     status = (F.when(body.isNull(), F.lit("no_markers")).when(body == "", F.lit("empty")).otherwise(F.lit("ok")))
     return F.struct(body.alias("body"), status.alias("status"))
 

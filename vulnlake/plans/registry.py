@@ -745,7 +745,8 @@ def _x04(spark, sf):
 @q("x05_parse_findings")
 def _x05(spark, sf):
     r = dv.dv_reply(spark, sf)
-    p = fd.parse_findings(F.col("reply"))
+    r = r.select("doc_id", fd.parse_findings(F.col("reply")).alias("p"))  # parsed once, fields below
+    p = F.col("p")
     return r.select("doc_id", p["status"].alias("status"), F.size(p["items"]).alias("n_items"),
                     F.get(p["items"], 0)["file_path"].alias("first_path"),
                     F.array_join(F.get(p["items"], 0)["line_numbers"], ",").alias("first_lines"))
@@ -754,7 +755,8 @@ def _x05(spark, sf):
 @q("x06_correction_prompt")
 def _x06(spark, sf):
     r = dv.dv_reply(spark, sf)
-    p = fd.parse_findings(F.col("reply"))
+    r = r.select("doc_id", fd.parse_findings(F.col("reply")).alias("p"))
+    p = F.col("p")
     cve = F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))
     return r.select("doc_id", fd.correction_prompt(cve, p["status"], p["body"]).alias("prompt"))
 
@@ -773,7 +775,8 @@ def _intent_replies(spark, sf):
 def _x07(spark, sf):
     from vulnlake.operators import intent as it
     r = _intent_replies(spark, sf)
-    p = it.parse_intent(F.col("reply"))
+    r = r.select("doc_id", it.parse_intent(F.col("reply")).alias("p"))
+    p = F.col("p")
     return r.select("doc_id", p["malicious_intent_likely"].alias("malicious_intent_likely"), p["reason"].alias("reason"))
 
 
@@ -821,7 +824,8 @@ def _snippet_findings(spark, sf):
     """Findings rows from the parsed replies with a line -> commit list (F09 / F10 input)."""
     r = dv.dv_reply(spark, sf)
     d = dv.table(spark, sf, "documents").select("doc_id", "source")
-    p = fd.parse_findings(F.col("reply"))
+    r = r.select("doc_id", fd.parse_findings(F.col("reply")).alias("p"))
+    p = F.col("p")
     f = r.join(d, "doc_id").select(
         F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))).alias("cve_id"),
         F.col("source").alias("repo_name"), "doc_id", F.explode(p["items"]).alias("it"))
