@@ -32,8 +32,10 @@ def read_cves(spark: SparkSession, path: str, glob: str = "*.json", multi_line:
 
 
 def read_cves_rejects(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = False) -> DataFrame:
-    df = _cve_reader(spark, path, glob, multi_line)
-    return df.filter(F.col("_corrupt_record").isNotNull()).select("_file", "cve_id", "_corrupt_record")
+    """The records ``read_cves`` leaves out: text that is not JSON, reported with its file."""
+    raw = spark.read.option("wholetext", multi_line).option("pathGlobFilter", glob).text(path)
+    return (raw.filter((F.length(F.trim("value")) > 0) & F.try_parse_json(F.col("value")).isNull())
+            .select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_corrupt_record")))
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str) -> DataFrame:
