@@ -103,3 +103,22 @@ def cut_snippet(content, line_numbers, before: int = CONTEXT_BEFORE, after: int
         F.when(F.array_contains(ln, start + i + 1), F.lit(VULN_MARK)).otherwise(F.lit(PLAIN_MARK)),
         start + i + 1, s))
     return F.when(end > start, F.array_join(fmt, "\n"))
+
+
+def with_fenced_json(df, text: str, out: str = "fj"):
+    """X03 as staged projections: ``out`` = struct(body, status).
+
+    Each step is its own projection so that the search, the cut and the trim run once
+    per row (a single nested expression would be re-evaluated inside every branch
+    that refers to it)."""
+    t = F.col(text)
+    opener = FENCE + "json"
+    d = df.withColumn("_fj_s", F.instr(t, opener))
+    d = d.withColumn("_fj_e", F.when(F.col("_fj_s") > 0, F.call_function(
+        "locate", F.lit(FENCE), t, F.col("_fj_s") + len(opener))).otherwise(F.lit(0)))
+    d = d.withColumn("_fj_b", F.when((F.col("_fj_s") > 0) & (F.col("_fj_e") > 0), F.btrim(
+        F.substring(t, F.col("_fj_s") + len(opener), F.col("_fj_e") - F.col("_fj_s") - len(opener)),
+        F.lit(" \t\n\r\x0b\x0c"))))
+    b = F.col("_fj_b")
+    st = F.when(b.isNull(), F.lit("no_markers")).when(b == "", F.lit("empty")).otherwise(F.lit("ok"))
+    return d.withColumn(out, F.struct(b.alias("body"), st.alias("status"))).drop("_fj_s", "_fj_e", "_fj_b")

@@ -96,3 +96,28 @@ def resolve_path(findings: DataFrame, corrections: DataFrame, patch_paths: DataF
            .when(has_corr, F.lit("none")).when(F.col("_fallback").isNotNull(), F.lit("patch")).otherwise(F.lit("none")))
     return f.select(key, repo, "file_path", path.alias("resolved_path"), lines.alias("resolved_lines"),
                     how.alias("resolved_by"))
+
+
+def with_findings(df: DataFrame, text: str, out: str = "p") -> DataFrame:
+    """X05 as staged projections (the form to use on large tables): ``out`` =
+    struct(status, items, body); the fence search and the JSON parse run once per row."""
+    from vulnlake.functions.text import with_fenced_json
+    d = with_fenced_json(df, text, "_pf_fj")
+    d = d.withColumn("_pf_v", F.try_parse_json(F.col("_pf_fj.body")))
+    d = d.withColumn("_pf_k", F.schema_of_variant(F.col("_pf_v")))
+    d = d.withColumn("_pf_i", F.when(F.col("_pf_k").startswith("ARRAY"), F.col("_pf_v").cast("array<variant>")))
+    items = F.col("_pf_i")
+    all_obj = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    status = (F.when(F.col("_pf_fj.status") != "ok", F.col("_pf_fj.status"))
+              .when(F.col("_pf_v").isNull(), F.lit("bad_json"))
+              .when(~F.col("_pf_k").startswith("ARRAY"), F.lit("not_list"))
+              .when(~all_obj, F.lit("item_not_dict"))
+              .otherwise(F.lit("ok")))
+    d = d.withColumn("_pf_st", status)
+    parsed = F.transform(items, lambda x: F.struct(
+        F.try_variant_get(x, "$.file_path", "string").alias("file_path"),
+        F.try_variant_get(x, "$.line_numbers", "array<int>").alias("line_numbers")))
+    d = d.withColumn(out, F.struct(F.col("_pf_st").alias("status"),
+                                   F.when(F.col("_pf_st") == "ok", parsed).alias("items"),
+                                   F.col("_pf_fj.body").alias("body")))
+    return d.drop("_pf_fj", "_pf_v", "_pf_k", "_pf_i", "_pf_st")

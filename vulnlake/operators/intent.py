@@ -154,3 +154,17 @@ def html_to_text(html: str | None) -> str | None:
 def html_text(s: pd.Series) -> pd.Series:
     """``html_to_text`` over a column, one Arrow batch at a time."""
     return s.map(html_to_text)
+
+
+def with_intent(df: DataFrame, text: str, out: str = "p") -> DataFrame:
+    """X07 as staged projections: extract, parse once, then read the fields."""
+    d = df.withColumn("_pi_b", fenced_json_or_all(F.col(text)))
+    d = d.withColumn("_pi_v", F.try_parse_json(F.col("_pi_b")))
+    d = d.withColumn("_pi_ok", F.col("_pi_v").isNotNull() & F.schema_of_variant(F.col("_pi_v")).startswith("OBJECT"))
+    flag = F.try_variant_get(F.col("_pi_v"), "$.malicious_intent_likely", "boolean")
+    reason = F.try_variant_get(F.col("_pi_v"), "$.reason", "string")
+    res = F.when(F.col("_pi_ok"), F.struct(F.coalesce(flag, F.lit(False)).alias("malicious_intent_likely"),
+                                           reason.alias("reason"))) \
+           .otherwise(F.struct(F.lit(False).alias("malicious_intent_likely"),
+                               F.concat(F.lit(PARSE_FAIL), F.col(text)).alias("reason")))
+    return d.withColumn(out, res).drop("_pi_b", "_pi_v", "_pi_ok")

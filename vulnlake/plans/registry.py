@@ -731,9 +731,8 @@ def _x02(spark, sf):
 
 @q("x03_fenced_json")
 def _x03(spark, sf):
-    r = dv.dv_reply(spark, sf)
-    fj = ft.fenced_json(F.col("reply"))
-    return r.select("doc_id", fj["body"].alias("body"), fj["status"].alias("status"))
+    r = ft.with_fenced_json(dv.dv_reply(spark, sf), "reply")
+    return r.select("doc_id", F.col("fj.body").alias("body"), F.col("fj.status").alias("status"))
 
 
 @q("x04_fenced_json_or_all")
@@ -745,7 +744,7 @@ def _x04(spark, sf):
 @q("x05_parse_findings")
 def _x05(spark, sf):
     r = dv.dv_reply(spark, sf)
-    r = r.select("doc_id", fd.parse_findings(F.col("reply")).alias("p"))  # parsed once, fields below
+    r = fd.with_findings(r, "reply")  # parsed once per row, fields below
     p = F.col("p")
     return r.select("doc_id", p["status"].alias("status"), F.size(p["items"]).alias("n_items"),
                     F.get(p["items"], 0)["file_path"].alias("first_path"),
@@ -755,7 +754,7 @@ def _x05(spark, sf):
 @q("x06_correction_prompt")
 def _x06(spark, sf):
     r = dv.dv_reply(spark, sf)
-    r = r.select("doc_id", fd.parse_findings(F.col("reply")).alias("p"))
+    r = fd.with_findings(r, "reply")
     p = F.col("p")
     cve = F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))
     return r.select("doc_id", fd.correction_prompt(cve, p["status"], p["body"]).alias("prompt"))
@@ -775,7 +774,7 @@ def _intent_replies(spark, sf):
 def _x07(spark, sf):
     from vulnlake.operators import intent as it
     r = _intent_replies(spark, sf)
-    r = r.select("doc_id", it.parse_intent(F.col("reply")).alias("p"))
+    r = it.with_intent(r, "reply")
     p = F.col("p")
     return r.select("doc_id", p["malicious_intent_likely"].alias("malicious_intent_likely"), p["reason"].alias("reason"))
 
@@ -824,7 +823,7 @@ def _snippet_findings(spark, sf):
     """Findings rows from the parsed replies with a line -> commit list (F09 / F10 input)."""
     r = dv.dv_reply(spark, sf)
     d = dv.table(spark, sf, "documents").select("doc_id", "source")
-    r = r.select("doc_id", fd.parse_findings(F.col("reply")).alias("p"))
+    r = fd.with_findings(r, "reply")
     p = F.col("p")
     f = r.join(d, "doc_id").select(
         F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))).alias("cve_id"),
@@ -1317,9 +1316,8 @@ def _w04(spark, sf):
 @q("w05_append_results")
 def _w05(spark, sf):
     out = scratch_dir(spark, "w05")
-    r = _intent_replies(spark, sf)
-    p = itn.parse_intent(F.col("reply"))
-    res = r.select(F.concat(F.lit("CVE-"), F.col("doc_id").cast("string")).alias("cve_id"), p.alias("result"))
+    r = itn.with_intent(_intent_replies(spark, sf), "reply", "result")
+    res = r.select(F.concat(F.lit("CVE-"), F.col("doc_id").cast("string")).alias("cve_id"), "result")
     sk.append_results(res, out)
     sk.append_results(res.filter(F.col("cve_id").endswith("7")), out)
     back = spark.read.text(out).select(F.explode(F.from_json("value", "map<string,struct<malicious_intent_likely:boolean,reason:string>>"))
