@@ -248,3 +248,11 @@ def test_enhance_keeps_row(spark):
     commits = spark.createDataFrame([], "repository string, sha string, n bigint")
     r = joins.enhance(c, repos_, commits).collect()
     assert len(r) == 1 and r[0].processing_status == "enhanced"
+
+
+def test_text_lines_like_readlines(spark):
+    cases = ["", "\n", "a", "a\n", "a\n\n", "a\r\nb\rc", "x\n\ny\n"]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    import io
+    expect = [[ln.rstrip("\n") for ln in io.StringIO(c, newline=None).readlines()] for c in cases]
+    assert [list(r[0]) for r in df.select(ft.text_lines("c")).collect()] == expect

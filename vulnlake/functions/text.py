@@ -84,9 +84,9 @@ def is_valid_commit(c) -> Column:
 def text_lines(content) -> Column:
     """Lines as a file reader sees them: ``\\r\\n`` / ``\\r`` -> ``\\n``; a final newline
     does not start another line."""
-    t = F.regexp_replace(_c(content), "\r\n?", "\n")
-    parts = F.split(t, "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    c = _c(content)
+    t = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n\\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n", -1))
 
 
 def cut_snippet(content, line_numbers, before: int = CONTEXT_BEFORE, after: int = CONTEXT_AFTER) -> Column:
@@ -122,3 +122,19 @@ def with_fenced_json(df, text: str, out: str = "fj"):
     b = F.col("_fj_b")
     st = F.when(b.isNull(), F.lit("no_markers")).when(b == "", F.lit("empty")).otherwise(F.lit("ok"))
     return d.withColumn(out, F.struct(b.alias("body"), st.alias("status"))).drop("_fj_s", "_fj_e", "_fj_b")
+
+
+def with_snippet(df, content: str, line_numbers: str, out: str = "code",
+                 before: int = CONTEXT_BEFORE, after: int = CONTEXT_AFTER):
+    """X14 as staged projections: the file is split into lines once per row, then cut."""
+    d = df.withColumn("_sn_l", text_lines(F.col(content)))
+    ln = F.col(line_numbers)
+    d = d.withColumn("_sn_s", F.greatest(F.lit(0), F.array_min(ln) - 1 - before)) \
+         .withColumn("_sn_e", F.least(F.size("_sn_l"), F.array_max(ln) + after))
+    start, end = F.col("_sn_s"), F.col("_sn_e")
+    d = d.withColumn("_sn_sel", F.when(end > start, F.slice(F.col("_sn_l"), start + 1, end - start)))
+    fmt = F.transform(F.col("_sn_sel"), lambda s, i: F.format_string(
+        "%s%4d: %s",
+        F.when(F.array_contains(ln, start + i + 1), F.lit(VULN_MARK)).otherwise(F.lit(PLAIN_MARK)),
+        start + i + 1, s))
+    return d.withColumn(out, F.array_join(fmt, "\n")).drop("_sn_l", "_sn_s", "_sn_e", "_sn_sel")

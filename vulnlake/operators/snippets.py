@@ -27,7 +27,8 @@ def join_content(snippets: DataFrame, snapshots: DataFrame, repo: str = "repo_na
 
 def snippet_rows(df: DataFrame, content: str = "content", lines: str = "line_numbers") -> DataFrame:
     """X14 + X15: cut the snippet; rows whose cut is empty (failure) are dropped; label added."""
-    return (df.withColumn("code", cut_snippet(F.col(content), F.col(lines)))
+    from vulnlake.functions.text import with_snippet
+    return (with_snippet(df, content, lines, "code")
             .filter(F.col("code").isNotNull())
             .withColumn("label", F.lit(LABEL)))
 

@@ -816,7 +816,7 @@ def _x13(spark, sf):
 def _x14(spark, sf):
     s = dv.dv_snapshot(spark, sf)
     lines = F.array((F.col("doc_id") % 5 + 1).cast("int"), (F.col("doc_id") % 5 + 3).cast("int"))
-    return s.select("doc_id", ft.cut_snippet(F.col("content"), lines).alias("code"))
+    return ft.with_snippet(s.withColumn("_lines", lines), "content", "_lines").select("doc_id", "code")
 
 
 def _snippet_findings(spark, sf):
