@@ -42,8 +42,22 @@ def top_k_per_group(df: DataFrame, key: str, order: list, k: int, salt_buckets:
     return d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_salt", "_rn")
 
 
+def rank_in_group(df: DataFrame, key: str, ts: str, tie: str, bucket: str = "day") -> DataFrame:
+    """Dense 1-based position of each row inside its ``key`` by (``ts``, ``tie``), without
+    one window partition per key: rows are numbered inside (key, time bucket) and
+    shifted by the row count of all earlier buckets, taken from the bucket-level table
+    (one row per key and bucket)."""
+    d = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(ts, tie)))
+    counts = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).select(key, "_b", "_off")
+    return d.join(offs, [key, "_b"]).withColumn("rank", F.col("_r") + F.col("_off")).drop("_b", "_r", "_off")
+
+
 def surrounding_commits(commits: DataFrame, mode: str = "intended", n: int = 2, repo: str = "repository",
-                        ts: str = "commit_ts", sha: str = "sha") -> DataFrame:
+                        ts: str = "commit_ts", sha: str = "sha", method: str = "ranked",
+                        bucket: str = "day") -> DataFrame:
     """F15 (ledger L9).
 
     * ``intended``: per commit, the ``n`` commits before it, itself and the ``n`` after
@@ -51,9 +65,22 @@ def surrounding_commits(commits: DataFrame, mode: str = "intended", n: int = 2,
     * ``reference``: what the code really returns, the 5 newest commits of the branch,
       attached to every commit of that repository.
     """
-    if mode == "intended":
+    if mode == "intended" and method == "window":
+        # one window partition per repository: fine unless a repository is very hot
         w = Window.partitionBy(repo).orderBy(ts, sha).rowsBetween(-n, n)
         return commits.select(repo, sha, ts, F.collect_list(F.col(sha)).over(w).alias("surrounding"))
+    if mode == "intended":
+        # ranked: each commit asks for ranks r-n..r+n of its repository through an
+        # equi-join on (repository, rank), so a hot repository spreads over many tasks
+        r = rank_in_group(commits.select(repo, sha, ts), repo, ts, sha, bucket)
+        probe = r.select(repo, F.col(sha).alias("_c"), F.col(ts).alias("_t"), "rank",
+                         F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("_d")) \
+                 .withColumn("_nr", F.col("rank") + F.col("_d"))
+        nb = r.select(repo, F.col("rank").alias("_nr"), F.col(sha).alias("_ns"))
+        j = probe.join(nb, [repo, "_nr"])
+        g = j.groupBy(repo, "_c", "_t").agg(F.array_sort(F.collect_list(F.struct("_d", "_ns"))).alias("_l"))
+        return g.select(repo, F.col("_c").alias(sha), F.col("_t").alias(ts),
+                        F.transform("_l", lambda x: x["_ns"]).alias("surrounding"))
     if mode == "reference":
         top = top_k_per_group(commits.select(repo, sha, ts), repo, [F.desc(ts), F.desc(sha)], 5)
         newest = top.groupBy(repo).agg(

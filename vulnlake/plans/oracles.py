@@ -751,3 +751,28 @@ SELECT cve_key, len(list_distinct(words || tags)) > 0 AS malicious_intent_likely
 ORACLES["t03_stream_weekly"] = W("""
 SELECT CAST(date_trunc('week', published_date) AS DATE) AS bucket, count(*) AS n_all, count_if(has_commit) AS n_with
 FROM dv_cve GROUP BY 1""", "dv_cve")
+
+ORACLES["j13_resolve_path"] = S("""
+, snap AS (SELECT repo_name, path FROM dv_snapshot WHERE doc_id % 3 <> 0),
+corr AS (SELECT cve_id, file_path, 'f' || CAST(doc_id + 1 AS VARCHAR) || '.txt' AS c_path, [4] AS c_lines,
+                CASE WHEN doc_id % 4 = 0 THEN 'ok' ELSE 'empty' END AS c_status FROM f WHERE doc_id % 2 = 0),
+pp AS (SELECT DISTINCT 'CVE-2024-' || printf('%07d', doc_id) AS cve_id, 'f' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+              0 AS first_pos FROM documents),
+fbk AS (SELECT pp.cve_id, s.repo_name, arg_min(pp.path, pp.first_pos) AS fallback FROM pp JOIN snap s ON pp.path = s.path
+       GROUP BY 1, 2),
+x AS (SELECT f.cve_id, f.repo_name, f.file_path, f.line_numbers, s1.path IS NOT NULL AS in_snap,
+             coalesce(c.c_status = 'ok', false) AS has_corr,
+             coalesce(c.c_status = 'ok' AND c.c_path IS NOT NULL AND len(c.c_lines) > 0, false) AS complete,
+             s2.path IS NOT NULL AS c_in, c.c_path, c.c_lines, fbk.fallback
+      FROM f LEFT JOIN snap s1 ON f.repo_name = s1.repo_name AND f.file_path = s1.path
+      LEFT JOIN corr c ON f.cve_id = c.cve_id AND f.file_path = c.file_path
+      LEFT JOIN snap s2 ON f.repo_name = s2.repo_name AND c.c_path = s2.path
+      LEFT JOIN fbk ON f.cve_id = fbk.cve_id AND f.repo_name = fbk.repo_name)
+SELECT cve_id, repo_name, file_path,
+       CASE WHEN in_snap THEN file_path WHEN has_corr AND complete AND c_in THEN c_path WHEN has_corr THEN NULL
+            ELSE fallback END AS resolved_path,
+       CASE WHEN in_snap THEN array_to_string(line_numbers, ',') WHEN has_corr AND complete AND c_in THEN array_to_string(c_lines, ',')
+            WHEN has_corr THEN NULL WHEN fallback IS NOT NULL THEN array_to_string(line_numbers, ',') END AS resolved_lines,
+       CASE WHEN in_snap THEN 'model' WHEN has_corr AND complete AND c_in THEN 'corrected' WHEN has_corr THEN 'none'
+            WHEN fallback IS NOT NULL THEN 'patch' ELSE 'none' END AS resolved_by
+FROM x""")

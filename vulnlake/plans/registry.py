@@ -1151,7 +1151,8 @@ def _j13(spark, sf):
     pp = pt.patch_paths(dv.dv_patch(spark, sf).withColumn(
         "cve_id", F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))), "cve_id")
     pp = pp.select("cve_id", F.regexp_replace("path", "^[^/]*/", "").alias("path"), "first_pos")
-    return fd.resolve_path(f.drop("doc_id"), corr, pp, snap)
+    r = fd.resolve_path(f.drop("doc_id"), corr, pp, snap)
+    return r.withColumn("resolved_lines", F.array_join(F.transform("resolved_lines", lambda x: x.cast("string")), ","))
 
 
 # ---------------------------------------------------------------- sources, sinks, streaming, Python hooks (rows-only)
