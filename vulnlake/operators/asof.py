@@ -28,28 +28,36 @@ def asof_last(probe: DataFrame, build: DataFrame, keys: list[str], probe_ts: str
     """For each probe row, ``value`` of the last build row with the same ``keys`` and
     ``build_ts <= probe_ts`` (``<`` when not ``inclusive``); ties on time go to the
     largest ``value``."""
-    # build rows sort before probe rows at equal time when inclusive, after them otherwise
-    b_side, p_side = (0, 1) if inclusive else (1, 0)
     vtype = build.schema[value].dataType
-    rtype = probe.schema
-    p = probe.select(*[F.col(k) for k in keys], F.col(probe_ts).alias("_t"), F.lit(p_side).alias("_side"),
+    p = probe.select(*[F.col(k) for k in keys], F.col(probe_ts).alias("_t"), F.lit(True).alias("_probe"),
                      F.lit(None).cast(vtype).alias("_v"), F.struct(*[F.col(c) for c in probe.columns]).alias("_row"))
-    b = build.select(*[F.col(k) for k in keys], F.col(build_ts).alias("_t"), F.lit(b_side).alias("_side"),
-                     F.col(value).alias("_v"), F.lit(None).cast(T.StructType(rtype.fields)).alias("_row"))
-    u = p.unionByName(b).withColumn("_b", _bucket(F.col("_t"), bucket))
+    b = build.select(*[F.col(k) for k in keys], F.col(build_ts).alias("_t"), F.lit(False).alias("_probe"),
+                     F.col(value).alias("_v"), F.lit(None).cast(T.StructType(probe.schema.fields)).alias("_row"))
+    return asof_tagged(p.unionByName(b), keys, inclusive, bucket, out)
+
+
+def asof_tagged(u: DataFrame, keys: list[str], inclusive: bool = True, bucket: str = "month",
+                out: str = "match") -> DataFrame:
+    """The as-of core over one tagged frame: ``keys``, ``_t`` (time), ``_probe`` (bool),
+    ``_v`` (build value, null on probe rows) and ``_row`` (probe payload struct).  One
+    input means a caller whose probe and build rows come from the same source computes
+    that source once."""
+    # build rows sort before probe rows at equal time when inclusive, after them otherwise
+    side = F.when(F.col("_probe"), F.lit(1 if inclusive else 0)).otherwise(F.lit(0 if inclusive else 1))
+    u = u.withColumn("_side", side).withColumn("_b", _bucket(F.col("_t"), bucket))
     # 1. inside each (key, bucket): running last build value
     w = (Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_v")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_row").isNotNull())
+    hits = u.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_probe"))
     # 2. last build value of every earlier bucket, on the bucket-level table
-    per_b = (b.withColumn("_b", _bucket(F.col("_t"), bucket)).groupBy(*keys, "_b")
-             .agg(F.max_by("_v", F.struct("_t", "_v")).alias("_bl")).withColumn("_s", F.lit(1)))
-    pbk = (p.select(*keys, _bucket(F.col("_t"), bucket).alias("_b")).distinct()
-           .withColumn("_bl", F.lit(None).cast(vtype)).withColumn("_s", F.lit(0)))
+    per_b = (u.filter(~F.col("_probe")).groupBy(*keys, "_b")
+             .agg(F.max_by("_v", F.struct("_t", "_v")).alias("_bl"), F.lit(1).alias("_s")))
+    pbk = (u.filter(F.col("_probe")).select(*keys, "_b").distinct()
+           .withColumn("_bl", F.lit(None).cast(u.schema["_v"].dataType)).withColumn("_s", F.lit(0)))
     wb = Window.partitionBy(*keys).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     carry = (pbk.unionByName(per_b).withColumn("_prev", F.last("_bl", ignorenulls=True).over(wb))
              .filter(F.col("_s") == 0).select(*keys, "_b", "_prev"))
-    j = u.join(carry, [*keys, "_b"], "left")
+    j = hits.join(carry, [*keys, "_b"], "left")
     return j.select("_row.*", F.coalesce("_in", "_prev").alias(out))
 
 
@@ -68,6 +76,35 @@ def commit_before(cves: DataFrame, commits: DataFrame, repo: str = "repository",
     return asof_last(cves, c, [repo], published, commit_ts, sha, inclusive=True, bucket=bucket, out="commit_before")
 
 
+def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: str = "repo", path: str = "file",
+                                   ts: str = "ts", text: str = "text", sha: str = "sha", sign: str = "sign",
+                                   min_word_chars: int = 3, bucket: str = "month",
+                                   materialize: bool = True) -> DataFrame:
+    """J09 over one table of signed diff lines (``-`` removed, ``+`` added): the same
+    result as ``introducing_commits`` with the line table computed once.
+
+    The line table feeds four branches (in-bucket matches, the bucket table, the probe
+    buckets and the unmatched short lines), each of which Spark would otherwise rebuild
+    from the patch text.  ``materialize`` writes it once with a reliable ``checkpoint()``
+    into the shared checkpoint folder (it also cuts the lineage)."""
+    ok = F.length(F.regexp_replace(F.col(text), r"\W", "")) >= min_word_chars
+    d = lines.filter(F.col(sign).isin("-", "+")).withColumn("_ok", ok)
+    if materialize:
+        from vulnlake.session import checkpoint_dir
+        checkpoint_dir(d.sparkSession)
+        d = d.select(*payload, *[c for c in (repo, path, sha, sign) if c not in payload], "_ok",
+                     *([ts] if ts not in payload else []), *([text] if text not in payload else [])).checkpoint()
+    probe = F.col(sign) == "-"
+    tagged = d.filter(F.col("_ok")).select(
+        F.col(repo), F.col(path), F.col(text), F.col(ts).alias("_t"), probe.alias("_probe"),
+        F.when(~probe, F.col(sha)).alias("_v"),
+        F.when(probe, F.struct(*[F.col(c) for c in payload])).alias("_row"))
+    m = asof_tagged(tagged, [repo, path, text], inclusive=False, bucket=bucket, out="_m")
+    hit = m.withColumn("introducing_commit", F.coalesce("_m", F.lit("blame_error"))).drop("_m")
+    miss = d.filter(probe & ~F.col("_ok")).select(*payload).withColumn("introducing_commit", F.lit("blame_error"))
+    return hit.unionByName(miss)
+
+
 def introducing_commits(removed: DataFrame, added: DataFrame, repo: str = "repo", path: str = "file",
                         ts: str = "ts", text: str = "text", sha: str = "sha", min_word_chars: int = 3,
                         bucket: str = "month") -> DataFrame:

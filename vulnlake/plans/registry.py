@@ -916,9 +916,7 @@ def _fix_lines(spark, sf):
 @q("j09_introducing_commits")
 def _j09(spark, sf):
     ln = _fix_lines(spark, sf)
-    removed = ln.filter(F.col("sign") == "-").select("doc_id", "pos", "repo", "file", "ts", "text")
-    added = ln.filter(F.col("sign") == "+").select("repo", "file", "ts", "text", "sha")
-    out = ao.introducing_commits(removed, added)
+    out = ao.introducing_commits_from_lines(ln, ["doc_id", "pos", "repo", "file", "ts", "text"])
     return out.select("doc_id", "pos", "introducing_commit")
 
 
