@@ -20,6 +20,7 @@ from vulnlake.operators import severity as sev
 from vulnlake.operators import timing as tim
 from vulnlake.plans import derived as dv
 from vulnlake.plans.common import finish
+from vulnlake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +31,7 @@ YEARS = (1996, 2000)
 def q(name: str):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)  # UTC buckets, AQE: whatever session the caller brings
             return finish(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -1378,6 +1380,12 @@ def _p15(spark, sf):
     return dv.table(spark, sf, "pages").select("page_id", itn.html_text(F.col("html")).alias("text"))
 
 
+@q("u01_html_text")
+def _u01(spark, sf):
+    """The HTML-to-text helper as a vectorised UDF over the stored pages (P15's rule)."""
+    return dv.dv_page(spark, sf).select("page_id", "url", itn.html_text(F.col("html")).alias("text"))
+
+
 def _fake_model(prompts):
     """A stand-in scoring function for tests and the registry: flags prompts that
     mention an exploit tag.  Real use passes the caller's model client."""
