@@ -55,10 +55,33 @@ def time_to_fix(df: DataFrame, published: str = "published_date", fixed: str = "
                                                    F.median(d).alias("median_days"))
 
 
-def hot_periods(df: DataFrame, key: str, ts: str, gap: str = "6 hours", min_count: int = 3) -> DataFrame:
-    """Bursts: sessions of rows less than ``gap`` apart, per key, with at least ``min_count`` rows."""
-    s = df.groupBy(F.col(key), F.session_window(F.col(ts), gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return s.filter(F.col("n") >= min_count).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def hot_periods(df: DataFrame, key: str, ts: str, gap: str = "6 hours", min_count: int = 3,
+                method: str = "ranked", bucket: str = "day") -> DataFrame:
+    """Bursts: sessions of rows less than ``gap`` apart, per key, with at least
+    ``min_count`` rows; a session ends ``gap`` after its last row (``session_window``).
+
+    ``method='window'`` is ``session_window`` itself, which sorts each key in one task.
+    ``'ranked'`` (default) stays spread out on a hot key: each row's predecessor comes
+    from the bucketed rank join, a row starts a session when the gap to it is at least
+    ``gap``, and each row's session start is found with the bucketed as-of join."""
+    if method == "window":
+        s = df.groupBy(F.col(key), F.session_window(F.col(ts), gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+        return s.filter(F.col("n") >= min_count).select(key, F.col("w.start").alias("start"),
+                                                        F.col("w.end").alias("end"), "n")
+    from vulnlake.operators.asof import asof_last
+    from vulnlake.operators.windows import rank_in_group
+    step = F.expr(f"INTERVAL {gap}")
+    d = df.select(F.col(key), F.col(ts).cast("timestamp").alias("_ts"))
+    r = rank_in_group(d, key, "_ts", "_ts", bucket)
+    prev = r.select(key, (F.col("rank") + 1).alias("rank"), F.col("_ts").alias("_prev"))
+    r = r.join(prev, [key, "rank"], "left")
+    starts = r.filter(F.col("_prev").isNull() | (F.col("_ts") >= F.col("_prev") + step)).select(key, "_ts")
+    m = asof_last(r.select(key, "_ts"), starts.withColumn("_start", F.col("_ts")), [key], "_ts", "_ts", "_start",
+                  inclusive=True, bucket=bucket, out="start")
+    g = m.groupBy(key, "start").agg(F.max("_ts").alias("_last"), F.count(F.lit(1)).alias("n"))
+    tt = df.schema[ts].dataType
+    return g.filter(F.col("n") >= min_count).select(key, F.col("start").cast(tt).alias("start"),
+                                                    (F.col("_last") + step).cast(tt).alias("end"), "n")
 
 
 def by_language(cves: DataFrame, repos: DataFrame, repo: str = "repository", languages: str = "languages") -> DataFrame:
