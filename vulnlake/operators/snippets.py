@@ -46,10 +46,13 @@ def snippets_per_extension(snippets: DataFrame, path: str = "file_path", parity:
     return snippets.groupBy(ext.alias("extension")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def list_snippets(snippets: DataFrame, key: str = "cve_id", path: str = "file_path") -> DataFrame:
+def list_snippets(snippets: DataFrame, key: str = "cve_id", path: str = "file_path",
+                  prefix_chars: int = 2) -> DataFrame:
     """Per CVE its snippet files in name order, one row per (cve, file) with its rank
-    (a long form: no per-CVE list is built in one row)."""
-    from pyspark.sql import Window
-    name = F.concat(basename(F.col(path)), F.lit(".txt"))
-    w = Window.partitionBy(key).orderBy(name, F.col(path))
-    return snippets.select(key, name.alias("file"), F.row_number().over(w).alias("rank"))
+    (a long form: no per-CVE list is built in one row).  The rank is computed per
+    (CVE, name prefix) and shifted by the counts of earlier prefixes, so a CVE with a
+    huge number of snippets is not sorted in one task."""
+    from vulnlake.operators.windows import rank_in_group
+    d = snippets.select(key, F.concat(basename(F.col(path)), F.lit(".txt")).alias("file"), F.col(path).alias("_p"))
+    r = rank_in_group(d, key, "file", "_p", bucket=F.substring(F.col("file"), 1, prefix_chars))
+    return r.select(key, "file", "rank")

@@ -42,12 +42,14 @@ def top_k_per_group(df: DataFrame, key: str, order: list, k: int, salt_buckets:
     return d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_salt", "_rn")
 
 
-def rank_in_group(df: DataFrame, key: str, ts: str, tie: str, bucket: str = "day") -> DataFrame:
+def rank_in_group(df: DataFrame, key: str, ts, tie, bucket="day") -> DataFrame:
     """Dense 1-based position of each row inside its ``key`` by (``ts``, ``tie``), without
-    one window partition per key: rows are numbered inside (key, time bucket) and
-    shifted by the row count of all earlier buckets, taken from the bucket-level table
-    (one row per key and bucket)."""
-    d = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
+    one window partition per key: rows are numbered inside (key, bucket) and shifted by
+    the row count of all earlier buckets, taken from the bucket-level table (one row
+    per key and bucket).  ``bucket`` is a ``date_trunc`` unit for a time order, or any
+    Column that is monotone with the order (a name prefix for a name order)."""
+    b = F.date_trunc(bucket, F.col(ts)) if isinstance(bucket, str) else bucket
+    d = df.withColumn("_b", b)
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(ts, tie)))
     counts = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
