@@ -96,13 +96,17 @@ def join_patch_cve(patches: DataFrame, cves: DataFrame, cve_col: str = "cve_id")
 
 def enhance(cves: DataFrame, repos: DataFrame, commits: DataFrame, repo: str = "repository",
             sha: str = "fix_commit") -> DataFrame:
-    """Fill only the absent repository context and commit details; the status becomes
+    """Fill only the absent repository context and commit details; when details are
+    newly found, ``fix_date`` becomes their ``commit_date``; the status becomes
     ``enhanced`` even when nothing was found."""
     r = repos.select(F.col(repo).alias("_r"), F.struct(*[c for c in repos.columns if c != repo]).alias("_ctx"))
     c = commits.select(F.col(repo).alias("_cr"), F.col("sha").alias("_cs"),
                        F.struct(*[x for x in commits.columns if x not in (repo, "sha")]).alias("_det"))
     j = (cves.join(r, cves[repo] == r["_r"], "left")
          .join(c, (cves[repo] == c["_cr"]) & (cves[sha] == c["_cs"]), "left"))
+    newly = F.col("fix_commit_details").isNull() & F.col("_det").isNotNull()
+    if "commit_date" in commits.columns and "fix_date" in cves.columns:
+        j = j.withColumn("fix_date", F.when(newly, F.col("_det.commit_date")).otherwise(F.col("fix_date")))
     return (j.withColumn("repository_context", F.coalesce(F.col("repository_context"), F.col("_ctx")))
              .withColumn("fix_commit_details", F.coalesce(F.col("fix_commit_details"), F.col("_det")))
              .withColumn("processing_status", F.lit("enhanced"))

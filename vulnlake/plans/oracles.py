@@ -440,7 +440,8 @@ SELECT o.key, CASE WHEN o.c_custkey % 5 = 0 THEN 'success' ELSE o.status END AS
 ORACLES["j14_join_patch_cve"] = J(f"""
 , p AS (SELECT doc_id, nullif(split_part({_PN}, '_', 1), '') AS cve_id FROM documents)
 SELECT p.doc_id, p.cve_id, c.repository FROM p LEFT JOIN dv_cve c ON p.cve_id = c.cve_id""")
-_ENH = """, e AS (SELECT c.cve_id, r.size, m.n_files, 'enhanced' AS processing_status FROM cf c
+_ENH = """, e AS (SELECT c.cve_id, r.size, m.n_files, CASE WHEN m.sha IS NOT NULL THEN m.commit_date ELSE c.fix_date END AS fix_date,
+               'enhanced' AS processing_status FROM cf c
         LEFT JOIN (SELECT repository, size FROM dv_repo WHERE c_custkey % 2 = 0) r ON c.repository = r.repository
         LEFT JOIN cm m ON c.repository = m.repository AND c.fix_commit = m.sha)"""
 ORACLES["j17_enhance"] = J(_ENH + " SELECT * FROM e")

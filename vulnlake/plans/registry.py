@@ -626,11 +626,11 @@ def _j14(spark, sf):
 
 
 def _enh_inputs(spark, sf):
-    c = _cve_fix(spark, sf).select("cve_id", "repository", "fix_commit",
+    c = _cve_fix(spark, sf).select("cve_id", "repository", "fix_commit", "fix_date",
                                    F.lit(None).cast("struct<size:bigint>").alias("repository_context"),
-                                   F.lit(None).cast("struct<n_files:bigint>").alias("fix_commit_details"))
+                                   F.lit(None).cast("struct<n_files:bigint,commit_date:timestamp_ntz>").alias("fix_commit_details"))
     repos = dv.dv_repo(spark, sf).filter(F.col("c_custkey") % 2 == 0).select("repository", "size")
-    commits = _commits(spark, sf).select("repository", "sha", "n_files")
+    commits = _commits(spark, sf).select("repository", "sha", "n_files", "commit_date")
     return c, repos, commits
 
 
@@ -639,7 +639,7 @@ def _j17(spark, sf):
     c, repos, commits = _enh_inputs(spark, sf)
     e = jn.enhance(c, repos, commits)
     return e.select("cve_id", F.col("repository_context.size").alias("size"),
-                    F.col("fix_commit_details.n_files").alias("n_files"), "processing_status")
+                    F.col("fix_commit_details.n_files").alias("n_files"), "fix_date", "processing_status")
 
 
 @q("f08_needs_enrichment")
