@@ -1192,8 +1192,9 @@ def _w01(spark, sf):
 def _s02(spark, sf):
     out = scratch_dir(spark, "s02")
     sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
-    # one undecodable document next to the good ones: reported, not fatal
-    dv.table(spark, sf, "documents").limit(1).select(F.lit("{not json").alias("value")).write.text(out + "/bad")
+    # undecodable documents next to the good ones (one per input document): reported, not fatal
+    dv.table(spark, sf, "documents").select(F.concat(F.lit("{not json "), F.col("doc_id").cast("string")).alias("value")) \
+        .write.text(out + "/bad")
     good = rd.read_cves(spark, out + "/*")
     return good.select("cve_id", "vulnerability_details.cvss_score")
 
