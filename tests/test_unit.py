@@ -256,3 +256,38 @@ def test_text_lines_like_readlines(spark):
     import io
     expect = [[ln.rstrip("\n") for ln in io.StringIO(c, newline=None).readlines()] for c in cases]
     assert [list(r[0]) for r in df.select(ft.text_lines("c")).collect()] == expect
+
+
+def test_deciles_with_heavy_ties(spark):
+    # 70% of the rows share one size: equal edges keep the lower label, nothing raises
+    sizes = [100] * 70 + [10 ** (1 + i / 10) for i in range(30)]
+    df = spark.createDataFrame([(int(s), 1) for s in sizes], "repo_size bigint, vulnerabilities bigint")
+    out = repos.size_decile(df).groupBy("decile").count().collect()
+    got = {r.decile: r["count"] for r in out}
+    assert sum(got.values()) == 100
+    assert all(k in [f"Q{i}" for i in range(1, 11)] for k in got)
+    ties = repos.size_decile(df).filter(F.col("repo_size") == 100).select("decile").distinct().collect()
+    assert len(ties) == 1  # equal values share one label
+
+
+def test_patch_grammar(spark):
+    text = ("From abc Mon Sep 17 00:00:00 2001\nSubject: fix\n\n"
+            "diff --git a/old.c b/old.c\ndeleted file mode 100644\n--- a/old.c\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone\n"
+            "diff --git a/n.c b/n.c\n--- a/n.c\n+++ b/n.c\n@@ -5,2 +5,2 @@\n keep\n-x\n\\ No newline at end of file\n+y\n")
+    df = spark.createDataFrame([("p", text)], "file_name string, text string")
+    rows = [(r.path, r.sign, r.old_no, r.new_no, r.text) for r in patches.patch_lines(df).orderBy("pos").collect()]
+    assert rows == [("old.c", "-", 1, None, "gone"), ("n.c", " ", 5, 5, "keep"), ("n.c", "-", 6, None, "x"),
+                    ("n.c", "+", None, 6, "y")]
+
+
+def test_percent_of_zero_rows_is_null(spark):
+    from vulnlake.operators.timing import timing_coverage
+    empty = spark.createDataFrame([], "has_commit boolean")
+    r = timing_coverage(empty).collect()[0]
+    assert (r.total, r.with_date, r.pct) == (0, 0, None)
+
+
+def test_density_and_log_of_zero(spark):
+    df = spark.createDataFrame([(0, 3)], "s bigint, n bigint")
+    r = df.select(ff.vuln_density("n", "s").alias("d"), ff.log10_col("s").alias("l")).collect()[0]
+    assert r.d is None and r.l is None
