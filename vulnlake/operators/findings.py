@@ -71,17 +71,20 @@ def resolve_path(findings: DataFrame, corrections: DataFrame, patch_paths: DataF
     ``findings``: (key, repo, file_path, line_numbers); ``corrections``: (key, file_path,
     c_path, c_lines, c_status); ``patch_paths``: (key, path, first_pos); ``snapshot``: (repo, path).
     """
+    # every join below is on renamed columns, so inputs that share a lineage (self-joins)
+    # never produce ambiguous references
     snap = snapshot.select(F.col(repo).alias("_sr"), F.col("path").alias("_sp")).distinct()
-    f = findings.join(snap, (findings[repo] == snap["_sr"]) & (findings["file_path"] == snap["_sp"]), "left") \
+    f = findings.join(snap, (F.col(repo) == F.col("_sr")) & (F.col("file_path") == F.col("_sp")), "left") \
                 .withColumn("_in", F.col("_sp").isNotNull()).drop("_sr", "_sp")
-    c = corrections.select(key, "file_path", "c_path", "c_lines", "c_status")
-    f = f.join(c, [key, "file_path"], "left")
+    c = corrections.select(F.col(key).alias("_ck"), F.col("file_path").alias("_cf"), "c_path", "c_lines", "c_status")
+    f = f.join(c, (F.col(key) == F.col("_ck")) & (F.col("file_path") == F.col("_cf")), "left").drop("_ck", "_cf")
     snap2 = snap.withColumnsRenamed({"_sr": "_cr", "_sp": "_cp"})
-    f = f.join(snap2, (f[repo] == snap2["_cr"]) & (f["c_path"] == snap2["_cp"]), "left") \
+    f = f.join(snap2, (F.col(repo) == F.col("_cr")) & (F.col("c_path") == F.col("_cp")), "left") \
          .withColumn("_c_in", F.col("_cp").isNotNull()).drop("_cr", "_cp")
-    pp = patch_paths.join(snapshot.select(F.col(repo).alias("_pr"), F.col("path")).distinct(), "path") \
-        .groupBy(key, "_pr").agg(F.min_by("path", F.col("first_pos")).alias("_fallback"))
-    f = f.join(pp, (f[key] == pp[key]) & (f[repo] == pp["_pr"]), "left").drop(pp[key]).drop("_pr")
+    pp = (patch_paths.select(F.col(key).alias("_pk"), "path", "first_pos")
+          .join(snapshot.select(F.col(repo).alias("_pr"), F.col("path")).distinct(), "path")
+          .groupBy("_pk", "_pr").agg(F.min_by("path", F.col("first_pos")).alias("_fallback")))
+    f = f.join(pp, (F.col(key) == F.col("_pk")) & (F.col(repo) == F.col("_pr")), "left").drop("_pk", "_pr")
     complete = (F.col("c_status") == "ok") & F.col("c_path").isNotNull() & (F.coalesce(F.size("c_lines"), F.lit(0)) > 0)
     has_corr = F.coalesce(F.col("c_status") == "ok", F.lit(False))
     path = (F.when(F.col("_in"), F.col("file_path"))
