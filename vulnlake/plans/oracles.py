@@ -777,3 +777,15 @@ SELECT cve_id, repo_name, file_path,
        CASE WHEN in_snap THEN 'model' WHEN has_corr AND complete AND c_in THEN 'corrected' WHEN has_corr THEN 'none'
             WHEN fallback IS NOT NULL THEN 'patch' ELSE 'none' END AS resolved_by
 FROM x""")
+
+# ---------------------------------------------------------------- policy / mode variants
+ORACLES["j01_join_repo_left"] = W("""
+SELECT c.cve_id, c.repository, r.size FROM dv_cve c
+LEFT JOIN (SELECT repository, size FROM dv_repo WHERE c_custkey % 2 = 0) r ON c.repository = r.repository""",
+                                  "dv_cve", "dv_repo")
+ORACLES["j12_upsert_state_fill"] = W("""
+, old AS (SELECT key, status FROM dv_state WHERE c_custkey % 3 <> 0),
+d AS (SELECT replace(replace(repository, '/', '_'), '_', '/') AS key, 'success' AS status FROM dv_repo WHERE c_custkey % 5 = 0)
+SELECT coalesce(old.key, d.key) AS key, coalesce(old.status, d.status) AS status
+FROM old FULL OUTER JOIN d ON old.key = d.key""", "dv_state", "dv_repo")
+ORACLES["p22_severity_null"] = C(f"SELECT cve_id, {sev('cvss_score')} AS severity FROM dv_cve")

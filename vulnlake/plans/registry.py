@@ -1410,3 +1410,28 @@ def _u03(spark, sf):
     fix = lambda df: df.withColumn("prompt", F.concat(F.col("prompt"), F.lit("\n```json\n[]\n```")))
     out = itn.score_until(r, "prompt", lambda ps: ps, ok, fix, rounds=2, key="doc_id")
     return out.select("doc_id", fd.parse_findings(F.col("reply"))["status"].alias("status"))
+
+
+# ---------------------------------------------------------------- policy / mode variants
+@q("j01_join_repo_left")
+def _j01l(spark, sf):
+    """J01 as the enhancer runs it: CVEs without repository data are kept."""
+    repos = dv.dv_repo(spark, sf).filter(F.col("c_custkey") % 2 == 0).select("repository", "size")
+    return jn.join_repo(dv.dv_cve(spark, sf), repos, "left").select("cve_id", "repository", "size")
+
+
+@q("j12_upsert_state_fill")
+def _j12f(spark, sf):
+    """J12 as the directory scan runs it: existing directories mark ``success`` only where
+    the key has no status yet."""
+    old = dv.dv_state(spark, sf).filter(F.col("c_custkey") % 3 != 0)
+    dirs = dv.dv_repo(spark, sf).filter(F.col("c_custkey") % 5 == 0).select(
+        fu.repo_from_dir(fu.repo_dir(F.col("repository"))).alias("key"), F.lit("success").alias("status"))
+    return jn.upsert_state(old.select("key", "status"), dirs, overwrite=False)
+
+
+@q("p22_severity_null")
+def _p22n(spark, sf):
+    """P22 in the variant without an Unknown class: a missing score has no severity."""
+    d = dv.dv_cve(spark, sf)
+    return d.select("cve_id", fc.severity(F.col("cvss_score")).alias("severity"))
