@@ -529,9 +529,11 @@ def _cve_fix(spark, sf):
 
 def _commits(spark, sf):
     """Per fix commit: its repository (through the order), files, additions and date."""
-    f = dv.dv_commit_file(spark, sf)
-    per = f.groupBy("sha", "l_orderkey").agg(F.count(F.lit(1)).alias("n_files"), F.sum("additions").alias("additions"),
-                                             F.max("commit_date").alias("commit_date"))
+    # sha is md5(l_orderkey): group on the integer key and hash once per commit
+    f = dv.dv_commit_file(spark, sf).select("l_orderkey", "additions", "commit_date")
+    per = f.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_files"), F.sum("additions").alias("additions"),
+                                      F.max("commit_date").alias("commit_date")) \
+           .withColumn("sha", F.md5(F.col("l_orderkey").cast("string")))
     o = dv.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return per.join(o, per.l_orderkey == o.o_orderkey).select(
         dv._repo_name(F.col("o_custkey")).alias("repository"), "sha", "n_files", "additions", "commit_date")

@@ -62,14 +62,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we choose a fresh scratch folder ourselves.
-    """
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    (local tests) do we choose a fresh scratch folder ourselves.  Works on a
+    classic session and, through the session conf, on Spark Connect."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    d = None
+    if sc is not None:
+        d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d:
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001
+            d = None
     if not d:
         # Only reached where the cluster names none (local tests): a fresh scratch folder.
         d = tempfile.mkdtemp(prefix="vulnlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
