@@ -54,3 +54,26 @@ def test_feed_keeps_page_order(spark):
     f = E.queries()["s01_read_cve_feed"](spark, SF)
     assert f.count() == dv.dv_cve(spark, SF).count()
     assert f.select("page", "pos").distinct().count() == f.count()
+
+
+def test_state_and_index_documents(spark, tmp_path):
+    """The reference's layouts: one pretty-printed JSON document per file."""
+    from vulnlake.sources import readers
+    (tmp_path / "st").mkdir()
+    (tmp_path / "st" / "clone_state.json").write_text('{\n  "a/b": "success",\n  "c/d": "failed: x"\n}\n')
+    st = readers.read_state(spark, str(tmp_path / "st"), fmt="object")
+    assert sorted(tuple(r) for r in st.collect()) == [("a/b", "success"), ("c/d", "failed: x")]
+    (tmp_path / "nm").mkdir()
+    (tmp_path / "nm" / "done.json").write_text('[\n  "x.patch",\n  "y.patch"\n]\n')
+    assert sorted(r.key for r in readers.read_state(spark, str(tmp_path / "nm"), fmt="names").collect()) == ["x.patch", "y.patch"]
+    (tmp_path / "ix").mkdir()
+    (tmp_path / "ix" / "index.json").write_text(
+        '{\n  "CVE-1": [\n    {"url": "u1", "filename": "f1.txt"},\n    {"url": "u2", "filename": "f2.txt"}\n  ]\n}\n')
+    ix = readers.read_scrape_index(spark, str(tmp_path / "ix"))
+    assert sorted(tuple(r) for r in ix.collect()) == [("CVE-1", "u1", "f1.txt"), ("CVE-1", "u2", "f2.txt")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "CVE-1_a_b.patch").write_text("--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n")
+    (tmp_path / "p" / "empty.patch").write_text("")
+    ps = readers.read_patches(spark, str(tmp_path / "p"))
+    rows = ps.collect()
+    assert len(rows) == 1 and rows[0].file_name == "CVE-1_a_b.patch" and rows[0].text.count("\n") == 5

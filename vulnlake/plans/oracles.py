@@ -789,3 +789,46 @@ d AS (SELECT replace(replace(repository, '/', '_'), '_', '/') AS key, 'success'
 SELECT coalesce(old.key, d.key) AS key, coalesce(old.status, d.status) AS status
 FROM old FULL OUTER JOIN d ON old.key = d.key""", "dv_state", "dv_repo")
 ORACLES["p22_severity_null"] = C(f"SELECT cve_id, {sev('cvss_score')} AS severity FROM dv_cve")
+
+# ---------------------------------------------------------------- I/O and streaming round trips (what is read back)
+ORACLES["w01_write_cves"] = C("SELECT cve_id, repository FROM dv_cve")
+ORACLES["s02_read_cves"] = C("SELECT cve_id, round(cvss_score, 6) AS cvss_score FROM dv_cve")
+ORACLES["s03_read_cves_glob"] = C("SELECT cve_id FROM dv_cve")
+ORACLES["t01_stream_cves"] = C("SELECT cve_id, repository FROM dv_cve")
+ORACLES["t02_stream_dedupe"] = C("SELECT cve_id, published_date FROM dv_cve")
+ORACLES["s01_read_cve_feed"] = C("""
+SELECT CAST(floor(cve_key / 2000) * 2000 AS BIGINT) AS page,
+       CAST(row_number() OVER (PARTITION BY floor(cve_key / 2000) ORDER BY cve_key) - 1 AS BIGINT) AS pos,
+       cve_id, CASE WHEN cvss_score IS NOT NULL THEN round(cvss_score, 6) END AS cvss_score FROM dv_cve""")
+ORACLES["s04_read_payloads"] = W("""
+SELECT owner, split_part(repository, '/', 2) AS repo, size, lower(license) AS license FROM dv_repo""", "dv_repo")
+ORACLES["s05_read_patches"] = W("SELECT file_name, CAST(length(text) AS BIGINT) AS n_chars FROM dv_patch", "dv_patch")
+ORACLES["s09_read_snapshots"] = W("SELECT path, CAST(length(content) + 1 AS BIGINT) AS n_chars FROM dv_snapshot",
+                                  "dv_snapshot")
+ORACLES["s10_read_pages"] = "SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages"
+ORACLES["w02_write_repos"] = R("SELECT DISTINCT repository, size FROM j")
+ORACLES["w03_write_csv"] = R("SELECT repo_size, vulnerabilities, round(avg_cvss, 6) AS avg_cvss FROM m22")
+ORACLES["w07_write_snippets"] = S("SELECT cve_id, file_path, 'vulnerable' AS label FROM sn")
+_STATE_UP = """SELECT o.key, CASE WHEN o.c_custkey % 5 = 0 THEN 'success' ELSE o.status END AS status FROM dv_state o"""
+ORACLES["w08_write_state"] = W(_STATE_UP, "dv_state")
+ORACLES["s07_read_state"] = W(_STATE_UP, "dv_state")
+_FINDINGS_BACK = S("""
+, g AS (SELECT cve_id, repo_name, count(*) AS n FROM f GROUP BY cve_id, repo_name)
+SELECT cve_id, repo_name AS repo_name_from_patch, n FROM g""")
+ORACLES["w06_write_findings"] = _FINDINGS_BACK
+ORACLES["s06_read_findings"] = _FINDINGS_BACK
+ORACLES["s08_read_scrape_index"] = J(f"""
+SELECT cve_id, url, regexp_replace(regexp_extract(url, '{NETLOC_RE}', 1) || '_' ||
+         replace(regexp_replace({upath('url')}, '^/', ''), '/', '_'), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') || '.txt' AS filename
+FROM refs""")
+ORACLES["w05_append_results"] = W("""
+, r AS (SELECT 'CVE-' || CAST(doc_id AS VARCHAR) AS cve_id,
+               CASE WHEN doc_id % 3 IN (0, 1) THEN doc_id % 2 = 0 ELSE false END AS flag FROM dv_desc)
+SELECT cve_id, flag FROM r UNION ALL SELECT cve_id, flag FROM r WHERE ends_with(cve_id, '7')""", "dv_desc")
+ORACLES["u02_score"] = W("""
+, ex AS (SELECT DISTINCT cve_key FROM dv_ref WHERE list_contains(tags, 'Exploit'))
+SELECT d.doc_id AS cve_key, ex.cve_key IS NOT NULL AS malicious_intent_likely
+FROM dv_desc d LEFT JOIN ex ON d.doc_id = ex.cve_key""", "dv_desc", "dv_ref")
+ORACLES["u03_score_until"] = W("""
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'bad_json' WHEN 3 THEN 'not_list'
+                   WHEN 4 THEN 'item_not_dict' ELSE 'ok' END AS status FROM dv_reply""", "dv_reply")

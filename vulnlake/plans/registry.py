@@ -1343,7 +1343,7 @@ def _s08(spark, sf):
     # one small index object per CVE file (the reference keeps one JSON object per index)
     per = r.groupBy("cve_id").agg(F.collect_list(F.struct("url", "filename")).alias("items"))
     per.select(F.to_json(F.create_map("cve_id", "items")).alias("value")).write.text(out)
-    return rd.read_scrape_index(spark, out)
+    return rd.read_scrape_index(spark, out, multi_line=False)
 
 
 @q("t01_stream_cves")

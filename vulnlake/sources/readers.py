@@ -33,7 +33,7 @@ def read_cves(spark: SparkSession, path: str, glob: str = "*.json", multi_line:
 
 def read_cves_rejects(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = False) -> DataFrame:
     """The records ``read_cves`` leaves out: text that is not JSON, reported with its file."""
-    raw = spark.read.option("wholetext", multi_line).option("pathGlobFilter", glob).text(path)
+    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=multi_line)
     return (raw.filter((F.length(F.trim("value")) > 0) & F.try_parse_json(F.col("value")).isNull())
             .select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_corrupt_record")))
 
@@ -46,7 +46,7 @@ def read_payloads(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def read_patches(spark: SparkSession, path: str, name_col: str = "file_name") -> DataFrame:
     """One row per patch file with its whole text; zero-byte files give no row.
     The name comes from a ``file_name=`` partition directory when present, else from the file."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     if name_col not in df.columns:
         df = df.withColumn(name_col, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt)?$", 1))
     return df.select(name_col, F.col("value").alias("text")).filter(F.length("text") > 0)
@@ -61,13 +61,14 @@ def read_findings(spark: SparkSession, path: str, cve_col: str = "cve_id") -> Da
     return df.filter(F.col("repo_name_from_patch").isNotNull() & F.col("vulnerable_snippets").isNotNull())
 
 
-def read_state(spark: SparkSession, path: str, fmt: str = "table") -> DataFrame:
+def read_state(spark: SparkSession, path: str, fmt: str = "table", multi_line: bool = True) -> DataFrame:
     """``fmt='table'``: ``{key, status}`` JSON lines (what W08 writes);
     ``'object'``: one JSON object ``key -> status`` per file; ``'names'``: a JSON array of
     done names (status ``done``).  Undecodable text gives no rows."""
     if fmt == "table":
         return spark.read.schema(sc.STATE).json(path).filter(F.col("key").isNotNull())
-    raw = spark.read.option("wholetext", True).text(path)
+    # one (pretty-printed) document per file by default; ``multi_line=False`` for JSON lines
+    raw = spark.read.text(path, wholetext=multi_line)
     if fmt == "object":
         m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.StringType()))
         return raw.select(F.explode(m).alias("key", "status"))
@@ -75,9 +76,11 @@ def read_state(spark: SparkSession, path: str, fmt: str = "table") -> DataFrame:
     return raw.select(F.explode(arr).alias("key")).withColumn("status", F.lit("done"))
 
 
-def read_scrape_index(spark: SparkSession, path: str) -> DataFrame:
-    """``cve_id -> [{url, filename}]`` -> one row per (cve_id, url, filename)."""
-    raw = spark.read.option("wholetext", True).text(path)
+def read_scrape_index(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``cve_id -> [{url, filename}]`` -> one row per (cve_id, url, filename).  One
+    (pretty-printed) index document per file by default; ``multi_line=False`` reads JSON
+    lines, one object per line."""
+    raw = spark.read.text(path, wholetext=multi_line)
     t = T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("url", T.StringType()),
                                                             T.StructField("filename", T.StringType())])))
     e = raw.select(F.explode(F.from_json(F.col("value"), t)).alias("cve_id", "items"))
