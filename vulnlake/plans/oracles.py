@@ -832,3 +832,4 @@ FROM dv_desc d LEFT JOIN ex ON d.doc_id = ex.cve_key""", "dv_desc", "dv_ref")
 ORACLES["u03_score_until"] = W("""
 SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'bad_json' WHEN 3 THEN 'not_list'
                    WHEN 4 THEN 'item_not_dict' ELSE 'ok' END AS status FROM dv_reply""", "dv_reply")
+ORACLES["s02_read_cves_rejects"] = "SELECT '{broken ' || CAST(doc_id AS VARCHAR) AS _corrupt_record FROM documents"

@@ -1207,7 +1207,7 @@ def _s02r(spark, sf):
     sk.write_cves(_cve_docs(spark, sf), out + "/good", fmt="json")
     dv.table(spark, sf, "documents").select(F.concat(F.lit("{broken "), F.col("doc_id").cast("string")).alias("value")) \
         .write.text(out + "/bad")
-    return rd.read_cves_rejects(spark, out + "/*", glob="*")
+    return rd.read_cves_rejects(spark, out + "/*", glob="*").select("_corrupt_record")
 
 
 @q("s03_read_cves_glob")
