@@ -124,3 +124,11 @@ def introducing_commits(removed: DataFrame, added: DataFrame, repo: str = "repo"
     hit = m.withColumn("introducing_commit", F.coalesce("_m", F.lit("blame_error"))).drop("_m")
     miss = r.filter(~F.col("_ok")).drop("_ok").withColumn("introducing_commit", F.lit("blame_error"))
     return hit.unionByName(miss)
+
+
+def attribution_share(attributed: DataFrame, col: str = "introducing_commit") -> DataFrame:
+    """J09's quality report: lines attributed, lines left as
+    ``blame_error`` and the unmatched share in percent."""
+    miss = F.col(col) == "blame_error"
+    return attributed.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~miss).alias("n_matched"),
+                          F.try_divide(F.count_if(miss) * 100.0, F.count(F.lit(1))).alias("pct_unmatched"))

@@ -833,3 +833,9 @@ ORACLES["u03_score_until"] = W("""
 SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ok' WHEN 1 THEN 'empty' WHEN 2 THEN 'bad_json' WHEN 3 THEN 'not_list'
                    WHEN 4 THEN 'item_not_dict' ELSE 'ok' END AS status FROM dv_reply""", "dv_reply")
 ORACLES["s02_read_cves_rejects"] = "SELECT '{broken ' || CAST(doc_id AS VARCHAR) AS _corrupt_record FROM documents"
+
+
+_J09 = ORACLES["j09_introducing_commits"]
+ORACLES["j09_attribution_share"] = "WITH x AS (" + _J09 + """)
+SELECT count(*) AS n_lines, count_if(introducing_commit <> 'blame_error') AS n_matched,
+       round(count_if(introducing_commit = 'blame_error') * CAST(100 AS DOUBLE) / count(*), 6) AS pct_unmatched FROM x"""

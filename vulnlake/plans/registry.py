@@ -1437,3 +1437,11 @@ def _p22n(spark, sf):
     """P22 in the variant without an Unknown class: a missing score has no severity."""
     d = dv.dv_cve(spark, sf)
     return d.select("cve_id", fc.severity(F.col("cvss_score")).alias("severity"))
+
+
+@q("j09_attribution_share")
+def _j09s(spark, sf):
+    """J09's report: how many removed lines found an introducing commit."""
+    ln = _fix_lines(spark, sf)
+    out = ao.introducing_commits_from_lines(ln, ["doc_id", "pos", "repo", "file", "ts", "text"])
+    return ao.attribution_share(out)
