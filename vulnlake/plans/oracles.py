@@ -839,3 +839,5 @@ _J09 = ORACLES["j09_introducing_commits"]
 ORACLES["j09_attribution_share"] = "WITH x AS (" + _J09 + """)
 SELECT count(*) AS n_lines, count_if(introducing_commit <> 'blame_error') AS n_matched,
        round(count_if(introducing_commit = 'blame_error') * CAST(100 AS DOUBLE) / count(*), 6) AS pct_unmatched FROM x"""
+ORACLES["p23_parse_ts_strict"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts END AS parsed FROM events"
+ORACLES["f07_has_commit_details"] = C("SELECT cve_id FROM dv_cve WHERE has_commit")

@@ -1445,3 +1445,20 @@ def _j09s(spark, sf):
     ln = _fix_lines(spark, sf)
     out = ao.introducing_commits_from_lines(ln, ["doc_id", "pos", "repo", "file", "ts", "text"])
     return ao.attribution_share(out)
+
+
+@q("p23_parse_ts_strict")
+def _p23s(spark, sf):
+    """P23 strict: only ``%Y-%m-%dT%H:%M:%S.%f`` text parses (a fraction is required)."""
+    e = dv.table(spark, sf, "events")
+    k = F.col("event_id") % 3
+    text = (F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+            .when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.col("props")))
+    return e.select("event_id", fc.parse_ts(text, strict=True).alias("parsed"))
+
+
+@q("f07_has_commit_details")
+def _f07d(spark, sf):
+    """F07 without the commit-date requirement: details present is enough."""
+    d = dv.dv_cve(spark, sf).withColumn("fix_commit_details", F.when(F.col("has_commit"), F.col("repository")))
+    return flt.has_commit(d).select("cve_id")
