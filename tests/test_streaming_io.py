@@ -77,3 +77,26 @@ def test_state_and_index_documents(spark, tmp_path):
     ps = readers.read_patches(spark, str(tmp_path / "p"))
     rows = ps.collect()
     assert len(rows) == 1 and rows[0].file_name == "CVE-1_a_b.patch" and rows[0].text.count("\n") == 5
+
+
+def test_stream_weekly_drops_rows_behind_the_watermark(spark, tmp_path):
+    import datetime as dt
+
+    from vulnlake.streaming import incremental as stm
+    schema = "cve_id string, published_date timestamp, has_commit boolean"
+    src, sink, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    monday = dt.datetime(2024, 1, 1, 12, 0)
+    b1 = [(f"C{i}", monday + dt.timedelta(days=7 * i), i % 2 == 0) for i in range(10)]
+    spark.createDataFrame(b1, schema).write.json(src + "/b1")
+
+    def run():
+        s = stm.stream_weekly(stm.stream_cves(spark, src + "/*", spark.createDataFrame([], schema).schema), delay="7 days")
+        stm.run_available_now(s, sink, ck)
+
+    run()
+    late_and_new = [("LATE", monday + dt.timedelta(days=1), True), ("NEW", monday + dt.timedelta(days=7 * 14), False)]
+    spark.createDataFrame(late_and_new, schema).write.json(src + "/b2")
+    run()
+    out = {r.start.date(): (r.n_all, r.n_with) for r in spark.read.parquet(sink).select("w.start", "n_all", "n_with").collect()}
+    assert out[dt.date(2024, 1, 1)] == (1, 1)  # the late row of week 1 is not counted
+    assert len(out) >= 9 and all(v[0] == 1 for v in out.values())
