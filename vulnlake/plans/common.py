@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles (engines differ in the last bits of float sums) and widen
-    integers to bigint, so results compare equal across engines."""
+    """Round doubles (engines differ in the last bits of float sums), widen
+    integers to bigint and give dates as ISO text, so results compare equal across
+    engines and client libraries."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -17,5 +18,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
             c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
         cols.append(c.alias(f.name))
     return df.select(*cols)

@@ -13,7 +13,7 @@ SEV = ("CASE WHEN {s} >= 9 THEN 'Critical' WHEN {s} >= 7 THEN 'High' WHEN {s} >=
        "WHEN {s} IS NOT NULL THEN 'Low' END")
 SW = """, sw AS (SELECT * FROM dv_cve WHERE cvss_score IS NOT NULL AND cvss_score <> 0
                   AND year(published_date) BETWEEN 1996 AND 2000)"""
-MONTH = "CAST(date_trunc('month', published_date) AS DATE)"
+MONTH = "CAST(CAST(date_trunc('month', published_date) AS DATE) AS VARCHAR)"  # dates leave as ISO text
 
 
 def sev(s: str) -> str:
@@ -92,8 +92,8 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END AS parsed FROM
 
 ORACLES["p24_time_parts"] = W("""
 SELECT sha, CAST(year(commit_ts) AS BIGINT) AS year, CAST(month(commit_ts) AS BIGINT) AS month,
-       CAST(date_trunc('month', commit_ts) AS DATE) AS month_start,
-       CAST(date_trunc('week', commit_ts) AS DATE) AS week_start,
+       CAST(CAST(date_trunc('month', commit_ts) AS DATE) AS VARCHAR) AS month_start,
+       CAST(CAST(date_trunc('week', commit_ts) AS DATE) AS VARCHAR) AS week_start,
        dayname(commit_ts) AS weekday, CAST(hour(commit_ts) AS BIGINT) AS hour
 FROM dv_event_commit""", "dv_event_commit")
 
@@ -142,8 +142,8 @@ SELECT count(*) AS n_all, count_if(has_commit) AS n_with,
        round(coalesce(count_if(has_commit) * CAST(100 AS DOUBLE) / nullif(count(*), 0), 0), 6) AS pct
 FROM dv_cve""", "dv_cve")
 ORACLES["a14_coverage_by_year"] = W(_COV.format(b=_B["year"]), "dv_cve")
-ORACLES["a15_coverage_by_month"] = W(_COV.format(b=_B["month"]), "dv_cve")
-ORACLES["a16_coverage_by_week"] = W(_COV.format(b=_B["week"]), "dv_cve")
+ORACLES["a15_coverage_by_month"] = W(_COV.format(b="CAST(" + _B["month"] + " AS VARCHAR)"), "dv_cve")
+ORACLES["a16_coverage_by_week"] = W(_COV.format(b="CAST(" + _B["week"] + " AS VARCHAR)"), "dv_cve")
 
 
 def _regr(bucket: str, y: str, where: str) -> str:
@@ -376,7 +376,7 @@ SELECT 'repo' || CAST(user_id AS VARCHAR) AS repository, CAST(sum(c) AS BIGINT)
        round(sum(c) / CAST(52 AS DOUBLE), 6) AS avg_commits_per_week, count_if(c > 0) AS days_active_last_year
 FROM dv_weeks GROUP BY user_id""", "dv_weeks")
 ORACLES["a40_weekly_totals"] = W("""
-SELECT user_id, CAST(date_trunc('week', day) AS DATE) AS week, CAST(sum(c) AS BIGINT) AS c, round(sum(a), 6) AS a,
+SELECT user_id, CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week, CAST(sum(c) AS BIGINT) AS c, round(sum(a), 6) AS a,
        round(sum(d), 6) AS d, count_if(c > 0) AS days_active
 FROM dv_weeks GROUP BY 1, 2""", "dv_weeks")
 ORACLES["p32_repo_features"] = W("""
@@ -750,7 +750,7 @@ ORACLES["x11_intent_signals"] = W("""
 SELECT cve_key, len(list_distinct(words || tags)) > 0 AS malicious_intent_likely,
        array_to_string(list_distinct(words || tags), ', ') AS reason FROM h""", "dv_desc")
 ORACLES["t03_stream_weekly"] = W("""
-SELECT CAST(date_trunc('week', published_date) AS DATE) AS bucket, count(*) AS n_all, count_if(has_commit) AS n_with
+SELECT CAST(CAST(date_trunc('week', published_date) AS DATE) AS VARCHAR) AS bucket, count(*) AS n_all, count_if(has_commit) AS n_with
 FROM dv_cve GROUP BY 1""", "dv_cve")
 
 ORACLES["j13_resolve_path"] = S("""
