@@ -908,8 +908,8 @@ def _j08(spark, sf):
 
 
 def _fix_lines(spark, sf):
-    p = dv.dv_patch(spark, sf).join(dv.table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    p = p.select("doc_id", "text", F.col("source").alias("repo"),
+    p = dv.dv_patch(spark, sf)  # repository is org{n}/{source}: the source is its second part
+    p = p.select("doc_id", "text", F.get(F.split("repository", "/"), 1).alias("repo"),
                  F.concat(F.lit("f"), (F.col("doc_id") % 13).cast("string"), F.lit(".txt")).alias("file"),
                  (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
                      mins=F.col("doc_id").cast("int"))).alias("ts"),
