@@ -59,7 +59,7 @@ def rank_in_group(df: DataFrame, key: str, ts, tie, bucket="day") -> DataFrame:
 
 def surrounding_commits(commits: DataFrame, mode: str = "intended", n: int = 2, repo: str = "repository",
                         ts: str = "commit_ts", sha: str = "sha", method: str = "ranked",
-                        bucket: str = "day") -> DataFrame:
+                        bucket: str = "month") -> DataFrame:
     """F15 (ledger L9).
 
     * ``intended``: per commit, the ``n`` commits before it, itself and the ``n`` after
@@ -72,17 +72,31 @@ def surrounding_commits(commits: DataFrame, mode: str = "intended", n: int = 2,
         w = Window.partitionBy(repo).orderBy(ts, sha).rowsBetween(-n, n)
         return commits.select(repo, sha, ts, F.collect_list(F.col(sha)).over(w).alias("surrounding"))
     if mode == "intended":
-        # ranked: each commit asks for ranks r-n..r+n of its repository through an
-        # equi-join on (repository, rank), so a hot repository spreads over many tasks
-        r = rank_in_group(commits.select(repo, sha, ts), repo, ts, sha, bucket)
-        probe = r.select(repo, F.col(sha).alias("_c"), F.col(ts).alias("_t"), "rank",
-                         F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("_d")) \
-                 .withColumn("_nr", F.col("rank") + F.col("_d"))
-        nb = r.select(repo, F.col("rank").alias("_nr"), F.col(sha).alias("_ns"))
-        j = probe.join(nb, [repo, "_nr"])
-        g = j.groupBy(repo, "_c", "_t").agg(F.array_sort(F.collect_list(F.struct("_d", "_ns"))).alias("_l"))
-        return g.select(repo, F.col("_c").alias(sha), F.col("_t").alias(ts),
-                        F.transform("_l", lambda x: x["_ns"]).alias("surrounding"))
+        # ranked: numbered inside (repository, bucket); interior rows take their
+        # neighbours from a bounded frame of that bucket, and only the n rows at each
+        # bucket edge ask for ranks r-n..r+n through an equi-join on (repository, rank)
+        # over edge rows alone, so a hot repository spreads over many tasks
+        c = commits.select(repo, sha, ts).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
+        wo = Window.partitionBy(repo, "_b").orderBy(ts, sha)
+        c = (c.withColumn("_r", F.row_number().over(wo))
+              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(repo, "_b")))
+              .withColumn("_in", F.collect_list(F.col(sha)).over(wo.rowsBetween(-n, n))))
+        counts = c.groupBy(repo, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+        wb = Window.partitionBy(repo).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wb), F.lit(0))).select(repo, "_b", "_off")
+        edge = (F.col("_r") <= n) | (F.col("_r") > F.col("_n") - n)
+        near = (F.col("_r") <= 2 * n) | (F.col("_r") > F.col("_n") - 2 * n)
+        interior = c.filter(~edge).select(repo, sha, ts, F.col("_in").alias("surrounding"))
+        e = c.filter(near).join(offs, [repo, "_b"]).withColumn("rank", F.col("_r") + F.col("_off"))
+        probe = (e.filter(edge).select(repo, F.col(sha).alias("_c"), F.col(ts).alias("_t"), "rank",
+                                       F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("_d"))
+                 .withColumn("_nr", F.col("rank") + F.col("_d")))
+        nb = e.select(repo, F.col("rank").alias("_nr"), F.col(sha).alias("_ns"))
+        g = probe.join(nb, [repo, "_nr"]).groupBy(repo, "_c", "_t").agg(
+            F.array_sort(F.collect_list(F.struct("_d", "_ns"))).alias("_l"))
+        edges = g.select(repo, F.col("_c").alias(sha), F.col("_t").alias(ts),
+                         F.transform("_l", lambda x: x["_ns"]).alias("surrounding"))
+        return interior.unionByName(edges)
     if mode == "reference":
         top = top_k_per_group(commits.select(repo, sha, ts), repo, [F.desc(ts), F.desc(sha)], 5)
         newest = top.groupBy(repo).agg(
