@@ -170,9 +170,10 @@ def size_decile(m: DataFrame, approx: bool = False) -> DataFrame:
     qs = [i / 10 for i in range(1, 10)]
     edges = m.select(_pct(lx, qs, approx)).scalar()
     v = F.col("lx")
-    above = sum((F.get(edges, k) < v).cast("int") for k in range(9))
-    return (m.withColumn("lx", lx).filter(v.isNotNull())
-            .withColumn("decile", F.concat(F.lit("Q"), (above + 1).cast("string"))).drop("lx"))
+    # the subquery is bound to a column once; the nine comparisons read that column
+    above = sum((F.get(F.col("_edges"), k) < v).cast("int") for k in range(9))
+    return (m.withColumn("lx", lx).filter(v.isNotNull()).withColumn("_edges", edges)
+            .withColumn("decile", F.concat(F.lit("Q"), (above + 1).cast("string"))).drop("lx", "_edges"))
 
 
 def box_stats(m: DataFrame, col: str = "vulnerabilities", approx: bool = False) -> DataFrame:
