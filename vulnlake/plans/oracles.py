@@ -841,3 +841,12 @@ SELECT count(*) AS n_lines, count_if(introducing_commit <> 'blame_error') AS n_m
        round(count_if(introducing_commit = 'blame_error') * CAST(100 AS DOUBLE) / count(*), 6) AS pct_unmatched FROM x"""
 ORACLES["p23_parse_ts_strict"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts END AS parsed FROM events"
 ORACLES["f07_has_commit_details"] = C("SELECT cve_id FROM dv_cve WHERE has_commit")
+ORACLES["w04_write_report"] = R("""
+, r AS (SELECT count(*) AS size_groups, CAST(sum(vulnerabilities) AS BIGINT) AS total_vulnerabilities,
+               median(CAST(repo_size AS DOUBLE)) AS median_size,
+               corr(CAST(repo_size AS DOUBLE), CAST(vulnerabilities AS DOUBLE)) AS corr_size_count FROM m23)
+SELECT 'Statistical Analysis Report' AS line FROM r
+UNION ALL SELECT printf('Total Repositories Analyzed: %d', size_groups) FROM r
+UNION ALL SELECT printf('Total Vulnerabilities: %d', total_vulnerabilities) FROM r
+UNION ALL SELECT printf('Median Size: %.0f KB', round(median_size, 0)) FROM r
+UNION ALL SELECT printf('Size-Vulnerability Correlation: %.3f', round(corr_size_count, 3)) FROM r""")
