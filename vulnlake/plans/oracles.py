@@ -850,3 +850,16 @@ UNION ALL SELECT printf('Total Repositories Analyzed: %d', size_groups) FROM r
 UNION ALL SELECT printf('Total Vulnerabilities: %d', total_vulnerabilities) FROM r
 UNION ALL SELECT printf('Median Size: %.0f KB', round(median_size, 0)) FROM r
 UNION ALL SELECT printf('Size-Vulnerability Correlation: %.3f', round(corr_size_count, 3)) FROM r""")
+
+# The page's strings (script, style, template, comments and declarations excluded), each
+# stripped, empty ones dropped, joined by one space; entity references decoded (those the pages use).
+_HTML = r"""c AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                  '(?is)<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>', '', 'g') AS h FROM pages),
+s AS (SELECT page_id, unnest(regexp_split_to_array(h, '<[^>]*>')) AS seg,
+             generate_subscripts(regexp_split_to_array(h, '<[^>]*>'), 1) AS k FROM c),
+t AS (SELECT page_id, k, regexp_replace(replace(replace(replace(replace(seg, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'),
+                                '&amp;', '&'), '^\s+|\s+$', '', 'g') AS s FROM s),
+x AS (SELECT p.page_id, p.url, coalesce(string_agg(t.s, ' ' ORDER BY t.k) FILTER (WHERE t.s <> ''), '') AS text
+      FROM pages p LEFT JOIN t ON p.page_id = t.page_id GROUP BY p.page_id, p.url)"""
+ORACLES["p15_html_text"] = "WITH " + _HTML + " SELECT page_id, text FROM x"
+ORACLES["u01_html_text"] = "WITH " + _HTML + " SELECT page_id, url, text FROM x"
