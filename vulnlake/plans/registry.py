@@ -463,14 +463,21 @@ def _p26(spark, sf):
                     m["has_description"].alias("has_description"), m["references_issue"].alias("references_issue"))
 
 
+def _per_commit(df):
+    """sha is md5(l_orderkey): aggregate on the integer key, hash once per commit."""
+    return df.withColumn("sha", F.md5(F.col("l_orderkey").cast("string"))).drop("l_orderkey")
+
+
 @q("p27_file_pattern_counts")
 def _p27(spark, sf):
-    return of.file_pattern_counts_long(dv.dv_commit_file(spark, sf)).drop("unique_directories", "max_directory_depth")
+    f = dv.dv_commit_file(spark, sf).select("l_orderkey", "filename")
+    return _per_commit(of.file_pattern_counts_long(f, "l_orderkey")).drop("unique_directories", "max_directory_depth")
 
 
 @q("p28_dir_features")
 def _p28(spark, sf):
-    return of.file_pattern_counts_long(dv.dv_commit_file(spark, sf)).select(
+    f = dv.dv_commit_file(spark, sf).select("l_orderkey", "filename")
+    return _per_commit(of.file_pattern_counts_long(f, "l_orderkey")).select(
         "sha", "unique_directories", "max_directory_depth")
 
 
@@ -510,8 +517,8 @@ def _p32(spark, sf):
 @q("p33_commit_features")
 def _p33(spark, sf):
     from vulnlake.operators.features_repo import commit_features
-    files = dv.dv_commit_file(spark, sf)
-    return commit_features(files)
+    files = dv.dv_commit_file(spark, sf).select("l_orderkey", "filename", "additions")
+    return _per_commit(commit_features(files, sha="l_orderkey"))
 
 
 # ---------------------------------------------------------------- joins, state, windows (J*, A37-A39, E01, F08-F15)
