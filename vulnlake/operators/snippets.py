@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.functions.text import basename, cut_snippet, extension, is_valid_commit
+from vulnlake.functions.text import basename, extension, is_valid_commit
 
 LABEL = "vulnerable"
 

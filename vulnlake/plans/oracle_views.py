@@ -122,9 +122,6 @@ dv_desc AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 
-_DEPS = {"dv_state": [], "dv_repo": []}
-
-
 def with_views(sql: str, *views: str) -> str:
     """``WITH <views> <sql>``; ``sql`` may itself start with more CTEs (``, x AS (...)``)."""
     ctes = ",".join(VIEWS[v] for v in views)

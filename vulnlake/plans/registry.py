@@ -1165,7 +1165,6 @@ def _j13(spark, sf):
 
 
 # ---------------------------------------------------------------- sources, sinks, streaming, Python hooks (rows-only)
-from vulnlake import schemas as sch  # noqa: E402
 from vulnlake.session import scratch_dir  # noqa: E402
 from vulnlake.sources import readers as rd  # noqa: E402
 from vulnlake.sources import sinks as sk  # noqa: E402
