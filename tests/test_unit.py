@@ -291,3 +291,19 @@ def test_density_and_log_of_zero(spark):
     df = spark.createDataFrame([(0, 3)], "s bigint, n bigint")
     r = df.select(ff.vuln_density("n", "s").alias("d"), ff.log10_col("s").alias("l")).collect()[0]
     assert r.d is None and r.l is None
+
+
+def test_introducing_commits_prefilter_same_result(spark):
+    rows = [(1, 0, "r", "f", "2024-01-01 00:00:00", "int x = 1;", "c1", "+"),
+            (2, 0, "r", "f", "2024-01-03 00:00:00", "int x = 1;", "c2", "-"),
+            (2, 1, "r", "f", "2024-01-03 00:00:00", "never added", "c2", "-"),
+            (2, 2, "r", "f", "2024-01-03 00:00:00", "}", "c2", "-"),
+            (3, 0, "r", "g", "2024-01-04 00:00:00", "int x = 1;", "c3", "-")]
+    ln = spark.createDataFrame(rows, "doc_id int, pos int, repo string, file string, t string, text string, sha string, sign string") \
+        .withColumn("ts", F.to_timestamp("t")).drop("t")
+    pay = ["doc_id", "pos", "repo", "file", "ts", "text"]
+    a = {(r.doc_id, r.pos): r.introducing_commit
+         for r in asof.introducing_commits_from_lines(ln, pay, materialize=False).collect()}
+    b = {(r.doc_id, r.pos): r.introducing_commit
+         for r in asof.introducing_commits_from_lines(ln, pay, materialize=False, prefilter=True).collect()}
+    assert a == b == {(2, 0): "c1", (2, 1): "blame_error", (2, 2): "blame_error", (3, 0): "blame_error"}

@@ -79,14 +79,17 @@ def commit_before(cves: DataFrame, commits: DataFrame, repo: str = "repository",
 def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: str = "repo", path: str = "file",
                                    ts: str = "ts", text: str = "text", sha: str = "sha", sign: str = "sign",
                                    min_word_chars: int = 3, bucket: str = "month",
-                                   materialize: bool = True) -> DataFrame:
+                                   materialize: bool = True, prefilter: bool = False) -> DataFrame:
     """J09 over one table of signed diff lines (``-`` removed, ``+`` added): the same
     result as ``introducing_commits`` with the line table computed once.
 
     The line table feeds four branches (in-bucket matches, the bucket table, the probe
     buckets and the unmatched short lines), each of which Spark would otherwise rebuild
     from the patch text.  ``materialize`` writes it once with a reliable ``checkpoint()``
-    into the shared checkpoint folder (it also cuts the lineage)."""
+    into the shared checkpoint folder (it also cuts the lineage).  ``prefilter`` settles
+    lines whose text never occurs on the other side with key semi / anti joins before the
+    as-of; it pays off when matches are rare and the line table is large (at sf0.1 it
+    costs more than it saves, so it is off by default)."""
     ok = F.length(F.regexp_replace(F.col(text), r"\W", "")) >= min_word_chars
     d = lines.filter(F.col(sign).isin("-", "+")).withColumn("_ok", ok)
     if materialize:
@@ -95,14 +98,28 @@ def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: s
         d = d.select(*payload, *[c for c in (repo, path, sha, sign) if c not in payload], "_ok",
                      *([ts] if ts not in payload else []), *([text] if text not in payload else [])).checkpoint()
     probe = F.col(sign) == "-"
-    tagged = d.filter(F.col("_ok")).select(
+    if prefilter:
+        # lines whose (repo, path, text) never occurs on the other side cannot match: settle
+        # them with semi / anti joins on the key, so the as-of only sees matchable lines
+        k = [repo, path, text]
+        rem_k = d.filter(probe & F.col("_ok")).select(*k).distinct()
+        add_k = d.filter(~probe & F.col("_ok")).select(*k).distinct()
+        both = rem_k.join(add_k, k, "left_semi")
+        d_ok = d.filter(F.col("_ok")).join(both, k, "left_semi")
+        unmatched = (d.filter(probe & F.col("_ok")).join(both, k, "left_anti").select(*payload)
+                     .withColumn("introducing_commit", F.lit("blame_error")))
+    else:
+        d_ok = d.filter(F.col("_ok"))
+        unmatched = None
+    tagged = d_ok.select(
         F.col(repo), F.col(path), F.col(text), F.col(ts).alias("_t"), probe.alias("_probe"),
         F.when(~probe, F.col(sha)).alias("_v"),
         F.when(probe, F.struct(*[F.col(c) for c in payload])).alias("_row"))
     m = asof_tagged(tagged, [repo, path, text], inclusive=False, bucket=bucket, out="_m")
     hit = m.withColumn("introducing_commit", F.coalesce("_m", F.lit("blame_error"))).drop("_m")
     miss = d.filter(probe & ~F.col("_ok")).select(*payload).withColumn("introducing_commit", F.lit("blame_error"))
-    return hit.unionByName(miss)
+    out = hit.unionByName(miss)
+    return out if unmatched is None else out.unionByName(unmatched)
 
 
 def introducing_commits(removed: DataFrame, added: DataFrame, repo: str = "repo", path: str = "file",
