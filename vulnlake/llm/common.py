@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vulnlake.session import checkpoint_dir
 
@@ -70,3 +72,31 @@ def grouped(items: Iterator, size, most: int) -> Iterator[list]:
         total += n
     if out:
         yield out
+
+
+def sample_per_class(labelled: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` (doc_id, label) rows of each label, those with the smallest id hash.
+
+    Nulls in either column are left out; an id with several labels counts once, with the
+    largest.  Rank limits are applied in every task before the shuffle."""
+    one = (labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+           .groupBy("doc_id").agg(F.max("label").alias("label")))
+    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return one.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 25) -> np.ndarray:
+    """Weights (last one: the constant) of a ridge logistic regression, by Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], decay)
+    for _ in range(steps):
+        p = sigmoid(x @ w)
+        g = x.T @ (p - y) + ridge * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        w -= np.linalg.solve(h, g)
+    return w
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

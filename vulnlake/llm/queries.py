@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vulnlake.llm import langid as li
 from vulnlake.llm import line_dedup as ld
 from vulnlake.llm import packing as pk
+from vulnlake.llm import quality as ql
 from vulnlake.llm import url_filter as uf
-from vulnlake.llm.common import table
+from vulnlake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +64,19 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of packed sequences of 1024 tokens, the sources mixed evenly."""
     return pk.pack(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    return li.identify(docs, li.fit(docs.where(~F.col("held_out"))))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels of the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = ql.fit(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
+    return ql.quality(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
