@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm import langid as li
 from vulnlake.llm import line_dedup as ld
+from vulnlake.llm import lm_score as lm
 from vulnlake.llm import packing as pk
 from vulnlake.llm import quality as ql
 from vulnlake.llm import url_filter as uf
@@ -80,3 +81,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = ql.fit(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
     return ql.quality(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the model of the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 1).alias("held_out"))
+    return lm.score(docs, *lm.fit(docs.where(~F.col("held_out"))))
