@@ -6,8 +6,9 @@ very frequent n-gram is one entry a task.  Each bucket merges its arrays and bui
 part of the filter: an n-gram of count c enters with each level 1 .. q, where q is the
 logarithm of c.  The filter is broadcast; its size has a fixed ceiling (``most_bytes``),
 beyond which the bits an entry gets shrink and errors rise.  A count is read back by probing
-level after level until one misses.  Probabilities are smoothed by interpolating each order
-with the next lower one.
+level after level until one misses.  Probabilities are smoothed by mixing each order with
+the next lower one; the lower order's share depends on the level of the history, and is the
+one that makes all training texts likeliest when each n-gram is counted without itself.
 
 The base score is exact.  Counts of the most frequent words (``HEAD``, a fixed number) are
 in the task; all other words of a document go through a join with the table of counts.
@@ -16,7 +17,7 @@ in the task; all other words of a document go through a join with the table of c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ PROBES = 4
 MOST_BYTES = 256 << 20
 HEAD = 1 << 19
 BUCKET_BYTES = 8 << 20
-PRIOR = (0.5, 4.0, 4.0, 4.0, 4.0)  # pseudo-count of the lower order, by order
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 1.0)  # tried for the lower order
 END = b"\n"  # no word holds white space
 CHUNK = 1 << 22
 
@@ -149,6 +150,7 @@ class Model:
     head_counts: np.ndarray
     total: int
     distinct: int
+    lower: list[np.ndarray | None] = field(default_factory=list)  # by order: share of the next lower order, by the history's level
 
     def level(self, h: np.ndarray, n: int) -> np.ndarray:
         """The level that each n-gram of order ``n`` was stored with (0: never seen)."""
@@ -171,24 +173,37 @@ class Model:
     def count(self, h: np.ndarray, n: int) -> np.ndarray:
         return COUNT_OF[self.level(h, n)]
 
-    def probabilities(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Smoothed probability of each token after its history."""
-        grams, before = ngrams(tokens, starts, self.order), histories(tokens, starts, self.order)
-        p = None
-        for n in range(1, self.order + 1):
-            uniq, back = np.unique(grams[n - 1], return_inverse=True)
-            c = self.count(uniq, n)[back]
-            if n == 1:
-                p = (np.minimum(c, self.total) + PRIOR[0]) / (self.total + PRIOR[0] * (self.distinct + 1))
-                continue
-            h = before[n - 1]
-            uniq, back = np.unique(h, return_inverse=True)
-            of_history = self.count(uniq, n - 1)[back]
-            of_history[h == 0] = 0  # at a text's start only lower orders speak
-            p = (np.minimum(c, of_history) + PRIOR[n - 1] * p) / (of_history + PRIOR[n - 1])
+    def seen(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of the n-gram that ends at each token and of its history (0 at a text's start,
+        where only lower orders speak).  Distinct n-grams are probed once."""
+        grams = ngrams(tokens, starts, n)[-1]
+        uniq, back = np.unique(grams, return_inverse=True)
+        of_gram = self.level(uniq, n)[back]
+        history = histories(tokens, starts, n)[-1]
+        uniq, back = np.unique(history, return_inverse=True)
+        of_history = self.level(uniq, n - 1)[back]
+        of_history[history == 0] = 0
+        return of_gram, of_history
+
+    def lowest(self, tokens: np.ndarray) -> np.ndarray:
+        uniq, back = np.unique(words_of(tokens), return_inverse=True)
+        c = COUNT_OF[self.level(uniq, 1)][back]
+        return (np.minimum(c, self.total) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
+    def probabilities(self, tokens: np.ndarray, starts: np.ndarray, upto: int) -> np.ndarray:
+        """Smoothed probability of each token after its history, of order ``upto``."""
+        p = self.lowest(tokens)
+        for n in range(2, upto + 1):
+            of_gram, of_history = self.seen(tokens, starts, n)
+            share = self.lower[n][of_history]
+            p = (1 - share) * ratio(COUNT_OF[of_gram], COUNT_OF[of_history]) + share * p
         return p
 
 
+def ratio(c: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.minimum(c, of) / np.maximum(of, 1)
+
+
 def bucket_count(docs: DataFrame) -> int:
     """Buckets so that one holds the n-grams of about ``BUCKET_BYTES`` of text."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 2)).first()[0] or 0
@@ -261,7 +276,39 @@ def fit(docs: DataFrame, order: int = ORDER, most_bytes: int = MOST_BYTES, head:
     for r in found:
         k = (r["n"] - 1) * buckets + r["bucket"]
         bits[offset[k]:offset[k + 1]] = np.frombuffer(r["part"], np.uint8)
-    return Model(order, buckets, bits, offset[:-1], size * 8, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0)), words
+    model = Model(order, buckets, bits, offset[:-1], size * 8, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0), [None, None])
+    for n in range(2, order + 1):
+        model.lower.append(shares(docs, model, n, least))
+    return model, words
+
+
+def shares(docs: DataFrame, model: Model, n: int, least: int) -> np.ndarray:
+    """Best share of order n-1 by level of the history, over all training texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    width = len(COUNT_OF)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, hasher, sums = sent.value, Hasher(), np.zeros((len(SHARES), width))
+        for group in grouped((hasher(t) for (t,) in rows(batches)), len, 1 << 20):
+            tokens = np.concatenate(group)
+            starts = np.concatenate([[0], np.cumsum([len(g) for g in group])[:-1]])
+            below = m.probabilities(tokens, starts, n - 1)
+            of_gram, of_history = m.seen(tokens, starts, n)
+            c = COUNT_OF[of_gram] - 1
+            own = ratio(np.where(c >= least, c, 0), COUNT_OF[of_history] - 1)
+            for k, s in enumerate(SHARES):
+                sums[k] += np.bincount(of_history, np.log((1 - s) * own + s * below), width)
+        k, q = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(q), pa.array(sums[k, q])], names=["k", "q", "s"])
+    found = (docs.select(raw_text().alias("text")).mapInArrow(work, "k long, q long, s double")
+             .groupBy("k", "q").agg(F.sum("s").alias("s")).collect())
+    table = np.full((len(SHARES), width), -np.inf)
+    for r in found:
+        table[r["k"], r["q"]] = r["s"]
+    best = np.array(SHARES)[table.argmax(0)]
+    best[np.isinf(table).all(0)] = 1.0
+    best[0] = 1.0
+    return best
 
 
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -286,7 +333,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             tokens = np.concatenate([r[2] for r in group])
             size = np.array([len(r[2]) for r in group])
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            logs = np.add.reduceat(np.log10(m.probabilities(tokens, starts)), starts)
+            logs = np.add.reduceat(np.log10(m.probabilities(tokens, starts, m.order)), starts)
             tokens = words_of(tokens)
             at_head = np.minimum(np.searchsorted(m.head, tokens), max(0, len(m.head) - 1))
             in_head = m.head[at_head] == tokens if len(m.head) else np.zeros(len(tokens), bool)
