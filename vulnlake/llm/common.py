@@ -85,15 +85,17 @@ def sample_per_class(labelled: DataFrame, most: int) -> DataFrame:
     return one.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 25) -> np.ndarray:
-    """Weights (last one: the constant) of a ridge logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 25, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last one: the constant) of a ridge logistic regression, by Newton steps;
+    ``weight``: of each row."""
+    weight = np.ones(len(x)) if weight is None else weight
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], decay)
     for _ in range(steps):
         p = sigmoid(x @ w)
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        g = x.T @ (weight * (p - y)) + ridge * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
         w -= np.linalg.solve(h, g)
     return w
 

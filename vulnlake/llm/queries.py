@@ -12,6 +12,7 @@ from vulnlake.llm import line_dedup as ld
 from vulnlake.llm import lm_score as lm
 from vulnlake.llm import packing as pk
 from vulnlake.llm import quality as ql
+from vulnlake.llm import toxicity as tx
 from vulnlake.llm import url_filter as uf
 from vulnlake.llm.common import held_out, table
 
@@ -67,6 +68,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.pack(table(spark, sf_dir, "documents")).drop("source")
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels of the folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = tx.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    return tx.toxicity(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the folds that are not held out."""
