@@ -26,8 +26,8 @@ from vulnlake.llm.common import batch, grouped, logistic, raw_text, rows, sample
 WINDOW, STRIDE = 48, 24
 PIECE = 24  # bytes of a word's input; longer words are several inputs
 WORDS, GRAMS, SIZE, HIDDEN, ATTENTION = 1 << 14, 1 << 12, 8, 8, 8
-SAMPLE_DOCS = 2_500
-SAMPLE_WINDOWS = 24  # of one training document, spread over it
+SAMPLE_DOCS = 2_000
+SAMPLE_WINDOWS = 16  # of one training document, spread over it
 
 #: A-Z to a-z; digits, a-z and bytes of 0x80 or more as they are; all else a space.
 INPUT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -170,10 +170,13 @@ class Windows:
         data, self.bag = [], []
         for b, windows in enumerate(docs):
             for x in windows:
-                data.append([vocabulary.setdefault(v, len(vocabulary) + 1) for v in x] + [0] * (WINDOW - len(x)))
+                numbers = [vocabulary.setdefault(v, len(vocabulary) + 1) for v in x]
+                data.append(np.array(numbers + [0] * (WINDOW - len(x)), np.int32))
                 self.bag.append(b)
-        self.x, self.bag = np.array(data, np.int64), np.array(self.bag)
-        self.ids, self.grams = inputs([b"", *vocabulary])
+        self.x, self.bag = np.array(data, np.int32), np.array(self.bag)
+        words = [b"", *vocabulary]
+        some = [inputs(words[i:i + 8192]) for i in range(0, len(words), 8192)]
+        self.ids, self.grams = np.concatenate([a for a, _ in some]), np.concatenate([b.astype(np.int16) for _, b in some])
 
     def project(self, w: dict, x: np.ndarray):
         uniq, back = np.unique(x.T, return_inverse=True)
@@ -187,21 +190,19 @@ class Windows:
     def hints(self, y: np.ndarray) -> np.ndarray:
         """First guess of each window's logit: the largest log odds of a word or a trigram in it,
         by the documents that hold it."""
-        def odds(keys: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            pairs = np.unique(np.column_stack([keys, bags]), axis=0)
-            width = int(keys.max(initial=0)) + 1
-            has = [np.bincount(pairs[y[pairs[:, 1]] == k, 0], minlength=width) for k in (0, 1)]
-            n = [max(1, int((y == k).sum())) for k in (0, 1)]
-            return np.log((has[1] + 0.2) / n[1]) - np.log((has[0] + 0.2) / n[0]), has[1]
-        bags = np.repeat(self.bag, WINDOW)
-        cells = self.x.ravel()
-        word, seen = odds(cells[cells > 0], bags[cells > 0])
-        word = np.append(np.where(seen > 1, word, -9), np.full(len(self.ids), -9))[:len(self.ids)]
-        which, place = np.nonzero(self.grams[cells])
-        gram, seen = odds(self.grams[cells][which, place], bags[which])
-        gram = np.append(np.where(seen > 1, gram, -9), np.full(GRAMS, -9))[:GRAMS]
+        n = [max(1, int((y == k).sum())) for k in (0, 1)]
+
+        def odds(has: list[np.ndarray]) -> np.ndarray:
+            return np.where(has[1] > 1, np.log((has[1] + 0.2) / n[1]) - np.log((has[0] + 0.2) / n[0]), -9)
+        pairs = np.unique(self.x.astype(np.int64) * len(y) + self.bag[:, None])
+        word, bag = pairs // len(y), pairs % len(y)
+        own = odds([np.bincount(word[y[bag] == k], minlength=len(self.ids)) for k in (0, 1)])
+        seen = np.zeros((GRAMS, len(y)), bool)
+        for k in range(PIECE):
+            seen[self.grams[word, k], bag] = True
+        gram = odds([seen[:, y == k].sum(1) for k in (0, 1)])
         gram[0] = -9
-        best = np.maximum(word, gram[self.grams].max(1))
+        best = np.maximum(own, gram[self.grams].max(1))
         best[0] = -9
         return best[self.x].max(1)
 
@@ -212,9 +213,9 @@ class Windows:
 
 
 def train(windows: Windows, y: np.ndarray, seed: int = 7, size: int = 128, least_steps: int = 400, rounds: int = 8,
-          more: int = 3, drop: float = 0.1, decay: float = 0.02) -> dict[str, np.ndarray]:
+          more: int = 1, drop: float = 0.0, decay: float = 0.0) -> dict[str, np.ndarray]:
     """Adam on each bag's most toxic window (in the first two rounds by ``hints``) and on clean
-    windows at random, with dropped inputs and decaying embeddings."""
+    windows at random, optionally with dropped inputs and decaying embeddings."""
     w, r = start(seed), np.random.default_rng(seed)
     one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
@@ -300,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = SAMPLE_DOCS) -
     else:
         learn = Windows([[bytes(x).split() for x in r["windows"]] for r, t in zip(found, test, strict=True) if not t])
         w = train(learn, y[~test])
+        del learn
     logits = every.logits(w)
     top, n = logits[every.tops(logits)][test], np.array([r["n"] for r in found], float)[test]
     has = {k: max(1, int((y == k).sum())) for k in (0, 1)}
