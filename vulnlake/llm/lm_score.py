@@ -17,13 +17,15 @@ in the task; all other words of a document go through a join with the table of c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ BASE = 1.5  # of the logarithm that quantises counts
 ENTRY_BITS = 10
 PROBES = 4
 MOST_BYTES = 256 << 20
-HEAD = 1 << 19
+HEAD = 1 << 18
 BUCKET_BYTES = 8 << 20
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 1.0)  # tried for the lower order
 END = b"\n"  # no word holds white space
-CHUNK = 1 << 22
+CHUNK = 16 << 20  # bytes of text worked on at once
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -49,61 +51,52 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Hasher:
-    """64-bit hashes of tokens, remembered for one task up to a bound."""
+class Vocabulary:
+    """Numbers of the words that a task has met, with their 64-bit hashes; emptied beyond a bound."""
 
     def __init__(self, most: int = 1 << 20):
-        self.known: dict[bytes, int] = {}
         self.most = most
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """Hashes of the words of a text (A-Z lower-cased, split at white space) and of its end."""
-        words = text.translate(LOWER).split()
-        words.append(END)
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def words_of(tokens: np.ndarray) -> np.ndarray:
-    """1-grams: what the table of word counts is keyed by."""
-    return mix(tokens + np.uint64(1))
-
-
-def ngrams(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams that end at each token, orders 1 .. ``order``; at a text's start the
-    history is cut, so an order there repeats the n-gram with fewer words, marked by its order."""
-    out, run = [words_of(tokens)], tokens
-    first = np.zeros(len(tokens), np.int64)
-    first[starts] = np.arange(len(tokens))[starts]
-    since = np.arange(len(tokens)) - np.maximum.accumulate(first)
-    for n in range(2, order + 1):
-        back = np.zeros(len(tokens), np.uint64)
-        back[n - 1:] = tokens[:len(tokens) - n + 1]
-        back[since < n - 1] = 0  # no such word: the text starts later
-        run = mix(run * _M1 + back)
-        out.append(mix(run + np.uint64(n)))
-    return out
-
-
-def histories(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray | None]:
-    """Hashes of the (n-1)-gram before each token for orders 2 .. ``order``, under the same
-    scheme as an n-gram that ends one token earlier; 0 where a text starts."""
-    grams = ngrams(tokens, starts, order - 1) if order > 1 else []
-    out: list[np.ndarray | None] = [None]
-    for g in grams:
-        h = np.zeros(len(tokens), np.uint64)
-        h[1:] = g[:-1]
-        h[starts] = 0
-        out.append(h)
-    return out
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, np.uint64)  # of 1-grams
+
+    @property
+    def full(self) -> bool:
+        return len(self.number) > self.most
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of all tokens end to end, first token of each text, tokens of each text).
+        Tokens are the words of a text (A-Z lower-cased, split at white space) and its end."""
+        number, out = self.number, []
+        for text in texts:
+            words = text.translate(LOWER).split()
+            words.append(END)
+            try:
+                out.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            except KeyError:
+                out.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+        have = len(self.hashes)
+        if have < len(number):
+            new = [xxhash.xxh3_64_intdigest(w) for w in islice(number, have, None)]
+            self.hashes = np.concatenate([self.hashes, words_of(np.array(new, np.uint64))])
+        size = np.array([len(x) for x in out])
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(size)[:-1]]), size
+
+
+def words_of(hashes: np.ndarray) -> np.ndarray:
+    """1-gram hashes: what the table of word counts is keyed by."""
+    return mix(hashes + np.uint64(1))
+
+
+def longer(grams: np.ndarray, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that end at each token, from those of order n-1 (``grams``) and the
+    1-grams (``words``).  At a text's start the history is empty."""
+    before = np.zeros(len(grams), np.uint64)
+    before[1:] = grams[:-1]
+    before[starts] = 0
+    return mix(before * _M1 + words + np.uint64(n))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -126,9 +119,13 @@ def positions(h: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
         yield ((a + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)
 
 
-def build(h: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
-    """One bucket's part of the filter."""
-    q = levels(counts)
+def spare(n: int, least: int) -> int:
+    """Levels that no stored n-gram of this order lacks, and that are therefore not stored."""
+    return int(levels(np.array([least]))[0]) - 1 if n > 1 else 0
+
+
+def build(h: np.ndarray, q: np.ndarray, most_bytes: int) -> bytes:
+    """One bucket's part of the filter, from hashes and levels."""
     bits = int(min(max(64, q.sum() * ENTRY_BITS), most_bytes * 8, (1 << 32) - 64)) + 7 & ~7
     on = np.zeros(bits, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
@@ -142,6 +139,7 @@ class Model:
     """What a task needs: the filter's parts end to end, and the counts of the head words."""
 
     order: int
+    least: int
     buckets: int
     filter: np.ndarray  # bytes
     offset: np.ndarray  # of each bucket's part, in bytes
@@ -150,54 +148,73 @@ class Model:
     head_counts: np.ndarray
     total: int
     distinct: int
-    lower: list[np.ndarray | None] = field(default_factory=list)  # by order: share of the next lower order, by the history's level
 
     def level(self, h: np.ndarray, n: int) -> np.ndarray:
         """The level that each n-gram of order ``n`` was stored with (0: never seen)."""
         bucket = (n - 1) * self.buckets + (h >> np.uint64(40)).astype(np.int64) % self.buckets
+        live = np.arange(len(h))
         offset, bits = self.offset[bucket], self.bits[bucket].astype(np.uint64)
-        out = np.zeros(len(h), np.int64)
-        live = np.flatnonzero(bits > 0)
-        for level in range(1, len(COUNT_OF)):
-            a = mix(h[live] + SALTS[level])
+        out, above = np.zeros(len(h), np.int64), spare(n, self.least)
+        if len(h) and not bits.all():
+            live = np.flatnonzero(bits > 0)
+            h, offset, bits = h[live], offset[live], bits[live]
+        for level in range(1, len(COUNT_OF) - above):
+            a = mix(h + SALTS[level])
             step = (a >> np.uint64(32)) | np.uint64(1)
             for i in range(PROBES):
-                p = ((a + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * bits[live] >> np.uint64(32)
-                hit = self.filter[offset[live] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0
-                live, a, step = live[hit], a[hit], step[hit]
-            out[live] = level
+                p = ((a + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
+                hit = np.flatnonzero(self.filter[offset + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1)
+                if len(hit) < len(live):
+                    live, h, offset, bits, a, step = live[hit], h[hit], offset[hit], bits[hit], a[hit], step[hit]
+            out[live] = level + above
             if not len(live):
                 break
         return out
 
-    def count(self, h: np.ndarray, n: int) -> np.ndarray:
-        return COUNT_OF[self.level(h, n)]
-
-    def seen(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Levels of the n-gram that ends at each token and of its history (0 at a text's start,
-        where only lower orders speak).  Distinct n-grams are probed once."""
-        grams = ngrams(tokens, starts, n)[-1]
-        uniq, back = np.unique(grams, return_inverse=True)
-        of_gram = self.level(uniq, n)[back]
-        history = histories(tokens, starts, n)[-1]
-        uniq, back = np.unique(history, return_inverse=True)
-        of_history = self.level(uniq, n - 1)[back]
-        of_history[history == 0] = 0
-        return of_gram, of_history
-
-    def lowest(self, tokens: np.ndarray) -> np.ndarray:
-        uniq, back = np.unique(words_of(tokens), return_inverse=True)
-        c = COUNT_OF[self.level(uniq, 1)][back]
-        return (np.minimum(c, self.total) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
-    def probabilities(self, tokens: np.ndarray, starts: np.ndarray, upto: int) -> np.ndarray:
-        """Smoothed probability of each token after its history, of order ``upto``."""
-        p = self.lowest(tokens)
+
+class Reader:
+    """Probabilities of texts under a model, in one task; what single words need is kept."""
+
+    def __init__(self, model: Model, lower: list):
+        self.model, self.lower = model, lower  # share of the next lower order, by order and the history's level
+        self.words = Vocabulary()
+        self.level = np.zeros(0, np.int64)
+        self.base = np.zeros(0)  # log10 of the base probability; nan: not among the head words
+
+    def read(self, texts: list[bytes]):
+        """(numbers, starts, sizes, levels of the 1-grams) of texts."""
+        m = self.model
+        if self.words.full:
+            self.words.reset()
+            self.level, self.base = self.level[:0], self.base[:0]
+        tokens, starts, size = self.words.read(texts)
+        new = self.words.hashes[len(self.level):]
+        self.level = np.concatenate([self.level, m.level(new, 1)])
+        base = np.full(len(new), np.nan)
+        if len(m.head):
+            at = np.minimum(np.searchsorted(m.head, new), len(m.head) - 1)
+            ok = m.head[at] == new
+            base[ok] = np.log10((m.head_counts[at[ok]] + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
+        self.base = np.concatenate([self.base, base])
+        return tokens, starts, size, self.level[tokens]
+
+    def probabilities(self, tokens: np.ndarray, starts: np.ndarray, level: np.ndarray, upto: int):
+        """(smoothed probability of each token after its history of order ``upto``; that order's
+        n-gram levels; their histories' levels)."""
+        m = self.model
+        p = ((np.minimum(COUNT_OF, m.total) + 0.5) / (m.total + 0.5 * (m.distinct + 1)))[level]
+        words = self.words.hashes[tokens]
+        grams, of_gram, of_history = words, level, level
         for n in range(2, upto + 1):
-            of_gram, of_history = self.seen(tokens, starts, n)
-            share = self.lower[n][of_history]
-            p = (1 - share) * ratio(COUNT_OF[of_gram], COUNT_OF[of_history]) + share * p
-        return p
+            of_history = np.zeros(len(tokens), np.int64)
+            of_history[1:] = of_gram[:-1]
+            of_history[starts] = 0  # at a text's start only lower orders speak
+            grams = longer(grams, words, starts, n)
+            of_gram = m.level(grams, n)
+            if n < upto or len(self.lower) > n:
+                share = self.lower[n][of_history]
+                p = (1 - share) * ratio(COUNT_OF[of_gram], COUNT_OF[of_history]) + share * p
+        return p, of_gram, of_history
 
 
 def ratio(c: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -215,22 +232,32 @@ def count_ngrams(docs: DataFrame, order: int, buckets: int, most_bytes: int, lea
 
     Order 1 carries its exact counts; every row carries its part of the filter.  N-grams of two
     words and more enter the filter from ``least`` occurrences."""
+    schema = pa.schema([("n", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def send(n: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        where = (h >> np.uint64(40)).astype(np.int64) % buckets
+        by = np.argsort(where, kind="stable")
+        h, c = h[by], c[by].astype("<u4")
+        edges = np.searchsorted(where[by], np.arange(buckets + 1))
+        full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+        return batch(schema, [n] * len(full), full, [h[edges[b]:edges[b + 1]].tobytes() for b in full],
+                     [c[edges[b]:edges[b + 1]].tobytes() for b in full])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("n", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-        hasher = Hasher()
-        texts = (hasher(t) for (t,) in rows(batches))
-        for group in grouped(texts, len, CHUNK):
-            tokens = np.concatenate(group)
-            starts = np.concatenate([[0], np.cumsum([len(g) for g in group])[:-1]])
-            for n, grams in enumerate(ngrams(tokens, starts, order), 1):
-                h, c = np.unique(grams, return_counts=True)
-                where = (h >> np.uint64(40)).astype(np.int64) % buckets
-                by = np.argsort(where, kind="stable")
-                h, c, where = h[by], c[by].astype("<u4"), where[by]
-                edges = np.searchsorted(where, np.arange(buckets + 1))
-                full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-                yield batch(schema, [n] * len(full), full, [h[edges[b]:edges[b + 1]].tobytes() for b in full],
-                            [c[edges[b]:edges[b + 1]].tobytes() for b in full])
+        words, seen = Vocabulary(), np.zeros(0, np.int64)
+        for group in grouped((t for (t,) in rows(batches)), lambda t: len(t) + 8, CHUNK):
+            tokens, starts, _ = words.read(group)
+            seen = np.bincount(tokens, minlength=len(words.hashes)) + np.pad(seen, (0, len(words.hashes) - len(seen)))
+            single = grams = words.hashes[tokens]
+            for n in range(2, order + 1):
+                grams = longer(grams, single, starts, n)
+                yield send(n, *np.unique(grams, return_counts=True))
+            if words.full:
+                yield send(1, words.hashes, seen)
+                words.reset()
+                seen = seen[:0]
+        if len(seen):
+            yield send(1, words.hashes, seen)
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         n, bucket = key
@@ -242,7 +269,7 @@ def count_ngrams(docs: DataFrame, order: int, buckets: int, most_bytes: int, lea
         h, c = h[first], np.add.reduceat(c, first)
         keep = c >= (1 if n == 1 else least)
         exact = n == 1
-        return pd.DataFrame({"n": [n], "bucket": [bucket], "part": [build(h[keep], c[keep], max(8, most_bytes // (order * buckets)))],
+        return pd.DataFrame({"n": [n], "bucket": [bucket], "part": [build(h[keep], levels(c[keep]) - spare(n, least), max(8, most_bytes // (order * buckets)))],
                              "hashes": [h.tobytes() if exact else b""], "counts": [c.astype("<i8").tobytes() if exact else b""],
                              "total": [int(c.sum())], "distinct": [len(h)]})
     return (docs.select(raw_text().alias("text")).mapInArrow(local, "n int, bucket long, hashes binary, counts binary")
@@ -255,49 +282,61 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], schema=schema)
 
 
-def fit(docs: DataFrame, order: int = ORDER, most_bytes: int = MOST_BYTES, head: int = HEAD, least: int = 2) -> tuple[Model, DataFrame]:
-    """Model of ``docs`` (``text``), and the table (word hash, count) of all words.
+@dataclass
+class Fitted:
+    sent: Broadcast  # of the Model
+    lower: list
+    words: DataFrame  # (word hash, count) of all words
+    total: int
+    distinct: int
+
+
+def fit(docs: DataFrame, order: int = ORDER, most_bytes: int = MOST_BYTES, head: int = HEAD, least: int = 2) -> Fitted:
+    """Model of ``docs`` (``text``).
 
     Counts cover all rows; a null text counts as an empty one, which is one end token."""
     buckets = bucket_count(docs)
     parts = stage_table(count_ngrams(docs, order, buckets, most_bytes, least), "ngrams")
     words = parts.where(F.col("n") == 1).select("hashes", "counts").mapInArrow(unpack, "word long, count long")
     sums = parts.where(F.col("n") == 1).agg(F.sum("total"), F.sum("distinct")).first()
-    top = words.orderBy(F.desc("count"), "word").limit(head).toPandas()
+    top = words.orderBy(F.desc("count"), "word").limit(head).select("word", "count").toPandas()
     h, c = top["word"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     by = np.argsort(h)
-    # each order's part of a bucket is its own; the bucket number of order n is (n - 1) * buckets + bucket
-    found = parts.select("n", "bucket", "part").collect()
+    # order n's part of a bucket is number (n - 1) * buckets + bucket
+    place = (F.col("n") - 1) * buckets + F.col("bucket")
     size = np.zeros(order * buckets, np.int64)
-    for r in found:
-        size[(r["n"] - 1) * buckets + r["bucket"]] = len(r["part"])
+    for r in parts.select(place.alias("k"), F.octet_length("part").alias("size")).collect():
+        size[r["k"]] = r["size"]
     offset = np.concatenate([[0], np.cumsum(size)])
     bits = np.empty(int(offset[-1]), np.uint8)
-    for r in found:
-        k = (r["n"] - 1) * buckets + r["bucket"]
-        bits[offset[k]:offset[k + 1]] = np.frombuffer(r["part"], np.uint8)
-    model = Model(order, buckets, bits, offset[:-1], size * 8, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0), [None, None])
+    for r in parts.select(place.alias("k"), "part").toLocalIterator():  # one partition in the driver at a time
+        bits[offset[r["k"]]:offset[r["k"] + 1]] = np.frombuffer(r["part"], np.uint8)
+    model = Model(order, least, buckets, bits, offset[:-1], size * 8, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    lower: list = [None, None]
     for n in range(2, order + 1):
-        model.lower.append(shares(docs, model, n, least))
-    return model, words
+        lower.append(shares(docs, sent, lower, n, least))
+    return Fitted(sent, lower, words, model.total, model.distinct)
 
 
-def shares(docs: DataFrame, model: Model, n: int, least: int) -> np.ndarray:
+def shares(docs: DataFrame, sent: Broadcast, lower: list, n: int, least: int) -> np.ndarray:
     """Best share of order n-1 by level of the history, over all training texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     width = len(COUNT_OF)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher, sums = sent.value, Hasher(), np.zeros((len(SHARES), width))
-        for group in grouped((hasher(t) for (t,) in rows(batches)), len, 1 << 20):
-            tokens = np.concatenate(group)
-            starts = np.concatenate([[0], np.cumsum([len(g) for g in group])[:-1]])
-            below = m.probabilities(tokens, starts, n - 1)
-            of_gram, of_history = m.seen(tokens, starts, n)
+        reader, sums = Reader(sent.value, lower), np.zeros((len(SHARES), width))
+        for group in grouped((t for (t,) in rows(batches)), lambda t: len(t) + 8, CHUNK // 2):
+            tokens, starts, _, level = reader.read(group)
+            below, of_gram, of_history = reader.probabilities(tokens, starts, level, n)
             c = COUNT_OF[of_gram] - 1
             own = ratio(np.where(c >= least, c, 0), COUNT_OF[of_history] - 1)
+            # where the order has seen nothing, the share is a plain factor of the lower order
+            none = own == 0
+            alone = np.bincount(of_history[none], np.log(below[none]), width)
+            times = np.bincount(of_history[none], minlength=width)
+            own, below, at = own[~none], below[~none], of_history[~none]
             for k, s in enumerate(SHARES):
-                sums[k] += np.bincount(of_history, np.log((1 - s) * own + s * below), width)
+                sums[k] += alone + times * np.log(s) + np.bincount(at, np.log((1 - s) * own + s * below), width)
         k, q = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(q), pa.array(sums[k, q])], names=["k", "q", "s"])
     found = (docs.select(raw_text().alias("text")).mapInArrow(work, "k long, q long, s double")
@@ -316,36 +355,34 @@ SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa
 SCORED_SQL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<word: long, times: long>>"
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of
     ``docs`` (doc_id, text, held_out).
 
     ``score`` is the model's log10 probability of the whole text with its end.  A null or empty
     text is its end alone.  With no training rows, every count is 0.  Repeated rows are each
     scored; ids may be null; other columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    divisor = model.total + 0.5 * (model.distinct + 1)
+    sent, lower, words = fitted.sent, fitted.lower, fitted.words
+    divisor = fitted.total + 0.5 * (fitted.distinct + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher, part, at = sent.value, Hasher(), TaskContext.get().partitionId() << 40, 0
-        hashed = ((d, o, hasher(t)) for d, t, o in rows(batches))
-        for group in grouped(hashed, lambda r: len(r[2]) + 50, 1 << 20):
-            tokens = np.concatenate([r[2] for r in group])
-            size = np.array([len(r[2]) for r in group])
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            logs = np.add.reduceat(np.log10(m.probabilities(tokens, starts, m.order)), starts)
-            tokens = words_of(tokens)
-            at_head = np.minimum(np.searchsorted(m.head, tokens), max(0, len(m.head) - 1))
-            in_head = m.head[at_head] == tokens if len(m.head) else np.zeros(len(tokens), bool)
-            base = np.zeros(len(tokens))
-            base[in_head] = np.log10((m.head_counts[at_head[in_head]] + 0.5) / divisor)
-            known, base = np.add.reduceat(in_head.astype(np.int64), starts), np.add.reduceat(base, starts)
+        reader, part, at = Reader(sent.value, lower), TaskContext.get().partitionId() << 40, 0
+        for group in grouped(rows(batches), lambda r: len(r[1]) + 8, CHUNK // 2):
+            ids, texts, held = zip(*group, strict=True)
+            tokens, starts, size, level = reader.read(list(texts))
+            p, _, _ = reader.probabilities(tokens, starts, level, reader.model.order)
+            base = reader.base[tokens]
+            unknown = np.isnan(base)
+            known = np.add.reduceat((~unknown).astype(np.int64), starts)
             rest = []
-            for s, n in zip(starts, size, strict=True):
-                w, t = np.unique(tokens[s:s + n][~in_head[s:s + n]].view(np.int64), return_counts=True)
+            for s, n, k in zip(starts.tolist(), size.tolist(), known.tolist(), strict=True):
+                if k == n:
+                    rest.append([])
+                    continue
+                w, t = np.unique(reader.words.hashes[tokens[s:s + n][unknown[s:s + n]]].view(np.int64), return_counts=True)
                 rest.append([{"word": x, "times": y} for x, y in zip(w.tolist(), t.tolist(), strict=True)])
-            yield batch(SCORED, [part + at + i for i in range(len(group))], [r[0] for r in group], [r[1] for r in group], size.tolist(),
-                        known.tolist(), base.tolist(), logs.tolist(), rest)
+            yield batch(SCORED, [part + at + i for i in range(len(group))], ids, held, size.tolist(), known.tolist(),
+                        np.add.reduceat(np.where(unknown, 0, base), starts).tolist(), np.add.reduceat(np.log10(p), starts).tolist(), rest)
             at += len(group)
     scored = stage_table(docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"), "held_out").mapInArrow(work, SCORED_SQL), "scored")
     rest = scored.select("row", F.inline("rest")).join(words, "word", "left")
@@ -354,5 +391,5 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                                    F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
     out = scored.drop("rest").join(rest, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-                      F.lit(model.total).cast("long").alias("train_tokens"),
+                      F.lit(fitted.total).cast("long").alias("train_tokens"),
                       (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
