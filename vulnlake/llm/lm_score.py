@@ -36,12 +36,15 @@ BASE = 1.5  # of the logarithm that quantises counts
 ENTRY_BITS = 10
 PROBES = 4
 MOST_BYTES = 256 << 20
-HEAD = 1 << 18
+HEAD = 1 << 17
 BUCKET_BYTES = 8 << 20
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 1.0)  # tried for the lower order
 END = b"\n"  # no word holds white space
-CHUNK = 16 << 20  # bytes of text worked on at once
+CHUNK = 6 << 20  # bytes of text worked on at once
 
+BLOCK = 1 << 15
+
+_ONE, _SIX = np.uint64(1), np.uint64(63)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,15 +54,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Numbers(dict):
+    """The next free number for each new word."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Vocabulary:
     """Numbers of the words that a task has met, with their 64-bit hashes; emptied beyond a bound."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 18):
         self.most = most
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.hashes = np.zeros(0, np.uint64)  # of 1-grams
 
     @property
@@ -73,10 +84,7 @@ class Vocabulary:
         for text in texts:
             words = text.translate(LOWER).split()
             words.append(END)
-            try:
-                out.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                out.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+            out.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
         have = len(self.hashes)
         if have < len(number):
             new = [xxhash.xxh3_64_intdigest(w) for w in islice(number, have, None)]
@@ -111,12 +119,14 @@ COUNT_OF = np.array([0.0, *[float(np.flatnonzero(_LEVEL_OF == q).mean() + 1) if
 SALTS = [np.uint64(q * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for q in range(len(COUNT_OF))]
 
 
-def positions(h: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """The filter bits of an entry (hash, level)."""
+def place(h: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit word, bits set in it) of an entry (hash, level): one memory access answers all
+    probes of the entry."""
     a = mix(h + SALTS[level])
-    step = (a >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((a + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)
+    bits = _ONE << (a & _SIX)
+    for i in range(1, PROBES):
+        bits |= _ONE << ((a >> np.uint64(6 * i)) & _SIX)
+    return ((a >> np.uint64(32)) * words >> np.uint64(32)).astype(np.int64), bits
 
 
 def spare(n: int, least: int) -> int:
@@ -126,12 +136,11 @@ def spare(n: int, least: int) -> int:
 
 def build(h: np.ndarray, q: np.ndarray, most_bytes: int) -> bytes:
     """One bucket's part of the filter, from hashes and levels."""
-    bits = int(min(max(64, q.sum() * ENTRY_BITS), most_bytes * 8, (1 << 32) - 64)) + 7 & ~7
-    on = np.zeros(bits, bool)
+    words = int(min(max(1, -(-int(q.sum()) * ENTRY_BITS // 64)), max(1, most_bytes // 8), (1 << 32) - 1))
+    out = np.zeros(words, np.uint64)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for p in positions(h[q >= level], level, bits):
-            on[p] = True
-    return np.packbits(on, bitorder="little").tobytes()
+        np.bitwise_or.at(out, *place(h[q >= level], level, np.uint64(words)))
+    return out.astype("<u8").tobytes()
 
 
 @dataclass
@@ -141,9 +150,9 @@ class Model:
     order: int
     least: int
     buckets: int
-    filter: np.ndarray  # bytes
-    offset: np.ndarray  # of each bucket's part, in bytes
-    bits: np.ndarray  # of each bucket's part
+    filter: np.ndarray  # 64-bit words
+    offset: np.ndarray  # of each bucket's part, in words
+    words: np.ndarray  # of each bucket's part
     head: np.ndarray  # sorted word hashes
     head_counts: np.ndarray
     total: int
@@ -151,25 +160,23 @@ class Model:
 
     def level(self, h: np.ndarray, n: int) -> np.ndarray:
         """The level that each n-gram of order ``n`` was stored with (0: never seen)."""
+        out = np.zeros(len(h), np.int64)
+        for at in range(0, len(h), BLOCK):  # blocks that stay in the processor's cache
+            self._level(h[at:at + BLOCK], n, out[at:at + BLOCK])
+        return out
+
+    def _level(self, h: np.ndarray, n: int, out: np.ndarray) -> None:
         bucket = (n - 1) * self.buckets + (h >> np.uint64(40)).astype(np.int64) % self.buckets
-        live = np.arange(len(h))
-        offset, bits = self.offset[bucket], self.bits[bucket].astype(np.uint64)
-        out, above = np.zeros(len(h), np.int64), spare(n, self.least)
-        if len(h) and not bits.all():
-            live = np.flatnonzero(bits > 0)
-            h, offset, bits = h[live], offset[live], bits[live]
+        live = np.flatnonzero(self.words[bucket])
+        h, offset, words = h[live], self.offset[bucket[live]], self.words[bucket[live]].astype(np.uint64)
+        above = spare(n, self.least)
         for level in range(1, len(COUNT_OF) - above):
-            a = mix(h + SALTS[level])
-            step = (a >> np.uint64(32)) | np.uint64(1)
-            for i in range(PROBES):
-                p = ((a + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
-                hit = np.flatnonzero(self.filter[offset + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1)
-                if len(hit) < len(live):
-                    live, h, offset, bits, a, step = live[hit], h[hit], offset[hit], bits[hit], a[hit], step[hit]
-            out[live] = level + above
             if not len(live):
                 break
-        return out
+            at, bits = place(h, level, words)
+            hit = np.flatnonzero(self.filter[offset + at] & bits == bits)
+            live, h, offset, words = live[hit], h[hit], offset[hit], words[hit]
+            out[live] = level + above
 
 
 class Reader:
@@ -306,12 +313,12 @@ def fit(docs: DataFrame, order: int = ORDER, most_bytes: int = MOST_BYTES, head:
     place = (F.col("n") - 1) * buckets + F.col("bucket")
     size = np.zeros(order * buckets, np.int64)
     for r in parts.select(place.alias("k"), F.octet_length("part").alias("size")).collect():
-        size[r["k"]] = r["size"]
+        size[r["k"]] = r["size"] // 8
     offset = np.concatenate([[0], np.cumsum(size)])
-    bits = np.empty(int(offset[-1]), np.uint8)
+    bits = np.empty(int(offset[-1]), np.uint64)
     for r in parts.select(place.alias("k"), "part").toLocalIterator():  # one partition in the driver at a time
-        bits[offset[r["k"]]:offset[r["k"] + 1]] = np.frombuffer(r["part"], np.uint8)
-    model = Model(order, least, buckets, bits, offset[:-1], size * 8, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0))
+        bits[offset[r["k"]]:offset[r["k"] + 1]] = np.frombuffer(r["part"], "<u8")
+    model = Model(order, least, buckets, bits, offset[:-1], size, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lower: list = [None, None]
     for n in range(2, order + 1):
