@@ -9,8 +9,10 @@
    no list is gathered whole.
 4. In a work item a signature tree holds the classes: every node has the OR of its classes'
    shingle bitmaps and their size range.  A dual traversal drops node pairs whose largest
-   possible overlap or size ratio is too small, and those whose classes are all connected
-   already; what is left at the leaves is compared exactly.
+   possible overlap or size ratio is too small.  It runs twice: over bitmaps alone, which
+   leaves the classes that may have a partner, and over those with their shingles, where node
+   pairs whose classes are all connected already are dropped too and what is left at the
+   leaves is compared exactly.
 5. Links form components (smallest class key, label propagation over the links alone).
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ CELLS = 1 << 21
 CELL_BLOCK = 1 << 14
 BLOCK = 1024
 LEAF = 8
+CHUNK = 4 << 20
+TOKEN_CELLS, TOKEN_BLOCKS = 1 << 24, 1 << 10
 MARKS = 1 << 22
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -46,24 +51,31 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for one task up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 19:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-def shingles(text: bytes, words: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``words`` words (A-Z lower-cased, split at
-    white space); a shorter text is one run; no word, no run."""
-    w = text.translate(LOWER).split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-    run = min(words, len(w))
-    out = h[:len(h) - run + 1]
-    for k in range(1, run):
-        out = mix(out * _M1 + h[k:len(h) - run + 1 + k])
-    return np.unique(out + np.uint64(run))
+def shingle_sets(texts: Iterator[tuple], words: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(row, sorted distinct 64-bit hashes of the runs of ``words`` words) of each row, whose last
+    item is the text (A-Z lower-cased, split at white space).  A shorter text is one run; no word,
+    no run.  Hashes of about ``CHUNK`` bytes of text are combined at once."""
+    known = WordHashes()
+    for group in grouped(texts, lambda r: len(r[-1]) + 64, CHUNK):
+        split = [r[-1].translate(LOWER).split() for r in group]
+        size = [len(w) for w in split]
+        h = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, sum(size))
+        del split
+        runs, out = h, [h]
+        for k in range(1, words):
+            runs = mix(runs[:-1] * _M1 + h[k:]) if len(h) > k else runs[:0]
+            out.append(runs)
+        at = 0
+        for row, n in zip(group, size, strict=True):
+            run = min(words, n)
+            yield row, np.unique(out[run - 1][at:at + n - run + 1] + np.uint64(run)) if n else np.zeros(0, np.uint64)
+            at += n
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -80,17 +92,14 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     """Level (about four a doubling) of how many sets fall on each cell."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-        known, total, seen = WordHashes(), np.zeros(CELLS, np.int64), set()
-        for (text,) in rows(batches):
-            s = shingles(text, words, known)
+        total, seen = np.zeros(CELLS, np.int64), set()
+        for _, s in shingle_sets(rows(batches), words):
             if not len(s) or (key := set_key(s)) in seen:
                 continue  # a copy that this task has counted
             if len(seen) > 1 << 17:
                 seen.clear()
             seen.add(key)
-            total += np.bincount(cells_of(s), minlength=CELLS) if len(s) > CELLS // 8 else 0
-            if len(s) <= CELLS // 8:
-                np.add.at(total, cells_of(s), 1)
+            np.add.at(total, cells_of(s), 1)
         blocks = [total[i:i + CELL_BLOCK] for i in range(0, CELLS, CELL_BLOCK)]
         full = [i for i, b in enumerate(blocks) if b.any()]
         yield batch(schema, full, [np.minimum(blocks[i], 65535).astype("<u2").tobytes() for i in full])
@@ -113,18 +122,24 @@ def prefix(s: np.ndarray, level: np.ndarray, least: Fraction) -> np.ndarray:
     return s[np.argsort(level[cells_of(s)], kind="stable")[:size]]
 
 
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set of ``n``: a power of two, at least twice ``n``, within bounds."""
+    return 1 << min(max((2 * n - 1).bit_length(), 8), 16)
+
+
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    """Bytes with a bit for each shingle's hash modulo ``width``."""
+    out = np.zeros(width, bool)
+    out[((s >> np.uint64(7)) % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little")
+
+
 class Tree:
     """Signature tree over classes sorted by size; level 0 are the classes, each node above
     covers up to ``LEAF`` of the level below."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets], np.int64)
-        width = 1 << int(np.clip(2 * int(size.max()) - 1, 255, 8191)).bit_length()
-        maps = np.zeros((len(sets), width // 8), np.uint8)
-        for i, s in enumerate(sets):
-            bit = np.unique((s >> np.uint64(7)) % np.uint64(width))
-            np.bitwise_or.at(maps[i], (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-        maps = maps.view(np.uint64)
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
+        maps = np.ascontiguousarray(maps).view(np.uint64)
         spare = size - np.bitwise_count(maps).sum(1, dtype=np.int64)  # shingles beyond one a bit
         self.levels = [(maps, size, size, spare)]
         while len(self.levels[-1][0]) > 1:
@@ -132,6 +147,21 @@ class Tree:
             cut = np.arange(0, len(m), LEAF)
             self.levels.append((np.bitwise_or.reduceat(m, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(more, cut)))
 
+    def below(self, level: int, i: int, j: int, least: float, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children of two nodes that may hold a similar pair (i = j: each pair once)."""
+        n = len(self.levels[level - 1][0])
+        a, b = np.arange(i * LEAF, min((i + 1) * LEAF, n)), np.arange(j * LEAF, min((j + 1) * LEAF, n))
+        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+        if i == j:
+            x, y = x[x <= y], y[x <= y]
+        if level == 1:
+            keep = x != y
+            if side is not None:
+                keep &= side[x] != side[y]
+            x, y = x[keep], y[keep]
+        ok = self.possible(level - 1, x, y, least)
+        return x[ok], y[ok]
+
     def possible(self, level: int, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
         """Can a class under node i and one under node j be similar?  An overlap has at most the
         common bits plus the smaller surplus, and at most the smaller set."""
@@ -150,92 +180,155 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return least.denominator * both >= least.numerator * (len(a) + len(b) - both)
 
 
+def connected(label: np.ndarray, level: int, i: int, j: int) -> bool:
+    """Do all classes under two nodes have one label?"""
+    w = LEAF**level
+    a, b = label[i * w:(i + 1) * w], label[j * w:(j + 1) * w]
+    return a[0] == b[0] and bool((a == a[0]).all()) and bool((b == a[0]).all())
+
+
+def candidates(maps: list[bytes], size: np.ndarray, least: Fraction, side: np.ndarray | None = None) -> np.ndarray:
+    """Which classes may have a similar one, by bitmaps alone.
+
+    Bitmaps are as wide as sets are large; similar sets have equal widths or neighbouring ones, so
+    a tree holds the classes of one width and, folded to it, those of the next that are near
+    enough in size."""
+    out, width = np.zeros(len(size), bool), np.array([len(m) for m in maps])
+    for w in np.unique(width).tolist():
+        own = width == w
+        near = np.flatnonzero(own | (width == 2 * w) & (size * float(least) <= size[own].max() + 1e-6))
+        data = np.array([np.frombuffer(maps[i][:w], np.uint8) | np.frombuffer(maps[i][-w:], np.uint8) for i in near])
+        out[near[possible_partners(data, size[near], float(least), None if side is None else side[near])]] = True
+    return out
+
+
+def possible_partners(maps: np.ndarray, size: np.ndarray, least: float, side: np.ndarray | None) -> np.ndarray:
+    """Dual traversal over one tree.  Node pairs whose classes are all known to have a possible
+    partner are not opened."""
+    order = np.argsort(size, kind="stable")
+    side = None if side is None else side[order]
+    tree, may = Tree(maps[order], size[order]), np.zeros(len(size), bool)
+    stack = [(len(tree.levels) - 1, 0, 0)]
+    while stack:
+        level, i, j = stack.pop()
+        w = LEAF**level
+        if level == 0 or (may[i * w:(i + 1) * w].all() and may[j * w:(j + 1) * w].all()):
+            continue
+        x, y = tree.below(level, i, j, least, side)
+        if level == 1:
+            may[x] = may[y] = True
+        else:
+            by = np.argsort(x == y, kind="stable")
+            stack.extend((level - 1, p, q) for p, q in zip(x[by].tolist(), y[by].tolist(), strict=True))
+    return order[may]
+
+
 def link(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the similar pairs (positions in ``sets``); with ``side`` (0/1) only pairs
     across the sides are looked at."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable").tolist()
     sets = [sets[i] for i in order]
     side = None if side is None else side[order]
-    tree, label, out, bound = Tree(sets), np.arange(len(sets)), [], float(least)
-    n = len(sets)
-    top = len(tree.levels) - 1
-
-    def one(level: int, i: int, j: int) -> bool:
-        """Are all classes under the two nodes connected already?"""
-        w = LEAF**level
-        a, b = label[i * w:(i + 1) * w], label[j * w:(j + 1) * w]
-        return a[0] == b[0] and (a == a[0]).all() and (b == a[0]).all()
-
-    stack = [(top, 0, 0)]
+    width = width_of(int(size.max()))
+    tree = Tree(np.array([bitmap(s, width) for s in sets]), size[order])
+    label, out = np.arange(len(sets)), []
+    stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
-        if one(level, i, j) and not level == i == j == 0:
-            continue
         if level == 0:
-            if i != j and similar(sets[i], sets[j], least):
+            if label[i] != label[j] and similar(sets[i], sets[j], least):
                 out.append((order[i], order[j]))
                 label[label == label[j]] = label[i]
             continue
-        below = len(tree.levels[level - 1][0])
-        a = np.arange(i * LEAF, min((i + 1) * LEAF, below))
-        b = np.arange(j * LEAF, min((j + 1) * LEAF, below))
-        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        if i == j:
-            x, y = x[x <= y], y[x <= y]
-        if level == 1:
-            keep = x != y
-            if side is not None:
-                keep &= side[x] != side[y]
-            x, y = x[keep], y[keep]
-        ok = tree.possible(level - 1, x, y, bound) if level == 1 else tree.possible(level - 1, x, y, bound) | (x == y)
-        # pairs of a node with itself first: what they connect spares the others
-        x, y = x[ok], y[ok]
+        if connected(label, level, i, j):
+            continue
+        x, y = tree.below(level, i, j, float(least), side)
+        # pairs of a node with itself go last on the stack and come first: what they connect spares the others
         by = np.argsort(x == y, kind="stable")
-        stack.extend((level - 1, int(p), int(q)) for p, q in zip(x[by][::1].tolist(), y[by].tolist(), strict=True))
-    return out if n > 1 else []
+        stack.extend((level - 1, p, q) for p, q in zip(x[by].tolist(), y[by].tolist(), strict=True))
+    return out
 
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-ROWS_SQL = "doc_id long, n long, a long, b long, prefix array<long>"
+ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("prefix", pa.list_(pa.int64())),
+                  ("bits", pa.binary())])
+ROWS_SQL = "doc_id long, n long, a long, b long, prefix array<long>, bits binary"
 
 
 def classes(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """(doc_id, n, a, b, prefix) of every row; a task gives a class's prefix once.  Without words
+    """(doc_id, n, a, b, prefix, bits) of every row; a task gives a class's prefix and bitmap once.  Without words
     n is 0 and the key null."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        def one(row):
-            doc, text = row
-            s = shingles(text, words, known)
+        seen = set()
+        def one(found):
+            (doc, _), s = found
             if not len(s):
-                return doc, 0, None, None, []
+                return doc, 0, None, None, [], None
             key = set_key(s)
-            first = key not in seen
+            if key in seen:
+                return doc, len(s), *key, [], None
             if len(seen) > 1 << 17:
                 seen.clear()
             seen.add(key)
-            return doc, len(s), *key, prefix(s, sent.value, least).view(np.int64) if first else []
-        for group in grouped(map(one, rows(batches)), lambda r: len(r[-1]) + 8, 1 << 18):
+            return doc, len(s), *key, prefix(s, sent.value, least).view(np.int64), bitmap(s, width_of(len(s))).tobytes()
+        for group in grouped(map(one, shingle_sets(rows(batches), words)), lambda r: len(r[4]) + 40, 1 << 18):
             yield batch(ROWS, *zip(*group, strict=True))
     return docs.select("doc_id", "text").mapInArrow(work, ROWS_SQL)
 
 
+def marked(cells: DataFrame, count: int, blocks: int, least: int) -> np.ndarray:
+    """Bitmap of ``count`` cells: those in which some value occurs ``least`` times or more.
+
+    ``cells``: (values array<long>); a value's cell is its bits from the 20th on, modulo
+    ``count``.  Tasks send distinct values with counts as arrays, by block of cells; what
+    reaches the driver is the bitmap."""
+    schema = pa.schema([("block", pa.int32()), ("values", pa.binary()), ("times", pa.binary())])
+    width = count // blocks
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, t = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            where = cell_of(v, count) // width
+            by = np.argsort(where, kind="stable")
+            v, t = v[by], np.minimum(t[by], 65535).astype("<u2")
+            edges = np.searchsorted(where[by], np.arange(blocks + 1))
+            full = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
+            yield batch(schema, full, [v[edges[k]:edges[k + 1]].tobytes() for k in full], [t[edges[k]:edges[k + 1]].tobytes() for k in full])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["values"]])
+        t = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["times"]])
+        v, back = np.unique(v, return_inverse=True)
+        on = np.zeros(width, bool)
+        on[cell_of(v[np.bincount(back, t) >= least], count) % width] = True
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(on).tobytes()]})
+    out = np.zeros(count, bool)
+    found = cells.mapInArrow(local, "block int, values binary, times binary").groupBy("block").applyInPandas(merge, "block int, bits binary")
+    for r in found.collect():
+        out[r["block"] * width:(r["block"] + 1) * width] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out
+
+
+def cell_of(values: np.ndarray, count: int) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(20)).astype(np.int64) % count
+
+
 def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     """(a, b, shingles) once for each class in ``keys`` (a, b).  A bitmap of fixed size drops most
     other documents before the shuffle."""
-    marks = np.zeros(MARKS, bool)
-    marks[[r[0] for r in keys.select(F.pmod("a", F.lit(MARKS)).cast("int")).distinct().collect()]] = True
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
+    sent = docs.sparkSession.sparkContext.broadcast(marked(keys.select(F.array("a").alias("v")), MARKS, 256, 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shingles", pa.binary())])
-        known, seen = WordHashes(), set()
+        seen = set()
         def some():
-            for (text,) in rows(batches):
-                s = shingles(text, words, known)
-                if len(s) and sent.value[(key := set_key(s))[0] % MARKS] and key not in seen:
+            for _, s in shingle_sets(rows(batches), words):
+                if not len(s):
+                    continue
+                key = set_key(s)
+                if key not in seen and sent.value[cell_of(np.array(key[:1], np.int64), MARKS)[0]]:
                     if len(seen) > 1 << 17:
                         seen.clear()
                     seen.add(key)
@@ -246,35 +339,63 @@ def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     return found.join(keys, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
 
 
+def shared_tokens(prefixes: DataFrame) -> DataFrame:
+    """(a, b, token) of prefix shingles, almost only of those that several classes have; a
+    bitmap of fixed size drops most others before the shuffle."""
+    sent = prefixes.sparkSession.sparkContext.broadcast(marked(prefixes.select("prefix"), TOKEN_CELLS, TOKEN_BLOCKS, 2))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64())])
+        for b in batches:
+            size = np.asarray(b.column(2).value_lengths())
+            token = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            on = sent.value[cell_of(token, TOKEN_CELLS)]
+            columns = [np.repeat(b.column(k).to_numpy(), size)[on] for k in (0, 1)] + [token[on]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+    return prefixes.select("a", "b", "prefix").mapInArrow(work, "a long, b long, token long")
+
+
 def work_items(prefixes: DataFrame, block: int) -> DataFrame:
     """(list, i, j, side, a, b): the classes of every work item.  ``i``, ``j``: the two blocks of the list."""
-    tokens = prefixes.select("a", "b", F.explode("prefix").alias("token")).distinct()
+    tokens = stage_table(shared_tokens(prefixes), "tokens")
+    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = stage_table(tokens.join(many, "token"), "shared")
     mark = F.xxhash64("a", "b")
-    lists = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % (1 << 40)).alias("y"))
-             .where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"))
+    once = (shared.groupBy("token", "m").agg(F.bit_xor(mark).alias("x"), F.sum(mark % (1 << 40)).alias("y"))
+            .groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token"))
     parts = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("b", "a"), F.col("parts")).cast("int")
-    rows_ = tokens.join(lists, "token").withColumn("parts", parts).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows_ = rows_.withColumn("other", other)
-    return rows_.select(F.col("token").alias("list"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    every = shared.join(once, "token", "left_semi").withColumn("parts", parts).withColumn("own", own)
+    every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return every.select(F.col("token").alias("list"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "a", "b")
 
 
-def links(docs: DataFrame, prefixes: DataFrame, words: int, least: Fraction, block: int) -> DataFrame:
+def sides(key, table) -> np.ndarray | None:
+    """The block of each class, where a work item has two."""
+    return np.array(table["side"].to_pylist()) if key[1].as_py() != key[2].as_py() else None
+
+
+def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block: int) -> DataFrame:
     """(a1, b1, a2, b2): similar classes, enough of them to connect all that are connected."""
-    items = stage_table(work_items(prefixes, block), "items")
-    sets = sets_of(docs, items.select("a", "b").distinct(), words)
+    one = stage_table(found.where(F.size("prefix") > 0).select("a", "b", "n", "prefix", "bits").dropDuplicates(["a", "b"]), "one")
+    items = work_items(one.select("a", "b", "prefix"), block)
+
+    def prune(key, table):
+        may = candidates(table["bits"].to_pylist(), table["n"].to_numpy(), least, sides(key, table))
+        return table.filter(pa.array(may)).select(["list", "i", "j", "side", "a", "b"])
 
-    def work(key, table):
+    def compare(key, table):
         a, b = table["a"].to_pylist(), table["b"].to_pylist()
-        sets = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
-        side = np.array(table["side"].to_pylist()) if key[1].as_py() != key[2].as_py() else None
-        found = link(sets, least, side)
-        return pa.table({"a1": pa.array([a[i] for i, _ in found], pa.int64()), "b1": pa.array([b[i] for i, _ in found], pa.int64()),
-                         "a2": pa.array([a[j] for _, j in found], pa.int64()), "b2": pa.array([b[j] for _, j in found], pa.int64())})
-    return (items.join(sets, ["a", "b"]).select("list", "i", "j", "side", "a", "b", "shingles").groupBy("list", "i", "j")
-            .applyInArrow(work, "a1 long, b1 long, a2 long, b2 long").distinct())
+        pairs = link([np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()], least, sides(key, table))
+        ends = [[a[i] for i, _ in pairs], [b[i] for i, _ in pairs], [a[j] for _, j in pairs], [b[j] for _, j in pairs]]
+        return pa.table([pa.array(x, pa.int64()) for x in ends], names=["a1", "b1", "a2", "b2"])
+    columns = ["list", "i", "j", "side", "a", "b"]
+    items = items.join(one.select("a", "b", "n", "bits"), ["a", "b"]).select(*columns, "n", "bits")
+    items = stage_table(items.groupBy("list", "i", "j").applyInArrow(prune, "list long, i int, j int, side int, a long, b long"), "items")
+    sets = sets_of(docs, items.select("a", "b").distinct(), words)
+    return (items.join(sets, ["a", "b"]).select(*columns, "shingles").groupBy("list", "i", "j")
+            .applyInArrow(compare, "a1 long, b1 long, a2 long, b2 long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,8 +428,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4,
     ignored; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"))
     found = stage_table(classes(docs, words, least), "classes")
-    prefixes = found.where(F.size("prefix") > 0).select("a", "b", "prefix")
-    label = components(links(docs, prefixes, words, least, block))
+    label = components(links(docs, found, words, least, block))
     by_class = (found.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least_id"))
                 .join(label, ["a", "b"], "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}))
     by_component = by_class.groupBy("ra", "rb").agg(F.min("least_id").alias("component"))
