@@ -364,3 +364,17 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             top, n = scorer([r[1] for r in group])
             yield batch(OUT, [r[0] for r in group], [r[2] for r in group], scorer.model.score(top, n).tolist(), n.tolist())
     return docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"), "held_out").mapInArrow(work, OUT_SQL)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` scores below ``threshold``, with all their columns."""
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            texts, keep = b.column(place).cast(pa.binary()).to_pylist(), []
+            for group in grouped(iter(texts), lambda t: len(t or b"") + 400, 1 << 20):
+                keep.extend((scorer.model.score(*scorer([t or b"" for t in group])) < threshold).tolist())
+            yield b.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(work, docs.schema)
