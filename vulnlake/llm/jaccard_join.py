@@ -6,7 +6,8 @@
    ``size - ceil(similarity * size) + 1`` of that order, so classes that share such a shingle
    form a candidate list; equal lists count once.
 3. A list that is longer than ``BLOCK`` is split into blocks, each pair of blocks a work item;
-   no list is gathered whole.
+   no list is gathered whole.  First every class is compared in its largest item only, which
+   connects most groups; then all items that still hold several components are.
 4. In a work item a signature tree holds the classes: every node has the OR of its classes'
    shingle bitmaps and their size range.  A dual traversal drops node pairs whose largest
    possible overlap or size ratio is too small.  It runs twice: over bitmaps alone, which
@@ -223,16 +224,16 @@ def possible_partners(maps: np.ndarray, size: np.ndarray, least: float, side: np
     return order[may]
 
 
-def link(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the similar pairs (positions in ``sets``); with ``side`` (0/1) only pairs
-    across the sides are looked at."""
+    across the sides are looked at, with ``known`` only pairs of different numbers there."""
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable").tolist()
     sets = [sets[i] for i in order]
     side = None if side is None else side[order]
     width = width_of(int(size.max()))
     tree = Tree(np.array([bitmap(s, width) for s in sets]), size[order])
-    label, out = np.arange(len(sets)), []
+    label, out = np.arange(len(sets)) if known is None else known[order].copy(), []
     stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
@@ -387,15 +388,28 @@ def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block:
 
     def compare(key, table):
         a, b = table["a"].to_pylist(), table["b"].to_pylist()
-        pairs = link([np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()], least, sides(key, table))
+        known = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        pairs = link([np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()], least, sides(key, table), known)
         ends = [[a[i] for i, _ in pairs], [b[i] for i, _ in pairs], [a[j] for _, j in pairs], [b[j] for _, j in pairs]]
         return pa.table([pa.array(x, pa.int64()) for x in ends], names=["a1", "b1", "a2", "b2"])
     columns = ["list", "i", "j", "side", "a", "b"]
     items = items.join(one.select("a", "b", "n", "bits"), ["a", "b"]).select(*columns, "n", "bits")
     items = stage_table(items.groupBy("list", "i", "j").applyInArrow(prune, "list long, i int, j int, side int, a long, b long"), "items")
-    sets = sets_of(docs, items.select("a", "b").distinct(), words)
-    return (items.join(sets, ["a", "b"]).select(*columns, "shingles").groupBy("list", "i", "j")
-            .applyInArrow(compare, "a1 long, b1 long, a2 long, b2 long").distinct())
+    sets = stage_table(sets_of(docs, items.select("a", "b").distinct(), words), "sets")
+
+    def linked(rows_: DataFrame) -> DataFrame:
+        return stage_table(rows_.join(sets, ["a", "b"]).select(*columns, "component", "shingles").groupBy("list", "i", "j")
+                           .applyInArrow(compare, "a1 long, b1 long, a2 long, b2 long").distinct(), "edges")
+    # first each class in its largest list only; then the lists that still hold several components
+    where = F.struct("list", "i", "j")
+    size = items.groupBy("list", "i", "j").agg(F.count(F.lit(1)).alias("size"))
+    largest = items.join(size, ["list", "i", "j"]).groupBy("a", "b").agg(F.max_by(where, F.struct("size", "list", "i", "j")).alias("w"))
+    largest = largest.select("a", "b", "w.list", "w.i", "w.j")
+    first = linked(items.join(largest, ["a", "b", "list", "i", "j"], "left_semi").withColumn("component", F.xxhash64("a", "b")))
+    label = components(first).select("a", "b", F.xxhash64("ra", "rb").alias("component"))
+    rest = stage_table(items.join(label, ["a", "b"], "left").withColumn("component", F.coalesce("component", F.xxhash64("a", "b"))), "rest")
+    mixed = rest.groupBy("list", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return first.unionByName(linked(rest.join(mixed, ["list", "i", "j"], "left_semi")))
 
 
 def components(edges: DataFrame) -> DataFrame:
