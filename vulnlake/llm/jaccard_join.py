@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import LOWER, batch, grouped, raw_text, rows, stage_table
 
-CELLS = 1 << 21
-CELL_BLOCK = 1 << 14
+CELLS = 1 << 23
+CELL_BLOCK = 1 << 16
 BLOCK = 1024
 LEAF = 8
 CHUNK = 4 << 20
@@ -90,10 +90,10 @@ def cells_of(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Level (about four a doubling) of how many sets fall on each cell."""
+    """Level (about four a doubling) of how many sets fall on each cell; a task counts up to 255 a cell."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-        total, seen = np.zeros(CELLS, np.int64), set()
+        total, seen = np.zeros(CELLS, np.uint32), set()
         for _, s in shingle_sets(rows(batches), words):
             if not len(s) or (key := set_key(s)) in seen:
                 continue  # a copy that this task has counted
@@ -103,10 +103,10 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
             np.add.at(total, cells_of(s), 1)
         blocks = [total[i:i + CELL_BLOCK] for i in range(0, CELLS, CELL_BLOCK)]
         full = [i for i, b in enumerate(blocks) if b.any()]
-        yield batch(schema, full, [np.minimum(blocks[i], 65535).astype("<u2").tobytes() for i in full])
+        yield batch(schema, full, [np.minimum(blocks[i], 255).astype(np.uint8).tobytes() for i in full])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["counts"])
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in pdf["counts"])
         level = np.minimum(np.round(4 * np.log2(total + 1)), 255).astype(np.uint8)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "level": [level.tobytes()]})
     out = np.zeros(CELLS, np.uint8)
