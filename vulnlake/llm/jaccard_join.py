@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import LOWER, batch, grouped, raw_text, rows, stage_table
 
-CELLS = 1 << 23
-CELL_BLOCK = 1 << 16
+CELLS = 1 << 24
+CELL_BLOCK = 1 << 17
 BLOCK = 1024
 LEAF = 8
 CHUNK = 4 << 20
@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for one task up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 3 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -86,7 +86,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def cells_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(20)).astype(np.int64) % CELLS
+    return (s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
@@ -124,8 +124,8 @@ def prefix(s: np.ndarray, level: np.ndarray, least: Fraction) -> np.ndarray:
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of ``n``: a power of two, at least twice ``n``, within bounds."""
-    return 1 << min(max((2 * n - 1).bit_length(), 8), 16)
+    """Bits of the bitmap of a set of ``n``: a power of two, at least ``n``, within bounds."""
+    return 1 << min(max((n - 1).bit_length(), 8), 16)
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -313,7 +313,7 @@ def marked(cells: DataFrame, count: int, blocks: int, least: int) -> np.ndarray:
 
 
 def cell_of(values: np.ndarray, count: int) -> np.ndarray:
-    return (values.view(np.uint64) >> np.uint64(20)).astype(np.int64) % count
+    return (values.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (count - 1)
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
