@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import LOWER, batch, grouped, raw_text, rows, stage_table
 
-CELLS = 1 << 24
-CELL_BLOCK = 1 << 17
+CELLS = 1 << 23
+CELL_BLOCK = 1 << 16
 BLOCK = 1024
 LEAF = 8
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 TOKEN_CELLS, TOKEN_BLOCKS = 1 << 24, 1 << 10
 MARKS = 1 << 22
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for one task up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 3 << 18:
+        if len(self) > 1 << 19:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
