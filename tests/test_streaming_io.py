@@ -101,3 +101,46 @@ def test_stream_weekly_drops_rows_behind_the_watermark(spark, tmp_path):
     out = {r.start.date(): (r.n_all, r.n_with) for r in spark.read.parquet(sink).select("w.start", "n_all", "n_with").collect()}
     assert out[dt.date(2024, 1, 1)] == (1, 1)  # the late row of week 1 is not counted
     assert len(out) >= 9 and all(v[0] == 1 for v in out.values())
+
+
+def test_dedupe_keeps_an_old_cve_after_a_new_one(spark, tmp_path):
+    import datetime as dt
+
+    from vulnlake.streaming import incremental as stm
+    src, sink, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    schema = "cve_id string, published_date timestamp"
+    for n, part in enumerate(([("CVE-2025-1", dt.datetime(2025, 1, 1))], [("CVE-1999-1", dt.datetime(1999, 1, 1)), ("CVE-2025-1", dt.datetime(2025, 1, 1))])):
+        spark.createDataFrame(part, schema).write.json(f"{src}/b{n}")
+        stm.run_dedupe(stm.stream_cves(spark, src + "/*", spark.createDataFrame([], schema).schema), sink, ck)
+    assert sorted(r.cve_id for r in spark.read.parquet(sink).collect()) == ["CVE-1999-1", "CVE-2025-1"]
+
+
+def test_documents_as_the_writers_indent_them(spark, tmp_path):
+    from vulnlake.sources import readers
+    d = tmp_path / "cves"
+    d.mkdir()
+    (d / "a.json").write_text('{\n  "cve_id": "CVE-1",\n  "vulnerability_details": {\n    "cvss_score": 7.5\n  }\n}\n')
+    (d / "b.json").write_text('{\n  "cve_id": "CVE-2",\n  "vulnerability_details": {"cvss_score": "high"}\n}\n')
+    (d / "c.json").write_text('{\n  "vulnerability_details": {"cvss_score": 1.0}\n}\n')
+    (d / "d.json").write_text('{\n  broken\n')
+    good, bad = readers.read_cves(spark, str(d)), readers.read_cves_rejects(spark, str(d))
+    assert [r.cve_id for r in good.collect()] == ["CVE-1"]
+    assert sorted(r._file[-6:] for r in bad.collect()) == ["b.json", "c.json", "d.json"]
+    f = tmp_path / "findings"
+    f.mkdir()
+    (f / "CVE-9.json").write_text('{\n  "repo_name_from_patch": "o/r",\n  "vulnerable_snippets": [\n    {"file_path": "x.c"}\n  ]\n}\n')
+    assert [(r.cve_id, len(r.vulnerable_snippets)) for r in readers.read_findings(spark, str(f)).collect()] == [("CVE-9", 1)]
+
+
+def test_scoring_keeps_every_row(spark):
+    from vulnlake.operators import intent
+
+    def fail_on_seven(prompts):
+        if any(p.endswith("7") for p in prompts):
+            raise RuntimeError("no answer")
+        return [f"ok {p}" for p in prompts]
+    df = spark.range(20).select(F.col("id").cast("string").alias("cve_id"), F.concat(F.lit("p"), F.col("id")).alias("prompt"))
+    out = intent.score(df, "prompt", fail_on_seven).collect()
+    assert sum(r.reply is None for r in out) == 2 and all("no answer" in r.reply_error for r in out if r.reply is None)
+    again = intent.score_until(df, "prompt", fail_on_seven, lambda c: c.contains("ok"), lambda d: d, rounds=1)
+    assert again.count() == 20

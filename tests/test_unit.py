@@ -206,7 +206,7 @@ def test_introducing_commits(spark):
                                      (3, "r", "f", "2024-01-01 00:00:00", "int x = 1;")],
                                     "id int, repo string, file string, t string, text string").withColumn("ts", F.to_timestamp("t")).drop("t")
     out = {r.id: r.introducing_commit for r in asof.introducing_commits(removed, added).collect()}
-    assert out == {1: "c2", 2: "blame_error", 3: "blame_error"}
+    assert out == {1: "c2", 2: "blame_error", 3: "blame_error"}  # 2: no earlier line of that text
 
 
 def test_resolve_path_fallback(spark):

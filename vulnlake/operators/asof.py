@@ -78,7 +78,7 @@ def commit_before(cves: DataFrame, commits: DataFrame, repo: str = "repository",
 
 def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: str = "repo", path: str = "file",
                                    ts: str = "ts", text: str = "text", sha: str = "sha", sign: str = "sign",
-                                   min_word_chars: int = 3, bucket: str = "month",
+                                   min_word_chars: int = 0, bucket: str = "month",
                                    materialize: bool = True, prefilter: bool = False) -> DataFrame:
     """J09 over one table of signed diff lines (``-`` removed, ``+`` added): the same
     result as ``introducing_commits`` with the line table computed once.
@@ -123,15 +123,15 @@ def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: s
 
 
 def introducing_commits(removed: DataFrame, added: DataFrame, repo: str = "repo", path: str = "file",
-                        ts: str = "ts", text: str = "text", sha: str = "sha", min_word_chars: int = 3,
+                        ts: str = "ts", text: str = "text", sha: str = "sha", min_word_chars: int = 0,
                         bucket: str = "month") -> DataFrame:
     """J09 (re-aimed from per-line blame): for each removed line of a fix, the latest
     *earlier* commit in the same repository and file that added the same text.
 
     This is the SZZ idea (Sliwerski, Zimmermann, Zeller 2005) matched by content, not
-    ``git blame``: moved or repeated lines can attribute differently.  Lines with fewer
-    than ``min_word_chars`` word characters (blank lines, lone brackets) are not matched
-    and get ``blame_error``, as do lines with no earlier match.  The match is an as-of
+    ``git blame``: moved or repeated lines can attribute differently.  Every line is matched; one
+    with no earlier match gets ``blame_error``, as do lines with fewer than ``min_word_chars``
+    word characters where the caller sets that.  The match is an as-of
     on (repo, path, text): linear, no pair explosion on often-repeated lines."""
     words = F.length(F.regexp_replace(F.col(text), r"\W", ""))
     r = removed.withColumn("_ok", words >= min_word_chars)

@@ -81,8 +81,10 @@ def resolve_path(findings: DataFrame, corrections: DataFrame, patch_paths: DataF
     snap2 = snap.withColumnsRenamed({"_sr": "_cr", "_sp": "_cp"})
     f = f.join(snap2, (F.col(repo) == F.col("_cr")) & (F.col("c_path") == F.col("_cp")), "left") \
          .withColumn("_c_in", F.col("_cp").isNotNull()).drop("_cr", "_cp")
-    pp = (patch_paths.select(F.col(key).alias("_pk"), "path", "first_pos")
-          .join(snapshot.select(F.col(repo).alias("_pr"), F.col("path")).distinct(), "path")
+    # a patch path is looked up in the repositories of its own CVE only
+    asked = findings.select(F.col(key).alias("_pk"), F.col(repo).alias("_pr")).distinct()
+    there = snapshot.select(F.col(repo).alias("_pr"), F.col("path")).distinct()
+    pp = (patch_paths.select(F.col(key).alias("_pk"), "path", "first_pos").join(asked, "_pk").join(there, ["_pr", "path"])
           .groupBy("_pk", "_pr").agg(F.min_by("path", F.col("first_pos")).alias("_fallback")))
     f = f.join(pp, (F.col(key) == F.col("_pk")) & (F.col(repo) == F.col("_pr")), "left").drop("_pk", "_pr")
     complete = (F.col("c_status") == "ok") & F.col("c_path").isNotNull() & (F.coalesce(F.size("c_lines"), F.lit(0)) > 0)

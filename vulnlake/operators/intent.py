@@ -73,17 +73,30 @@ def intent_prompt(cves: DataFrame, refs: DataFrame, scraped: DataFrame | None =
 
 def score(df: DataFrame, prompt_col: str, fn: Callable, out_col: str = "reply") -> DataFrame:
     """Run the caller's ``fn(list[str]) -> list[str]`` over the prompt column, one
-    call per Arrow batch inside ``mapInPandas``.  A failing batch yields null replies,
-    which ``parse_intent`` turns into the ``Could not parse`` fallback."""
+    call per Arrow batch inside ``mapInPandas``.  A batch that fails is tried again prompt by
+    prompt; only a prompt that fails alone has a null reply, with the error in ``<out_col>_error``."""
     from pyspark.sql import types as _T
-    schema = _T.StructType([f for f in df.schema.fields if f.name != out_col] + [_T.StructField(out_col, _T.StringType())])
+    error_col = f"{out_col}_error"
+    schema = _T.StructType([f for f in df.schema.fields if f.name not in (out_col, error_col)]
+                           + [_T.StructField(out_col, _T.StringType()), _T.StructField(error_col, _T.StringType())])
+
+    def alone(prompt):
+        try:
+            return list(fn([prompt]))[0], None
+        except Exception as e:  # noqa: BLE001 - the caller's function may raise anything
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches):
         for pdf in batches:
+            prompts = pdf[prompt_col].tolist()
             try:
-                pdf[out_col] = list(fn(pdf[prompt_col].tolist()))
-            except Exception:  # noqa: BLE001 - the fallback is the contract
-                pdf[out_col] = None
+                found = [(r, None) for r in fn(prompts)]
+                if len(found) != len(prompts):
+                    raise ValueError(f"{len(found)} replies to {len(prompts)} prompts")
+            except Exception:  # noqa: BLE001 - then each prompt on its own
+                found = [alone(p) for p in prompts]
+            pdf[out_col] = [r for r, _ in found]
+            pdf[error_col] = [e for _, e in found]
             yield pdf
 
     return df.mapInPandas(run, schema)
@@ -99,12 +112,13 @@ def score_until(df: DataFrame, prompt_col: str, fn: Callable, ok: Callable[[Colu
     # Materialise each round once (reliable checkpoint in the shared folder): the two
     # filters below would otherwise call ``fn`` twice per batch.
     cur = score(df, prompt_col, fn).checkpoint()
-    done = cur.filter(ok(F.col("reply")))
-    todo = cur.filter(~ok(F.col("reply")))
+    good = F.coalesce(ok(F.col("reply")), F.lit(False))  # an unknown answer is not ok, and no row is lost
+    done = cur.filter(good)
+    todo = cur.filter(~good)
     for _ in range(rounds):
-        again = score(retry_prompt(todo.drop("reply")), prompt_col, fn).checkpoint()
-        done = done.unionByName(again.filter(ok(F.col("reply"))))
-        todo = again.filter(~ok(F.col("reply")))
+        again = score(retry_prompt(todo.drop("reply", "reply_error")), prompt_col, fn).checkpoint()
+        done = done.unionByName(again.filter(good))
+        todo = again.filter(~good)
     return done.unionByName(todo)
 
 

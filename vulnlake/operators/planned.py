@@ -113,7 +113,7 @@ def patch_size(commits: DataFrame, col: str = "additions", approx: bool = False)
     return commits.agg(p.alias("_p")).select(*[F.get("_p", i).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
 
 
-def common_words(texts: DataFrame, text: str = "text", k: int = 20, min_len: int = 3) -> DataFrame:
+def common_words(texts: DataFrame, text: str = "text", k: int = 20, min_len: int = 1) -> DataFrame:
     """The ``k`` most common words (letters / digits, lower-cased, ``min_len``+ chars)."""
     w = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("word")
     return (texts.select(w).filter(F.length("word") >= min_len).groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -1193,7 +1193,7 @@ def _cve_docs(spark, sf):
 def _w01(spark, sf):
     out = scratch_dir(spark, "w01")
     sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
-    return rd.read_cves(spark, out).select("cve_id", "github_data.repository")
+    return rd.read_cves(spark, out, multi_line=False).select("cve_id", "github_data.repository")
 
 
 @q("s02_read_cves")
@@ -1203,7 +1203,7 @@ def _s02(spark, sf):
     # undecodable documents next to the good ones (one per input document): reported, not fatal
     dv.table(spark, sf, "documents").select(F.concat(F.lit("{not json "), F.col("doc_id").cast("string")).alias("value")) \
         .write.text(out + "/bad")
-    good = rd.read_cves(spark, out + "/*")
+    good = rd.read_cves(spark, out + "/*", multi_line=False)
     return good.select("cve_id", "vulnerability_details.cvss_score")
 
 
@@ -1213,14 +1213,14 @@ def _s02r(spark, sf):
     sk.write_cves(_cve_docs(spark, sf), out + "/good", fmt="json")
     dv.table(spark, sf, "documents").select(F.concat(F.lit("{broken "), F.col("doc_id").cast("string")).alias("value")) \
         .write.text(out + "/bad")
-    return rd.read_cves_rejects(spark, out + "/*", glob="*").select("_corrupt_record")
+    return rd.read_cves_rejects(spark, out + "/*", glob="*", multi_line=False).select("_corrupt_record")
 
 
 @q("s03_read_cves_glob")
 def _s03(spark, sf):
     out = scratch_dir(spark, "s03")
     sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
-    return rd.read_cves(spark, out, glob="part-*.json").select("cve_id")
+    return rd.read_cves(spark, out, glob="part-*.json", multi_line=False).select("cve_id")
 
 
 @q("s01_read_cve_feed")
@@ -1260,7 +1260,7 @@ def _w06(spark, sf):
         "file_path", "line_numbers", F.map_from_entries("introducing_commits").alias("introducing_commits")))
         .alias("vulnerable_snippets")).withColumnRenamed("repo_name", "repo_name_from_patch")
     sk.write_findings(g, out)
-    return rd.read_findings(spark, out).select("cve_id", "repo_name_from_patch", F.size("vulnerable_snippets").alias("n"))
+    return rd.read_findings(spark, out, multi_line=False).select("cve_id", "repo_name_from_patch", F.size("vulnerable_snippets").alias("n"))
 
 
 @q("s06_read_findings")
@@ -1371,9 +1371,9 @@ def _t02(spark, sf):
     src, sink, ck = scratch_dir(spark, "t02src"), scratch_dir(spark, "t02out"), scratch_dir(spark, "t02ck")
     d = dv.dv_cve(spark, sf).select("cve_id", "published_date")
     d.write.json(src + "/b1")
-    stm.run_available_now(stm.stream_dedupe(stm.stream_cves(spark, src + "/*", d.schema)), sink, ck)
+    stm.run_dedupe(stm.stream_cves(spark, src + "/*", d.schema), sink, ck)
     d.filter(F.col("cve_id").endswith("1")).write.json(src + "/b2")  # copies of CVEs already seen
-    stm.run_available_now(stm.stream_dedupe(stm.stream_cves(spark, src + "/*", d.schema)), sink, ck)
+    stm.run_dedupe(stm.stream_cves(spark, src + "/*", d.schema), sink, ck)
     return spark.read.parquet(sink)
 
 

@@ -77,7 +77,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001
             d = None
     if not d:
-        # Only reached where the cluster names none (local tests): a fresh scratch folder.
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # local runs (tests) only: a fresh scratch folder
         d = tempfile.mkdtemp(prefix="vulnlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -24,18 +24,21 @@ def _cve_reader(spark: SparkSession, path: str, glob: str, multi_line: bool) ->
             .withColumn("_file", F.col("_metadata.file_path")))
 
 
-def read_cves(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = False) -> DataFrame:
-    """Every ``glob`` file of a directory; records that do not parse are left
-    out here and reported by ``read_cves_rejects``."""
+def read_cves(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
+    """Every ``glob`` file of a directory, one document a file however it is indented
+    (``multi_line=False``: JSON lines).  Records that do not parse, have a field of the wrong
+    type or lack ``cve_id`` are left out here and reported by ``read_cves_rejects``."""
     df = _cve_reader(spark, path, glob, multi_line)
     return df.filter(F.col("_corrupt_record").isNull() & F.col("cve_id").isNotNull()).drop("_corrupt_record")
 
 
-def read_cves_rejects(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = False) -> DataFrame:
-    """The records ``read_cves`` leaves out: text that is not JSON, reported with its file."""
-    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=multi_line)
-    return (raw.filter((F.length(F.trim("value")) > 0) & F.try_parse_json(F.col("value")).isNull())
-            .select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_corrupt_record")))
+def read_cves_rejects(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
+    """Exactly the records ``read_cves`` leaves out, with their file: the text as found, or the
+    fields that were read where only ``cve_id`` is missing."""
+    df = _cve_reader(spark, path, glob, multi_line)
+    fields = F.to_json(F.struct(*[c for c in df.columns if c not in ("_corrupt_record", "_file")]))
+    return (df.filter(F.col("_corrupt_record").isNotNull() | F.col("cve_id").isNull())
+            .select("_file", F.coalesce("_corrupt_record", fields).alias("_corrupt_record")))
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -52,10 +55,11 @@ def read_patches(spark: SparkSession, path: str, name_col: str = "file_name") ->
     return df.select(name_col, F.col("value").alias("text")).filter(F.length("text") > 0)
 
 
-def read_findings(spark: SparkSession, path: str, cve_col: str = "cve_id") -> DataFrame:
-    """Findings JSON; ``cve_id`` from a ``cve_id=`` directory or the file stem; rows
+def read_findings(spark: SparkSession, path: str, cve_col: str = "cve_id", multi_line: bool = True) -> DataFrame:
+    """Findings JSON, one document a file however it is indented (``multi_line=False``: JSON
+    lines); ``cve_id`` from a ``cve_id=`` directory or the file stem; rows
     without ``repo_name_from_patch`` or without a snippet list are dropped."""
-    df = spark.read.schema(sc.FINDING).json(path)
+    df = spark.read.schema(sc.FINDING).option("multiLine", multi_line).json(path)
     if cve_col not in df.columns:
         df = df.withColumn(cve_col, F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1))
     return df.filter(F.col("repo_name_from_patch").isNotNull() & F.col("vulnerable_snippets").isNotNull())

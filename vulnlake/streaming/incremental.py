@@ -21,9 +21,19 @@ def stream_cves(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.load(path)
 
 
-def stream_dedupe(df: DataFrame, key: str = "cve_id", ts: str = "published_date", delay: str = "3650 days") -> DataFrame:
-    """Drop a CVE seen in an earlier batch (state kept for ``delay`` of event time)."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def run_dedupe(df: DataFrame, sink: str, checkpoint: str, key: str = "cve_id") -> None:
+    """Append the rows of a stream whose ``key`` the parquet table ``sink`` lacks (J03),
+    once a key, and wait.
+
+    The stored table is the memory, so a row of any date counts, and a batch that runs again
+    after a failure adds nothing twice."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.mode("append").parquet(sink)
+
+    def add(batch: DataFrame, _id: int) -> None:
+        seen = batch.sparkSession.read.schema(batch.schema).parquet(sink).select(key)
+        batch.dropDuplicates([key]).join(seen, key, "left_anti").select(*batch.columns).write.mode("append").parquet(sink)
+    df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_weekly(df: DataFrame, ts: str = "published_date", has: str = "has_commit", delay: str = "3650 days") -> DataFrame:
