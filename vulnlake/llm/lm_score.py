@@ -336,7 +336,7 @@ def shares(docs: DataFrame, sent: Broadcast, lower: list, n: int, least: int) ->
             tokens, starts, _, level = reader.read(group)
             below, of_gram, of_history = reader.probabilities(tokens, starts, level, n)
             c = COUNT_OF[of_gram] - 1
-            own = ratio(np.where(c >= least, c, 0), COUNT_OF[of_history] - 1)
+            own = ratio(np.where(c >= least, c, 0), np.maximum(COUNT_OF[of_history] - 1, 0))
             # where the order has seen nothing, the share is a plain factor of the lower order
             none = own == 0
             alone = np.bincount(of_history[none], np.log(below[none]), width)
