@@ -40,7 +40,7 @@ HEAD = 1 << 17
 BUCKET_BYTES = 8 << 20
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 1.0)  # tried for the lower order
 END = b"\n"  # no word holds white space
-CHUNK = 6 << 20  # bytes of text worked on at once
+CHUNK = 3 << 20  # bytes of text worked on at once
 
 BLOCK = 1 << 15
 
@@ -65,7 +65,7 @@ class Numbers(dict):
 class Vocabulary:
     """Numbers of the words that a task has met, with their 64-bit hashes; emptied beyond a bound."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         self.most = most
         self.reset()
 
@@ -392,6 +392,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
                         np.add.reduceat(np.where(unknown, 0, base), starts).tolist(), np.add.reduceat(np.log10(p), starts).tolist(), rest)
             at += len(group)
     scored = stage_table(docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"), "held_out").mapInArrow(work, SCORED_SQL), "scored")
+    sent.unpersist()
     rest = scored.select("row", F.inline("rest")).join(words, "word", "left")
     c = F.coalesce(F.col("count"), F.lit(0))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(divisor))).alias("more"),
