@@ -77,3 +77,35 @@ def test_patch_to_snippets(spark):
     ok_replies = dv.dv_reply(spark, SF).filter(F.col("doc_id") % 7 == 6).count()
     assert 0 < out.count() <= ok_replies
     assert out.filter(~F.col("code").contains("VULN>    3: ")).count() == 0
+
+
+def test_collect_and_enrich_takes_full_features(spark):
+    """3.1 on the library's own P32 / P33 output: context and details are their structs."""
+    from vulnlake.operators.features_repo import commit_features, repo_features
+    raw = rg._raw_cve(spark, SF)
+    cve = dv.dv_cve(spark, SF).select("cve_key", "repository", F.md5(F.col("cve_key").cast("string")).alias("sha"))
+    ref = F.array(F.struct(F.concat(F.lit("https://github.com/"), F.col("repository"), F.lit("/commit/"), F.col("sha")).alias("url"),
+                           F.lit("nvd").alias("source"), F.array(F.lit("Patch")).alias("tags")))
+    raw = raw.join(cve, "cve_key").withColumn("cve", F.col("cve").withField("references", ref))
+    path = scratch_dir(spark, "flow-full")
+    raw.groupBy((F.col("cve_key") / 500).cast("bigint").alias("startIndex")) \
+       .agg(F.array_sort(F.collect_list(F.struct("cve_key", "cve"))).alias("v")) \
+       .select("startIndex", F.transform("v", lambda x: F.struct(x["cve"].alias("cve"))).alias("vulnerabilities")).write.json(path)
+    repos = repo_features(dv.dv_repo_payload(spark, SF), dv.dv_policy_payload(spark, SF), dv.dv_branch_payload(spark, SF),
+                          dv.dv_language_payload(spark, SF), dv.dv_activity_payload(spark, SF))
+    out = flows.collect_and_enrich(spark, path, None, repos, commit_features(dv.dv_commit_payload(spark, SF)))
+    n = dv.dv_cve(spark, SF).count()
+    assert out.count() == n
+    assert out.where("repository_context.default_branch is not null").count() == n
+    found = dv.dv_commit_payload(spark, SF).count()
+    assert out.where("fix_commit_details.commit_date = fix_date and size(fix_commit_details.files) > 0").count() == found
+
+
+def test_features_without_optional_payloads(spark):
+    from vulnlake.operators.features_repo import commit_features, repo_features
+    r = repo_features(dv.dv_repo_payload(spark, SF)).first()
+    assert r["protected_branches"] == [] and r["languages"] is None and r["commit_activity"]["avg_commits_per_week"] == 0
+    assert not r["has_security_policy"] and not r["security_features"]["has_protected_branches"]
+    c = commit_features(dv.dv_commit_payload(spark, SF))
+    assert c.where("surrounding_commits != array()").count() == 0 and c.count() == dv.dv_commit_payload(spark, SF).count()
+    assert c.where("author.login is null").count() > 0

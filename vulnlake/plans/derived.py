@@ -93,9 +93,95 @@ def dv_commit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit("/"), leaf).alias("filename"),
                 F.col("l_quantity").alias("additions"),
                 F.col("l_shipdate").alias("commit_date"),
+                F.element_at(F.array(*[F.lit(x) for x in FILE_STATUSES]), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("status"),
+                (F.col("p_partkey") % 13).alias("deletions"),
+                F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("@@ -1 +1 @@ "), F.col("p_name"))).alias("patch"),
             ))
 
 
+# File statuses chosen by l_linenumber % 3.
+FILE_STATUSES = ["added", "modified", "removed"]
+
+
+def _owner(key: Column) -> Column:
+    return F.concat(F.lit("org"), (key % 97).cast("string"))
+
+
+def _repo(key: Column) -> Column:
+    return F.concat(F.lit("repo"), key.cast("string"))
+
+
+def dv_repo_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository payloads, one per customer; flags and license absent for some."""
+    k = F.col("c_custkey")
+
+    def day(n: Column) -> Column:
+        return F.concat(F.date_add(F.lit("2015-01-01").cast("date"), n.cast("int")).cast("string"), F.lit("T00:00:00Z"))
+    return table(spark, sf_dir, "customer").select(
+        _owner(k).alias("owner"), _repo(k).alias("repo"), _repo(k).alias("name"),
+        day(k % 1000).alias("created_at"), day(k % 1000 + 30).alias("updated_at"), day(k % 1000 + 60).alias("pushed_at"),
+        F.floor(F.abs(F.col("c_acctbal")) / 10).cast("bigint").alias("size"),
+        (k * 7 % 1000).alias("stargazers_count"), (k * 3 % 200).alias("forks_count"),
+        (k % 50).alias("open_issues_count"), (k * 11 % 1000).alias("watchers_count"),
+        F.when(k % 3 == 0, "master").when(k % 3 == 1, "main").otherwise("develop").alias("default_branch"),
+        F.when(k % 3 != 0, k % 2 == 0).alias("has_wiki"), F.when(k % 5 != 0, k % 2 == 1).alias("has_issues"),
+        F.when(k % 4 != 0, k % 3 == 0).alias("allow_forking"), F.when(k % 6 == 0, k % 4 == 0).alias("is_template"),
+        F.when(k % 7 != 0, F.struct(F.lower("c_mktsegment").alias("key"))).alias("license"))
+
+
+def dv_policy_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security policies of every second customer's repository, every third of them empty."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where(k % 2 == 0).select(
+        _owner(k).alias("owner"), _repo(k).alias("repo"),
+        F.when(k % 6 == 0, F.create_map().cast("map<string,string>"))
+        .otherwise(F.create_map(F.lit("name"), F.col("c_name"))).alias("policy"))
+
+
+def dv_branch_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches, one per order; ``protected`` absent for some."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        _owner(k).alias("owner"), _repo(k).alias("repo"), F.concat(F.lit("b"), o.cast("string")).alias("name"),
+        F.when(o % 5 != 0, F.col("o_orderstatus") == "F").alias("protected"))
+
+
+def dv_language_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes by language, absent for every fourth customer's repository."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where(k % 4 != 0).select(
+        _owner(k).alias("owner"), _repo(k).alias("repo"),
+        F.create_map(F.lit("C"), k * 13 % 5000, F.lit("Python"), k * 17 % 7000).alias("languages"))
+
+
+def dv_activity_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly activity (Monday to Sunday) from the events of each user's repository."""
+    k = F.col("user_id")
+    return (table(spark, sf_dir, "events").groupBy(k, F.date_trunc("week", "ts").alias("w"))
+            .agg(F.count(F.lit(1)).alias("total"), F.array(*[F.count_if(F.weekday("ts") == d) for d in range(7)]).alias("days"))
+            .select(_owner(k).alias("owner"), _repo(k).alias("repo"), "total", "days"))
+
+
+def dv_commit_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit payloads, one per order that has line items; the author absent for some."""
+    f = dv_commit_file(spark, sf_dir)
+    files = f.groupBy("l_orderkey").agg(
+        F.collect_list(F.struct("filename", "status", F.col("additions").cast("bigint").alias("additions"), "deletions", "patch")).alias("files"),
+        F.sum(F.col("additions").cast("bigint")).alias("a"), F.sum("deletions").alias("d"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    k, key = F.col("o_custkey"), F.col("o_orderkey")
+    message = (F.when(key % 3 == 0, F.concat(F.lit("Fixes #"), key.cast("string")))
+               .when(key % 3 == 1, F.concat(F.col("o_orderpriority"), F.lit("\n\nDetails of "), key.cast("string")))
+               .otherwise(F.concat(F.lit("Update "), F.col("o_orderstatus"))))
+    return files.join(o, F.col("l_orderkey") == key).select(
+        _owner(k).alias("owner"), _repo(k).alias("repo"), F.md5(key.cast("string")).alias("sha"),
+        F.struct(message.alias("message"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date")).alias("author")).alias("commit"),
+        F.when(k % 10 != 0, F.struct(F.concat(F.lit("user"), (k % 200).cast("string")).alias("login"),
+                                     F.when(k % 9 == 0, "Bot").otherwise("User").alias("type"))).alias("author"),
+        F.struct(F.col("a").alias("additions"), F.col("d").alias("deletions"), (F.col("a") + F.col("d")).alias("total")).alias("stats"),
+        "files")
+
+
 # Reference tags chosen by page_id % 3.
 REF_TAGS = [["Patch"], ["Exploit", "Third Party Advisory"], []]
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from vulnlake.functions import cve as fc
 from vulnlake.functions import urls as fu
@@ -38,16 +39,21 @@ def collect_and_enrich(spark: SparkSession, feed_path: str, existing: DataFrame
     if existing is not None:
         new = joins.new_only(new, existing.select("cve_id"))
     new = fc.with_metadata(new, "raw", now)
-    new = (new.withColumn("repository_context", F.lit(None).cast("struct<size:bigint>"))
-              .withColumn("fix_commit_details", F.lit(None).cast(
-                  "struct<commit_date:timestamp,n_files:bigint>"))
-              .withColumn("fix_date", F.lit(None).cast("timestamp")))
+    date = commit_features.schema["commit_date"].dataType
+    new = (new.withColumn("repository_context", F.lit(None).cast(record_type(repo_features, "repository")))
+              .withColumn("fix_commit_details", F.lit(None).cast(record_type(commit_features, "repository", "sha")))
+              .withColumn("fix_date", F.lit(None).cast(date)))
     out = joins.enhance(new, repo_features, commit_features)
     patch = fu.default_patch_url(F.col("patch_url"), F.col("repository"), F.col("fix_commit"),
                                  F.col("fix_commit_details").isNotNull())
     return out.withColumn("patch_url", patch)
 
 
+def record_type(df: DataFrame, *keys: str) -> StructType:
+    """The struct type of a feature table's columns without its keys, all nullable."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema.fields if f.name not in keys])
+
+
 def patch_to_snippets(patches: DataFrame, replies: DataFrame, snapshots: DataFrame, history: DataFrame,
                       cves: DataFrame) -> DataFrame:
     """3.2: patches named ``{cve}_{owner_repo}.patch`` + model replies + file snapshots ->

@@ -61,7 +61,10 @@ dv_commit_file AS (
                 WHEN 3 THEN 'test_main.c' WHEN 4 THEN 'Gemfile' WHEN 5 THEN 'README' WHEN 6 THEN 'crypto.h'
                 ELSE 'main.go' END AS filename,
          l.l_quantity AS additions,
-         l.l_shipdate AS commit_date
+         l.l_shipdate AS commit_date,
+         CASE l.l_linenumber % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'removed' END AS status,
+         p.p_partkey % 13 AS deletions,
+         CASE WHEN p.p_size % 5 <> 0 THEN '@@ -1 +1 @@ ' || p.p_name END AS patch
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 )"""
 

@@ -364,8 +364,8 @@ _DIR = r"""count(DISTINCT CASE WHEN contains(filename, '/') THEN regexp_extract(
 ORACLES["p27_file_pattern_counts"] = W(f"SELECT sha, {_PAT} FROM dv_commit_file GROUP BY sha", "dv_commit_file")
 ORACLES["p28_dir_features"] = W(f"SELECT sha, {_DIR} FROM dv_commit_file GROUP BY sha", "dv_commit_file")
 ORACLES["p29_changed_files"] = W("""
-SELECT sha, CAST(l_linenumber AS BIGINT) AS l_linenumber, filename, 'modified' AS status, round(additions, 6) AS additions,
-       CAST(0 AS DOUBLE) AS deletions FROM dv_commit_file""", "dv_commit_file")
+SELECT sha, CAST(l_linenumber AS BIGINT) AS l_linenumber, filename, status, round(additions, 6) AS additions,
+       CAST(deletions AS BIGINT) AS deletions, patch FROM dv_commit_file""", "dv_commit_file")
 ORACLES["p30_author_stats"] = W("""
 SELECT 'user' || CAST(user_id AS VARCHAR) AS login, CAST(sum(c) AS BIGINT) AS total_commits,
        round(sum(c) / count(*), 6) AS average_weekly_commits, round(sum(a), 6) AS total_additions,
@@ -379,16 +379,50 @@ ORACLES["a40_weekly_totals"] = W("""
 SELECT user_id, CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week, CAST(sum(c) AS BIGINT) AS c, round(sum(a), 6) AS a,
        round(sum(d), 6) AS d, count_if(c > 0) AS days_active
 FROM dv_weeks GROUP BY 1, 2""", "dv_weeks")
-ORACLES["p32_repo_features"] = W("""
-, prot AS (SELECT key, count(*) AS n FROM dv_state WHERE status = 'success' GROUP BY key)
-SELECT r.repository, split_part(r.repository, '/', 2) AS name, split_part(r.repository, '/', 1) AS owner, r.size,
-       r.size % 2 = 0 AS has_security_policy, coalesce(p.n, 0) AS protected_branches,
-       coalesce(p.n, 0) > 0 AS has_protected_branches, false AS has_wiki, false AS has_issues,
-       true AS allow_forking, false AS is_template, r.license
-FROM dv_repo r LEFT JOIN prot p ON r.repository = p.key""", "dv_repo", "dv_state")
+ORACLES["p32_repo_features"] = """
+WITH br AS (SELECT o_custkey AS k, string_agg('b' || o_orderkey, ',' ORDER BY 'b' || o_orderkey) AS names
+            FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderstatus = 'F' GROUP BY 1),
+act AS (SELECT user_id AS k, count(*) AS total, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1)
+SELECT 'org' || (c_custkey % 97) || '/repo' || c_custkey AS repository, 'repo' || c_custkey AS name,
+       'org' || (c_custkey % 97) AS owner,
+       CAST(DATE '2015-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS VARCHAR) || 'T00:00:00Z' AS created_at,
+       CAST(DATE '2015-01-01' + CAST(c_custkey % 1000 + 30 AS INTEGER) AS VARCHAR) || 'T00:00:00Z' AS updated_at,
+       CAST(DATE '2015-01-01' + CAST(c_custkey % 1000 + 60 AS INTEGER) AS VARCHAR) || 'T00:00:00Z' AS pushed_at,
+       CAST(floor(abs(c_acctbal) / 10) AS BIGINT) AS size, c_custkey * 7 % 1000 AS stars, c_custkey * 3 % 200 AS forks,
+       c_custkey % 50 AS open_issues, c_custkey * 11 % 1000 AS watchers,
+       c_custkey % 2 = 0 AND c_custkey % 6 <> 0 AS has_security_policy,
+       CASE c_custkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'main' ELSE 'develop' END AS default_branch,
+       coalesce(br.names, '') AS protected_branches,
+       CASE WHEN c_custkey % 4 <> 0 THEN 'C:' || (c_custkey * 13 % 5000) || ',Python:' || (c_custkey * 17 % 7000) END AS languages,
+       coalesce(act.total, 0) AS total_commits_last_year,
+       round(coalesce(act.total, 0) / CAST(52 AS DOUBLE), 6) AS avg_commits_per_week,
+       coalesce(act.days, 0) AS days_active_last_year, br.k IS NOT NULL AS has_protected_branches,
+       c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AS has_wiki, c_custkey % 5 <> 0 AND c_custkey % 2 = 1 AS has_issues,
+       c_custkey % 4 = 0 OR c_custkey % 3 = 0 AS allow_forking, c_custkey % 12 = 0 AS is_template,
+       CASE WHEN c_custkey % 7 <> 0 THEN lower(c_mktsegment) END AS license
+FROM customer LEFT JOIN br ON br.k = c_custkey LEFT JOIN act ON act.k = c_custkey"""
 ORACLES["p33_commit_features"] = W(f"""
-SELECT sha, round(sum(additions), 6) AS additions, count(*) AS n_files, {_PAT}, {_DIR}
-FROM dv_commit_file GROUP BY sha""", "dv_commit_file")
+, fl AS (SELECT l_orderkey, CAST(sum(CAST(additions AS BIGINT)) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions,
+                count(*) AS n_files, {_PAT}, {_DIR},
+                md5(string_agg(concat_ws('|', filename, status, CAST(additions AS BIGINT), deletions, patch), ';'
+                    ORDER BY concat_ws('|', filename, status, CAST(additions AS BIGINT), deletions, patch))) AS files_md5
+         FROM dv_commit_file GROUP BY l_orderkey),
+st AS (SELECT 'user' || user_id AS login, CAST(sum(c) AS BIGINT) AS total_commits,
+              round(sum(c) / count(*), 6) AS average_weekly_commits, count_if(c > 0) AS weeks_active FROM dv_weeks GROUP BY user_id),
+m AS (SELECT o.*, md5(CAST(o_orderkey AS VARCHAR)) AS sha, CASE WHEN o_custkey % 10 <> 0 THEN 'user' || (o_custkey % 200) END AS login,
+             CASE o_orderkey % 3 WHEN 0 THEN 'Fixes #' || o_orderkey WHEN 1 THEN o_orderpriority || chr(10) || chr(10) || 'Details of ' || o_orderkey
+                  ELSE 'Update ' || o_orderstatus END AS msg
+      FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM fl)),
+near AS (SELECT sha, string_agg(sha, ',') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, sha ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+                AS surrounding FROM m)
+SELECT 'org' || (o_custkey % 97) || '/repo' || o_custkey AS repository, m.sha, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS commit_date,
+       m.login, CASE WHEN m.login IS NULL THEN NULL WHEN o_custkey % 9 = 0 THEN 'Bot' ELSE 'User' END AS type,
+       st.total_commits, st.average_weekly_commits, st.weeks_active, split_part(msg, chr(10), 1) AS title,
+       CAST(length(msg) AS BIGINT) AS length, contains(msg, chr(10)) AS has_description,
+       {_any('msg', ['fix', 'close', 'resolve', 'issue', '#'])} AS references_issue,
+       fl.* EXCLUDE (l_orderkey), additions + deletions AS total, near.surrounding
+FROM m JOIN fl ON fl.l_orderkey = m.o_orderkey LEFT JOIN st ON st.login = m.login JOIN near ON near.sha = m.sha""",
+                                   "dv_commit_file", "dv_weeks")
 
 # ---------------------------------------------------------------- joins, state, windows
 _FIX = """, cf AS (SELECT *, CASE WHEN has_commit THEN md5(CAST(cve_key AS VARCHAR)) END AS fix_commit,

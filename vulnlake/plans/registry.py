@@ -483,9 +483,10 @@ def _p28(spark, sf):
 
 @q("p29_changed_files")
 def _p29(spark, sf):
+    from vulnlake.functions.features import changed_files
     f = dv.dv_commit_file(spark, sf)
-    return f.select("sha", "l_linenumber", "filename", F.lit("modified").alias("status"),
-                    F.col("additions"), F.lit(0.0).alias("deletions"))
+    one = F.array(F.struct("filename", "status", "additions", "deletions", "patch"))
+    return f.select("sha", "l_linenumber", F.inline(changed_files(one)))
 
 
 def _weeks_login(spark, sf):
@@ -511,14 +512,32 @@ def _a40(spark, sf):
 @q("p32_repo_features")
 def _p32(spark, sf):
     from vulnlake.operators.features_repo import repo_features
-    return repo_features(dv.dv_repo(spark, sf), dv.dv_state(spark, sf))
+    r = repo_features(dv.dv_repo_payload(spark, sf), dv.dv_policy_payload(spark, sf), dv.dv_branch_payload(spark, sf),
+                      dv.dv_language_payload(spark, sf), dv.dv_activity_payload(spark, sf))
+    lang = F.array_join(F.transform(F.array_sort(F.map_entries("languages")),
+                                    lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return r.withColumns({"languages": lang, "protected_branches": F.array_join("protected_branches", ",")}).select(
+        *[c for c in r.columns if c not in ("commit_activity", "security_features")], "commit_activity.*",
+        *[F.col(f"security_features.{c}") for c in ("has_protected_branches", "has_wiki", "has_issues", "allow_forking",
+                                                    "is_template", "license")])
 
 
 @q("p33_commit_features")
 def _p33(spark, sf):
     from vulnlake.operators.features_repo import commit_features
-    files = dv.dv_commit_file(spark, sf).select("l_orderkey", "filename", "additions")
-    return _per_commit(commit_features(files, sha="l_orderkey"))
+    commits = dv.dv_commit_payload(spark, sf)
+    near = wn.surrounding_commits(commits.select(F.concat_ws("/", "owner", "repo").alias("repository"), "sha",
+                                                 F.to_timestamp("commit.author.date").alias("commit_ts")), "intended")
+    parts = F.split("repository", "/")
+    near = near.select(parts[0].alias("owner"), parts[1].alias("repo"), "sha", F.col("surrounding").alias("surrounding_commits"))
+    r = commit_features(commits, of.author_stats_long(_weeks_login(spark, sf)), [], near)
+    files = F.array_sort(F.transform("files", lambda f: F.concat_ws("|", f["filename"], f["status"], f["additions"].cast("string"),
+                                                                    f["deletions"].cast("string"), f["patch"])))
+    return r.select("repository", "sha", "commit_date", "author.login", "author.type", "author.stats.total_commits",
+                    "author.stats.average_weekly_commits", "author.stats.weeks_active", "commit_message.*",
+                    "stats.additions", "stats.deletions", "stats.total", F.size("files").alias("n_files"),
+                    F.md5(F.array_join(files, ";")).alias("files_md5"), "file_patterns.*",
+                    F.array_join("surrounding_commits", ",").alias("surrounding"))
 
 
 # ---------------------------------------------------------------- joins, state, windows (J*, A37-A39, E01, F08-F15)

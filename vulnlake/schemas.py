@@ -58,6 +58,7 @@ PAYLOADS = {
     "activity": st(("owner", S), ("repo", S), ("total", L), ("days", arr(L))),
     "branches": st(("owner", S), ("repo", S), ("name", S), ("protected", B)),
     "languages": st(("owner", S), ("repo", S), ("languages", T.MapType(S, L))),
+    "policy": st(("owner", S), ("repo", S), ("policy", T.MapType(S, S))),
 }
 
 STATE = st(("key", S), ("status", S))
