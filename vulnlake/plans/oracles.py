@@ -292,7 +292,7 @@ def gh_commit(u: str) -> str:
     return f"CASE WHEN list_position({parts}, 'commit') > 0 THEN {parts}[list_position({parts}, 'commit') + 1] END"
 
 
-ORACLES["p01_is_github"] = "SELECT page_id, coalesce(contains(url, 'github.com'), false) AS is_github FROM pages"
+ORACLES["p01_is_github"] = W("SELECT page_id, coalesce(contains(url, 'github.com'), false) AS is_github FROM dv_ref", "dv_ref")
 ORACLES["p02_url_path"] = W(f"SELECT page_id, {upath('url')} AS path FROM dv_ref", "dv_ref")
 ORACLES["p03_github_repo"] = W(f"SELECT page_id, {gh_repo('url')} AS repository FROM dv_ref WHERE contains(url, 'github.com')",
                                "dv_ref")
@@ -466,14 +466,15 @@ f AS (SELECT login, arg_min(c, day) AS c, arg_min(a, day) AS a FROM w GROUP BY l
 SELECT c.sha, c.login, CAST(f.c AS BIGINT) AS c, round(f.a, 6) AS a FROM c LEFT JOIN f ON c.login = f.login""",
                                "dv_event_commit", "dv_weeks")
 ORACLES["j11_join_scraped"] = J("""
-, s AS (SELECT r.cve_id, r.url, CAST(length(p.html) AS BIGINT) AS text_length FROM refs r JOIN pages p ON r.page_id = p.page_id
+, s AS (SELECT r.cve_id, r.url, md5(p.html) AS text_md5 FROM refs r JOIN pages p ON r.page_id = p.page_id
         WHERE r.page_id % 2 = 0)
-SELECT r.cve_id, r.url, r.page_id, s.text_length FROM refs r LEFT JOIN s ON r.cve_id = s.cve_id AND r.url = s.url""")
+SELECT r.cve_id, r.url, r.page_id, s.text_md5 FROM refs r LEFT JOIN s ON r.cve_id = s.cve_id AND r.url = s.url""")
 ORACLES["j12_upsert_state"] = J("""
 SELECT o.key, CASE WHEN o.c_custkey % 5 = 0 THEN 'success' ELSE o.status END AS status FROM dv_state o""")
 ORACLES["j14_join_patch_cve"] = J(f"""
 , p AS (SELECT doc_id, nullif(split_part({_PN}, '_', 1), '') AS cve_id FROM documents)
-SELECT p.doc_id, p.cve_id, c.repository FROM p LEFT JOIN dv_cve c ON p.cve_id = c.cve_id""")
+SELECT p.doc_id, p.cve_id, c.repository FROM p
+LEFT JOIN (SELECT 'CVE-2024-' || printf('%07d', cve_key) AS cve_id, repository FROM dv_cve WHERE cve_key % 2 = 0) c ON p.cve_id = c.cve_id""")
 _ENH = """, e AS (SELECT c.cve_id, r.size, m.n_files, CASE WHEN m.sha IS NOT NULL THEN m.commit_date ELSE c.fix_date END AS fix_date,
                'enhanced' AS processing_status FROM cf c
         LEFT JOIN (SELECT repository, size FROM dv_repo WHERE c_custkey % 2 = 0) r ON c.repository = r.repository
@@ -635,20 +636,22 @@ def S(sql: str) -> str:
 
 ORACLES["f09_complete_snippets"] = S("SELECT cve_id, file_path FROM f9")
 ORACLES["f10_first_commit"] = S("SELECT cve_id, first_sha AS introducing_commit FROM f10")
-ORACLES["j15_join_content"] = S("SELECT cve_id, file_path, CAST(length(content) AS BIGINT) AS content_length FROM j")
+ORACLES["j15_join_content"] = S("SELECT cve_id, file_path, md5(content) AS content_md5 FROM j")
 ORACLES["x15_snippet_metadata"] = S("""
 SELECT cve_id, file_path, array_to_string(line_numbers, ',') AS line_numbers, first_sha AS introducing_commit,
        'vulnerable' AS label, code FROM sn""")
-ORACLES["a34_snippets_per_cve"] = S("""
+_MANY = """, ms AS (SELECT substr(cve_id, 1, 15) AS cve_id, string_split(file_path, '.')[1] ||
+             CASE WHEN cve_id[16] < '4' THEN '.c' WHEN cve_id[16] < '7' THEN '.PY' ELSE '' END AS file_path FROM sn)"""
+ORACLES["a34_snippets_per_cve"] = S(_MANY + """
 SELECT c.cve_id, coalesce(n.n, 0) AS n_snippets
-FROM (SELECT DISTINCT 'CVE-2024-' || printf('%07d', doc_id) AS cve_id FROM documents) c
-LEFT JOIN (SELECT cve_id, count(*) AS n FROM sn GROUP BY cve_id) n ON c.cve_id = n.cve_id""")
-ORACLES["a35_snippets_per_extension"] = S(r"""
-SELECT lower(regexp_extract(string_split(file_path, '/')[-1], '^.+(\.[^.]*)$', 1)) AS extension, count(*) AS n FROM sn GROUP BY 1""")
+FROM (SELECT DISTINCT substr('CVE-2024-' || printf('%07d', doc_id), 1, 15) AS cve_id FROM documents) c
+LEFT JOIN (SELECT cve_id, count(*) AS n FROM ms GROUP BY cve_id) n ON c.cve_id = n.cve_id""")
+ORACLES["a35_snippets_per_extension"] = S(_MANY + r"""
+SELECT lower(regexp_extract(string_split(file_path, '/')[-1], '^.+(\.[^.]*)$', 1)) AS extension, count(*) AS n FROM ms GROUP BY 1""")
 ORACLES["a35_snippets_per_extension_parity"] = S("SELECT '.txt' AS extension, count(*) AS n FROM sn")
-ORACLES["a36_list_snippets"] = S("""
+ORACLES["a36_list_snippets"] = S(_MANY + """
 SELECT cve_id, string_split(file_path, '/')[-1] || '.txt' AS file,
-       row_number() OVER (PARTITION BY cve_id ORDER BY string_split(file_path, '/')[-1] || '.txt', file_path) AS rank FROM sn""")
+       row_number() OVER (PARTITION BY cve_id ORDER BY string_split(file_path, '/')[-1] || '.txt', file_path) AS rank FROM ms""")
 ORACLES["j08_commit_before"] = W("""
 , c AS (SELECT event_id, repository, commit_ts AS published FROM dv_event_commit WHERE event_type = 'signup'),
 m AS (SELECT repository, sha, commit_ts FROM dv_event_commit WHERE event_type = 'click')
@@ -788,11 +791,12 @@ SELECT CAST(CAST(date_trunc('week', published_date) AS DATE) AS VARCHAR) AS buck
 FROM dv_cve GROUP BY 1""", "dv_cve")
 
 ORACLES["j13_resolve_path"] = S("""
-, snap AS (SELECT repo_name, path FROM dv_snapshot WHERE doc_id % 3 <> 0),
-corr AS (SELECT cve_id, file_path, 'f' || CAST(doc_id + 1 AS VARCHAR) || '.txt' AS c_path, [4] AS c_lines,
+, snap AS (SELECT repo_name, path FROM dv_snapshot WHERE doc_id % 3 <> 0
+         UNION ALL SELECT repo_name, 'g' || CAST(doc_id AS VARCHAR) || '.txt' FROM dv_snapshot WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0),
+corr AS (SELECT cve_id, file_path, 'g' || CAST(doc_id AS VARCHAR) || '.txt' AS c_path, [4] AS c_lines,
                 CASE WHEN doc_id % 4 = 0 THEN 'ok' ELSE 'empty' END AS c_status FROM f WHERE doc_id % 2 = 0),
-pp AS (SELECT DISTINCT 'CVE-2024-' || printf('%07d', doc_id) AS cve_id, 'f' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
-              0 AS first_pos FROM documents),
+pp AS (SELECT DISTINCT 'CVE-2024-' || printf('%07d', doc_id) AS cve_id, unnest(['f', 'g']) || CAST(doc_id AS VARCHAR) || '.txt' AS path,
+              unnest([0, 9]) AS first_pos FROM documents),
 fbk AS (SELECT pp.cve_id, s.repo_name, arg_min(pp.path, pp.first_pos) AS fallback FROM pp JOIN snap s ON pp.path = s.path
        GROUP BY 1, 2),
 x AS (SELECT f.cve_id, f.repo_name, f.file_path, f.line_numbers, s1.path IS NOT NULL AS in_snap,
@@ -836,21 +840,41 @@ SELECT CAST(floor(cve_key / 2000) * 2000 AS BIGINT) AS page,
        cve_id, CASE WHEN cvss_score IS NOT NULL THEN round(cvss_score, 6) END AS cvss_score FROM dv_cve""")
 ORACLES["s04_read_payloads"] = W("""
 SELECT owner, split_part(repository, '/', 2) AS repo, size, lower(license) AS license FROM dv_repo""", "dv_repo")
-ORACLES["s05_read_patches"] = W("SELECT file_name, CAST(length(text) AS BIGINT) AS n_chars FROM dv_patch", "dv_patch")
-ORACLES["s09_read_snapshots"] = W("SELECT path, CAST(length(content) + 1 AS BIGINT) AS n_chars FROM dv_snapshot",
+ORACLES["s05_read_patches"] = W("SELECT file_name, md5(text) AS text_md5 FROM dv_patch", "dv_patch")
+ORACLES["s09_read_snapshots"] = W("SELECT path, md5(content || chr(10)) AS content_md5 FROM dv_snapshot",
                                   "dv_snapshot")
-ORACLES["s10_read_pages"] = "SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages"
+ORACLES["s10_read_pages"] = "SELECT page_id, md5(html) AS html_md5 FROM pages"
 ORACLES["w02_write_repos"] = R("SELECT DISTINCT repository, size FROM j")
 ORACLES["w03_write_csv"] = R("SELECT repo_size, vulnerabilities, round(avg_cvss, 6) AS avg_cvss FROM m22")
-ORACLES["w07_write_snippets"] = S("SELECT cve_id, file_path, 'vulnerable' AS label FROM sn")
+ORACLES["w07_write_snippets"] = S("SELECT cve_id, file_path, 'vulnerable' AS label, md5(code) AS code_md5 FROM sn")
 _STATE_UP = """SELECT o.key, CASE WHEN o.c_custkey % 5 = 0 THEN 'success' ELSE o.status END AS status FROM dv_state o"""
 ORACLES["w08_write_state"] = W(_STATE_UP, "dv_state")
-ORACLES["s07_read_state"] = W(_STATE_UP, "dv_state")
+ORACLES["s07_read_state"] = W("""
+SELECT key, status, unnest(['table', 'object']) AS form FROM dv_state
+UNION ALL SELECT key, 'done', 'names' FROM dv_state WHERE c_custkey % 2 = 0""", "dv_state")
+ORACLES["e03_union_done"] = W("SELECT DISTINCT key FROM dv_state WHERE status IN ('success', 'failed') OR c_custkey % 3 = 0", "dv_state")
 _FINDINGS_BACK = S("""
 , g AS (SELECT cve_id, repo_name, count(*) AS n FROM f GROUP BY cve_id, repo_name)
 SELECT cve_id, repo_name AS repo_name_from_patch, n FROM g""")
 ORACLES["w06_write_findings"] = _FINDINGS_BACK
-ORACLES["s06_read_findings"] = _FINDINGS_BACK
+ORACLES["s06_read_findings"] = """
+SELECT 'CVE-' || doc_id AS cve_id, source AS repo_name_from_patch, 'f' || doc_id || '.c' AS file_path, doc_id AS line,
+       md5(CAST(doc_id AS VARCHAR)) AS sha FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0"""
+_KINDS = {
+    "commit": "SELECT o_custkey AS k, concat_ws('|', md5(CAST(o_orderkey AS VARCHAR)), count(*)) AS detail FROM orders"
+              " JOIN dv_commit_file ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey",
+    "repo": "SELECT c_custkey AS k, concat_ws('|', CASE c_custkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'main' ELSE 'develop' END,"
+            " CASE WHEN c_custkey % 7 <> 0 THEN lower(c_mktsegment) END) AS detail FROM customer",
+    "activity": "SELECT user_id AS k, count(*) || '|' || count(*) AS detail FROM events GROUP BY user_id, date_trunc('week', ts)",
+    "branches": "SELECT o_custkey AS k, concat_ws('|', 'b' || o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderstatus = 'F' AS VARCHAR) END)"
+                " AS detail FROM orders",
+    "languages": "SELECT c_custkey AS k, CAST(c_custkey * 13 % 5000 AS VARCHAR) AS detail FROM customer WHERE c_custkey % 4 <> 0",
+    "policy": "SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN '0' ELSE '1|' || c_name END AS detail FROM customer WHERE c_custkey % 2 = 0",
+}
+ORACLES["s04_read_payload_kinds"] = W("\nUNION ALL\n".join(
+    f"SELECT '{kind}' AS kind, 'org' || (k % 97) AS owner, 'repo' || k AS repo, detail FROM ({sql})" for kind, sql in _KINDS.items())
+    + """\nUNION ALL
+SELECT 'contributors', 'org', 'repo' || user_id, 'user' || user_id || '|' || count(*) FROM events GROUP BY user_id""", "dv_commit_file")
 ORACLES["s08_read_scrape_index"] = J(f"""
 SELECT cve_id, url, regexp_replace(regexp_extract(url, '{NETLOC_RE}', 1) || '_' ||
          replace(regexp_replace({upath('url')}, '^/', ''), '/', '_'), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') || '.txt' AS filename

@@ -9,6 +9,7 @@ DuckDB oracles in ``oracles.py`` compare equal.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -357,7 +358,7 @@ def _ref(spark, sf):
 
 @q("p01_is_github")
 def _p01(spark, sf):
-    return dv.table(spark, sf, "pages").select("page_id", fu.is_github(F.col("url")).alias("is_github"))
+    return _ref(spark, sf).select("page_id", fu.is_github(F.col("url")).alias("is_github"))
 
 
 @q("p02_url_path")
@@ -635,7 +636,7 @@ def _j11(spark, sf):
     r = _refs(spark, sf)
     scraped = r.filter(F.col("page_id") % 2 == 0).join(
         dv.table(spark, sf, "pages").select("page_id", "html"), "page_id").select(
-        "cve_id", "url", F.length("html").alias("text_length"))
+        "cve_id", "url", F.md5("html").alias("text_md5"))
     return jn.join_scraped(r.select("cve_id", "url", "page_id"), scraped)
 
 
@@ -650,7 +651,10 @@ def _j12(spark, sf):
 def _j14(spark, sf):
     p = dv.dv_patch(spark, sf).select("doc_id", "file_name")
     p = p.withColumn("cve_id", fu.parse_patch_name(F.col("file_name"))["cve_id"])
-    return jn.join_patch_cve(p, dv.dv_cve(spark, sf).select("cve_id", "repository")).select("doc_id", "cve_id", "repository")
+    # every second CVE under the year that patch names carry, so that some patches find theirs
+    cves = dv.dv_cve(spark, sf).where("cve_key % 2 = 0").select(
+        F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("cve_key"))).alias("cve_id"), "repository")
+    return jn.join_patch_cve(p, cves).select("doc_id", "cve_id", "repository")
 
 
 def _enh_inputs(spark, sf):
@@ -887,7 +891,7 @@ def _j15(spark, sf):
     f = sn.first_commit(flt.complete_snippets(_snippet_findings(spark, sf)))
     snap = dv.dv_snapshot(spark, sf).select("repo_name", F.md5(F.col("doc_id").cast("string")).alias("sha"),
                                             "path", "content")
-    return sn.join_content(f, snap).select("cve_id", "file_path", F.length("content").alias("content_length"))
+    return sn.join_content(f, snap).select("cve_id", "file_path", F.md5("content").alias("content_md5"))
 
 
 @q("x15_snippet_metadata")
@@ -897,26 +901,34 @@ def _x15(spark, sf):
                     .alias("line_numbers"), "introducing_commit", "label", "code")
 
 
+def _many_snippets(spark, sf):
+    """The snippets with ten documents to a CVE and three kinds of extension, by the last digit."""
+    last = F.substring("cve_id", 16, 1)
+    ext = F.when(last < "4", ".c").when(last < "7", ".PY").otherwise("")
+    return _snippets(spark, sf).withColumns({
+        "file_path": F.concat(F.substring_index("file_path", ".", 1), ext), "cve_id": F.substring("cve_id", 1, 15)})
+
+
 @q("a34_snippets_per_cve")
 def _a34(spark, sf):
     cves = dv.table(spark, sf, "documents").select(
-        F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))).alias("cve_id"))
-    return sn.snippets_per_cve(_snippets(spark, sf), cves)
+        F.substring(F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))), 1, 15).alias("cve_id"))
+    return sn.snippets_per_cve(_many_snippets(spark, sf), cves)
 
 
 @q("a35_snippets_per_extension")
 def _a35(spark, sf):
-    return sn.snippets_per_extension(_snippets(spark, sf))
+    return sn.snippets_per_extension(_many_snippets(spark, sf))
 
 
 @q("a35_snippets_per_extension_parity")
 def _a35p(spark, sf):
-    return sn.snippets_per_extension(_snippets(spark, sf), parity=True)
+    return sn.snippets_per_extension(_many_snippets(spark, sf), parity=True)
 
 
 @q("a36_list_snippets")
 def _a36(spark, sf):
-    return sn.list_snippets(_snippets(spark, sf))
+    return sn.list_snippets(_many_snippets(spark, sf))
 
 
 def _signup_commits(spark, sf):
@@ -1169,16 +1181,22 @@ def _x11(spark, sf):
 
 @q("j13_resolve_path")
 def _j13(spark, sf):
-    """Findings from the parsed replies; snapshot lacks every third document; corrections
-    answer for half of the misses; the patch paths are the fallback."""
+    """Findings from the parsed replies.  The snapshot lacks every third document's file; most of
+    those have it as ``g<id>.txt``, which corrections name for some findings and the patch names
+    second for all."""
     f = _snippet_findings(spark, sf).select(F.col("cve_id"), "repo_name", "file_path", "line_numbers", "doc_id")
-    snap = dv.dv_snapshot(spark, sf).filter(F.col("doc_id") % 3 != 0).select("repo_name", "path")
+    renamed = F.concat(F.lit("g"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    every = dv.dv_snapshot(spark, sf)
+    snap = every.where("doc_id % 3 != 0").select("repo_name", "path").unionByName(
+        every.where("doc_id % 3 = 0 and doc_id % 9 != 0").select("repo_name", renamed.alias("path")))
     corr = f.filter(F.col("doc_id") % 2 == 0).select(
-        "cve_id", "file_path", F.concat(F.lit("f"), (F.col("doc_id") + 1).cast("string"), F.lit(".txt")).alias("c_path"),
+        "cve_id", "file_path", renamed.alias("c_path"),
         F.array(F.lit(4)).alias("c_lines"), F.when(F.col("doc_id") % 4 == 0, F.lit("ok")).otherwise(F.lit("empty")).alias("c_status"))
     pp = pt.patch_paths(dv.dv_patch(spark, sf).withColumn(
         "cve_id", F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id")))), "cve_id")
-    pp = pp.select("cve_id", F.regexp_replace("path", "^[^/]*/", "").alias("path"), "first_pos")
+    pp = pp.select("cve_id", F.regexp_replace("path", "^[^/]*/", "").alias("path"), F.col("first_pos").cast("long").alias("first_pos"))
+    pp = pp.unionByName(every.select(F.concat(F.lit("CVE-2024-"), F.format_string("%07d", F.col("doc_id"))).alias("cve_id"),
+                                     renamed.alias("path"), F.lit(9).cast("long").alias("first_pos")))
     r = fd.resolve_path(f.drop("doc_id"), corr, pp, snap)
     return r.withColumn("resolved_lines", F.array_join(F.transform("resolved_lines", lambda x: x.cast("string")), ","))
 
@@ -1238,8 +1256,10 @@ def _s02r(spark, sf):
 @q("s03_read_cves_glob")
 def _s03(spark, sf):
     out = scratch_dir(spark, "s03")
-    sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
-    return rd.read_cves(spark, out, glob="part-*.json", multi_line=False).select("cve_id")
+    sk.write_cves(_cve_docs(spark, sf), out + "/cves", fmt="json")
+    # documents of the same form in files that the name pattern leaves out
+    _cve_docs(spark, sf).select(F.to_json(F.struct("*")).alias("value")).write.text(out + "/notes")
+    return rd.read_cves(spark, out + "/*", glob="*.json", multi_line=False).select("cve_id")
 
 
 @q("s01_read_cve_feed")
@@ -1263,12 +1283,37 @@ def _s04(spark, sf):
     return rd.read_payloads(spark, out, "repo").select("owner", "repo", "size", F.col("license.key").alias("license"))
 
 
+@q("s04_read_payload_kinds")
+def _s04k(spark, sf):
+    """One round trip of every payload kind, a line of detail from each document."""
+    out = scratch_dir(spark, "s04k")
+    weeks = dv.dv_weeks(spark, sf).groupBy("user_id").agg(F.collect_list(F.struct(
+        "c", F.floor("a").cast("long").alias("a"), F.floor("d").cast("long").alias("d"))).alias("weeks"))
+    contributors = weeks.select(F.lit("org").alias("owner"), F.concat(F.lit("repo"), F.col("user_id").cast("string")).alias("repo"),
+                                F.struct(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("login")).alias("author"), "weeks")
+    tables = {"commit": dv.dv_commit_payload(spark, sf), "repo": dv.dv_repo_payload(spark, sf), "contributors": contributors,
+              "activity": dv.dv_activity_payload(spark, sf), "branches": dv.dv_branch_payload(spark, sf),
+              "languages": dv.dv_language_payload(spark, sf), "policy": dv.dv_policy_payload(spark, sf)}
+    total = F.aggregate("days", F.lit(0).cast("long"), lambda s, x: s + x)
+    commits = F.aggregate("weeks", F.lit(0).cast("long"), lambda s, w: s + w["c"])
+    detail = {"commit": [F.col("sha"), F.size("files")], "repo": [F.col("default_branch"), F.col("license.key")],
+              "contributors": [F.col("author.login"), commits], "activity": [F.col("total"), total],
+              "branches": [F.col("name"), F.col("protected")], "languages": [F.element_at("languages", F.lit("C"))],
+              "policy": [F.size("policy"), F.element_at("policy", F.lit("name"))]}
+    back = []
+    for kind, df in tables.items():
+        df.write.json(f"{out}/{kind}")
+        back.append(rd.read_payloads(spark, f"{out}/{kind}", kind).select(
+            F.lit(kind).alias("kind"), "owner", "repo", F.concat_ws("|", *[c.cast("string") for c in detail[kind]]).alias("detail")))
+    return reduce(DataFrame.unionByName, back)
+
+
 @q("s05_read_patches")
 def _s05(spark, sf):
     out = scratch_dir(spark, "s05")
     p = dv.dv_patch(spark, sf).select("file_name", F.regexp_replace("text", "\n$", "").alias("text"))
     p.repartition("file_name").write.partitionBy("file_name").text(out)
-    return rd.read_patches(spark, out).select("file_name", F.length("text").alias("n_chars"))
+    return rd.read_patches(spark, out).select("file_name", F.md5("text").alias("text_md5"))
 
 
 @q("w06_write_findings")
@@ -1284,7 +1329,20 @@ def _w06(spark, sf):
 
 @q("s06_read_findings")
 def _s06(spark, sf):
-    return _w06(spark, sf)
+    """Findings documents as found, with broken ones and ones without a list among them, item by item."""
+    out = scratch_dir(spark, "s06")
+    d = dv.table(spark, sf, "documents").select("doc_id", "source")
+    item = F.struct(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".c")).alias("file_path"),
+                    F.array(F.lit(3), F.col("doc_id")).alias("line_numbers"),
+                    F.create_map(F.lit("3"), F.md5(F.col("doc_id").cast("string"))).alias("introducing_commits"))
+    doc = F.struct(F.concat(F.lit("CVE-"), F.col("doc_id").cast("string")).alias("cve_id"),
+                   F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("repo_name_from_patch"),
+                   F.when(F.col("doc_id") % 7 != 0, F.array(item)).alias("vulnerable_snippets"))
+    d.select(F.when(F.col("doc_id") % 11 == 0, "{broken").otherwise(F.to_json(doc)).alias("value")).write.text(out)
+    r = rd.read_findings(spark, out, multi_line=False)
+    r = r.select("cve_id", "repo_name_from_patch", F.inline("vulnerable_snippets"))
+    return r.select("cve_id", "repo_name_from_patch", "file_path", F.element_at("line_numbers", 2).alias("line"),
+                    F.element_at("introducing_commits", F.lit("3")).alias("sha"))
 
 
 @q("w08_write_state")
@@ -1298,7 +1356,22 @@ def _w08(spark, sf):
 
 @q("s07_read_state")
 def _s07(spark, sf):
-    return _w08(spark, sf)
+    """The three stored forms of a state, and their done sets as one."""
+    out = scratch_dir(spark, "s07")
+    st = dv.dv_state(spark, sf)
+    sk.write_state(st.select("key", "status"), out + "/table")
+    st.select(F.to_json(F.create_map("key", "status")).alias("value")).write.text(out + "/object")
+    st.where("c_custkey % 2 = 0").select(F.to_json(F.array("key")).alias("value")).write.text(out + "/names")
+    forms = [rd.read_state(spark, f"{out}/{f}", f, multi_line=False).select("key", "status", F.lit(f).alias("form"))
+             for f in ("table", "object", "names")]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2])
+
+
+@q("e03_union_done")
+def _e03(spark, sf):
+    st = dv.dv_state(spark, sf)
+    done = [st.where(F.col("status") == x).select("key") for x in ("success", "failed")]
+    return stt.union_done(*done, st.where("c_custkey % 3 = 0").select("key"))
 
 
 @q("s09_read_snapshots")
@@ -1306,12 +1379,12 @@ def _s09(spark, sf):
     out = scratch_dir(spark, "s09")
     dv.dv_snapshot(spark, sf).select("path", "content").repartition("path").write.partitionBy("path").text(out)
     return rd.read_snapshots(spark, out).select(F.regexp_extract("file", r"path=([^/]*)", 1).alias("path"),
-                                                F.length("content").alias("n_chars"))
+                                                F.md5("content").alias("content_md5"))
 
 
 @q("s10_read_pages")
 def _s10(spark, sf):
-    return rd.read_pages(spark, f"{sf.rstrip('/')}/pages.parquet").select("page_id", F.length("html").alias("n"))
+    return rd.read_pages(spark, f"{sf.rstrip('/')}/pages.parquet").select("page_id", F.md5("html").alias("html_md5"))
 
 
 @q("w02_write_repos")
@@ -1360,7 +1433,8 @@ def _w05(spark, sf):
 def _w07(spark, sf):
     out = scratch_dir(spark, "w07")
     sk.write_snippets(_snippets(spark, sf), out)
-    return spark.read.json(out).select("cve_id", "file_path", "label")
+    back = spark.read.schema("cve_id string, file_path string, label string, code string").json(out)
+    return back.select("cve_id", "file_path", "label", F.md5("code").alias("code_md5"))
 
 
 @q("s08_read_scrape_index")

@@ -39,7 +39,7 @@ CVE = st(
     ("_corrupt_record", S),
 )
 
-FINDING = st(("repo_name_from_patch", S),
+FINDING = st(("cve_id", S), ("repo_name_from_patch", S),
              ("vulnerable_snippets", arr(st(("file_path", S), ("line_numbers", arr(I)),
                                             ("introducing_commits", T.MapType(S, S))))))
 

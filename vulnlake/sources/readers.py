@@ -57,11 +57,11 @@ def read_patches(spark: SparkSession, path: str, name_col: str = "file_name") ->
 
 def read_findings(spark: SparkSession, path: str, cve_col: str = "cve_id", multi_line: bool = True) -> DataFrame:
     """Findings JSON, one document a file however it is indented (``multi_line=False``: JSON
-    lines); ``cve_id`` from a ``cve_id=`` directory or the file stem; rows
+    lines); ``cve_id`` from the document, a ``cve_id=`` directory or else the file stem; rows
     without ``repo_name_from_patch`` or without a snippet list are dropped."""
     df = spark.read.schema(sc.FINDING).option("multiLine", multi_line).json(path)
-    if cve_col not in df.columns:
-        df = df.withColumn(cve_col, F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1))
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+    df = df.withColumn(cve_col, F.coalesce(F.col("cve_id"), stem))
     return df.filter(F.col("repo_name_from_patch").isNotNull() & F.col("vulnerable_snippets").isNotNull())
 
 

@@ -24,7 +24,7 @@ def write_repos(df: DataFrame, path: str, repo: str = "repository") -> None:
     df.dropDuplicates([repo]).write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header (grouped metrics are small: one file on request)."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
@@ -40,17 +40,18 @@ def append_results(df: DataFrame, path: str, key: str = "cve_id", value: str = "
 
 
 def write_findings(df: DataFrame, path: str, key: str = "cve_id") -> None:
-    """Only CVEs with at least one snippet; keeps the repository and the snippets."""
+    """Only CVEs with at least one snippet; keeps the repository and the snippets.  One table
+    with the CVE as a column, not one directory per CVE."""
     (df.filter(F.size("vulnerable_snippets") > 0)
        .select(key, "repo_name_from_patch", "vulnerable_snippets")
-       .write.mode("overwrite").partitionBy(key).json(path))
+       .write.mode("overwrite").json(path))
 
 
 def write_snippets(df: DataFrame, path: str) -> None:
     """Snippet text plus metadata, one row per (cve, full file path); the
     basename-collision behaviour of the reference is the F14 parity view."""
     df.select("cve_id", "file_path", "line_numbers", "introducing_commit", "label", "code") \
-      .write.mode("overwrite").partitionBy("cve_id").json(path)
+      .write.mode("overwrite").json(path)
 
 
 def write_state(df: DataFrame, path: str) -> None:
