@@ -57,6 +57,11 @@ def test_line_dedup_brute_force(docs):
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got), key=lambda t: str(key(t))) == sorted(want, key=lambda t: str(key(t)))
     assert any(r["n_dropped"] for r in got)
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"_site": F.lit(1), "_BAD": F.lit(2), "_kept": F.lit(3), "_text": F.lit(4), "a.b": F.lit(5)})
+    more = line_dedup.line_dedup(clash, "source", "text", 0.3, 3)
+    assert set(clash.columns) < set(more.columns)
+    assert more.where("_site = 1 and _BAD = 2 and _kept = 3 and _text = 4 and `a.b` = 5").count() == len(want)
+    assert {(r["doc_id"], r["text"]) for r in more.collect()} == {(w[0], w[1]) for w in want}
 
 
 def test_url_filter_rules_and_model(spark):
@@ -258,6 +263,15 @@ def test_lm_base_is_exact_and_model_better_than_nothing(docs, monkeypatch):
     assert lm_score.score(use.limit(0), lm_score.fit(use.limit(0))).count() == 0
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, docs):
+    odd = docs.withColumns({"_site": F.lit("x"), "_kept": F.lit(1), "component_id": F.lit(2), "a": F.lit(3), "a.b": F.lit(4), "items": F.lit(5)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns
+        assert out.where("_site = 'x' and _kept = 1 and component_id = 2 and a = 3 and `a.b` = 4 and items = 5").count() == out.count() > 0
+    assert corpus_pipeline.STAGES[4][1](spark, odd, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 def test_pipeline_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,17 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` through ``work``, which keeps its columns, whatever their names hold (``mapInArrow``
+    reads a dot in a name as a field)."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in work(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(named, df.schema)
+
+
 def grouped(items: Iterator, size, most: int) -> Iterator[list]:
     """Lists of consecutive items whose sizes sum to about ``most``; one larger item stands alone."""
     out, total = [], 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import grouped, raw_text, rows
+from vulnlake.llm.common import grouped, map_rows, raw_text, rows
 from vulnlake.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -160,4 +160,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
             columns = list(b.columns)
             columns[place] = pa.array(done, pa.binary()).cast(b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
-    return docs.mapInArrow(work, docs.schema)
+    return map_rows(docs, work)

@@ -45,18 +45,27 @@ def line_dedup(df: DataFrame, site: str = "source", text: str = "text", max_rati
     Ties (a share of exactly ``max_ratio``) keep the line.  A site's few pages are safe: a line
     needs ``min_pages`` pages.  Every row stays, also one whose text becomes empty; an empty
     table gives an empty result; input columns ``n_lines`` and ``n_dropped`` are replaced."""
-    bad = boilerplate(df, site, text, max_ratio, min_pages)
+    host, hits, left = unused(df, "_site"), unused(df, "_bad"), unused(df, "_kept")
+    bad = boilerplate(df, site, text, max_ratio, min_pages).withColumnsRenamed({"_site": host, "_bad": hits})
     key = F.coalesce(F.col(site).cast("string"), F.lit(""))
-    out = df.withColumn("_site", key).join(bad, "_site", "left")
+    out = df.withColumn(host, key).join(bad, host, "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), line_key(x)))
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(kept)
-    out = out.withColumn("_kept", kept)
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(hits), line_key(x)))
+    kept = F.when(F.col(hits).isNull(), lines).otherwise(kept)
+    out = out.withColumn(left, kept)
     return out.withColumns({
         "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"),
-        text: F.array_join("_kept", "\n"),
-    }).drop("_site", "_bad", "_kept")
+        "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long"),
+        text: F.array_join(left, "\n"),
+    }).drop(host, hits, left)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def html_lines(html: Column) -> Column:

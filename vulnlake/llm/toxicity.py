@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import batch, grouped, logistic, raw_text, rows, sample_per_class, sigmoid
+from vulnlake.llm.common import batch, grouped, logistic, map_rows, raw_text, rows, sample_per_class, sigmoid
 
 WINDOW, STRIDE = 48, 24
 PIECE = 24  # bytes of a word's input; longer words are several inputs
@@ -377,4 +377,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             for group in grouped(iter(texts), lambda t: len(t or b"") + 400, 1 << 20):
                 keep.extend((scorer.model.score(*scorer([t or b"" for t in group])) < threshold).tolist())
             yield b.filter(pa.array(keep, pa.bool_()))
-    return docs.mapInArrow(work, docs.schema)
+    return map_rows(docs, work)
