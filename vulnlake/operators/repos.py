@@ -169,10 +169,9 @@ def size_decile(m: DataFrame, approx: bool = False) -> DataFrame:
     lx = log10_col(F.col("repo_size"))
     qs = [i / 10 for i in range(1, 10)]
     edges = m.select(_pct(lx, qs, approx)).scalar()
-    v = F.col("lx")
-    # the subquery is bound to a column once; the nine comparisons read that column
-    above = sum((F.get(F.col("_edges"), k) < v).cast("int") for k in range(9))
-    return (m.withColumn("lx", lx).filter(v.isNotNull()).withColumn("_edges", edges)
+    # one reference to the subquery: the nine comparisons are over its array
+    above = F.size(F.filter("_edges", lambda e: e < F.col("lx")))
+    return (m.withColumn("lx", lx).filter(F.col("lx").isNotNull()).withColumn("_edges", edges)
             .withColumn("decile", F.concat(F.lit("Q"), (above + 1).cast("string"))).drop("lx", "_edges"))
 
 
@@ -195,20 +194,21 @@ def kde(m: DataFrame, col: str = "avg_cvss", grid: int = 100, cut: float = 2.0)
     """Gaussian kernel density of ``col`` on ``grid`` points from min - cut*bw to
     max + cut*bw, Scott's bandwidth (sample std * n ** -1/5).
 
-    Each data row emits its contribution to the ``grid`` points (a fixed fan-out,
-    no join), and the partial aggregation folds them to ``grid`` rows per task.
+    Rows are counted by value first; each distinct value emits its weighted contribution to
+    the ``grid`` points (a fixed fan-out, no join), and the partial aggregation folds them to
+    ``grid`` rows per task.
     """
     v = F.col(col).cast("double")
     st = m.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     one = st.select(F.struct(F.col("n"), (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"),
                              "lo", "hi")).scalar()  # one subquery, reused
     n, bw, lo, hi = one["n"], one["bw"], one["lo"], one["hi"]
-    pts = m.select(v.alias("v")).filter(F.col("v").isNotNull()) \
-           .select("v", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    pts = m.select(v.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("w")) \
+           .select("v", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
     pts = pts.withColumn("bw", bw).withColumn("g0", lo - F.lit(cut) * F.col("bw")) \
              .withColumn("step", (hi - lo + F.lit(2 * cut) * F.col("bw")) / F.lit(float(grid - 1)))
     x = F.col("g0") + F.col("i") * F.col("step")
     z = (x - F.col("v")) / F.col("bw")
     dens = F.exp(-0.5 * z * z) / (F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return (pts.select(F.col("i").cast("bigint").alias("i"), x.alias("x"), dens.alias("d"))
+    return (pts.select(F.col("i").cast("bigint").alias("i"), x.alias("x"), (F.col("w") * dens).alias("d"))
             .groupBy("i").agg(F.first("x").alias("x"), (F.sum("d") / n).alias("density")))
