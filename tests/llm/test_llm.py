@@ -137,6 +137,20 @@ def test_bm25_equals_brute_force(docs, monkeypatch):
     assert bm25.search(bm25.build(docs.limit(0)), queries).count() == 0
 
 
+def test_bm25_documents_as_queries(spark, docs, monkeypatch):
+    from vulnlake.llm import queries
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 20 = 0 and text is not null").collect()}
+    got = queries.QUERIES["op4_bm25_documents"](spark, SF).collect()
+    assert {r["query_id"] for r in got} == ids
+    index, asked = bm25.build(docs), docs.where("doc_id is not null").select(F.col("doc_id").alias("query_id"), "text")
+    want = sorted(map(tuple, bm25.search(index, asked, 5).collect()))
+    monkeypatch.setattr(bm25, "LONG", 0)
+    calls, block = [], bm25.search_block
+    monkeypatch.setattr(bm25, "search_block", lambda *a: calls.append(1) or block(*a))
+    long = sorted(map(tuple, bm25.search(index, asked, 5, most_bytes=60_000).collect()))
+    assert len(calls) > 1 and [r[:3] for r in long] == [r[:3] for r in want] and np.allclose([r[3] for r in long], [r[3] for r in want])
+
+
 def test_langid(spark, docs):
     r = np.random.default_rng(1)
     make = {"en": ["the", "and", "thing", "with", "this"], "de": ["der", "und", "schön", "nicht", "über"]}

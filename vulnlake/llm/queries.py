@@ -105,6 +105,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 """
 
 
+@query
+def op4_bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    found = bm25.search(bm25.build(docs), queries)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+ORACLES["op4_bm25_documents"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT doc_id AS query_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents WHERE doc_id % 20 = 0),
+qt AS (SELECT query_id, word, count(*) AS c FROM q GROUP BY ALL),
+n AS (SELECT count(*) AS n, greatest(sum(len(w)) / count(*), 1e-9) AS mean FROM d),
+t AS (SELECT doc_id, dl, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS word FROM d) GROUP BY ALL),
+f AS (SELECT word, count(*) AS df FROM t WHERE word IN (SELECT word FROM qt) GROUP BY word),
+s AS (SELECT query_id, doc_id, round(sum(c * ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score
+      FROM qt JOIN f USING (word) JOIN t USING (word), n GROUP BY query_id, doc_id)
+SELECT query_id, rank, doc_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the folds that are not held out."""
