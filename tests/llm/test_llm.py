@@ -277,6 +277,19 @@ def test_lm_base_is_exact_and_model_better_than_nothing(docs, monkeypatch):
     assert lm_score.score(use.limit(0), lm_score.fit(use.limit(0))).count() == 0
 
 
+def test_lm_filter_in_slices_loses_nothing(docs):
+    use = docs.withColumn("held_out", held_out(F.col("doc_id"), 5, 1))
+    train = use.where(~F.col("held_out"))
+    one, many = lm_score.fit(train), lm_score.fit(train, slice_bytes=8)
+    assert len(one.slices) == 2 and len(many.slices) > 10
+    key = ["doc_id", "n_tokens", "score"]
+    assert sorted(map(str, lm_score.score(use, one).select(key).collect())) == sorted(map(str, lm_score.score(use, many).select(key).collect()))
+    model = many.sent.value
+    # ten bits for every entry: a part has room for all it was given, whatever the slices' size
+    h = np.arange(1, 50_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert len(lm_score.build(h, np.ones(len(h), np.int64))) * 8 >= lm_score.ENTRY_BITS * len(h) and model.order == 2
+
+
 def test_pipeline_stages_keep_clashing_columns(spark, docs):
     odd = docs.withColumns({"_site": F.lit("x"), "_kept": F.lit(1), "component_id": F.lit(2), "a": F.lit(3), "a.b": F.lit(4), "items": F.lit(5)})
     for _, stage in corpus_pipeline.STAGES[:4]:

@@ -4,9 +4,10 @@ N-grams of the training texts are counted over the whole corpus: every task sort
 64-bit hashes of its n-grams and sends (hash, count) arrays to buckets by hash, so that a
 very frequent n-gram is one entry a task.  Each bucket merges its arrays and builds its own
 part of the filter: an n-gram of count c enters with each level 1 .. q, where q is the
-logarithm of c.  The filter is broadcast; its size has a fixed ceiling (``most_bytes``),
-beyond which the bits an entry gets shrink and errors rise.  A count is read back by probing
-level after level until one misses.  Probabilities are smoothed by mixing each order with
+logarithm of c.  Every entry has ``ENTRY_BITS`` bits at every size.  The filter is broadcast in
+slices of about ``slice_bytes``, each some buckets of one order; a task holds one slice at a time
+and probes a group of texts slice by slice.  A count is read back by probing level after level
+until one misses.  Probabilities are smoothed by mixing each order with
 the next lower one; the lower order's share depends on the level of the history, and is the
 one that makes all training texts likeliest when each n-gram is counted without itself.
 
@@ -35,12 +36,13 @@ ORDER = 2
 BASE = 1.5  # of the logarithm that quantises counts
 ENTRY_BITS = 10
 PROBES = 4
-MOST_BYTES = 256 << 20
+SLICE_BYTES = 64 << 20  # of the filter in a task at once
 HEAD = 1 << 17
 BUCKET_BYTES = 8 << 20
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.995, 1.0)  # tried for the lower order
 END = b"\n"  # no word holds white space
 CHUNK = 3 << 20  # bytes of text worked on at once
+SLICED = 4 << 20  # of a filter in several slices, which are read once for each such group
 
 BLOCK = 1 << 15
 
@@ -134,9 +136,11 @@ def spare(n: int, least: int) -> int:
     return int(levels(np.array([least]))[0]) - 1 if n > 1 else 0
 
 
-def build(h: np.ndarray, q: np.ndarray, most_bytes: int) -> bytes:
+def build(h: np.ndarray, q: np.ndarray) -> bytes:
     """One bucket's part of the filter, from hashes and levels."""
-    words = int(min(max(1, -(-int(q.sum()) * ENTRY_BITS // 64)), max(1, most_bytes // 8), (1 << 32) - 1))
+    words = max(1, -(-int(q.sum()) * ENTRY_BITS // 64))
+    if words >= 1 << 32:
+        raise ValueError("a bucket of the filter has over 2**32 words")
     out = np.zeros(words, np.uint64)
     for level in range(1, int(q.max(initial=0)) + 1):
         np.bitwise_or.at(out, *place(h[q >= level], level, np.uint64(words)))
@@ -145,44 +149,67 @@ def build(h: np.ndarray, q: np.ndarray, most_bytes: int) -> bytes:
 
 @dataclass
 class Model:
-    """What a task needs: the filter's parts end to end, and the counts of the head words."""
+    """What a task needs: where the filter's parts are, and the counts of the head words."""
 
     order: int
     least: int
     buckets: int
-    filter: np.ndarray  # 64-bit words
-    offset: np.ndarray  # of each bucket's part, in words
+    slice: np.ndarray  # that holds each bucket's part
+    offset: np.ndarray  # of each bucket's part in its slice, in 64-bit words
     words: np.ndarray  # of each bucket's part
     head: np.ndarray  # sorted word hashes
     head_counts: np.ndarray
     total: int
     distinct: int
 
+
+class Filter:
+    """The filter in one task, one slice in memory at a time."""
+
+    def __init__(self, model: Model, slices: list[Broadcast]):
+        self.model, self.slices = model, slices
+        self.number, self.bits = -1, np.zeros(0, np.uint64)
+
+    def hold(self, number: int) -> None:
+        if number != self.number:
+            sent, self.number, self.bits = self.slices[number], number, np.zeros(0, np.uint64)
+            # not ``value``, which would keep every slice
+            self.bits = sent.load_from_path(sent._path) if sent._path else sent.value
+
     def level(self, h: np.ndarray, n: int) -> np.ndarray:
         """The level that each n-gram of order ``n`` was stored with (0: never seen)."""
-        out = np.zeros(len(h), np.int64)
-        for at in range(0, len(h), BLOCK):  # blocks that stay in the processor's cache
-            self._level(h[at:at + BLOCK], n, out[at:at + BLOCK])
+        m, out = self.model, np.zeros(len(h), np.int64)
+        bucket = (n - 1) * m.buckets + (h >> np.uint64(40)).astype(np.int64) % m.buckets
+        number = np.where(m.words[bucket] > 0, m.slice[bucket], -1)
+        have = np.unique(number[number >= 0]).tolist()
+        have.sort(key=lambda x: x != self.number)  # the one at hand first
+        for k in have:
+            self.hold(k)
+            mine = np.flatnonzero(number == k)
+            for at in range(0, len(mine), BLOCK):  # blocks that stay in the processor's cache
+                some = mine[at:at + BLOCK]
+                out[some] = self._level(h[some], n, bucket[some])
         return out
 
-    def _level(self, h: np.ndarray, n: int, out: np.ndarray) -> None:
-        bucket = (n - 1) * self.buckets + (h >> np.uint64(40)).astype(np.int64) % self.buckets
-        live = np.flatnonzero(self.words[bucket])
-        h, offset, words = h[live], self.offset[bucket[live]], self.words[bucket[live]].astype(np.uint64)
-        above = spare(n, self.least)
+    def _level(self, h: np.ndarray, n: int, bucket: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(h), np.int64), np.arange(len(h))
+        offset, words = self.model.offset[bucket], self.model.words[bucket].astype(np.uint64)
+        above = spare(n, self.model.least)
         for level in range(1, len(COUNT_OF) - above):
             if not len(live):
                 break
             at, bits = place(h, level, words)
-            hit = np.flatnonzero(self.filter[offset + at] & bits == bits)
+            hit = np.flatnonzero(self.bits[offset + at] & bits == bits)
             live, h, offset, words = live[hit], h[hit], offset[hit], words[hit]
             out[live] = level + above
+        return out
 
 
 class Reader:
     """Probabilities of texts under a model, in one task; what single words need is kept."""
 
-    def __init__(self, model: Model, lower: list):
+    def __init__(self, model: Model, slices: list[Broadcast], lower: list):
+        self.filter, self.group = Filter(model, slices), CHUNK // 2 if len(slices) <= model.order else SLICED
         self.model, self.lower = model, lower  # share of the next lower order, by order and the history's level
         self.words = Vocabulary()
         self.level = np.zeros(0, np.int64)
@@ -196,7 +223,7 @@ class Reader:
             self.level, self.base = self.level[:0], self.base[:0]
         tokens, starts, size = self.words.read(texts)
         new = self.words.hashes[len(self.level):]
-        self.level = np.concatenate([self.level, m.level(new, 1)])
+        self.level = np.concatenate([self.level, self.filter.level(new, 1)])
         base = np.full(len(new), np.nan)
         if len(m.head):
             at = np.minimum(np.searchsorted(m.head, new), len(m.head) - 1)
@@ -217,7 +244,7 @@ class Reader:
             of_history[1:] = of_gram[:-1]
             of_history[starts] = 0  # at a text's start only lower orders speak
             grams = longer(grams, words, starts, n)
-            of_gram = m.level(grams, n)
+            of_gram = self.filter.level(grams, n)
             if n < upto or len(self.lower) > n:
                 share = self.lower[n][of_history]
                 p = (1 - share) * ratio(COUNT_OF[of_gram], COUNT_OF[of_history]) + share * p
@@ -234,7 +261,7 @@ def bucket_count(docs: DataFrame) -> int:
     return max(16, -(-total // BUCKET_BYTES))
 
 
-def count_ngrams(docs: DataFrame, order: int, buckets: int, most_bytes: int, least: int) -> DataFrame:
+def count_ngrams(docs: DataFrame, order: int, buckets: int, least: int) -> DataFrame:
     """(n, bucket, part, hashes, counts, total, distinct): one row per order and bucket.
 
     Order 1 carries its exact counts; every row carries its part of the filter.  N-grams of two
@@ -276,7 +303,7 @@ def count_ngrams(docs: DataFrame, order: int, buckets: int, most_bytes: int, lea
         h, c = h[first], np.add.reduceat(c, first)
         keep = c >= (1 if n == 1 else least)
         exact = n == 1
-        return pd.DataFrame({"n": [n], "bucket": [bucket], "part": [build(h[keep], levels(c[keep]) - spare(n, least), max(8, most_bytes // (order * buckets)))],
+        return pd.DataFrame({"n": [n], "bucket": [bucket], "part": [build(h[keep], levels(c[keep]) - spare(n, least))],
                              "hashes": [h.tobytes() if exact else b""], "counts": [c.astype("<i8").tobytes() if exact else b""],
                              "total": [int(c.sum())], "distinct": [len(h)]})
     return (docs.select(raw_text().alias("text")).mapInArrow(local, "n int, bucket long, hashes binary, counts binary")
@@ -292,47 +319,59 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Fitted:
     sent: Broadcast  # of the Model
+    slices: list[Broadcast]  # of its filter
     lower: list
     words: DataFrame  # (word hash, count) of all words
     total: int
     distinct: int
 
 
-def fit(docs: DataFrame, order: int = ORDER, most_bytes: int = MOST_BYTES, head: int = HEAD, least: int = 2) -> Fitted:
+def fit(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE_BYTES, head: int = HEAD, least: int = 2) -> Fitted:
     """Model of ``docs`` (``text``).
 
     Counts cover all rows; a null text counts as an empty one, which is one end token."""
     buckets = bucket_count(docs)
-    parts = stage_table(count_ngrams(docs, order, buckets, most_bytes, least), "ngrams")
+    parts = stage_table(count_ngrams(docs, order, buckets, least), "ngrams")
     words = parts.where(F.col("n") == 1).select("hashes", "counts").mapInArrow(unpack, "word long, count long")
     sums = parts.where(F.col("n") == 1).agg(F.sum("total"), F.sum("distinct")).first()
     top = words.orderBy(F.desc("count"), "word").limit(head).select("word", "count").toPandas()
     h, c = top["word"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     by = np.argsort(h)
     # order n's part of a bucket is number (n - 1) * buckets + bucket
-    place = (F.col("n") - 1) * buckets + F.col("bucket")
-    size = np.zeros(order * buckets, np.int64)
-    for r in parts.select(place.alias("k"), F.octet_length("part").alias("size")).collect():
-        size[r["k"]] = r["size"] // 8
-    offset = np.concatenate([[0], np.cumsum(size)])
-    bits = np.empty(int(offset[-1]), np.uint64)
-    for r in parts.select(place.alias("k"), "part").toLocalIterator():  # one partition in the driver at a time
-        bits[offset[r["k"]]:offset[r["k"] + 1]] = np.frombuffer(r["part"], "<u8")
-    model = Model(order, least, buckets, bits, offset[:-1], size, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    part, offset, size = (np.zeros(order * buckets, np.int64) for _ in range(3))
+    context, slices = docs.sparkSession.sparkContext, []
+    open_: dict[int, list[tuple[int, bytes]]] = {n: [] for n in range(1, order + 1)}
+
+    def close(n: int) -> None:
+        at = 0
+        for k, b in open_[n]:
+            part[k], offset[k], size[k] = len(slices), at, len(b) // 8
+            at += len(b) // 8
+        if open_[n]:
+            slices.append(context.broadcast(np.frombuffer(b"".join(b for _, b in open_[n]), "<u8")))
+        open_[n] = []
+    for r in parts.select("n", "bucket", "part").toLocalIterator():  # one partition in the driver at a time
+        n = r["n"]
+        if open_[n] and sum(len(b) for _, b in open_[n]) + len(r["part"]) > slice_bytes:
+            close(n)
+        open_[n].append(((n - 1) * buckets + r["bucket"], bytes(r["part"])))
+    for n in open_:
+        close(n)
+    model = Model(order, least, buckets, part, offset, size, h[by], c[by], int(sums[0] or 0), int(sums[1] or 0))
+    sent = context.broadcast(model)
     lower: list = [None, None]
     for n in range(2, order + 1):
-        lower.append(shares(docs, sent, lower, n, least))
-    return Fitted(sent, lower, words, model.total, model.distinct)
+        lower.append(shares(docs, sent, slices, lower, n, least))
+    return Fitted(sent, slices, lower, words, model.total, model.distinct)
 
 
-def shares(docs: DataFrame, sent: Broadcast, lower: list, n: int, least: int) -> np.ndarray:
+def shares(docs: DataFrame, sent: Broadcast, slices: list[Broadcast], lower: list, n: int, least: int) -> np.ndarray:
     """Best share of order n-1 by level of the history, over all training texts."""
     width = len(COUNT_OF)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, sums = Reader(sent.value, lower), np.zeros((len(SHARES), width))
-        for group in grouped((t for (t,) in rows(batches)), lambda t: len(t) + 8, CHUNK // 2):
+        reader, sums = Reader(sent.value, slices, lower), np.zeros((len(SHARES), width))
+        for group in grouped((t for (t,) in rows(batches)), lambda t: len(t) + 8, reader.group):
             tokens, starts, _, level = reader.read(group)
             below, of_gram, of_history = reader.probabilities(tokens, starts, level, n)
             c = COUNT_OF[of_gram] - 1
@@ -369,12 +408,12 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     ``score`` is the model's log10 probability of the whole text with its end.  A null or empty
     text is its end alone.  With no training rows, every count is 0.  Repeated rows are each
     scored; ids may be null; other columns are ignored."""
-    sent, lower, words = fitted.sent, fitted.lower, fitted.words
+    sent, slices, lower, words = fitted.sent, fitted.slices, fitted.lower, fitted.words
     divisor = fitted.total + 0.5 * (fitted.distinct + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, part, at = Reader(sent.value, lower), TaskContext.get().partitionId() << 40, 0
-        for group in grouped(rows(batches), lambda r: len(r[1]) + 8, CHUNK // 2):
+        reader, part, at = Reader(sent.value, slices, lower), TaskContext.get().partitionId() << 40, 0
+        for group in grouped(rows(batches), lambda r: len(r[1]) + 8, reader.group):
             ids, texts, held = zip(*group, strict=True)
             tokens, starts, size, level = reader.read(list(texts))
             p, _, _ = reader.probabilities(tokens, starts, level, reader.model.order)
@@ -392,7 +431,8 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
                         np.add.reduceat(np.where(unknown, 0, base), starts).tolist(), np.add.reduceat(np.log10(p), starts).tolist(), rest)
             at += len(group)
     scored = stage_table(docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"), "held_out").mapInArrow(work, SCORED_SQL), "scored")
-    sent.unpersist()
+    for b in (sent, *slices):
+        b.unpersist()
     rest = scored.select("row", F.inline("rest")).join(words, "word", "left")
     c = F.coalesce(F.col("count"), F.lit(0))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(divisor))).alias("more"),
