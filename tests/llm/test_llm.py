@@ -290,6 +290,16 @@ def test_lm_filter_in_slices_loses_nothing(docs):
     assert len(lm_score.build(h, np.ones(len(h), np.int64))) * 8 >= lm_score.ENTRY_BITS * len(h) and model.order == 2
 
 
+def test_lm_bigrams_seen_once_count(spark):
+    rows = [(i, t, False) for i in range(20) for t in (f"p{i} q{i} r{i}", f"p{i} q{i} r{i}", f"u{i} v{i}", f"u{i} x{i}")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    test = spark.createDataFrame([(100 + i, f"u{i} v{(i + k) % 20}", True) for i in range(20) for k in (0, 1)], train.schema)
+    got = {}
+    for r in lm_score.score(test, lm_score.fit(train)).collect():
+        got.setdefault(r["doc_id"], []).append(r["score"])
+    assert all(max(x) - min(x) > 0.3 for x in got.values())
+
+
 def test_pipeline_stages_keep_clashing_columns(spark, docs):
     odd = docs.withColumns({"_site": F.lit("x"), "_kept": F.lit(1), "component_id": F.lit(2), "a": F.lit(3), "a.b": F.lit(4), "items": F.lit(5)})
     for _, stage in corpus_pipeline.STAGES[:4]:

@@ -326,7 +326,7 @@ class Fitted:
     distinct: int
 
 
-def fit(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE_BYTES, head: int = HEAD, least: int = 2) -> Fitted:
+def fit(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE_BYTES, head: int = HEAD, least: int = 1) -> Fitted:
     """Model of ``docs`` (``text``).
 
     Counts cover all rows; a null text counts as an empty one, which is one end token."""
