@@ -209,6 +209,15 @@ def test_quality(spark, docs):
     assert quality.quality(docs.withColumn("held_out", F.lit(True)), one).where("score < 0.9").count() == 0
 
 
+def test_quality_prior_is_that_of_all_labels(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(r.choice([f"word{k}" for k in range(30)], 60)), int(i % 10 > 0)) for i in range(600)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(known.select("doc_id", "text"), known.select("doc_id", "label"), docs_per_class=50)
+    out = quality.quality(known.select("doc_id", "text", F.lit(False).alias("held_out")), model)
+    assert out.agg(F.avg("score")).first()[0] > 0.8
+
+
 def test_fm_index_finds_all():
     r = np.random.default_rng(1)
     for n, k in ((1, 3), (50, 3), (400, 2), (2000, 30)):

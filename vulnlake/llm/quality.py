@@ -80,8 +80,10 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = SAMPLE_DOCS, b
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1), all training rows.
 
     Of each label at most ``docs_per_class`` documents are used (smallest id hash): half of them
-    give the dictionaries (``blocks_per_class`` blocks at most), half the calibration.  Without
-    documents of both labels every score is the share of good ones (0.5 without any)."""
+    give the dictionaries (``blocks_per_class`` blocks at most), half the calibration, weighted to
+    the labels' own shares.  Without documents of both labels every score is the share of good
+    ones (0.5 without any)."""
+    shares = {int(r["label"]): r["count"] for r in labels.where(F.col("label").isNotNull()).groupBy("label").count().collect()}
     pick = sample_per_class(labels, docs_per_class)
     use = docs.select("doc_id", raw_text().alias("text")).join(F.broadcast(pick), "doc_id")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
@@ -105,13 +107,15 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = SAMPLE_DOCS, b
             yield batch(schema, [r[1] for r in group], [c.features(r[0]) for r in group])
     found = use.where(half == 1).select("text", F.col("label").cast("long")).mapInArrow(measure, "label long, x array<double>").collect()
     y = np.array([r["label"] for r in found], float)
+    has = {k: max(1, int((y == k).sum())) for k in (0, 1)}
+    weight = np.where(y == 1, shares.get(1, 1) / has[1], shares.get(0, 1) / has[0])
     if len(set(y.tolist())) < 2 or not good or not bad:
-        share = float(y.mean()) if len(y) else 0.5
+        share = float(np.average(y, weights=weight)) if len(y) else 0.5
         w = np.zeros(15)
         w[-1] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return Model(good or b" ", bad or b" ", w)
     x = expand(np.array([r["x"] for r in found]))[:, :-1]
-    return Model(good, bad, logistic(x, y, decay=1e-2))
+    return Model(good, bad, logistic(x, y, decay=1e-2, weight=weight / weight.mean()))
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:
