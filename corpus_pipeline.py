@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from vulnlake.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from vulnlake.llm.common import stage_table, table
 
+#: Of a source's documents, which are far more than a host's pages: the share beyond which a line is boilerplate.
+SOURCE_RATIO = 0.01
+
 
 def counted(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, with ``n_chars`` (if there) counted anew."""
@@ -31,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on too many documents of a source are cut; every document stays."""
-    return counted(line_dedup.line_dedup(docs, "source", "text"), docs)
+    return counted(line_dedup.line_dedup(docs, "source", "text", max_ratio=SOURCE_RATIO), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,6 +309,13 @@ def test_lm_bigrams_seen_once_count(spark):
     assert all(max(x) - min(x) > 0.3 for x in got.values())
 
 
+def test_pipeline_cuts_lines_on_few_hundredths_of_a_source(spark):
+    rows = [(i, f"text number {i}\n" + ("shared line" if i % 33 == 0 else f"own line {i}"), "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, SF).collect()}
+    assert out == {i: f"text number {i}" if i % 33 == 0 else t for i, t, _ in rows}
+
+
 def test_pipeline_stages_keep_clashing_columns(spark, docs):
     odd = docs.withColumns({"_site": F.lit("x"), "_kept": F.lit(1), "component_id": F.lit(2), "a": F.lit(3), "a.b": F.lit(4), "items": F.lit(5)})
     for _, stage in corpus_pipeline.STAGES[:4]:
