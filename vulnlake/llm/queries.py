@@ -8,13 +8,15 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import bm25
+from vulnlake.llm import bm25, bpe
 from vulnlake.llm import decontaminate as dc
+from vulnlake.llm import hard_negatives as hn
 from vulnlake.llm import jaccard_join as jj
 from vulnlake.llm import langid as li
 from vulnlake.llm import line_dedup as ld
 from vulnlake.llm import lm_score as lm
 from vulnlake.llm import packing as pk
+from vulnlake.llm import phrases as ph
 from vulnlake.llm import quality as ql
 from vulnlake.llm import toxicity as tx
 from vulnlake.llm import url_filter as uf
@@ -199,3 +201,61 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the model of the folds that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 1).alias("held_out"))
     return lm.score(docs, lm.fit(docs.where(~F.col("held_out"))))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, against all vectors."""
+    label, vector = F.col("label").cast("long"), F.col("embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").where(hn.usable(label, vector)).select(
+        "vec_id", moved.alias("label"), hn.quantised(vector).alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hn.hard_negatives(rows)
+
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, label, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM v),
+s AS (SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, CAST(sum(a.x * b.x) AS BIGINT) AS s
+      FROM c a JOIN c b ON a.i = b.i WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+p AS (SELECT a, la, b, s FROM s WHERE la = lb AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND s.lb <> p.la AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to byte-level BPE ids and decoded again, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language."""
+    return ph.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrases"] = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE m >= 2),
+cut AS (SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST(CAST(c.f AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[k + 1:], ' ')),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, f, array_to_string(p[i:i + q - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - q + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS q FROM c))),
+longer AS (SELECT lang, phrase, max(f) AS f FROM sub GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN longer ON longer.lang = s.lang AND longer.phrase = s.phrase WHERE longer.f IS NULL OR 100 * longer.f < 80 * s.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
