@@ -13,6 +13,7 @@ from vulnlake.functions.cve import severity
 from vulnlake.functions.text import extension
 from vulnlake.functions.features import parent_dir
 from vulnlake.functions.urls import url_host
+from vulnlake.operators.quantiles import quantiles
 from vulnlake.operators.windows import top_k_per_group
 
 CVE_FIELDS = ["repository", "cvss_score", "cwe_id", "attack_vector", "attack_complexity", "fix_date"]
@@ -109,8 +110,8 @@ def files_fix_vs_other(commits: DataFrame, is_fix: str = "is_fix", n_files: str
 def patch_size(commits: DataFrame, col: str = "additions", approx: bool = False) -> DataFrame:
     """Quartiles and 90th percentile of lines added per commit."""
     qs = [0.25, 0.5, 0.75, 0.9]
-    p = F.percentile_approx(F.col(col), qs, 100000) if approx else F.percentile(F.col(col), qs)
-    return commits.agg(p.alias("_p")).select(*[F.get("_p", i).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
+    found = commits.agg(F.percentile_approx(F.col(col), qs, 100000).alias("q")) if approx else quantiles(commits, F.col(col), qs)
+    return found.select(*[F.get("q", i).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
 
 
 def common_words(texts: DataFrame, text: str = "text", k: int = 20, min_len: int = 1) -> DataFrame:
@@ -135,8 +136,9 @@ def score_histogram(df: DataFrame, score: str = "cvss_score") -> DataFrame:
 def score_stats(df: DataFrame, score: str = "cvss_score") -> DataFrame:
     """Deciles and population skewness of scores."""
     s = F.col(score)
-    return df.agg(F.percentile(s, 0.1).alias("p10"), F.median(s).alias("p50"), F.percentile(s, 0.9).alias("p90"),
-                  F.skewness(s).alias("skewness"))
+    q = quantiles(df, s, [0.1, 0.5, 0.9]).select("q").scalar()
+    return (df.agg(F.skewness(s).alias("skewness")).withColumn("_q", q)
+            .select(*[F.get("_q", i).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "skewness"))
 
 
 def score_correlations(df: DataFrame, score: str, cols: list[str]) -> DataFrame:

@@ -5,9 +5,8 @@ statistics (histogram ranges, decile edges, fit lines, kernel bandwidth) read
 a one-row aggregate through ``DataFrame.scalar()``: Spark runs it once as a
 scalar subquery and inlines the value, with no join and no ``collect``.
 
-Exact percentiles (``percentile``) hold a group's values in one task; they
-run here on *grouped* rows (one per repository or size).  Pass
-``approx=True`` to use ``percentile_approx`` where even that is too large.
+Quantiles are exact and distributed (``operators.quantiles``): no task holds more than
+a range of the distinct values.  ``approx=True`` takes ``percentile_approx`` instead.
 """
 
 from __future__ import annotations
@@ -18,14 +17,14 @@ from pyspark.sql import functions as F
 from vulnlake.functions.features import safe_corr
 
 from vulnlake.functions.features import log10_col, vuln_density
+from vulnlake.operators.quantiles import medians, quantiles, quantiles_of
 
 DECILE_LABELS = [f"Q{i}" for i in range(1, 11)]
 
 
-def _pct(c: Column, q, approx: bool) -> Column:
-    if approx:
-        return F.percentile_approx(c, q, 100000)
-    return F.percentile(c, q)
+def _quantiles(m: DataFrame, c: Column, qs: list[float], approx: bool) -> Column:
+    """Quantiles of a column over all of ``m``, as an array-valued scalar subquery."""
+    return m.select(F.percentile_approx(c, qs, 100000)).scalar() if approx else quantiles_of(m, c, qs)
 
 
 def repo_metrics(df: DataFrame, repo: str = "repository", size: str = "size", score: str = "cvss_score",
@@ -66,19 +65,21 @@ def size_metrics_ext(df: DataFrame, size: str = "size", score: str = "cvss_score
 
 def size_report(m: DataFrame, approx: bool = False) -> DataFrame:
     """The statistical report over A23's groups."""
-    med = (lambda c: F.percentile_approx(c, 0.5, 100000)) if approx else F.median
-    return m.agg(
+    size, count = F.col("repo_size").cast("double"), F.col("vulnerabilities").cast("double")
+    of = {"median_size": size, "median_vulnerabilities": count, "median_avg_cvss": F.col("avg_cvss")}
+    med = m.agg(*[F.percentile_approx(c, 0.5, 100000).alias(n) for n, c in of.items()]) if approx else medians(m, of)
+    one = med.select(F.struct(*of)).scalar()
+    st = m.agg(
         F.count(F.lit(1)).alias("size_groups"),
         F.sum("vulnerabilities").alias("total_vulnerabilities"),
-        med(F.col("repo_size").cast("double")).alias("median_size"),
         F.avg("repo_size").alias("mean_size"),
         F.avg("vulnerabilities").alias("mean_vulnerabilities"),
-        med(F.col("vulnerabilities").cast("double")).alias("median_vulnerabilities"),
         F.avg("avg_cvss").alias("mean_avg_cvss"),
-        med(F.col("avg_cvss")).alias("median_avg_cvss"),
-        safe_corr(F.col("repo_size").cast("double"), F.col("vulnerabilities").cast("double")).alias("corr_size_count"),
-        safe_corr(F.col("repo_size").cast("double"), F.col("avg_cvss")).alias("corr_size_score"),
-    )
+        safe_corr(size, count).alias("corr_size_count"),
+        safe_corr(size, F.col("avg_cvss")).alias("corr_size_score"),
+    ).withColumn("_m", one)
+    return st.select("size_groups", "total_vulnerabilities", F.col("_m.median_size"), "mean_size", "mean_vulnerabilities",
+                     F.col("_m.median_vulnerabilities"), "mean_avg_cvss", F.col("_m.median_avg_cvss"), "corr_size_count", "corr_size_score")
 
 
 CORR_COLUMNS = ["repo_size", "vulnerabilities", "avg_cvss", "vuln_density", "std_cvss"]
@@ -126,7 +127,10 @@ def loglog_curve(m: DataFrame, n: int = 100) -> DataFrame:
 
 def upper_cut(m: DataFrame, col: str = "vulnerabilities", q: float = 0.995, approx: bool = False) -> DataFrame:
     """The 99.5th percentile of counts (linear interpolation)."""
-    return m.agg(_pct(F.col(col).cast("double"), q, approx).alias("upper_cut"))
+    c = F.col(col).cast("double")
+    if approx:
+        return m.agg(F.percentile_approx(c, q, 100000).alias("upper_cut"))
+    return quantiles(m, c, [q]).select(F.get("q", 0).alias("upper_cut"))
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -139,8 +143,8 @@ def hist2d(m: DataFrame, bins: int = 50, q: float = 0.995, approx: bool = False)
     """50 x 50 linear bins over [0, max log10 size] x [0, p99.5 of count]; outside dropped."""
     lx = log10_col(F.col("repo_size"))
     y = F.col("vulnerabilities").cast("double")
-    one = m.select(F.struct(F.max(lx).alias("x_hi"), _pct(y, q, approx).alias("y_hi"))).scalar()
-    x_hi, y_hi = one["x_hi"], one["y_hi"]
+    x_hi = m.select(F.max(lx)).scalar()
+    y_hi = F.get(_quantiles(m, y, [q], approx), F.lit(0))
     binned = m.select(_bin(lx, F.lit(0.0), x_hi, bins).alias("x_bin"), _bin(y, F.lit(0.0), y_hi, bins).alias("y_bin"))
     return (binned.filter(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
             .groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n")))
@@ -168,7 +172,7 @@ def size_decile(m: DataFrame, approx: bool = False) -> DataFrame:
     size <= 0 have no log and no decile."""
     lx = log10_col(F.col("repo_size"))
     qs = [i / 10 for i in range(1, 10)]
-    edges = m.select(_pct(lx, qs, approx)).scalar()
+    edges = _quantiles(m, lx, qs, approx)
     # one reference to the subquery: the nine comparisons are over its array
     above = F.size(F.filter("_edges", lambda e: e < F.col("lx")))
     return (m.withColumn("lx", lx).filter(F.col("lx").isNotNull()).withColumn("_edges", edges)
@@ -178,8 +182,9 @@ def size_decile(m: DataFrame, approx: bool = False) -> DataFrame:
 def box_stats(m: DataFrame, col: str = "vulnerabilities", approx: bool = False) -> DataFrame:
     """Per decile quartiles and whiskers at 1.5 IQR (last data point inside)."""
     d = size_decile(m, approx).withColumn("_v", F.col(col).cast("double"))
-    q = d.groupBy("decile").agg(_pct(F.col("_v"), [0.25, 0.5, 0.75], approx).alias("_q"))
-    q = q.select("decile", F.get("_q", 0).alias("q1"), F.get("_q", 1).alias("median"), F.get("_q", 2).alias("q3"))
+    qs = [0.25, 0.5, 0.75]
+    q = d.groupBy("decile").agg(F.percentile_approx("_v", qs, 100000).alias("q")) if approx else quantiles(d, F.col("_v"), qs, ["decile"])
+    q = q.select("decile", F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"))
     # At most ten rows: joined back as a broadcast of a proven size.
     j = d.join(F.broadcast(q), "decile")
     iqr = F.col("q3") - F.col("q1")
