@@ -46,22 +46,23 @@ COUNTS_SQL = "lang string, phrase binary, f long"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Numbers(dict):
-    """Words numbered in the order met, with their hashes."""
+def tokens(text: bytes) -> list[bytes]:
+    """Words and ``BREAK`` for each end of a piece, in order."""
+    return text.translate(CLEAN).replace(BREAK, b" . ").split()
 
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return n
+def numbered(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Tokens, one blank apart, of all lines side by side: number and byte length of each, the
+    tokens a line, and the distinct tokens in the order of their numbers."""
+    split = pc.split_pattern(pa.array(lines, pa.large_binary()), b" ")
+    flat = split.flatten()
+    coded = flat.dictionary_encode()
+    length = pc.binary_length(flat).to_numpy(zero_copy_only=False)
+    return coded.indices.to_numpy().astype(np.int64), length, pc.list_value_length(split).to_numpy().astype(np.int64), coded.dictionary
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words and ``BREAK`` for each end of a piece, in order."""
-    return text.translate(CLEAN).replace(BREAK, b" . ").split()
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
 
 
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
@@ -73,37 +74,43 @@ def mixed(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def starts(hashes: np.ndarray, every: int, width: int) -> np.ndarray:
-    """Where chunks begin: 0, and every trigger of ``width`` tokens."""
+def chunk_starts(hashes: np.ndarray, size: np.ndarray, every: int, width: int) -> np.ndarray:
+    """Where chunks begin among the tokens of texts of ``size`` tokens each: at the first token of a
+    text and at every trigger of ``width`` tokens of one text."""
+    ends = np.cumsum(size)
+    begin = np.zeros(len(hashes), bool)
     n = len(hashes) - width + 1
-    if n <= 1:
-        return np.zeros(1, np.int64)
-    at = np.flatnonzero(mixed([hashes[i:i + n] for i in range(width)]) % np.uint64(every) == 0)
-    return np.concatenate([[0], at[at > 0]])
+    if n > 0:
+        begin[:n] = mixed([hashes[i:i + n] for i in range(width)]) % np.uint64(every) == 0
+        begin &= np.arange(len(hashes)) + width <= np.repeat(ends, size)
+    begin[(ends - size)[size > 0]] = True
+    return np.flatnonzero(begin)
+
+
+def cut(group: list[tuple[str, bytes]], every: int, most: int) -> dict[tuple[str, bytes, bool], int]:
+    """(lang, chunk, last) of some texts, whose tokens are one blank apart, with the times each occurs."""
+    ids, length, size, words = numbered([text for _, text in group])
+    at = chunk_starts(word_hashes(words)[ids], size, every, most - 1)
+    whole = b" ".join(text for _, text in group)
+    byte = np.concatenate([[0], np.cumsum(length + 1)])
+    ends = np.cumsum(size)
+    row = np.searchsorted(ends, at, side="right")
+    last = np.append(row[1:] != row[:-1], True)
+    stop = np.where(last, ends[row], np.append(at[1:], 0) + most - 1)
+    out: dict[tuple[str, bytes, bool], int] = {}
+    for r, a, b, end in zip(row.tolist(), byte[at].tolist(), (byte[stop] - 1).tolist(), last.tolist(), strict=True):
+        key = group[r][0], whole[a:b], end
+        out[key] = out.get(key, 0) + 1
+    return out
 
 
 def parse(docs: DataFrame, every: int = EVERY, most: int = MOST) -> DataFrame:
     """The dictionary of ``docs`` (lang, text): (lang, chunk, last, times), in the shared folder.
     ``last``: the chunk ends its text, so nothing in it is the next one's."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbers()
-        def cut():
-            nonlocal known
-            for lang, text in rows(batches):
-                words = tokens(text)
-                if not words:
-                    continue
-                if len(known) > 1 << 18:
-                    known = Numbers()
-                ids = [known[w] for w in words]
-                at = starts(np.array(known.hashes, np.uint64)[ids] if len(ids) * 4 > len(known) else
-                            np.array([known.hashes[i] for i in ids], np.uint64), every, most - 1).tolist()
-                for a, b in zip(at, [*at[1:], None], strict=True):
-                    yield lang, b" ".join(words[a:] if b is None else words[a:b + most - 1]), b is None
-        for group in grouped(cut(), lambda r: len(r[1]) + 64, 1 << 23):
-            times: dict[tuple, int] = {}
-            for key in group:
-                times[key] = times.get(key, 0) + 1
+        clean = ((lang, text) for lang, text in ((lang, b" ".join(tokens(text))) for lang, text in rows(batches)) if text)
+        for group in grouped(clean, lambda r: len(r[1]) + 64, TOGETHER):
+            times = cut(group, every, most)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*times, strict=True), list(times.values())], CHUNKS.types, strict=True)], schema=CHUNKS)
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
@@ -152,48 +159,44 @@ def bitmap(frequent: DataFrame) -> Bitmap:
 
 def phrase_hashes(phrases: list[tuple[str, bytes]]) -> np.ndarray:
     """Hashes of (lang, phrase), all of as many words."""
-    known, seeds = Numbers(), {}
-    at = np.array([[known[w] for w in phrase.split(b" ")] for _, phrase in phrases], np.int64)
+    if not phrases:
+        return np.zeros(0, np.uint64)
+    ids, _, size, words = numbered([p for _, p in phrases])
+    at, seeds = word_hashes(words)[ids].reshape(len(phrases), int(size[0])), {}
     seed = np.array([seeds.get(lang) or seeds.setdefault(lang, lang_seed(lang)) for lang, _ in phrases], np.uint64)
-    hashes = np.array(known.hashes, np.uint64)
-    return mixed([hashes[at[:, i]] for i in range(at.shape[1])]) ^ seed if len(phrases) else seed
+    return mixed([at[:, i] for i in range(at.shape[1])]) ^ seed
 
 
-def count_level(group: list[tuple], n: int, shorter: Bitmap, most: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
-    """(lang, phrases, counts) of the n-grams of some dictionary rows of one language, both of whose
+def count_level(lang: str, group: list[tuple], n: int, shorter: Bitmap, most: int) -> tuple[pa.Array, np.ndarray]:
+    """Phrases and counts of the n-grams of some dictionary rows of one language, both of whose
     shorter parts are in ``shorter``."""
-    lang = group[0][0]
-    known = Numbers()
-    known[BREAK]  # is number 0
-    lists = [chunk.split(b" ") for _, chunk, _, _ in group]
-    size = np.array([len(x) for x in lists])
-    flat = np.fromiter((known[w] for x in lists for w in x), np.int64, int(size.sum()))
+    flat, _, size, words = numbered([chunk for _, chunk, _, _ in group])
     ends = np.cumsum(size)
     own = ends - np.where([last for _, _, last, _ in group], 0, np.minimum(size, most - 1))  # n-grams from here on are the next chunk's
     at = np.arange(len(flat))
     ok = (at < np.repeat(own, size)) & (at + n <= np.repeat(ends, size))
+    word = flat != words.index(BREAK).as_py()
     for i in range(n):
-        part = np.zeros(len(flat), bool)
-        part[:len(flat) - i] = flat[i:] != 0
-        ok &= part
+        ok[:len(flat) - i] &= word[i:]
+        ok[len(flat) - i:] = False
     at = at[ok]
-    hashes = np.array(known.hashes, np.uint64)
-    if n > 1:
-        seed = lang_seed(lang)
-        for shift in (0, 1):
-            at = at[shorter.has(mixed([hashes[flat[at + shift + i]] for i in range(n - 1)]) ^ seed)]
-    if not len(at):
-        return
-    weight = np.repeat(np.array([t for *_, t in group], np.int64), size)[at]
+    weight = np.repeat(np.array([t for *_, t in group], np.int64), size)
+    if n == 1:
+        total = np.bincount(flat[at], weight[at], len(words)).astype(np.int64)  # exact: sums of whole numbers below 2**53
+        some = np.flatnonzero(total)
+        return words.take(pa.array(some)), total[some]
+    hashes, seed = word_hashes(words), lang_seed(lang)
+    for shift in (0, 1):
+        at = at[shorter.has(mixed([hashes[flat[at + shift + i]] for i in range(n - 1)]) ^ seed)]
     key = flat[at]
     for i in range(1, n):  # numbers of ever longer phrases, so that no product passes 64 bits
-        key = np.unique(key, return_inverse=True)[1] * len(known) + flat[at + i]
+        if i > 1:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * len(words) + flat[at + i]
     _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    total = np.add.reduceat(weight[order], np.searchsorted(number[order], np.arange(len(first))))
-    words = pa.array(list(known), pa.binary())
-    phrases = pc.binary_join_element_wise(*[words.take(pa.array(flat[at[first] + i])) for i in range(n)], b" ")
-    yield lang, phrases, total
+    total = np.bincount(number, weight[at], len(first)).astype(np.int64)
+    parts = [words.take(pa.array(flat[at[first] + i])) for i in range(n)]
+    return pc.binary_join_element_wise(*parts, pa.scalar(b" ", words.type)), total
 
 
 def counts(dictionary: DataFrame, n: int, least: int, shorter: Bitmap, most: int = MOST) -> DataFrame:
@@ -208,12 +211,13 @@ def counts(dictionary: DataFrame, n: int, least: int, shorter: Bitmap, most: int
             by_lang: dict[str, list[tuple]] = {}
             for r in group:
                 by_lang.setdefault(r[0], []).append(r)
-            for mine in by_lang.values():
-                for lang, phrases, total in count_level(mine, n, filter_, most):
-                    if n == 1:
-                        phrases = pa.concat_arrays([phrases, pa.array([None], pa.binary())])
-                        total = np.append(total, total.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(total), np.int64))), phrases, pa.array(total)], schema=COUNTS)
+            for lang, mine in by_lang.items():
+                phrases, total = count_level(lang, mine, n, filter_, most)
+                if n == 1:
+                    phrases = pa.concat_arrays([phrases, pa.array([None], phrases.type)])
+                    total = np.append(total, total.sum())
+                if len(total):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(total)), phrases.cast(pa.binary()), pa.array(total)], schema=COUNTS)
     found = dictionary.select("lang", "chunk", "last", "times").mapInArrow(work, COUNTS_SQL)
     out = stage_table(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
                       .where((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{n}")
