@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.text import fenced_json_or_all
+from vulnlake.session import checkpoint_dir, scratch_dir
 
 # The factors the intent prompt names.
 INTENT_WORDS = ["backdoor", "sabotage", "malicious code"]
@@ -102,21 +103,51 @@ def score(df: DataFrame, prompt_col: str, fn: Callable, out_col: str = "reply")
     return df.mapInPandas(run, schema)
 
 
+REPLIES = "prompt_hash string, reply string, error string"
+
+
+def score_stored(df: DataFrame, prompt_col: str, fn: Callable, store: str, out_col: str = "reply") -> DataFrame:
+    """U02 with a durable reply table: every distinct prompt is sent once and its reply kept in the
+    parquet table ``store`` under the prompt's SHA-256; a prompt with a stored reply is not
+    sent again, by this run or a later one.
+
+    A task's replies are in the table as soon as the task ends, so a job that fails, or an
+    executor that is lost, costs the replies of unfinished tasks only.  A prompt that failed is
+    stored with its error and sent again by the next run.  A null prompt is not sent."""
+    spark = df.sparkSession
+    spark.createDataFrame([], REPLIES).write.mode("append").parquet(store)
+    replies = spark.read.schema(REPLIES).parquet(store)
+    hashed = df.withColumn("prompt_hash", F.sha2(F.col(prompt_col), 256))
+    asked = hashed.where(F.col("prompt_hash").isNotNull()).select("prompt_hash", F.col(prompt_col).alias("prompt")).dropDuplicates(["prompt_hash"])
+    todo = asked.join(replies.where(F.col("reply").isNotNull()).select("prompt_hash"), "prompt_hash", "left_anti")
+    (score(todo, "prompt", fn, "reply").select("prompt_hash", "reply", F.col("reply_error").alias("error"))
+     .write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store))
+    # a second reader: the first one's file list is from before the write
+    best = (spark.read.schema(REPLIES).parquet(store).groupBy("prompt_hash")
+            .agg(F.min("reply").alias(out_col), F.min("error").alias("_error")))
+    error = F.when(F.col(out_col).isNull(), F.col("_error")).alias(f"{out_col}_error")
+    return hashed.drop(out_col, f"{out_col}_error").join(best, "prompt_hash", "left").select(
+        *[c for c in df.columns if c not in (out_col, f"{out_col}_error")], out_col, error)
+
+
 def score_until(df: DataFrame, prompt_col: str, fn: Callable, ok: Callable[[Column], Column],
-                retry_prompt: Callable[[DataFrame], DataFrame], rounds: int = 2, key: str = "cve_id") -> DataFrame:
+                retry_prompt: Callable[[DataFrame], DataFrame], rounds: int = 2, key: str = "cve_id",
+                store: str | None = None) -> DataFrame:
     """Score, then re-score only the rows whose reply is not ``ok`` with a correction
     prompt, up to ``rounds`` more times.  Each round is a filtered DataFrame; only
-    still-failing rows reach ``fn`` again."""
-    from vulnlake.session import checkpoint_dir
+    still-failing rows reach ``fn`` again.
+
+    Replies are kept in the table ``store`` (by default a fresh one in the shared folder; see
+    ``score_stored``): given the same table, a run after a failure asks only what was not answered."""
+    store = store or scratch_dir(df.sparkSession, "replies")
+    # Each round is cut into the shared folder: its two filters would otherwise plan it anew.
     checkpoint_dir(df.sparkSession)
-    # Materialise each round once (reliable checkpoint in the shared folder): the two
-    # filters below would otherwise call ``fn`` twice per batch.
-    cur = score(df, prompt_col, fn).checkpoint()
+    cur = score_stored(df, prompt_col, fn, store).checkpoint()
     good = F.coalesce(ok(F.col("reply")), F.lit(False))  # an unknown answer is not ok, and no row is lost
     done = cur.filter(good)
     todo = cur.filter(~good)
     for _ in range(rounds):
-        again = score(retry_prompt(todo.drop("reply", "reply_error")), prompt_col, fn).checkpoint()
+        again = score_stored(retry_prompt(todo.drop("reply", "reply_error")), prompt_col, fn, store).checkpoint()
         done = done.unionByName(again.filter(good))
         todo = again.filter(~good)
     return done.unionByName(todo)

@@ -81,12 +81,11 @@ def join_scraped(refs: DataFrame, scraped: DataFrame, keys: tuple[str, str] = ("
 
 def upsert_state(old: DataFrame, new: DataFrame, overwrite: bool = True) -> DataFrame:
     """State upsert by key.  ``overwrite``: the new status replaces the old; otherwise
-    the new status only fills keys that are absent (the clone-directory scan)."""
-    o = old.select("key", F.col("status").alias("_old"))
-    n = new.select("key", F.col("status").alias("_new"))
-    j = o.join(n, "key", "full_outer")
-    st = F.coalesce("_new", "_old") if overwrite else F.coalesce("_old", "_new")
-    return j.select("key", st.alias("status"))
+    the new status only fills keys that are absent (the clone-directory scan).  One exchange:
+    both sides as tagged rows, combined by key; a key holds one row a side."""
+    both = old.select("key", "status", F.lit(0).alias("_side")).unionByName(new.select("key", "status", F.lit(1).alias("_side")))
+    was, now = (F.max(F.when(F.col("_side") == i, F.col("status"))) for i in (0, 1))
+    return both.groupBy("key").agg((F.coalesce(now, was) if overwrite else F.coalesce(was, now)).alias("status"))
 
 
 def join_patch_cve(patches: DataFrame, cves: DataFrame, cve_col: str = "cve_id") -> DataFrame:

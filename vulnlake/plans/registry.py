@@ -1228,15 +1228,20 @@ def _cve_docs(spark, sf):
 
 @q("w01_write_cves")
 def _w01(spark, sf):
+    """A CVE table rewritten from itself: a first version of the older CVEs, then, read from
+    that version, all of them."""
     out = scratch_dir(spark, "w01")
-    sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
-    return rd.read_cves(spark, out, multi_line=False).select("cve_id", "github_data.repository")
+    docs = _cve_docs(spark, sf)
+    sk.write_cves(docs.where("cve_id like '%1'"), out, fmt="json")
+    stored = rd.read_cve_table(spark, out)
+    sk.write_cves(stored.unionByName(jn.new_only(docs, stored.select("cve_id"))), out)
+    return rd.read_cve_table(spark, out).select("cve_id", "github_data.repository")
 
 
 @q("s02_read_cves")
 def _s02(spark, sf):
     out = scratch_dir(spark, "s02")
-    sk.write_cves(_cve_docs(spark, sf), out, fmt="json")
+    sk.write_cves(_cve_docs(spark, sf), out, fmt="json", versioned=False)
     # undecodable documents next to the good ones (one per input document): reported, not fatal
     dv.table(spark, sf, "documents").select(F.concat(F.lit("{not json "), F.col("doc_id").cast("string")).alias("value")) \
         .write.text(out + "/bad")
@@ -1247,7 +1252,7 @@ def _s02(spark, sf):
 @q("s02_read_cves_rejects")
 def _s02r(spark, sf):
     out = scratch_dir(spark, "s02r")
-    sk.write_cves(_cve_docs(spark, sf), out + "/good", fmt="json")
+    sk.write_cves(_cve_docs(spark, sf), out + "/good", fmt="json", versioned=False)
     dv.table(spark, sf, "documents").select(F.concat(F.lit("{broken "), F.col("doc_id").cast("string")).alias("value")) \
         .write.text(out + "/bad")
     return rd.read_cves_rejects(spark, out + "/*", glob="*", multi_line=False).select("_corrupt_record")
@@ -1256,7 +1261,7 @@ def _s02r(spark, sf):
 @q("s03_read_cves_glob")
 def _s03(spark, sf):
     out = scratch_dir(spark, "s03")
-    sk.write_cves(_cve_docs(spark, sf), out + "/cves", fmt="json")
+    sk.write_cves(_cve_docs(spark, sf), out + "/cves", fmt="json", versioned=False)
     # documents of the same form in files that the name pattern leaves out
     _cve_docs(spark, sf).select(F.to_json(F.struct("*")).alias("value")).write.text(out + "/notes")
     return rd.read_cves(spark, out + "/*", glob="*.json", multi_line=False).select("cve_id")
@@ -1347,11 +1352,12 @@ def _s06(spark, sf):
 
 @q("w08_write_state")
 def _w08(spark, sf):
+    """The stored state table, then a batch of new statuses put into its buckets."""
     out = scratch_dir(spark, "w08")
-    sk.write_state(jn.upsert_state(dv.dv_state(spark, sf).select("key", "status"),
-                                   dv.dv_state(spark, sf).filter(F.col("c_custkey") % 5 == 0)
-                                   .select("key", F.lit("success").alias("status"))), out)
-    return rd.read_state(spark, out)
+    st = dv.dv_state(spark, sf)
+    sk.update_state(st, out, buckets=16)
+    sk.update_state(st.filter(F.col("c_custkey") % 5 == 0).select("key", F.lit("success").alias("status")), out)
+    return rd.read_state(spark, out, "buckets")
 
 
 @q("s07_read_state")
@@ -1467,16 +1473,23 @@ def _t02(spark, sf):
     stm.run_dedupe(stm.stream_cves(spark, src + "/*", d.schema), sink, ck)
     d.filter(F.col("cve_id").endswith("1")).write.json(src + "/b2")  # copies of CVEs already seen
     stm.run_dedupe(stm.stream_cves(spark, src + "/*", d.schema), sink, ck)
-    return spark.read.parquet(sink)
+    return stm.read_deduped(spark, sink, d.schema)
 
 
 @q("t03_stream_weekly")
 def _t03(spark, sf):
-    src, sink, ck = scratch_dir(spark, "t03src"), scratch_dir(spark, "t03out"), scratch_dir(spark, "t03ck")
+    """Weekly coverage of CVEs that come in two batches, the second holding a few new ones and
+    many from years before: routed, streamed with a bounded watermark, late rows folded in."""
+    src, on_time, late, sink, ck = (scratch_dir(spark, f"t03{x}") for x in ("src", "now", "late", "out", "ck"))
     d = dv.dv_cve(spark, sf).select("cve_id", "published_date", "has_commit")
-    d.write.json(src + "/b1")
-    stm.run_available_now(stm.stream_weekly(stm.stream_cves(spark, src + "/*", d.schema)), sink, ck, mode="complete")
-    return spark.read.parquet(sink).select(F.to_date("w.start").alias("bucket"), "n_all", "n_with")
+    second = F.col("cve_id").endswith("3") | F.col("cve_id").endswith("7")
+    for n, part in enumerate((~second, second)):
+        d.filter(part).write.json(f"{src}/b{n}")
+        stm.route_late(stm.stream_cves(spark, src + "/*", d.schema), on_time, late, ck + "/route")
+        arrived = stm.stream_cves(spark, on_time + "/*", d.schema, "parquet")
+        stm.run_weekly(stm.stream_weekly(arrived), sink, ck + "/weekly")
+    found = stm.fold_late(rd.read_snapshot(spark, sink), spark.read.schema(d.schema).parquet(late + "/*"))
+    return found.select(F.to_date("week").alias("bucket"), "n_all", "n_with")
 
 
 @q("p15_html_text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnlake import schemas as sc
+from vulnlake.sources.snapshots import read_snapshot
 
 
 def read_cve_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -32,6 +33,11 @@ def read_cves(spark: SparkSession, path: str, glob: str = "*.json", multi_line:
     return df.filter(F.col("_corrupt_record").isNull() & F.col("cve_id").isNotNull()).drop("_corrupt_record")
 
 
+def read_cve_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a CVE table written by W01."""
+    return read_snapshot(spark, path)
+
+
 def read_cves_rejects(spark: SparkSession, path: str, glob: str = "*.json", multi_line: bool = True) -> DataFrame:
     """Exactly the records ``read_cves`` leaves out, with their file: the text as found, or the
     fields that were read where only ``cve_id`` is missing."""
@@ -66,9 +72,12 @@ def read_findings(spark: SparkSession, path: str, cve_col: str = "cve_id", multi
 
 
 def read_state(spark: SparkSession, path: str, fmt: str = "table", multi_line: bool = True) -> DataFrame:
-    """``fmt='table'``: ``{key, status}`` JSON lines (what W08 writes);
+    """``fmt='table'``: ``{key, status}`` JSON lines (what W08 writes); ``'buckets'``: the
+    table that ``update_state`` keeps;
     ``'object'``: one JSON object ``key -> status`` per file; ``'names'``: a JSON array of
     done names (status ``done``).  Undecodable text gives no rows."""
+    if fmt == "buckets":
+        return read_snapshot(spark, path).select("key", "status").filter(F.col("key").isNotNull())
     if fmt == "table":
         return spark.read.schema(sc.STATE).json(path).filter(F.col("key").isNotNull())
     # one (pretty-printed) document per file by default; ``multi_line=False`` for JSON lines

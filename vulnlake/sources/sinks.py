@@ -7,12 +7,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.operators import joins
+from vulnlake.sources.snapshots import BUCKETS, update_buckets, write_snapshot
 
-def write_cves(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None) -> None:
-    """CVEs with a truthy repository; parquet by default (JSON on request).  A
-    rewrite goes to a new directory (the caller swaps it in), never over its own input."""
+
+def write_cves(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = None, versioned: bool = True) -> None:
+    """CVEs with a truthy repository; parquet by default (JSON on request).
+
+    Each write is a new version of the table (``sources.snapshots``), which may read the old one; a
+    reader sees the old rows until the new ones are all there.  ``read_cve_table`` reads it.
+    ``versioned=False``: the files themselves in ``path``, for use outside the library."""
     out = df.filter(F.col("github_data.repository").isNotNull() & (F.col("github_data.repository") != "")) \
         if "github_data" in df.columns else df
+    if versioned:
+        write_snapshot(out, path, fmt, partition_by)
+        return
     w = out.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -57,3 +66,13 @@ def write_snippets(df: DataFrame, path: str) -> None:
 def write_state(df: DataFrame, path: str) -> None:
     """The (key, status) table, as JSON lines."""
     df.select("key", "status").write.mode("overwrite").json(path)
+
+
+def update_state(new: DataFrame, path: str, overwrite: bool = True, buckets: int = BUCKETS) -> None:
+    """Put (key, status) rows into the stored state table ``path``.
+
+    The table is bucketed by key; only the buckets of the new keys are read and written, and
+    readers keep the old state until all of them are.  ``overwrite``: a new status replaces the
+    stored one, else it only fills absent keys.  A key that comes twice takes its largest status."""
+    once = new.select("key", "status").groupBy("key").agg(F.max("status").alias("status"))
+    update_buckets(once, path, "key", lambda old, one: joins.upsert_state(old, one, overwrite), buckets)
