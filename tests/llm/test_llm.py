@@ -2,6 +2,7 @@
 nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vulnlake.llm import bm25, decontaminate, fm_index, jaccard_join, langid, line_dedup, lm_score, packing, quality, toxicity, url_filter
@@ -167,10 +169,12 @@ def test_langid(spark, docs):
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encode = packing.Encoder(path)
-    every = "".join(map(chr, range(256)))
-    for t in (every, every[::-1], " \x85\xa0 a  b \t\n\x1c", "a" + every + " x²½"):
-        assert encode.fast.encode_ordinary(t) == encode.exact.encode(t, add_special_tokens=False).ids
+    exact, encode = Tokenizer.from_file(path), packing.Encoder(path, "<u2")
+    every, r = "".join(map(chr, range(256))), random.Random(4)
+    texts = [every, every[::-1], " \x85\xa0 a  b \t\n\x1c", "a" + every + " x²½", "x <|endoftext|>y", "日本 a  b"]
+    texts += ["".join(r.choice(every + "  '" + "st" * 9) for _ in range(40)) for _ in range(4000)]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u2").tolist() == exact.encode(t, add_special_tokens=False).ids, t
     for targets in (None, {"s0": 0.9, "s1": 0.1}):
         pieces = packing.pack(docs, window=64, quantum=16, targets=targets).collect()
         used = Counter()
@@ -181,7 +185,7 @@ def test_packing_round_trip(spark, docs):
         want = Counter()
         ids = {}
         for d, t in tuples(docs):
-            ids[d] = [*encode.exact.encode(t or "", add_special_tokens=False).ids, 0]
+            ids[d] = [*exact.encode(t or "", add_special_tokens=False).ids, 0]
             want[d] += len(ids[d])
         assert used == want
         assert sorted(by_seq) == list(range(-(-sum(want.values()) // 64)))
@@ -195,6 +199,35 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_order_is_the_round_robin(spark):
+    """The places of all pieces against a queue by queue simulation, and the mixture of every window."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(r.choice(["ab", "cd", "ef"], int(r.integers(1, 80)))), ["a", "b", "c"][min(2, int(r.integers(0, 6)))]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    window, quantum = 64, 8
+    for targets in (None, {"a": 0.5, "b": 0.3, "c": 0.2}):
+        pieces = packing.pack(docs, window=window, quantum=quantum, targets=targets).collect()
+        size = {p["doc_id"]: p["doc_tokens"] for p in pieces}
+        place = {(p["doc_id"], p["start"] + i): p["sequence_id"] * window + p["offset"] + i for p in pieces for i in range(p["length"])}
+        assert len(place) == len(set(place.values())) == sum(size.values()) == max(place.values()) + 1
+        queue: dict = {s: [] for s in "abc"}  # each source's tokens in the order placed
+        source = {i: s for i, _, s in rows}
+        for (doc, at), n in sorted(place.items(), key=lambda x: x[1]):
+            queue[source[doc]].append((n, doc, at))
+        for tokens in queue.values():  # a document's tokens stay in order
+            last: dict = {}
+            assert all(last.get(d, -1) + 1 == at and not last.update({d: at}) for _, d, at in tokens)
+        weight = {s: Fraction(len(q)) for s, q in queue.items()} if targets is None else {s: Fraction(str(w)) for s, w in targets.items()}
+        due = sorted((Fraction(2 * i + 1, 2) / weight[s], s, i) for s, q in queue.items() for i in range(-(-len(q) // quantum)))
+        want = [n for _, s, i in due for n in [x[0] for x in queue[s][i * quantum:(i + 1) * quantum]]]
+        assert want == list(range(len(place)))
+        dry = min(-(-len(queue[s]) // window * 1) / float(weight[s]) for s in queue)  # until then every window holds the targets
+        total = float(sum(weight.values()))
+        for w in range(int(dry * total / 1) - 2):
+            mine = Counter(s for s, q in queue.items() for n, _, _ in q if n // window == w)
+            assert all(abs(mine[s] - window * float(weight[s]) / total) <= 2 * quantum for s in queue), (w, mine)
+
+
 def test_quality(spark, docs):
     r = np.random.default_rng(2)
     good = [f"word{i} and then some{i}" for i in range(30)]

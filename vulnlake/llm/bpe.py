@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -41,6 +43,23 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 DIGESTS_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+#: The letters, digits and white space of Latin-1, as the pattern of the byte-level BPE has them.
+LETTERS, DIGITS, SPACES = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = re.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACES}{LETTERS}{DIGITS}]").replace(r"\p{L}", f"[{LETTERS}]")
+                   .replace(r"\p{N}", f"[{DIGITS}]").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]"))
+ANY = regex.compile(public_tokenizers.PATTERN)
+
+
+def pre_words(text: str) -> list[str]:
+    """The words into which a byte-level BPE splits a text before merging; Latin-1 texts by the
+    standard library's faster engine."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return ANY.findall(text)
+    return LATIN.findall(text)
+
+
 def letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1
     characters stand for themselves, the other bytes in order for the code points from 256 on."""
@@ -50,6 +69,22 @@ def letters() -> dict[str, int]:
     return out
 
 
+class Known(dict):
+    """Words with their ids; at ``KEEP`` words it starts anew."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.encode(word)
+        if len(word) <= KEEP_LENGTH:
+            if len(self) >= KEEP:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class ByteBPE:
     """A byte-level BPE from its tokenizers file."""
 
@@ -78,75 +113,72 @@ class ByteBPE:
             if a not in self.born or b not in self.born or made in self.born:
                 raise ValueError(f"merge {rank} of {path} uses a token that no earlier merge makes, or makes one again")
             self.merge[a, b], self.born[made], self.parts[made] = rank, rank, (a, b)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}  # by both tokens in one number
+        self.words = Known(self.word)
         self.length = {t: len(self.bytes[t]) for t in self.born}
         self.ends = ahocorasick.Automaton()
         for t in self.born:
             if t not in self.parts or self.border(*self.parts[t], self.born[t]):  # else merges never end in it
-                self.ends.add_word(self.bytes[t].decode("latin-1"), t)
+                self.ends.add_word(self.bytes[t].decode("latin-1"), (self.length[t], t))
         self.ends.make_automaton()
 
     def border(self, a: int, b: int, until: int = NEVER) -> bool:
         """True if ``a`` and ``b`` stand side by side untouched by any merge before rank ``until``."""
+        born, parts, merge = self.born, self.parts, self.merge.get
         grow_a = grow_b = until  # rank at which each edge part is merged into the next larger one
+        born_a, born_b = born[a], born[b]
         while True:
-            m = self.merge.get((a, b), NEVER)
-            if m < grow_a and m <= grow_b and m < until:
+            m = merge((a, b))
+            if m is not None and m < grow_a and m <= grow_b and m < until:
                 return False
-            if self.born[a] < 0 and self.born[b] < 0:
-                return True
-            if self.born[a] >= self.born[b]:  # undo the younger one
-                grow_a, a = self.born[a], self.parts[a][1]
+            if born_a >= born_b:  # undo the younger one
+                if born_a < 0:
+                    return True
+                grow_a, a = born_a, parts[a][1]
+                born_a = born[a]
             else:
-                grow_b, b = self.born[b], self.parts[b][0]
+                grow_b, b = born_b, parts[b][0]
+                born_b = born[b]
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= 4 * KEEP:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.border(a, b)
+        """``border``, remembered."""
+        if len(self.pairs) >= 4 * KEEP:
+            self.pairs.clear()
+        known = self.pairs[a << 32 | b] = self.border(a, b)
         return known
 
     def word(self, text: str) -> list[int]:
         """Ids of one pre-tokenised word."""
-        raw = text.encode()
-        last = array("q", [-1]) * (len(raw) + 1)
-        length, fits = self.length, self.fits
-        for end, token in self.ends.iter(raw.decode("latin-1")):
+        raw = text.encode().decode("latin-1")
+        last = [-1] * (len(raw) + 1) if len(raw) < KEEP else array("q", [-1]) * (len(raw) + 1)
+        known = self.pairs.get
+        for end, (size, token) in self.ends.iter(raw):
             end += 1
             if last[end] < 0:
-                start = end - length[token]
-                if start == 0 or last[start] >= 0 and fits(last[start], token):
+                if size == end:
+                    last[end] = token
+                    continue
+                before = last[end - size]
+                fit = known(before << 32 | token)
+                if fit is None:
+                    fit = self.fits(before, token)
+                if fit:
                     last[end] = token
         out, at = [], len(raw)
         while at:
             out.append(last[at])
-            at -= length[out[-1]]
-        return out[::-1]
-
-    def ids_of_word(self, text: str) -> list[int]:
-        known = self.words.get(text)
-        if known is None:
-            known = self.word(text)
-            if len(text) <= KEEP_LENGTH:
-                if len(self.words) >= KEEP:
-                    self.words.clear()
-                self.words[text] = known
-        return known
+            at -= self.length[out[-1]]
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; special tokens' strings become their ids."""
+        if self.split is None or not any(s in text for s in self.special):
+            return list(chain.from_iterable(map(self.words.__getitem__, pre_words(text))))
         out: list[int] = []
-        for i, piece in enumerate(self.split.split(text) if self.split else [text]):
-            if i % 2:
-                out.append(self.special[piece])
-            else:
-                for w in self.pattern.findall(piece):
-                    out.extend(self.ids_of_word(w))
+        for i, piece in enumerate(self.split.split(text)):
+            out.extend([self.special[piece]] if i % 2 else chain.from_iterable(map(self.words.__getitem__, pre_words(piece))))
         return out
 
     def decode(self, ids: list[int]) -> bytes:

@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vulnlake.llm.bpe import LATIN
 from vulnlake.llm.common import batch, grouped, rows, stage_table
 
-QUANTUM = 256
+QUANTUM = 64
 MOST_SOURCES = 10_000
-SPECIAL = "<|endoftext|>"
+#: Rows (queue, task) of the table of queue starts that may be broadcast: some 10 MB.
+MOST_BROADCAST = 200_000
+KEEP, KEEP_LENGTH = 1 << 17, 64
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()),
                     ("n", pa.int64()), ("ids", pa.binary())])
@@ -39,32 +42,57 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("start", p
 PIECES_SQL = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Encoder:
-    """Ids of the byte-level BPE.  The rank file holds the same vocabulary and merges and is
-    several times faster; it serves texts of code points below 256, where both libraries split
-    alike (tested).  Other texts, and texts with the special token's string, go to the
-    tokenizers library itself."""
+class WordIds(dict):
+    """A worker's words with their ids as bytes, encoded by the tokenizers library; at ``KEEP`` words
+    it starts anew."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.kind = tokenizer, kind
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEEP:
+            self.clear()
+        found = self.ids(word)
+        if len(word) <= KEEP_LENGTH:
+            self[word] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
 
-    def __init__(self, path: str, ranks_path: str | None = None):
-        import base64
+class Encoder:
+    """Ids of a byte-level BPE by the tokenizers library, as bytes.  The library works word by
+    word, so each word is given to it once and remembered.  Texts beyond Latin-1, and texts with
+    a special token's string, are given to it whole."""
 
-        import tiktoken
+    def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        ranks_path = ranks_path or path.removesuffix(".json") + ".tiktoken"
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.words = WordIds(tokenizer, kind)
+
+    def __call__(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+            whole = any(s in text for s in self.special)
+        except UnicodeEncodeError:
+            whole = True
+        return self.words.ids(text) if whole else b"".join(map(self.words.__getitem__, LATIN.findall(text)))
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
 
-    def __call__(self, text: str) -> list[int]:
-        if SPECIAL not in text:
-            try:
-                text.encode("latin-1")
-                return self.fast.encode_ordinary(text)
-            except UnicodeEncodeError:
-                pass
-        return self.exact.encode(text, add_special_tokens=False).ids
+def encoder(path: str, kind: str) -> Encoder:
+    """A worker's one encoder for each file."""
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = Encoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def id_type(path: str, end_id: int) -> str:
@@ -79,13 +107,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kind = id_type(path, end_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, upto = Encoder(path), TaskContext.get().partitionId(), {}
+        encode, part, upto = encoder(path, kind), TaskContext.get().partitionId(), {}
+        end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
         def one(row):
             doc, source, text = row
-            ids = np.array([*encode(text or ""), end_id], kind)
+            ids = encode(text or "") + end
             at = upto.get(source, 0)
-            upto[source] = at + len(ids)
-            return doc, source, part, at, len(ids), ids.tobytes()
+            upto[source] = at + len(ids) // width
+            return doc, source, part, at, len(ids) // width, ids
         for group in grouped(map(one, rows(batches)), lambda r: len(r[-1]) + 64, 1 << 22):
             yield batch(TOKENS, *zip(*group, strict=True))
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -116,10 +145,10 @@ class Schedule:
         self.index = {s: i for i, s in enumerate(self.names)}
         self.safe = 2 * (max(self.quanta, default=1) + 1) * max(self.weight, default=1) < 2**62
 
-    def places(self, source: str, first: int, last: int) -> np.ndarray:
-        """First token's place of each quantum ``first..last`` of a source."""
+    def places(self, source: str, quanta: np.ndarray) -> np.ndarray:
+        """First token's place of some quanta of a source."""
         s = self.index[source]
-        due = 2 * np.arange(first, last + 1, dtype=np.int64 if self.safe else object) + 1
+        due = 2 * quanta.astype(np.int64 if self.safe else object) + 1
         out = due * 0
         for o, (w, n, short) in enumerate(zip(self.weight, self.quanta, self.short, strict=True)):
             ahead = (due * w - (0 if o < s else 1)) // self.weight[s]  # earlier: by time, ties by source
@@ -128,23 +157,26 @@ class Schedule:
         return out.astype(np.int64)
 
 
-def cut(place: Schedule, source: str, start: int, n: int, window: int) -> list[tuple[int, int, int]]:
-    """(start in the document, length, place) of the pieces of a document that lies at
-    ``start .. start+n`` of its source's queue; neighbours that stay together are one piece."""
+def cut(place: Schedule, source: str, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Pieces of documents that lie at ``start .. start+n`` of their source's queue, in order: document
+    (its position), start in it, length, place; neighbours that stay together are one piece."""
+    def fan(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and step of each of ``size`` steps of every row."""
+        row = np.repeat(np.arange(len(size)), size)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     q = place.quantum
-    first, last = start // q, (start + n - 1) // q
-    out: list[tuple[int, int, int]] = []
-    for k, base in zip(range(first, last + 1), place.places(source, first, last).tolist(), strict=True):
-        lo, hi = max(start, k * q), min(start + n, (k + 1) * q)
-        at, lo_doc, left = base + lo - k * q, lo - start, hi - lo
-        while left:
-            take = min(left, window - at % window)
-            if out and at % window and out[-1][2] + out[-1][1] == at:
-                out[-1] = (out[-1][0], out[-1][1] + take, out[-1][2])
-            else:
-                out.append((lo_doc, take, at))
-            at, lo_doc, left = at + take, lo_doc + take, left - take
-    return out
+    doc, step = fan((start + n - 1) // q - start // q + 1)
+    quantum = (start // q)[doc] + step
+    lo, hi = np.maximum(start[doc], quantum * q), np.minimum((start + n)[doc], (quantum + 1) * q)
+    at = place.places(source, quantum) + lo - quantum * q
+    row, step = fan((at + hi - lo - 1) // window - at // window + 1)  # cut at the windows' ends
+    first = np.maximum(at[row], (at[row] // window + step) * window)
+    last = np.minimum((at + hi - lo)[row], (at[row] // window + step + 1) * window)
+    doc, lo, length = doc[row], (lo - start[doc])[row] + first - at[row], last - first
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != last[:-1]) | (first[1:] % window == 0)
+    head = np.flatnonzero(new)
+    return doc[head], lo[head], np.add.reduceat(length, head) if len(head) else length, first[head]
 
 
 def pack(docs: DataFrame, window: int = 1024, targets: dict[str, float] | None = None, quantum: int = QUANTUM,
@@ -162,7 +194,7 @@ def pack(docs: DataFrame, window: int = 1024, targets: dict[str, float] | None =
     ``most_sources``, which is checked) are all that the driver gets."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     tokens = stage_table(tokenize(docs, path, end_id), "tokens")
-    by_part = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    by_part = stage_table(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "queues")
     found = by_part.groupBy("source").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
     if len(found) > most_sources:
         raise ValueError(f"more than {most_sources} sources; map them to fewer queues first")
@@ -171,15 +203,22 @@ def pack(docs: DataFrame, window: int = 1024, targets: dict[str, float] | None =
     place = Schedule(totals, whole_weights(totals, targets), quantum)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if by_part.count() <= MOST_BROADCAST:
+        starts = F.broadcast(starts)  # a row a queue and task; beyond the bound Spark joins by shuffle
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pieces():
-            for doc, source, start, n, ids in rows(batches):
-                ids = np.frombuffer(ids, kind).astype("<u4").tobytes()
-                for lo, length, at in cut(place, source, start, n, window):
-                    crc = zlib.crc32(memoryview(ids)[4 * lo:4 * (lo + length)])
-                    yield doc, source, lo, length, crc, n, at // window, at % window
-        for group in grouped(pieces(), lambda r: 1, 50_000):
-            yield batch(PIECES, *zip(*group, strict=True))
+        for group in grouped(rows(batches), lambda r: len(r[4]) + 64, 1 << 22):
+            by_source: dict[str, list[tuple]] = {}
+            for r in group:
+                by_source.setdefault(r[1], []).append(r)
+            for source, mine in by_source.items():
+                n = np.array([r[3] for r in mine])
+                doc, lo, length, at = cut(place, source, np.array([r[2] for r in mine]), n, window)
+                ids = memoryview(np.frombuffer(b"".join(r[4] for r in mine), kind).astype("<u4").tobytes())
+                from_ = 4 * ((np.cumsum(n) - n)[doc] + lo)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(from_.tolist(), (from_ + 4 * length).tolist(), strict=True)]
+                own = pa.array([r[0] for r in mine], pa.int64()).take(pa.array(doc))
+                columns = [own, pa.repeat(source, len(doc)), *(pa.array(x, pa.int64()) for x in (lo, length, crc, n[doc], at // window, at % window))]
+                yield pa.RecordBatch.from_arrays(columns, schema=PIECES)
     at = tokens.join(starts, ["source", "part"]).select("doc_id", "source", (F.col("base") + F.col("at")).alias("start"), "n", "ids")
     return at.mapInArrow(work, PIECES_SQL)
