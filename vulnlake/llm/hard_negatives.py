@@ -226,7 +226,7 @@ ANCHOR_SQL = "vec_id long, label long, norm double, angles binary, vector binary
 
 
 def anchors_of(stored: DataFrame) -> DataFrame:
-    """The anchors among the chunks; one row an id (of repeated ones that with the smallest label, then vector)."""
+    """The anchors among the chunks; one row an id (of repeated ones that with the smallest label, then bytes of its vector)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
@@ -283,7 +283,8 @@ def hard_negatives(rows: DataFrame, positives: int = 5, negatives: int = 5, low:
     Ties go to the smaller vec_id.  Other columns are ignored.
 
     Rows without vec_id, label or vector take no part.  Repeated rows are each a candidate, but an
-    id is one anchor, and its own rows are never its positives.  Vectors may differ in length: the
+    id is one anchor (that with the smallest label, then the smallest little-endian bytes), and its
+    own rows are never its positives.  Vectors may differ in length: the
     shorter one counts as filled with zeros; one of zeros scores 0 with all.  Anchors with no
     positive, and windows with no row, return nothing; an empty table returns no rows.  A
     score beyond 64 bits raises.

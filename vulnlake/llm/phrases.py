@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import grouped, rows, stage_table
@@ -225,7 +225,12 @@ def counts(dictionary: DataFrame, n: int, least: int, shorter: Bitmap, most: int
     return out
 
 
-def sub_phrases(words, least_words: int):
+def score_of(scale: int) -> Column:
+    """floor(scale * a / (l + r)), in decimals: the product may pass 64 bits."""
+    return F.expr(f"(cast({scale} as decimal(10,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
+
+
+def sub_phrases(words: Column, least_words: int) -> Column:
     """Column of all proper contiguous parts of ``words`` of ``least_words`` words or more."""
     size = F.size(words)
     spans = F.flatten(F.transform(F.sequence(F.lit(least_words), size - 1), lambda m: F.transform(
@@ -268,7 +273,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, most: int =
     cuts = (cuts.join(parts.select("lang", F.col("part").alias("one"), F.col("f").alias("l")), ["lang", "one"])
             .join(parts.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]))
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    cuts = cuts.withColumn("score", F.expr(f"(cast({scale} as decimal(10,0)) * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
+    cuts = cuts.withColumn("score", score_of(scale))
     least_cut = F.min(F.struct("score", "k", "l", "r")).alias("cut")
     scored = cuts.groupBy("lang", "phrase").agg(F.first("a").alias("a"), least_cut)
     # the most frequent longer phrase around each
