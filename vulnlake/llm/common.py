@@ -47,6 +47,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, records: int = 1000) -> None:
+    """Arrow batches of at most ``records`` rows for this session, unless it asks for fewer: whole
+    texts in the default 10,000 fill tens of MB on both sides of every Python task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked = int(spark.conf.get(key))
+    if not 0 < asked <= records:
+        spark.conf.set(key, str(records))
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

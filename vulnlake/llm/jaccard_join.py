@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of documents on word shingles, by signature trees.
 
-1. A sketch counts how many shingle sets hold each shingle: a fixed number of cells over all
-   documents.  It only orders shingles (rare first), so its errors cost time, never links.
+1. A sketch counts how many shingle sets hold each shingle, in cells whose number follows the
+   size of the texts up to ``MOST_CELLS``.  It only orders shingles (rare first), so its errors
+   cost time, never links.
 2. Equal sets are one class.  Two sets of the wanted similarity share a shingle among the first
    ``size - ceil(similarity * size) + 1`` of that order, so classes that share such a shingle
    form a candidate list; equal lists count once.
@@ -30,15 +31,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import LOWER, batch, grouped, raw_text, rows, stage_table
+from vulnlake.llm.common import LOWER, batch, grouped, raw_text, rows, small_batches, stage_table
 
-CELLS = 1 << 23
-CELL_BLOCK = 1 << 16
+#: Cells (bytes) of the sketch: one for ``CELL_TEXT`` bytes of text, between these bounds.
+LEAST_CELLS, MOST_CELLS, CELL_TEXT = 1 << 20, 1 << 26, 16
+CELL_BLOCK = 1 << 13
 BLOCK = 1024
 LEAF = 8
 CHUNK = 2 << 20
-TOKEN_CELLS, TOKEN_BLOCKS = 1 << 24, 1 << 10
+#: Bits of the filter of shared prefix shingles: ``TOKEN_SPACE`` a shingle, up to 64 MB.
+TOKEN_SPACE, LEAST_TOKEN_CELLS, MOST_TOKEN_CELLS, TOKEN_BLOCKS = 8, 1 << 22, 1 << 29, 1 << 10
 MARKS = 1 << 22
+#: Words that a task remembers.
+WORDS = 1 << 17
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -52,7 +57,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for one task up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) >= WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -85,33 +90,45 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def cells_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+def cells_of(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s >> np.uint64(20)).astype(np.int64) & (cells - 1)
+
+
+def power_between(n: int, least: int, most: int) -> int:
+    """The power of two at or above ``n``, within bounds."""
+    return min(most, max(least, 1 << max(0, n - 1).bit_length()))
 
 
 def sketch(docs: DataFrame, words: int) -> np.ndarray:
     """Level (about four a doubling) of how many sets fall on each cell; a task counts up to 255 a cell."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cells = power_between(size // CELL_TEXT, LEAST_CELLS, MOST_CELLS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-        total, seen = np.zeros(CELLS, np.uint32), set()
+        total, seen = np.zeros(cells, np.uint8), set()
         for _, s in shingle_sets(rows(batches), words):
             if not len(s) or (key := set_key(s)) in seen:
                 continue  # a copy that this task has counted
             if len(seen) > 1 << 17:
                 seen.clear()
             seen.add(key)
-            np.add.at(total, cells_of(s), 1)
-        blocks = [total[i:i + CELL_BLOCK] for i in range(0, CELLS, CELL_BLOCK)]
-        full = [i for i, b in enumerate(blocks) if b.any()]
-        yield batch(schema, full, [np.minimum(blocks[i], 255).astype(np.uint8).tobytes() for i in full])
+            at = cells_of(s, cells)
+            total[at] += total[at] < 255
+        for first in range(0, cells, CELL_BLOCK << 8):  # 2 MB a batch
+            some = [i for i in range(first, min(cells, first + (CELL_BLOCK << 8)), CELL_BLOCK) if total[i:i + CELL_BLOCK].any()]
+            if some:
+                yield batch(schema, [i // CELL_BLOCK for i in some], [total[i:i + CELL_BLOCK].tobytes() for i in some])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in pdf["counts"])
+        total = np.zeros(CELL_BLOCK, np.int64)
+        for x in pdf["counts"]:
+            total += np.frombuffer(x, np.uint8)
         level = np.minimum(np.round(4 * np.log2(total + 1)), 255).astype(np.uint8)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "level": [level.tobytes()]})
-    out = np.zeros(CELLS, np.uint8)
+    out = np.zeros(cells, np.uint8)
     found = docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, level binary")
-    for r in found.collect():  # CELLS bytes in all
+    for r in found.toLocalIterator():  # at most MOST_CELLS bytes in all
         out[r["block"] * CELL_BLOCK:][:CELL_BLOCK] = np.frombuffer(r["level"], np.uint8)
     return out
 
@@ -120,7 +137,7 @@ def prefix(s: np.ndarray, level: np.ndarray, least: Fraction) -> np.ndarray:
     """The shingles of ``s`` of which a similar set must share one: the first by (level, hash)."""
     n = len(s)
     size = n - -(-least.numerator * n // least.denominator) + 1
-    return s[np.argsort(level[cells_of(s)], kind="stable")[:size]]
+    return s[np.argsort(level[cells_of(s, len(level))], kind="stable")[:size]]
 
 
 def width_of(n: int) -> int:
@@ -279,11 +296,20 @@ def classes(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, ROWS_SQL)
 
 
-def marked(cells: DataFrame, count: int, blocks: int, least: int) -> np.ndarray:
-    """Bitmap of ``count`` cells: those in which some value occurs ``least`` times or more.
+class Marks:
+    """Bitmap of cells; a value's cell is its bits from the 20th on, modulo their number."""
+
+    def __init__(self, count: int):
+        self.count, self.bytes = count, np.zeros(count // 8, np.uint8)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = cell_of(values, self.count)
+        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
 
-    ``cells``: (values array<long>); a value's cell is its bits from the 20th on, modulo
-    ``count``.  Tasks send distinct values with counts as arrays, by block of cells; what
+def marked(cells: DataFrame, count: int, blocks: int, least: int) -> Marks:
+    """The cells, of ``count``, in which some value of ``cells`` (values array<long>) occurs ``least``
+    times or more.  Tasks send distinct values with counts as arrays, by block of cells; what
     reaches the driver is the bitmap."""
     schema = pa.schema([("block", pa.int32()), ("values", pa.binary()), ("times", pa.binary())])
     width = count // blocks
@@ -304,11 +330,11 @@ def marked(cells: DataFrame, count: int, blocks: int, least: int) -> np.ndarray:
         v, back = np.unique(v, return_inverse=True)
         on = np.zeros(width, bool)
         on[cell_of(v[np.bincount(back, t) >= least], count) % width] = True
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(on).tobytes()]})
-    out = np.zeros(count, bool)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+    out = Marks(count)
     found = cells.mapInArrow(local, "block int, values binary, times binary").groupBy("block").applyInPandas(merge, "block int, bits binary")
-    for r in found.collect():
-        out[r["block"] * width:(r["block"] + 1) * width] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    for r in found.toLocalIterator():
+        out.bytes[r["block"] * width // 8:(r["block"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -329,7 +355,7 @@ def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
                 if not len(s):
                     continue
                 key = set_key(s)
-                if key not in seen and sent.value[cell_of(np.array(key[:1], np.int64), MARKS)[0]]:
+                if key not in seen and sent.value.has(np.array(key[:1], np.int64))[0]:
                     if len(seen) > 1 << 17:
                         seen.clear()
                     seen.add(key)
@@ -342,15 +368,17 @@ def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
 
 def shared_tokens(prefixes: DataFrame) -> DataFrame:
     """(a, b, token) of prefix shingles, almost only of those that several classes have; a
-    bitmap of fixed size drops most others before the shuffle."""
-    sent = prefixes.sparkSession.sparkContext.broadcast(marked(prefixes.select("prefix"), TOKEN_CELLS, TOKEN_BLOCKS, 2))
+    bitmap drops most others before the shuffle."""
+    size = prefixes.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    cells = power_between(TOKEN_SPACE * size, LEAST_TOKEN_CELLS, MOST_TOKEN_CELLS)
+    sent = prefixes.sparkSession.sparkContext.broadcast(marked(prefixes.select("prefix"), cells, TOKEN_BLOCKS, 2))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64())])
         for b in batches:
             size = np.asarray(b.column(2).value_lengths())
             token = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            on = sent.value[cell_of(token, TOKEN_CELLS)]
+            on = sent.value.has(token)
             columns = [np.repeat(b.column(k).to_numpy(), size)[on] for k in (0, 1)] + [token[on]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
     return prefixes.select("a", "b", "prefix").mapInArrow(work, "a long, b long, token long")
@@ -440,6 +468,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4,
     linked with nothing.  Rows with a null id count as texts: they get the smallest id of their
     component, null if it has none.  Repeated rows are copies of each other.  Other columns are
     ignored; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"))
     found = stage_table(classes(docs, words, least), "classes")
     label = components(links(docs, found, words, least, block))
