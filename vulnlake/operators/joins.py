@@ -35,6 +35,19 @@ def new_only(batch: DataFrame, existing: DataFrame, key: str = "cve_id") -> Data
     return batch.join(existing.select(key), key, "left_anti")
 
 
+def store_keys(keys: DataFrame, name: str, path: str, key: str = "cve_id", buckets: int = 64) -> None:
+    """Append the distinct keys to the table ``name``, bucketed and sorted by ``key``, in the shared
+    folder ``path``: the stored side of ``new_only_stored``."""
+    (keys.select(key).distinct().write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", path)
+     .format("parquet").saveAsTable(name))
+
+
+def new_only_stored(new: DataFrame, name: str, key: str = "cve_id") -> DataFrame:
+    """J03 / E02 against the large stored set of ``store_keys``: the stored side is read in its
+    buckets and not exchanged; only the new rows are dealt to them."""
+    return new.join(new.sparkSession.table(name).select(key), key, "left_anti")
+
+
 def patch_worklist(cves: DataFrame, clone_state: DataFrame, repo: str = "repository",
                    patch_url: str = "patch_url") -> DataFrame:
     """CVEs whose repository's clone state is exactly ``success`` and whose patch URL is truthy."""

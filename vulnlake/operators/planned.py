@@ -14,7 +14,7 @@ from vulnlake.functions.text import extension
 from vulnlake.functions.features import parent_dir
 from vulnlake.functions.urls import url_host
 from vulnlake.operators.quantiles import quantiles
-from vulnlake.operators.windows import top_k_per_group
+from vulnlake.operators.windows import most_common, top_k_per_group
 
 CVE_FIELDS = ["repository", "cvss_score", "cwe_id", "attack_vector", "attack_complexity", "fix_date"]
 
@@ -98,8 +98,7 @@ def file_types(files: DataFrame, filename: str = "filename") -> DataFrame:
 
 def top_directories(files: DataFrame, k: int = 10, filename: str = "filename") -> DataFrame:
     """The ``k`` most often changed directories (ties by name)."""
-    return (files.groupBy(parent_dir(F.col(filename)).alias("directory")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "directory").limit(k))
+    return most_common(files, parent_dir(F.col(filename)), k).withColumnRenamed("item", "directory")
 
 
 def files_fix_vs_other(commits: DataFrame, is_fix: str = "is_fix", n_files: str = "n_files") -> DataFrame:
@@ -117,8 +116,8 @@ def patch_size(commits: DataFrame, col: str = "additions", approx: bool = False)
 def common_words(texts: DataFrame, text: str = "text", k: int = 20, min_len: int = 1) -> DataFrame:
     """The ``k`` most common words (letters / digits, lower-cased, ``min_len``+ chars)."""
     w = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("word")
-    return (texts.select(w).filter(F.length("word") >= min_len).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "word").limit(k))
+    words = texts.select(w).filter(F.length("word") >= min_len)
+    return most_common(words, F.col("word"), k).withColumnRenamed("item", "word")
 
 
 def commits_per_fix(refs: DataFrame, key: str, is_commit: Column) -> DataFrame:
@@ -159,8 +158,7 @@ def exploit_share(refs: DataFrame, key: str, tags: str = "tags", tag: str = "Exp
 
 def top_hosts(refs: DataFrame, url: str = "url", k: int = 10) -> DataFrame:
     """The ``k`` most common reference hosts."""
-    return (refs.groupBy(url_host(F.col(url)).alias("host")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "host").limit(k))
+    return most_common(refs, url_host(F.col(url)), k).withColumnRenamed("item", "host")
 
 
 def balanced_sample(df: DataFrame, per_stratum: int, strata: Column, key: str = "cve_id") -> DataFrame:

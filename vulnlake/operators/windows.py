@@ -8,7 +8,7 @@ in one.  Top-k per group is two-phase for the same reason.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,32 @@ def top_k_per_group(df: DataFrame, key: str, order: list, k: int, salt_buckets:
     return d.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_salt", "_rn")
 
 
+#: Largest number of occurrences of an untracked item, as a share of all rows times the tracked
+#: items: twice the a-priori error of the frequent-items sketch (3.5 over its map's size).
+SKETCH_ERROR = 7
+
+
+def most_common(df: DataFrame, item: Column, k: int, tracked: int = 4096) -> DataFrame:
+    """(item, n): the ``k`` most common items of ``df``, ties in item order, exactly.
+
+    Each task keeps a summary of at most about ``tracked`` items (``approx_top_k``); the merged one
+    names the candidates, which alone are counted exactly in a second pass, so that no more
+    than tasks x ``tracked`` rows are shuffled.  An item that the summary does not name
+    occurs at most ``SKETCH_ERROR`` / ``tracked`` of all rows; only if the k-th candidate is not
+    above that (many items about as common, or fewer than k of them) are all items counted.
+    Null is an item."""
+    rows = df.select(item.cast("string").alias("item"))
+    coded = rows.withColumn("_x", F.coalesce(F.concat(F.lit("="), "item"), F.lit("")))  # the summary leaves nulls out
+    summary = coded.agg(F.expr(f"approx_top_k(_x, {tracked}, {tracked})").alias("t"), F.count(F.lit(1)).alias("w"))
+    named = summary.select(F.explode("t.item").alias("_x"))
+    top = (coded.join(F.broadcast(named), "_x").groupBy("item").agg(F.count(F.lit(1)).alias("n"))  # at most ``tracked`` rows
+           .orderBy(F.desc("n"), "item").limit(k))
+    bound = summary.select(F.col("w") * SKETCH_ERROR / tracked).scalar()
+    decided = top.agg((F.count(F.lit(1)) == k) & (F.min("n") > bound)).scalar()
+    every = rows.where(~F.coalesce(decided, F.lit(False))).groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item").limit(k)
+    return top.where(decided).unionByName(every)
+
+
 def rank_in_group(df: DataFrame, key: str, ts, tie, bucket="day") -> DataFrame:
     """Dense 1-based position of each row inside its ``key`` by (``ts``, ``tie``), without
     one window partition per key: rows are numbered inside (key, bucket) and shifted by

@@ -588,7 +588,10 @@ def _j02(spark, sf):
 def _j03(spark, sf):
     d = dv.dv_cve(spark, sf)
     existing = d.filter(F.col("published_date") < F.lit("1997-01-01").cast("timestamp"))
-    return jn.new_only(d.select("cve_id", "repository"), existing)
+    path = scratch_dir(spark, "j03")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    jn.store_keys(existing, name, path, buckets=16)
+    return jn.new_only_stored(d.select("cve_id", "repository"), name)
 
 
 @q("j04_patch_worklist")
