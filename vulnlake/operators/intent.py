@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.text import fenced_json_or_all
+from vulnlake.operators import chunks
 from vulnlake.session import checkpoint_dir, scratch_dir
 
 # The factors the intent prompt names.
@@ -47,11 +48,17 @@ def intent_signals(df: DataFrame, description: str = "description", tags: str =
              .withColumn("reason", F.array_join(hits, ", "))
 
 
-def intent_prompt(cves: DataFrame, refs: DataFrame, scraped: DataFrame | None = None, key: str = "cve_id") -> DataFrame:
-    """Description, one line per reference ``- URL: u, Tags: [a, b]`` (missing url
-    ``N/A``) each followed by any scraped text of that URL, in reference order, then
-    the instructions.  The reference lines are built per row and gathered per CVE in
-    ``pos`` order (a CVE's references are a short list)."""
+PROMPT_HEAD = "Decide whether this vulnerability was likely introduced on purpose.\n\nCVE Description: "
+PROMPT_TAIL = ("Look for words such as backdoor, sabotage or malicious code, and tags such as exploit, malware or "
+               "backdoor. Reply with ```json {\"malicious_intent_likely\": true/false, \"reason\": \"...\"} ```.")
+
+
+def intent_prompt_chunks(cves: DataFrame, refs: DataFrame, scraped: DataFrame | None = None, key: str = "cve_id",
+                         most: int = chunks.MOST) -> DataFrame:
+    """X10 as (key, chunk, text): description, one line per reference ``- URL: u, Tags: [a, b]``
+    (missing url ``N/A``) each followed by any scraped text of that URL, in reference order, then
+    the instructions.  The references of a CVE are placed by offsets and meet in chunks of
+    about ``most`` bytes (``operators.chunks``), never in one task."""
     url = F.coalesce(F.col("url"), F.lit("N/A"))
     line = F.concat(F.lit("- URL: "), url, F.lit(", Tags: ["),
                     F.array_join(F.coalesce(F.col("tags"), F.array().cast("array<string>")), ", "), F.lit("]\n"))
@@ -61,15 +68,20 @@ def intent_prompt(cves: DataFrame, refs: DataFrame, scraped: DataFrame | None =
         line = F.concat(line, F.when(F.col("scraped_text").isNotNull(), F.concat(
             F.lit("\n---\nScraped Content from "), url, F.lit(":\n"), F.col("scraped_text"), F.lit("\n---\n")))
             .otherwise(F.lit("")))
-    per = r.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))),
-                                                      lambda x: x["l"]), "").alias("_refs"))
-    c = cves.join(per, key, "left")
-    prompt = F.concat(
-        F.lit("Decide whether this vulnerability was likely introduced on purpose.\n\nCVE Description: "),
-        F.coalesce(F.col("description"), F.lit("")), F.lit(".\n\nReferences:\n"), F.coalesce(F.col("_refs"), F.lit("")),
-        F.lit("Look for words such as backdoor, sabotage or malicious code, and tags such as exploit, malware or "
-              "backdoor. Reply with ```json {\"malicious_intent_likely\": true/false, \"reason\": \"...\"} ```."))
-    return c.select(key, prompt.alias("prompt"))
+    head = F.concat(F.lit(PROMPT_HEAD), F.coalesce(F.col("description"), F.lit("")), F.lit(".\n\nReferences:\n"))
+    ends = cves.select(key, F.explode(F.array(F.struct(F.lit(FIRST).alias("pos"), head.alias("text")),
+                                              F.struct(F.lit(LAST).alias("pos"), F.lit(PROMPT_TAIL).alias("text")))).alias("e"))
+    lines = r.join(cves.select(key), key, "left_semi").select(key, F.col("pos").cast("long").alias("pos"), line.alias("text"))
+    return chunks.text_chunks(ends.select(key, "e.pos", "e.text").unionByName(lines), key, "pos", "text", most)
+
+
+#: Orders before and after every reference.
+FIRST, LAST = -(1 << 40), 1 << 40
+
+
+def intent_prompt(cves: DataFrame, refs: DataFrame, scraped: DataFrame | None = None, key: str = "cve_id") -> DataFrame:
+    """The chunks of ``intent_prompt_chunks`` as one prompt for each CVE, for a model."""
+    return chunks.folded(intent_prompt_chunks(cves, refs, scraped, key), key).withColumnRenamed("text", "prompt")
 
 
 def score(df: DataFrame, prompt_col: str, fn: Callable, out_col: str = "reply") -> DataFrame:

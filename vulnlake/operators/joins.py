@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.operators import chunks
+
 
 def join_repo(cves: DataFrame, repos: DataFrame, how: str = "left", key: str = "repository") -> DataFrame:
     """CVE with its repository features by ``owner/repo``.
@@ -129,7 +131,9 @@ def github_summary_long(refs: DataFrame, key: str = "cve_id", pos: str = "pos",
     """P20 in long form (one row per reference): repository = last GitHub match,
     fix_commit = first non-empty commit, related_commits = every commit in reference
     order (comma-joined), patch_url = last GitHub ``.patch`` URL.  ``max_by`` / ``min_by``
-    skip rows whose ordering is null, which is how non-matching rows are left out."""
+    skip rows whose ordering is null, which is how non-matching rows are left out.
+
+    related_commits is folded from the chunks of ``related_commit_chunks``."""
     from vulnlake.functions import urls as fu
     u = F.coalesce(F.col(url), F.lit(""))
     gh = fu.is_github(u)
@@ -137,10 +141,20 @@ def github_summary_long(refs: DataFrame, key: str = "cve_id", pos: str = "pos",
     commit = F.when(gh, fu.github_commit(u))
     patch = F.when(gh & u.endswith(".patch"), u)
     p = F.col(pos)
-    return refs.groupBy(key).agg(
+    one = refs.groupBy(key).agg(
         F.max_by(repo, F.when(repo.isNotNull(), p)).alias("repository"),
         F.min_by(commit, F.when(commit.isNotNull() & (commit != ""), p)).alias("fix_commit"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(commit.isNotNull(), F.struct(p.alias("p"), commit.alias("c"))))),
-                                 lambda x: x["c"]), ",").alias("related_commits"),
         F.max_by(patch, F.when(patch.isNotNull(), p)).alias("patch_url"),
     )
+    related = chunks.folded(related_commit_chunks(refs, key, pos, url), key).select(F.col(key).alias("_k"), F.expr("substr(text, 2)").alias("related_commits"))
+    return one.join(related, one[key].eqNullSafe(related["_k"]), "left").select(
+        key, "repository", "fix_commit", F.coalesce("related_commits", F.lit("")).alias("related_commits"), "patch_url")
+
+
+def related_commit_chunks(refs: DataFrame, key: str = "cve_id", pos: str = "pos", url: str = "url", most: int = chunks.MOST) -> DataFrame:
+    """P20's commits as (key, chunk, text): every commit in reference order, each after a comma, in
+    chunks of about ``most`` bytes; a CVE's references never meet in one task."""
+    from vulnlake.functions import urls as fu
+    u = F.coalesce(F.col(url), F.lit(""))
+    commit = F.when(fu.is_github(u), fu.github_commit(u))
+    return chunks.text_chunks(refs.select(key, F.col(pos), F.concat(F.lit(","), commit).alias("text")), key, pos, "text", most)

@@ -1328,11 +1328,11 @@ def _s05(spark, sf):
 def _w06(spark, sf):
     out = scratch_dir(spark, "w06")
     f = _snippet_findings(spark, sf)
-    g = f.groupBy("cve_id", "repo_name").agg(F.collect_list(F.struct(
-        "file_path", "line_numbers", F.map_from_entries("introducing_commits").alias("introducing_commits")))
-        .alias("vulnerable_snippets")).withColumnRenamed("repo_name", "repo_name_from_patch")
-    sk.write_findings(g, out)
-    return rd.read_findings(spark, out, multi_line=False).select("cve_id", "repo_name_from_patch", F.size("vulnerable_snippets").alias("n"))
+    rows = f.select("cve_id", F.col("repo_name").alias("repo_name_from_patch"), "file_path", "line_numbers",
+                    F.map_from_entries("introducing_commits").alias("introducing_commits"))
+    sk.write_finding_rows(rows, out)
+    back = rd.read_findings(spark, out, multi_line=False)
+    return back.groupBy("cve_id", "repo_name_from_patch").agg(F.sum(F.size("vulnerable_snippets")).alias("n"))
 
 
 @q("s06_read_findings")

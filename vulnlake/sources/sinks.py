@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.operators import joins
+from vulnlake.operators import chunks, joins
 from vulnlake.sources.snapshots import BUCKETS, update_buckets, write_snapshot
 
 
@@ -56,6 +56,15 @@ def write_findings(df: DataFrame, path: str, key: str = "cve_id") -> None:
        .write.mode("overwrite").json(path))
 
 
+def write_finding_rows(df: DataFrame, path: str, key: str = "cve_id", most: int = 1000) -> None:
+    """W06 from one row a snippet (``key``, repo_name_from_patch, file_path, line_numbers,
+    introducing_commits): documents of about ``most`` snippets, several for a CVE that has
+    more, which ``read_findings`` reads like any others."""
+    item = F.struct("file_path", "line_numbers", "introducing_commits")
+    lists = chunks.list_chunks(df, [key, "repo_name_from_patch"], F.struct("file_path", F.to_json(F.struct("line_numbers"))), item, most)
+    lists.select(key, "repo_name_from_patch", F.col("items").alias("vulnerable_snippets")).write.mode("overwrite").json(path)
+
+
 def write_snippets(df: DataFrame, path: str) -> None:
     """Snippet text plus metadata, one row per (cve, full file path); the
     basename-collision behaviour of the reference is the F14 parity view."""
