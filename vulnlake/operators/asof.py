@@ -14,17 +14,20 @@ bucket) and fills probe rows whose own bucket has none yet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _bucket(ts: Column, unit: str) -> Column:
-    return F.date_trunc(unit, ts)
+def _bucket(ts: Column, unit: str | Callable[[Column], Column]) -> Column:
+    """The bucket of a time (a ``date_trunc`` unit), or of any order through a monotone function."""
+    return unit(ts) if callable(unit) else F.date_trunc(unit, ts)
 
 
 def asof_last(probe: DataFrame, build: DataFrame, keys: list[str], probe_ts: str, build_ts: str,
-              value: str, inclusive: bool = True, bucket: str = "month", out: str = "match") -> DataFrame:
+              value: str, inclusive: bool = True, bucket: str | Callable[[Column], Column] = "month", out: str = "match") -> DataFrame:
     """For each probe row, ``value`` of the last build row with the same ``keys`` and
     ``build_ts <= probe_ts`` (``<`` when not ``inclusive``); ties on time go to the
     largest ``value``."""
@@ -36,7 +39,7 @@ def asof_last(probe: DataFrame, build: DataFrame, keys: list[str], probe_ts: str
     return asof_tagged(p.unionByName(b), keys, inclusive, bucket, out)
 
 
-def asof_tagged(u: DataFrame, keys: list[str], inclusive: bool = True, bucket: str = "month",
+def asof_tagged(u: DataFrame, keys: list[str], inclusive: bool = True, bucket: str | Callable[[Column], Column] = "month",
                 out: str = "match") -> DataFrame:
     """The as-of core over one tagged frame: ``keys``, ``_t`` (time), ``_probe`` (bool),
     ``_v`` (build value, null on probe rows) and ``_row`` (probe payload struct).  One
@@ -79,7 +82,7 @@ def commit_before(cves: DataFrame, commits: DataFrame, repo: str = "repository",
 def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: str = "repo", path: str = "file",
                                    ts: str = "ts", text: str = "text", sha: str = "sha", sign: str = "sign",
                                    min_word_chars: int = 0, bucket: str = "month",
-                                   materialize: bool = True, prefilter: bool = False) -> DataFrame:
+                                   materialize: bool = True, prefilter: bool = False, method: str = "content") -> DataFrame:
     """J09 over one table of signed diff lines (``-`` removed, ``+`` added): the same
     result as ``introducing_commits`` with the line table computed once.
 
@@ -89,7 +92,13 @@ def introducing_commits_from_lines(lines: DataFrame, payload: list[str], repo: s
     into the shared checkpoint folder (it also cuts the lineage).  ``prefilter`` settles
     lines whose text never occurs on the other side with key semi / anti joins before the
     as-of; it pays off when matches are rare and the line table is large (at sf0.1 it
-    costs more than it saves, so it is off by default)."""
+    costs more than it saves, so it is off by default).
+
+    ``method="position"``: by line numbers instead of text (``operators.lines``; the table
+    then needs pos, old_no and new_no)."""
+    if method == "position":
+        from vulnlake.operators.lines import introducing_commits_by_line
+        return introducing_commits_by_line(lines, payload, repo, path, ts, sha, sign=sign)
     ok = F.length(F.regexp_replace(F.col(text), r"\W", "")) >= min_word_chars
     d = lines.filter(F.col(sign).isin("-", "+")).withColumn("_ok", ok)
     if materialize:
