@@ -122,7 +122,7 @@ def test_bpe_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "KEEP", 3)
     exact, mine = Tokenizer.from_file(PATH), bpe.ByteBPE(PATH)
     text = " ".join(f"word{i} things{i % 3}" for i in range(50))
-    assert mine.encode(text) == exact.encode(text, add_special_tokens=False).ids and len(mine.words) <= 3
+    assert mine.encode(text) == exact.encode(text, add_special_tokens=False).ids and max(len(mine.words), len(mine.words.old)) <= 3
 
 
 def test_bpe_rows(spark):

@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from vulnlake.llm.common import batch, grouped, rows
 
-#: Words (and pairs of tokens) a worker remembers; beyond it, it starts anew.
-KEEP = 1 << 17
+#: Words a worker remembers, twice that at most.
+KEEP = 1 << 18
+#: Pairs of tokens a worker remembers; beyond it, it starts anew.
+KEEP_PAIRS = 1 << 19
 #: Longer words are encoded each time.
 KEEP_LENGTH = 64
 NEVER = 1 << 60
@@ -70,19 +72,24 @@ def letters() -> dict[str, int]:
 
 
 class Known(dict):
-    """Words with their ids; at ``KEEP`` words it starts anew."""
+    """Words with what ``encode`` makes of them.  At ``KEEP`` words they become the old ones, from
+    which a word that is met again comes back, and the older ones are forgotten."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.encode(word)
-        if len(word) <= KEEP_LENGTH:
-            if len(self) >= KEEP:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __missing__(self, word: str):
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+            if len(word) > KEEP_LENGTH:
+                return found
+        if len(self) >= KEEP:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
 
 class ByteBPE:
@@ -143,7 +150,7 @@ class ByteBPE:
 
     def fits(self, a: int, b: int) -> bool:
         """``border``, remembered."""
-        if len(self.pairs) >= 4 * KEEP:
+        if len(self.pairs) >= KEEP_PAIRS:
             self.pairs.clear()
         known = self.pairs[a << 32 | b] = self.border(a, b)
         return known
@@ -151,7 +158,7 @@ class ByteBPE:
     def word(self, text: str) -> list[int]:
         """Ids of one pre-tokenised word."""
         raw = text.encode().decode("latin-1")
-        last = [-1] * (len(raw) + 1) if len(raw) < KEEP else array("q", [-1]) * (len(raw) + 1)
+        last = [-1] * (len(raw) + 1) if len(raw) < 1 << 16 else array("q", [-1]) * (len(raw) + 1)
         known = self.pairs.get
         for end, (size, token) in self.ends.iter(raw):
             end += 1

@@ -13,6 +13,7 @@ partitions exactly.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 from math import lcm
@@ -25,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.llm.bpe import LATIN
+from vulnlake.llm.bpe import LATIN, Known, letters
 from vulnlake.llm.common import batch, grouped, rows, stage_table
 
 QUANTUM = 64
 MOST_SOURCES = 10_000
 #: Rows (queue, task) of the table of queue starts that may be broadcast: some 10 MB.
 MOST_BROADCAST = 200_000
-KEEP, KEEP_LENGTH = 1 << 17, 64
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int64()), ("at", pa.int64()),
                     ("n", pa.int64()), ("ids", pa.binary())])
@@ -42,39 +42,26 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("start", p
 PIECES_SQL = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordIds(dict):
-    """A worker's words with their ids as bytes, encoded by the tokenizers library; at ``KEEP`` words
-    it starts anew."""
-
-    def __init__(self, tokenizer, kind: str):
-        super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEEP:
-            self.clear()
-        found = self.ids(word)
-        if len(word) <= KEEP_LENGTH:
-            self[word] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-
 class Encoder:
-    """Ids of a byte-level BPE by the tokenizers library, as bytes.  The library works word by
+    """Ids of a byte-level BPE by the tokenizers library, as bytes.  The library's model works word by
     word, so each word is given to it once and remembered.  Texts beyond Latin-1, and texts with
-    a special token's string, are given to it whole."""
+    a special token's string, are given to the library whole."""
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordIds(tokenizer, kind)
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, {b: c for c, b in letters().items()}
+        self.words = Known(self.word)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes()
+
+    def word(self, text: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))])
 
     def __call__(self, text: str) -> bytes:
         try:
@@ -82,7 +69,9 @@ class Encoder:
             whole = any(s in text for s in self.special)
         except UnicodeEncodeError:
             whole = True
-        return self.words.ids(text) if whole else b"".join(map(self.words.__getitem__, LATIN.findall(text)))
+        if whole:
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.words.__getitem__, LATIN.findall(text)))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
