@@ -79,6 +79,44 @@ def test_patch_to_snippets(spark):
     assert out.filter(~F.col("code").contains("VULN>    3: ")).count() == 0
 
 
+def test_patch_to_snippets_in_the_state_before_publication(spark):
+    """J08 picks each CVE's state, and a path that it lacks is corrected by the model, by the table given, or by the patch."""
+    import datetime as dt
+    day = lambda n: dt.datetime(2024, 1, n)
+    sha = {n: f"{n:040x}" for n in range(1, 6)}
+    old, new = "int a;\nbad();\nint b;\n", "bad();\nint b;\nworse();\n"
+    snaps = spark.createDataFrame([("o_r", sha[1], "x.c", old), ("o_r", sha[2], "x.c", old + "int c;\n"), ("o_r", sha[3], "x.c", new), ("o_r", sha[3], "y.c", new),
+                                   ("o_r", sha[4], "z.c", "late\n")], "repo_name string, sha string, path string, content string")
+    commits = spark.createDataFrame([("o_r", sha[1], day(1), "main"), ("o_r", sha[2], day(5), "main"), ("o_r", sha[3], day(9), "main"), ("o_r", sha[4], day(8), "side"),
+                                     ("o_r", sha[5], day(3), "master")], "repo_name string, sha string, commit_ts timestamp, branch string")
+    cves = spark.createDataFrame([("CVE-2024-0001", day(6)), ("CVE-2024-0002", day(10)), ("CVE-2023-0003", dt.datetime(2023, 1, 1)), ("CVE-2024-0004", day(10)),
+                                  ("CVE-2024-0005", day(7))], "cve_id string, published timestamp")
+    patch = "--- a/{0}\n+++ b/{0}\n@@ -1,1 +1,1 @@\n-bad();\n+good();\n"
+    names = [(1, 2024, "x.c"), (2, 2024, "y.c"), (3, 2023, "x.c"), (4, 2024, "x.c"), (5, 2024, "x.c")]
+    patches = spark.createDataFrame([(f"CVE-{y}-000{i}_o_r.patch", patch.format(f)) for i, y, f in names], "file_name string, text string")
+    reply = "```json\n[{{\"file_path\": \"{}\", \"line_numbers\": [{}]}}]\n```"
+    asked = [(1, 2024, "x.c", 2), (2, 2024, "moved.c", 7), (3, 2023, "x.c", 2), (4, 2024, "gone.c", 1), (5, 2024, "x.c", 4)]
+    replies = spark.createDataFrame([(f"CVE-{y}-000{i}", reply.format(f, n)) for i, y, f, n in asked], "cve_id string, reply string")
+    history = spark.createDataFrame([("o_r", "x.c", day(1), "bad();", sha[1], "+"), ("o_r", "x.c", day(5), "int c;", sha[2], "+"), ("o_r", "x.c", day(9), "bad();", sha[3], "+"),
+                                     ("o_r", "y.c", day(9), "worse();", sha[3], "+")], "repo string, file string, ts timestamp, text string, sha string, sign string")
+
+    def model(prompts):
+        return [reply.format("y.c", 3) if "moved.c" in p else "no idea" for p in prompts]
+    # 1: line 2 of its own state (not of the newest one); 2: corrected to y.c; 3: no commit before; 4: the patch's path; 5: line of day 5
+    want = {("CVE-2024-0001", "x.c", (2,), sha[1]), ("CVE-2024-0002", "y.c", (3,), sha[3]), ("CVE-2024-0004", "x.c", (1,), sha[3]), ("CVE-2024-0005", "x.c", (4,), sha[2])}
+
+    def got(**more):
+        out = flows.patch_to_snippets(patches, replies, snaps, history, cves, commits, **more)
+        return {(r.cve_id, r.file_path, tuple(r.line_numbers), r.introducing_commit) for r in out.collect()}
+    assert got(model=model) == want
+    table = spark.createDataFrame([("CVE-2024-0002", "moved.c", "y.c", [3], "ok"), ("CVE-2024-0004", "gone.c", None, None, "bad_json")],
+                                  "cve_id string, file_path string, c_path string, c_lines array<int>, c_status string")
+    assert got(corrections=table) == want
+    wrong = table.withColumn("c_path", F.lit("nowhere.c"))
+    assert got(corrections=wrong) == {w for w in want if w[0] != "CVE-2024-0002"}  # a correction that the state lacks ends with no file
+    assert {g[0] for g in got()} == {"CVE-2024-0001", "CVE-2024-0004", "CVE-2024-0005"}
+
+
 def test_collect_and_enrich_takes_full_features(spark):
     """3.1 on the library's own P32 / P33 output: context and details are their structs."""
     from vulnlake.operators.features_repo import commit_features, repo_features

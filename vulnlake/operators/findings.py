@@ -4,11 +4,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.functions.text import fenced_json
 from vulnlake.functions.urls import safe_name
+from vulnlake.session import scratch_dir
 
 STATUSES = ["no_markers", "empty", "bad_json", "not_list", "item_not_dict", "ok"]
 
@@ -103,6 +106,26 @@ def resolve_path(findings: DataFrame, corrections: DataFrame, patch_paths: DataF
                     how.alias("resolved_by"))
 
 
+def path_corrections(findings: DataFrame, snapshot: DataFrame, fn: Callable, store: str | None = None,
+                     key: str = "cve_id", repo: str = "repo_name") -> DataFrame:
+    """X09 -> U03 -> X05: corrections (key, file_path, c_path, c_lines, c_status) for the findings whose path
+    the ``snapshot`` (repo, path) lacks, asked of the caller's ``fn(list[str]) -> list[str]``.
+
+    The first item of a reply counts; a reply that does not parse, or is an empty list, has a
+    status other than ok, and ``resolve_path`` then falls back to the patch.  Replies are kept in
+    ``store`` (``intent.score_stored``), each distinct prompt being asked once."""
+    from vulnlake.operators import intent
+    there = snapshot.select(F.col(repo).alias("_r"), F.col("path").alias("_p")).distinct()
+    name = "repo_name" if "repo_name" in findings.columns else repo
+    lost = findings.join(there, (F.col(repo) == F.col("_r")) & (F.col("file_path") == F.col("_p")), "left_anti").select(key, name, "file_path").distinct()
+    asked = lost.withColumn("prompt", path_prompt(F.col(key), F.col(name), F.col("file_path")))
+    store = store or scratch_dir(findings.sparkSession, "replies")
+    d = with_findings(intent.score_stored(asked, "prompt", fn, store), "reply")
+    first = F.get("p.items", 0)
+    status = F.when((F.col("p.status") == "ok") & (F.coalesce(F.size("p.items"), F.lit(0)) == 0), F.lit("empty")).otherwise(F.coalesce("p.status", F.lit("no_reply")))
+    return d.select(key, "file_path", first["file_path"].alias("c_path"), first["line_numbers"].alias("c_lines"), status.alias("c_status"))
+
+
 def with_findings(df: DataFrame, text: str, out: str = "p") -> DataFrame:
     """X05 as staged projections (the form to use on large tables): ``out`` =
     struct(status, items, body); the fence search and the JSON parse run once per row."""

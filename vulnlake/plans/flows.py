@@ -55,13 +55,23 @@ def record_type(df: DataFrame, *keys: str) -> StructType:
 
 
 def patch_to_snippets(patches: DataFrame, replies: DataFrame, snapshots: DataFrame, history: DataFrame,
-                      cves: DataFrame) -> DataFrame:
+                      cves: DataFrame, commits: DataFrame | None = None, corrections: DataFrame | None = None,
+                      model: Callable | None = None, store: str | None = None) -> DataFrame:
     """3.2: patches named ``{cve}_{owner_repo}.patch`` + model replies + file snapshots ->
     labelled snippets.
 
     ``patches``: (file_name, text); ``replies``: (cve_id, reply); ``snapshots``:
     (repo_name, sha, path, content); ``history``: signed diff lines of earlier commits
-    (repo, file, ts, text, sha, sign); ``cves``: (cve_id, ...)."""
+    (repo, file, ts, text, sha, sign); ``cves``: (cve_id, ...).
+
+    ``commits`` (repo_name, sha, commit_ts, branch), with ``published`` in ``cves``: a CVE is looked at in the
+    state of the last commit before it was published (J08): its paths and lines are those of that
+    commit's snapshot, and only earlier commits can have introduced a line.  A CVE without such a
+    commit has no snippets.  Without ``commits`` the state is the snapshot with the largest sha.
+
+    Findings whose path the state lacks take a correction (J13): from ``corrections``
+    (cve_id, file_path, c_path, c_lines, c_status), or asked of ``model`` (U03, X09), replies
+    being kept in ``store``."""
     from vulnlake.operators import asof, patches as pt
     p = patches.withColumn("_pn", fu.parse_patch_name(F.col("file_name"))).select(
         "file_name", "text", F.col("_pn.cve_id").alias("cve_id"), F.col("_pn.repo").alias("repo_name"))
@@ -71,22 +81,35 @@ def patch_to_snippets(patches: DataFrame, replies: DataFrame, snapshots: DataFra
     f = (parsed.filter(F.col("p.status") == "ok").join(p.select("cve_id", "repo_name"), "cve_id")
          .select("cve_id", "repo_name", F.explode("p.items").alias("it"))
          .select("cve_id", "repo_name", F.col("it.file_path").alias("file_path"), F.col("it.line_numbers").alias("line_numbers")))
-    corr = spark_empty_corrections(f)
-    r = findings.resolve_path(f, corr, paths, snapshots.select("repo_name", "path").distinct())
+    # the state of each CVE's repository, named by repository and commit
+    state, never = F.concat_ws("@", "repo_name", "sha"), F.lit("9999-12-31 00:00:00").cast("timestamp")
+    if commits is None:
+        newest = snapshots.groupBy("repo_name", "path").agg(F.max_by("content", "sha").alias("content"))
+        stored = newest.select(F.col("repo_name").alias("state"), "path", "content")
+        f = f.withColumn("state", F.col("repo_name")).withColumn("until", never)
+    else:
+        asked = f.select("cve_id", "repo_name").distinct().join(cves.select("cve_id", F.col("published").cast("timestamp").alias("published")), "cve_id")
+        before = asof.commit_before(asked, commits, repo="repo_name", published="published").where(F.col("commit_before").isNotNull())
+        before = before.select("cve_id", "repo_name", F.concat_ws("@", "repo_name", "commit_before").alias("state"), F.col("published").alias("until"))
+        stored = snapshots.select(state.alias("state"), "path", "content")
+        f = f.join(before, ["cve_id", "repo_name"])
+    if corrections is None:
+        corrections = spark_empty_corrections(f) if model is None else findings.path_corrections(f, stored, model, store, repo="state")
+    r = findings.resolve_path(f, corrections, paths, stored.select("state", "path").distinct(), repo="state")
     r = r.filter(F.col("resolved_path").isNotNull()).select(
-        "cve_id", "repo_name", F.col("resolved_path").alias("file_path"), F.col("resolved_lines").alias("line_numbers"))
-    # attribute every vulnerable line to the last earlier commit that added its text
-    lines = r.select("cve_id", "repo_name", "file_path", F.explode("line_numbers").alias("line"))
-    content = snapshots.groupBy("repo_name", "path").agg(F.max_by("content", "sha").alias("content"))
-    txt = lines.join(content, (lines.repo_name == content.repo_name) & (lines.file_path == content.path)) \
-        .select(lines.cve_id, lines.repo_name, lines.file_path, "line",
-                F.get(F.split("content", "\n"), F.col("line") - 1).alias("text"))
-    probe = txt.select("cve_id", F.col("repo_name").alias("repo"), F.col("file_path").alias("file"), "line", "text",
-                       F.lit("9999-12-31 00:00:00").cast("timestamp").alias("ts"))
+        "cve_id", "state", F.col("resolved_path").alias("file_path"), F.col("resolved_lines").alias("line_numbers"))
+    r = r.join(f.select("cve_id", "state", "repo_name", "until").distinct(), ["cve_id", "state"])
+    # attribute every vulnerable line of that state to the last earlier commit that added its text
+    lines = r.select("cve_id", "state", "repo_name", "until", "file_path", F.explode("line_numbers").alias("line"))
+    content = stored.select(F.col("state").alias("_s"), F.col("path").alias("_p"), "content")
+    txt = lines.join(content, (F.col("state") == F.col("_s")) & (F.col("file_path") == F.col("_p"))) \
+        .withColumn("text", F.get(F.split("content", "\n"), F.col("line") - 1))
+    probe = txt.select("cve_id", F.col("repo_name").alias("repo"), F.col("file_path").alias("file"), "line", "text", F.col("until").alias("ts"))
     att = asof.introducing_commits(probe, history.filter(F.col("sign") == "+").select("repo", "file", "ts", "text", "sha"))
     ic = att.groupBy("cve_id", "file").agg(F.array_sort(F.collect_list(F.struct("line", F.col("introducing_commit").alias("sha"))))
                                           .alias("introducing_commits"))
-    s = r.join(ic, (r.cve_id == ic.cve_id) & (r.file_path == ic.file), "left").drop(ic.cve_id).drop("file")
+    s = r.drop("state", "until").join(ic.select(F.col("cve_id").alias("_c"), F.col("file").alias("_f"), "introducing_commits"),
+                                      (F.col("cve_id") == F.col("_c")) & (F.col("file_path") == F.col("_f")), "left").drop("_c", "_f")
     s = snippets.first_commit(filters.complete_snippets(s))
     return snippets.snippet_rows(snippets.join_content(s, snapshots))
 

@@ -653,8 +653,13 @@ ORACLES["a36_list_snippets"] = S(_MANY + """
 SELECT cve_id, string_split(file_path, '/')[-1] || '.txt' AS file,
        row_number() OVER (PARTITION BY cve_id ORDER BY string_split(file_path, '/')[-1] || '.txt', file_path) AS rank FROM ms""")
 ORACLES["j08_commit_before"] = W("""
-, c AS (SELECT event_id, repository, commit_ts AS published FROM dv_event_commit WHERE event_type = 'signup'),
-m AS (SELECT repository, sha, commit_ts FROM dv_event_commit WHERE event_type = 'click')
+, e AS (SELECT *, CAST(substr(repository, 5) AS BIGINT) % 3 = 0 AS only_master FROM dv_event_commit),
+c AS (SELECT event_id, repository, commit_ts AS published FROM e WHERE event_type IN ('signup', 'error')),
+b AS (SELECT repository, sha, commit_ts, CASE WHEN event_type = 'view' THEN 'develop' WHEN event_type = 'click' AND NOT only_master THEN 'main' ELSE 'master' END AS branch
+      FROM e WHERE event_type IN ('view', 'click', 'purchase')),
+h AS (SELECT DISTINCT repository FROM b WHERE branch = 'main'),
+m AS (SELECT b.repository, max(sha) AS sha, commit_ts FROM b LEFT JOIN h ON h.repository = b.repository
+      WHERE branch = CASE WHEN h.repository IS NULL THEN 'master' ELSE 'main' END GROUP BY b.repository, commit_ts)
 SELECT c.event_id, m.sha AS commit_before FROM c ASOF LEFT JOIN m ON c.repository = m.repository AND c.published >= m.commit_ts""",
                                  "dv_event_commit")
 ORACLES["j09_introducing_commits"] = _DOCLINES.replace(", dl AS", "WITH dl AS") + r"""

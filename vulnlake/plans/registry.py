@@ -934,17 +934,21 @@ def _a36(spark, sf):
     return sn.list_snippets(_many_snippets(spark, sf))
 
 
-def _signup_commits(spark, sf):
-    e = dv.dv_event_commit(spark, sf)
-    cves = e.filter(F.col("event_type") == "signup").select("event_id", "repository", F.col("commit_ts").alias("published"))
-    commits = e.filter(F.col("event_type") == "click").select("repository", "sha", "commit_ts",
-                                                              F.lit("main").alias("branch"))
+def _cves_and_commits(spark, sf):
+    """Every event in a role: signups and errors are CVEs, the others commits.  Two thirds of the
+    repositories have a ``main`` branch beside ``master``; the rest have ``master`` only; views are on a third branch."""
+    e = dv.dv_event_commit(spark, sf).withColumn("only_master", F.substring("repository", 5, 20).cast("long") % 3 == 0)
+    is_cve = F.col("event_type").isin("signup", "error")
+    branch = (F.when(F.col("event_type") == "view", F.lit("develop")).when((F.col("event_type") == "click") & ~F.col("only_master"), F.lit("main"))
+              .otherwise(F.lit("master")))
+    cves = e.filter(is_cve).select("event_id", "repository", F.col("commit_ts").alias("published"))
+    commits = e.filter(~is_cve).select("repository", "sha", "commit_ts", branch.alias("branch"))
     return cves, commits
 
 
 @q("j08_commit_before")
 def _j08(spark, sf):
-    cves, commits = _signup_commits(spark, sf)
+    cves, commits = _cves_and_commits(spark, sf)
     return ao.commit_before(cves, commits, bucket="day").select("event_id", "commit_before")
 
 
