@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -142,15 +143,44 @@ def test_bm25_equals_brute_force(docs, monkeypatch):
 def test_bm25_documents_as_queries(spark, docs, monkeypatch):
     from vulnlake.llm import queries
     ids = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 20 = 0 and text is not null").collect()}
-    got = queries.QUERIES["op4_bm25_documents"](spark, SF).collect()
+    got = queries.QUERIES["op4_bm25_topk"](spark, SF).collect()
     assert {r["query_id"] for r in got} == ids
     index, asked = bm25.build(docs), docs.where("doc_id is not null").select(F.col("doc_id").alias("query_id"), "text")
     want = sorted(map(tuple, bm25.search(index, asked, 5).collect()))
-    monkeypatch.setattr(bm25, "LONG", 0)
+    monkeypatch.setattr(bm25, "FIRST", 1)
+    monkeypatch.setattr(bm25, "SHARD", 500)
     calls, block = [], bm25.search_block
     monkeypatch.setattr(bm25, "search_block", lambda *a: calls.append(1) or block(*a))
-    long = sorted(map(tuple, bm25.search(index, asked, 5, most_bytes=60_000).collect()))
-    assert len(calls) > 1 and [r[:3] for r in long] == [r[:3] for r in want] and np.allclose([r[3] for r in long], [r[3] for r in want])
+    small = sorted(map(tuple, bm25.search(bm25.build(docs), asked, 5, most_bytes=60_000).collect()))
+    assert len(calls) > 1 and [r[:3] for r in small] == [r[:3] for r in want] and np.allclose([r[3] for r in small], [r[3] for r in want])
+
+
+def test_bm25_scores_few_postings():
+    """Whole documents as queries: pruning leaves out most postings, and never a result."""
+    r = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    chance = 1 / np.arange(1, 20_001)
+    texts = [" ".join(r.choice(words, 120, p=chance / chance.sum())) for _ in range(2000)]
+    texts += [t.replace("w1 ", "w2 ", 1) for t in texts[:200] for _ in range(3)]
+    row = bm25.invert([(i, t.encode()) for i, t in enumerate(texts)])
+    shard = bm25.Shard(row, row["total"] / row["n"])
+    df = np.diff(shard.start)
+    every, least = 0, 0
+    for q in range(0, 400, 4):
+        own, times = np.unique(texts[q].split(), return_counts=True)
+        t = np.array([int(np.flatnonzero(shard.part["terms"] == np.uint64(xxhash.xxh3_64_intdigest(w.encode())))[0]) for w in own])
+        weight = times * np.log(1 + (row["n"] - df[t] + 0.5) / (df[t] + 0.5))
+        before = shard.scored
+        found = shard.top((shard.part["terms"][t], weight), 3)
+        every, least = every + int(df[t].sum()), least + shard.scored - before
+        score = np.zeros(row["n"])
+        for i, w in zip(t, weight, strict=True):
+            at = slice(shard.start[i], shard.start[i + 1])
+            score[shard.part["posting"][at]] += w * shard.gain(shard.part["times"][at], shard.part["posting"][at])
+        want = sorted(zip((-np.round(score, 9)).tolist(), range(row["n"]), strict=True))[:3]
+        assert [d for d, _ in found] == [d for _, d in want] and np.allclose([s for _, s in found], [-s for s, _ in want])
+        assert shard.top((shard.part["terms"][t], weight), 3, least=found[-1][1]) == found
+    assert least < 0.35 * every, (least, every)
 
 
 def test_langid(spark, docs):
