@@ -94,15 +94,19 @@ def grouped(items: Iterator, size, most: int) -> Iterator[list]:
         yield out
 
 
-def sample_per_class(labelled: DataFrame, most: int) -> DataFrame:
+def sample_per_class(labelled: DataFrame, most: int, salts: int = 16) -> DataFrame:
     """At most ``most`` (doc_id, label) rows of each label, those with the smallest id hash.
 
     Nulls in either column are left out; an id with several labels counts once, with the
-    largest.  Rank limits are applied in every task before the shuffle."""
+    largest.  Ranked in (label, salt) first, so that a task of the second ranking gets at most
+    ``most`` * ``salts`` rows of a label, however many there are."""
     one = (labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
            .groupBy("doc_id").agg(F.max("label").alias("label")))
-    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return one.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    h = F.xxhash64("doc_id")
+    first = Window.partitionBy("label", "_s").orderBy(h, "doc_id")
+    last = Window.partitionBy("label").orderBy(h, "doc_id")
+    few = one.withColumn("_s", F.pmod(h, F.lit(salts))).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    return few.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= most).select("doc_id", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2, steps: int = 25, weight: np.ndarray | None = None) -> np.ndarray:

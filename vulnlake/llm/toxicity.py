@@ -264,49 +264,56 @@ def train(windows: Windows, y: np.ndarray, seed: int = 7, size: int = 128, least
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = SAMPLE_DOCS, windows_per_doc: int = SAMPLE_WINDOWS) -> Model:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0/1), all training rows.
 
-    At most ``docs_per_class`` documents of each label (smallest id hash), of each at most
-    ``SAMPLE_WINDOWS`` windows spread evenly over it.  A fifth of them is kept for calibration,
-    weighted to the labels' own shares.  Without both labels the score is the share of label 1."""
+    The network learns from at most ``docs_per_class`` documents of each label (smallest id hash), of
+    each at most ``windows_per_doc`` windows spread evenly over it.  A fifth of the documents is kept for
+    calibration: they are scored whole, as all texts are, and weighted to the labels' own shares.
+    Of repeated ids one text counts, the least; empty tables, and tables without both labels, give
+    the share of label 1 (0.5 without labels) as every score."""
     shares = {int(r["label"]): r["count"] for r in labels.where(F.col("label").isNotNull()).groupBy("label").count().collect()}
     pick = sample_per_class(labels, docs_per_class)
-    use = docs.select("doc_id", raw_text().alias("text")).join(F.broadcast(pick), "doc_id")
-    schema = pa.schema([("label", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("windows", pa.list_(pa.binary()))])
+    use = docs.select("doc_id", raw_text().alias("text")).join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    use = use.select(F.col("doc_id").cast("long").alias("doc"), "text", F.col("label").cast("long").alias("label"), F.xxhash64(F.lit("order"), "doc_id").alias("at"))
+    schema = pa.schema([("label", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("windows", pa.list_(pa.binary()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(row):
             doc, text, label, order = row
             words = words_of(text)
             starts = window_starts(len(words))
-            few = [starts[i] for i in sorted(set(np.linspace(0, len(starts) - 1, min(len(starts), SAMPLE_WINDOWS)).astype(int).tolist()))]
-            return label, order, doc, len(starts), [b" ".join(words[s:s + WINDOW]) for s in few]
+            few = [starts[i] for i in sorted(set(np.linspace(0, len(starts) - 1, min(len(starts), windows_per_doc)).astype(int).tolist()))]
+            return label, order, doc, [b" ".join(words[s:s + WINDOW]) for s in few]
         for group in grouped(map(one, rows(batches)), lambda r: 100, 100_000):
             yield batch(schema, *zip(*group, strict=True))
-    found = (use.select("doc_id", "text", F.col("label").cast("long"), F.xxhash64(F.lit("order"), "doc_id"))
-             .mapInArrow(cut, "label long, at long, doc long, n long, windows array<binary>")
-             .limit(4 * docs_per_class).collect())
+    found = use.mapInArrow(cut, "label long, at long, doc long, windows array<binary>").collect()  # docs_per_class rows a label
     found.sort(key=lambda r: (r["at"], r["doc"], r["label"]))
     y = np.array([r["label"] for r in found], np.float32)
     if len(set(y.tolist())) < 2:
         share = shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5
         return Model(start(), np.array([0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))]))
-    every = Windows([[bytes(x).split() for x in r["windows"]] for r in found])
     test = np.arange(len(y)) % 5 == 4
     if len(set(y[test].tolist())) < 2 or len(set(y[~test].tolist())) < 2:
         test[:] = True
-        learn = every
-        w = train(learn, y)
+        w = train(Windows([[bytes(x).split() for x in r["windows"]] for r in found]), y)
     else:
-        learn = Windows([[bytes(x).split() for x in r["windows"]] for r, t in zip(found, test, strict=True) if not t])
-        w = train(learn, y[~test])
-        del learn
-    logits = every.logits(w)
-    top, n = logits[every.tops(logits)][test], np.array([r["n"] for r in found], float)[test]
+        w = train(Windows([[bytes(x).split() for x in r["windows"]] for r, t in zip(found, test, strict=True) if not t]), y[~test])
+    plain = docs.sparkSession.sparkContext.broadcast(Model(w, np.zeros(3)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(plain.value)
+        for group in grouped(rows(batches), lambda r: len(r[1]) + 400, 1 << 20):
+            top, n = scorer([r[1] for r in group])
+            yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in group], pa.int64()), pa.array(top.astype(float)), pa.array(n.astype(np.int64))], names=["label", "top", "n"])
+    kept = docs.sparkSession.createDataFrame([(r["doc"],) for r, t in zip(found, test, strict=True) if t], "doc long")
+    scored = use.join(F.broadcast(kept), "doc").select("doc", "text", "label").mapInArrow(whole, "label long, top double, n long").collect()
+    plain.unpersist()
+    y = np.array([r["label"] for r in scored], float)
     has = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weight = np.where(y[test] == 1, shares.get(1, 1) / has[1], shares.get(0, 1) / has[0])
-    return Model(w, logistic(np.column_stack([top, np.log(n)]), y[test], decay=0.1, weight=weight / weight.mean()))
+    weight = np.where(y == 1, shares.get(1, 1) / has[1], shares.get(0, 1) / has[0])
+    features = np.column_stack([[r["top"] for r in scored], np.log([r["n"] for r in scored])])
+    return Model(w, logistic(features, y, decay=0.1, weight=weight / weight.mean()))
 
 
 class Scorer:
