@@ -14,7 +14,7 @@ from vulnlake.functions.text import extension
 from vulnlake.functions.features import parent_dir
 from vulnlake.functions.urls import url_host
 from vulnlake.operators.quantiles import quantiles
-from vulnlake.operators.windows import most_common, top_k_per_group
+from vulnlake.operators.windows import most_common, spread, top_k_per_group
 
 CVE_FIELDS = ["repository", "cvss_score", "cwe_id", "attack_vector", "attack_complexity", "fix_date"]
 
@@ -116,7 +116,7 @@ def patch_size(commits: DataFrame, col: str = "additions", approx: bool = False)
 def common_words(texts: DataFrame, text: str = "text", k: int = 20, min_len: int = 1) -> DataFrame:
     """The ``k`` most common words (letters / digits, lower-cased, ``min_len``+ chars)."""
     w = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("word")
-    words = texts.select(w).filter(F.length("word") >= min_len)
+    words = spread(texts.select(text)).select(w).filter(F.length("word") >= min_len)
     return most_common(words, F.col("word"), k).withColumnRenamed("item", "word")
 
 

@@ -7,6 +7,9 @@ position.  Only those ranges are sorted, each in its own task, and the two value
 position are interpolated as the built-in does.  The splitters are the distinct values with the
 smallest hashes, so a range holds about one part in ``RANGES`` of the distinct values whatever
 their distribution, and a value that fills a third of the rows is one counted row.
+
+The counted values are written once, by a reliable checkpoint in the shared folder, so that the
+steps above don't compute the source anew.
 """
 
 from __future__ import annotations
@@ -17,13 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vulnlake.session import checkpoint_dir
+
 RANGES = 256
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once into the shared folder and read from there: for a table that several steps use."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def value_counts(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    """(by..., _v, _n): the distinct non-null values of each group and how often each occurs."""
-    return (df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-            .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    """(by..., _v, _n): the distinct non-null values of each group and how often each occurs, stored."""
+    return stored(df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+                  .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
 
 
 def in_ranges(counts: DataFrame, by: list[str], ranges: int = RANGES) -> DataFrame:
@@ -41,7 +52,12 @@ def quantiles(df: DataFrame, value: Column, qs: list[float], by: list[str] | Non
     quantiles are null if there are no values; with ``by``, a group without values has no row; null
     keys are a group."""
     by = by or []
-    counts = in_ranges(value_counts(df, value, by), by, ranges)
+    return quantiles_of_counts(value_counts(df, value, by), qs, by, ranges)
+
+
+def quantiles_of_counts(counts: DataFrame, qs: list[float], by: list[str], ranges: int = RANGES) -> DataFrame:
+    """``quantiles`` from a table of ``value_counts``."""
+    counts = in_ranges(counts, by, ranges)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row a range
     totals = (counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
               .withColumn("_end", F.sum("_m").over(group.orderBy("_b"))).withColumn("_all", F.sum("_m").over(group)))
@@ -61,14 +77,12 @@ def quantiles(df: DataFrame, value: Column, qs: list[float], by: list[str] | Non
     found = (found.withColumn("_end", F.col("_before") + upto)
              .withColumn("_h", F.filter("_w", lambda x: (x["_r"] < F.col("_end")) & (x["_r"] >= F.col("_end") - F.col("_n"))))
              .select(*by, "_v", F.explode("_h").alias("_h")))
-    out = []
-    for i in range(len(qs)):
-        mine = F.col("_h._i") == i
-        p = F.max(F.when(mine, F.col("_h._p")))
-        low = F.max(F.when(mine & (F.col("_h._r") == F.floor("_h._p")), F.col("_v")))
-        high = F.max(F.when(mine & (F.col("_h._r") == F.ceil("_h._p")), F.col("_v")))
-        out.append(F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high))
-    return found.groupBy(*by).agg(F.array(*out).alias("q"))
+    p = F.max("_h._p")
+    low, high = (F.max(F.when(F.col("_h._r") == at("_h._p"), F.col("_v"))) for at in (F.floor, F.ceil))
+    one = found.groupBy(*by, F.col("_h._i").alias("_i")).agg(p.alias("_p"), low.alias("_lo"), high.alias("_hi"))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.ceil("_p") - F.col("_p")) * F.col("_lo") + (F.col("_p") - F.floor("_p")) * F.col("_hi"))
+    every = F.map_from_entries(F.collect_list(F.struct("_i", value.alias("_q"))))
+    return one.groupBy(*by).agg(F.transform(F.sequence(F.lit(0), F.lit(len(qs) - 1)), lambda i: F.try_element_at(every, i)).alias("q"))
 
 
 def quantiles_of(df: DataFrame, value: Column, qs: list[float]) -> Column:

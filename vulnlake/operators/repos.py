@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions.features import safe_corr
 
 from vulnlake.functions.features import log10_col, vuln_density
-from vulnlake.operators.quantiles import medians, quantiles, quantiles_of
+from vulnlake.operators.quantiles import medians, quantiles, quantiles_of, quantiles_of_counts, stored, value_counts
 
 DECILE_LABELS = [f"Q{i}" for i in range(1, 11)]
 
@@ -65,6 +65,7 @@ def size_metrics_ext(df: DataFrame, size: str = "size", score: str = "cvss_score
 
 def size_report(m: DataFrame, approx: bool = False) -> DataFrame:
     """The statistical report over A23's groups."""
+    m = m if approx else stored(m.select("repo_size", "vulnerabilities", "avg_cvss"))
     size, count = F.col("repo_size").cast("double"), F.col("vulnerabilities").cast("double")
     of = {"median_size": size, "median_vulnerabilities": count, "median_avg_cvss": F.col("avg_cvss")}
     med = m.agg(*[F.percentile_approx(c, 0.5, 100000).alias(n) for n, c in of.items()]) if approx else medians(m, of)
@@ -143,6 +144,7 @@ def hist2d(m: DataFrame, bins: int = 50, q: float = 0.995, approx: bool = False)
     """50 x 50 linear bins over [0, max log10 size] x [0, p99.5 of count]; outside dropped."""
     lx = log10_col(F.col("repo_size"))
     y = F.col("vulnerabilities").cast("double")
+    m = m if approx else stored(m.select("repo_size", "vulnerabilities"))
     x_hi = m.select(F.max(lx)).scalar()
     y_hi = F.get(_quantiles(m, y, [q], approx), F.lit(0))
     binned = m.select(_bin(lx, F.lit(0.0), x_hi, bins).alias("x_bin"), _bin(y, F.lit(0.0), y_hi, bins).alias("y_bin"))
@@ -172,6 +174,7 @@ def size_decile(m: DataFrame, approx: bool = False) -> DataFrame:
     size <= 0 have no log and no decile."""
     lx = log10_col(F.col("repo_size"))
     qs = [i / 10 for i in range(1, 10)]
+    m = m if approx else stored(m)
     edges = _quantiles(m, lx, qs, approx)
     # one reference to the subquery: the nine comparisons are over its array
     above = F.size(F.filter("_edges", lambda e: e < F.col("lx")))
@@ -181,16 +184,20 @@ def size_decile(m: DataFrame, approx: bool = False) -> DataFrame:
 
 def box_stats(m: DataFrame, col: str = "vulnerabilities", approx: bool = False) -> DataFrame:
     """Per decile quartiles and whiskers at 1.5 IQR (last data point inside)."""
-    d = size_decile(m, approx).withColumn("_v", F.col(col).cast("double"))
-    qs = [0.25, 0.5, 0.75]
-    q = d.groupBy("decile").agg(F.percentile_approx("_v", qs, 100000).alias("q")) if approx else quantiles(d, F.col("_v"), qs, ["decile"])
+    d, qs = size_decile(m, approx).withColumn("_v", F.col(col).cast("double")), [0.25, 0.5, 0.75]
+    if approx:
+        q = d.groupBy("decile").agg(F.percentile_approx("_v", qs, 100000).alias("q"))
+        d = d.withColumn("_n", F.lit(1))
+    else:
+        d = value_counts(d, F.col("_v"), ["decile"])  # all that the box needs
+        q = quantiles_of_counts(d, qs, ["decile"])
     q = q.select("decile", F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"))
     # At most ten rows: joined back as a broadcast of a proven size.
     j = d.join(F.broadcast(q), "decile")
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     return j.groupBy("decile", "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("_n").alias("n"),
         F.min(F.when(F.col("_v") >= lo, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(F.col("_v") <= hi, F.col("_v"))).alias("whisker_high"))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vulnlake.session import checkpoint_dir
+
 
 def first_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """the first row of each key in ``order`` (ascending, total tie-break expected)."""
@@ -56,18 +58,25 @@ def most_common(df: DataFrame, item: Column, k: int, tracked: int = 4096) -> Dat
     occurs at most ``SKETCH_ERROR`` / ``tracked`` of all rows; only if the k-th candidate is not
     above that (many items about as common, or fewer than k of them) are all items counted.
     Null is an item."""
+    checkpoint_dir(df.sparkSession)
     rows = df.select(item.cast("string").alias("item"))
     coded = rows.withColumn("_x", F.coalesce(F.concat(F.lit("="), "item"), F.lit("")))  # the summary leaves nulls out
-    summary = coded.agg(F.expr(f"approx_top_k(_x, {tracked}, {tracked})").alias("t"), F.count(F.lit(1)).alias("w"))
+    summary = coded.agg(F.expr(f"approx_top_k(_x, {tracked}, {tracked})").alias("t"), F.count(F.lit(1)).alias("w")).checkpoint()  # a row
     named = summary.select(F.explode("t.item").alias("_x"))
     top = (coded.join(F.broadcast(named), "_x").groupBy("item").agg(F.count(F.lit(1)).alias("n"))  # at most ``tracked`` rows
-           .orderBy(F.desc("n"), "item").limit(k))
+           .orderBy(F.desc("n"), "item").limit(k).checkpoint())
     bound = summary.select(F.col("w") * SKETCH_ERROR / tracked).scalar()
     decided = top.agg((F.count(F.lit(1)) == k) & (F.min("n") > bound)).scalar()
     every = rows.where(~F.coalesce(decided, F.lit(False))).groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item").limit(k)
     return top.where(decided).unionByName(every)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt over all cores if its files make fewer tasks than these."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def rank_in_group(df: DataFrame, key: str, ts, tie, bucket="day") -> DataFrame:
     """Dense 1-based position of each row inside its ``key`` by (``ts``, ``tie``), without
     one window partition per key: rows are numbered inside (key, bucket) and shifted by
