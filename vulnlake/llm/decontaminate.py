@@ -132,7 +132,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     A null or wordless text has no words and no hits.  Repeated rows are each searched; ids may be
     null; a text longer than a shard is a shard of its own; with an empty benchmark nothing is
-    hit; other columns are ignored."""
+    hit, and without documents there are no rows; other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases(benchmark, window))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -466,8 +466,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4,
     least ``least``; ``component_id`` is the smallest doc_id that links reach, the row's own
     included.  A text with fewer words is one shingle; null or wordless texts have none and are
     linked with nothing.  Rows with a null id count as texts: they get the smallest id of their
-    component, null if it has none.  Repeated rows are copies of each other.  Other columns are
-    ignored; an empty table gives an empty result."""
+    component, null if it has none.  Repeated rows are copies of each other.  Texts of any length
+    are read whole, in memory in proportion to the longest.  Other columns are ignored; an empty
+    table gives an empty result."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), raw_text().alias("text"))
     found = stage_table(classes(docs, words, least), "classes")

@@ -147,7 +147,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     ``lang_pred`` is the language of the nearest centroid also where ``rejected`` says that it is
     too far; ``und`` with score 0 where the text is null or has no letter.  The whole text counts,
-    however long.  Repeated rows are each judged; ids may be null; other columns are ignored."""
+    however long.  Equally near centroids: the language first in order.  Repeated rows are each
+    judged; ids may be null; an empty table gives an empty result; other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

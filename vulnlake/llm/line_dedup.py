@@ -43,7 +43,7 @@ def line_dedup(df: DataFrame, site: str = "source", text: str = "text", max_rati
     Lines are compared without outer spaces; blank lines are never boilerplate and stay.  A null
     site counts as the site ''; a null text has 0 lines and stays null, but counts as a page.
     Ties (a share of exactly ``max_ratio``) keep the line.  A site's few pages are safe: a line
-    needs ``min_pages`` pages.  Every row stays, also one whose text becomes empty; an empty
+    needs ``min_pages`` pages.  Texts and lines of any length are read whole.  Every row stays, also one whose text becomes empty; an empty
     table gives an empty result; input columns ``n_lines`` and ``n_dropped`` are replaced."""
     host, hits, left = unused(df, "_site"), unused(df, "_bad"), unused(df, "_kept")
     bad = boilerplate(df, site, text, max_ratio, min_pages).withColumnsRenamed({"_site": host, "_bad": hits})

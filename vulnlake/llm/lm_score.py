@@ -406,8 +406,9 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     ``docs`` (doc_id, text, held_out).
 
     ``score`` is the model's log10 probability of the whole text with its end.  A null or empty
-    text is its end alone.  With no training rows, every count is 0.  Repeated rows are each
-    scored; ids may be null; other columns are ignored."""
+    text is its end alone; texts of any length are read whole.  With no training rows, every count is
+    0; without documents there are no rows.  Repeated rows are each scored; ids may be null;
+    other columns are ignored."""
     sent, slices, lower, words = fitted.sent, fitted.slices, fitted.lower, fitted.words
     divisor = fitted.total + 0.5 * (fitted.distinct + 1)
 

@@ -123,8 +123,8 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
     (doc_id, text, held_out).
 
     A null or empty text has all features 0 and the score that the regression gives them.  Texts
-    count whole, block by block.  Repeated rows are each scored; ids may be null; other columns
-    are ignored.  The model in each task is two dictionaries of 64 KB."""
+    count whole, block by block.  Repeated rows are each scored; ids may be null; an empty table
+    gives an empty result; other columns are ignored.  The model in each task is two dictionaries of 64 KB."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -362,7 +362,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     A null, empty or wordless text is one window without words and gets the network's score of
     that.  Words longer than ``PIECE`` bytes are read in pieces, so nothing is skipped.  Repeated
-    rows are each scored; ids may be null; other columns are ignored."""
+    rows are each scored; ids may be null; an empty table gives an empty result; other columns are
+    ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,8 +128,9 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
     and ``verdict`` (``allow`` or ``block``: the rule's, else by ``p_block >= threshold``).
 
     One map over the pages, no shuffle.  A null or broken url has empty host and path and is
-    judged by the regression like any other; repeated rows are each judged; an empty table gives
-    an empty result; columns of the input with one of the five names are replaced."""
+    judged by the regression like any other; repeated rows are each judged; of rules that fit with equal
+    length the first in alphabetical order wins; urls of any length are read whole; an empty table gives an empty
+    result; columns of the input with one of the five names are replaced."""
     weights = fit(labelled)
     host, path = parts(F.col(url))
     out = pages.withColumns({"host": host, "path": path})
