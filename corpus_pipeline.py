@@ -27,13 +27,17 @@ def counted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go; all others stay as they are."""
+    """Documents that the toxicity network rejects go; all others stay as they are.  Null and empty
+    texts are scored as texts without words; repeated rows share their score; a score of exactly
+    0.5 is a rejection."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on too many documents of a source are cut; every document stays."""
+    """Lines that stand on too many documents of a source are cut; every document stays, also one
+    that becomes empty.  A null source is the source ''; null texts stay null; repeated rows count
+    as documents of their own; a line at exactly the ratio stays."""
     return counted(line_dedup.line_dedup(docs, "source", "text", max_ratio=SOURCE_RATIO), docs)
 
 
@@ -47,12 +51,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items are cut out of the texts; every document stays."""
+    """Passages of benchmark items are cut out of the texts; every document stays.  Null, empty and
+    repeated rows stay rows; overlapping passages are cut as one."""
     return counted(decontaminate.remove(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of packed sequences of 1024 tokens, sources mixed in their shares."""
+    """The documents as pieces of packed sequences of 1024 tokens, sources mixed in their shares.  A null
+    or empty text is one end token; repeated rows are packed again."""
     return packing.pack(docs)
 
 
