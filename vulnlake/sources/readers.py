@@ -52,9 +52,16 @@ def read_payloads(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(sc.PAYLOADS[kind]).json(path)
 
 
-def read_patches(spark: SparkSession, path: str, name_col: str = "file_name") -> DataFrame:
+PACKED = "path string, length long, content binary"
+
+
+def read_patches(spark: SparkSession, path: str, name_col: str = "file_name", packed: bool = False) -> DataFrame:
     """One row per patch file with its whole text; zero-byte files give no row.
-    The name comes from a ``file_name=`` partition directory when present, else from the file."""
+    The name comes from a ``file_name=`` partition directory when present, else from the file.
+    ``packed``: the files are rows of a table (``sinks.pack_files``), whose paths are the names."""
+    if packed:
+        b = spark.read.schema(PACKED).parquet(path)
+        return b.select(F.col("path").alias(name_col), F.col("content").cast("string").alias("text")).filter(F.length("text") > 0)
     df = spark.read.text(path, wholetext=True)
     if name_col not in df.columns:
         df = df.withColumn(name_col, F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt)?$", 1))
@@ -100,9 +107,13 @@ def read_scrape_index(spark: SparkSession, path: str, multi_line: bool = True) -
     return e.select("cve_id", F.explode("items").alias("it")).select("cve_id", "it.url", "it.filename")
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """File contents as UTF-8 text; not UTF-8 gives null content; ``\\r\\n`` -> ``\\n``."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_snapshots(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """File contents as UTF-8 text; not UTF-8 gives null content; ``\\r\\n`` -> ``\\n``.
+    ``packed``: the files are rows of a table (``sinks.pack_files``)."""
+    if packed:
+        b = spark.read.schema(PACKED).parquet(path)
+    else:
+        b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ok = F.is_valid_utf8(F.col("content"))
     text = F.when(ok, F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "\r\n?", "\n"))
     return b.select(F.col("path").alias("file"), F.col("length"), text.alias("content"))
