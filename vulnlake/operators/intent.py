@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions.text import fenced_json_or_all
 from vulnlake.operators import chunks
-from vulnlake.session import checkpoint_dir, scratch_dir
+from vulnlake.session import checkpoint_dir, scratch_dir, small_batch_bytes
 
 # The factors the intent prompt names.
 INTENT_WORDS = ["backdoor", "sabotage", "malicious code"]
@@ -86,9 +86,11 @@ def intent_prompt(cves: DataFrame, refs: DataFrame, scraped: DataFrame | None =
 
 def score(df: DataFrame, prompt_col: str, fn: Callable, out_col: str = "reply") -> DataFrame:
     """Run the caller's ``fn(list[str]) -> list[str]`` over the prompt column, one
-    call per Arrow batch inside ``mapInPandas``.  A batch that fails is tried again prompt by
-    prompt; only a prompt that fails alone has a null reply, with the error in ``<out_col>_error``."""
+    call per Arrow batch inside ``mapInPandas``; a batch is bounded in bytes, not only in rows.  A
+    batch that fails is tried again prompt by prompt; only a prompt that fails alone has a null
+    reply, with the error in ``<out_col>_error``."""
     from pyspark.sql import types as _T
+    small_batch_bytes(df.sparkSession)
     error_col = f"{out_col}_error"
     schema = _T.StructType([f for f in df.schema.fields if f.name not in (out_col, error_col)]
                            + [_T.StructField(out_col, _T.StringType()), _T.StructField(error_col, _T.StringType())])
