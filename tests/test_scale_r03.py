@@ -55,3 +55,15 @@ def test_commit_joins_carry_no_files(spark):
     plan = E.queries()["p33_commit_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("Join LeftOuter")[0]
     assert "md5" not in top.split("files")[0] and "array_join(array_sort" not in top
+
+
+def test_index_rows_stand_in_their_own_row_groups(spark):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from vulnlake.llm import bm25, common
+    df = spark.createDataFrame([(os.urandom(6 << 20),) for _ in range(6)], "b binary").coalesce(1)
+    files = common.stage_table(df, "large", common.LARGE_ROWS).inputFiles()
+    assert sum(pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in files) >= 3
+    assert "LARGE_ROWS" in bm25.__dict__
