@@ -61,3 +61,16 @@ def test_line_dedup_query_makes_page_texts_once(spark, tmp_path):
     assert len(got) == 41 and (got[3]["n_lines"], got[3]["n_dropped"], got[3]["text"]) == (4, 1, "\npage 3\n")
     assert got[40]["text"] is None and got[40]["n_lines"] == 0
     assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packing_words_of_latin_texts():
+    """Words of letters are tried first, with the same words as the library's pattern, and ASCII words need no table."""
+    assert bpe.LATIN.pattern.startswith(f" ?[{bpe.LETTERS}]++|")
+    r, some = random.Random(3), ["a", "B", " ", " ", "\n", "\t", ".", "'", "'s", "'ll", "1", "\xa0", "\x85", "\r", "\x1c", "\x0b", "é", "²", "n't", "  ", "-"]
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+    encode.letters = {}  # only words beyond ASCII, or with control characters, are translated
+    for _ in range(3000):
+        text = "".join(r.choices(some, k=r.randrange(12)))
+        assert bpe.LATIN.findall(text) == bpe.ANY.findall(text), text
+        if text.isascii() and text.isprintable():
+            assert encode(text) == encode.packed(encode.tokenizer.encode(text, add_special_tokens=False).ids)
