@@ -52,6 +52,43 @@ def test_bm25_many_queries_equal_single_ones(spark, monkeypatch):
     assert len(got) == 750 and [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
 
 
+def test_jaccard_mixed_lists_send_few_shingles():
+    """Bitmaps with known components: only classes with a possible partner in another component stay, and no
+    similar pair of two components is lost."""
+    r = np.random.default_rng(8)
+    sets, known = [], []
+    for g in range(30):
+        base = np.unique(r.integers(0, 2**63, 120).astype(np.uint64))
+        for _ in range(5):  # near copies, connected already
+            sets.append(np.unique(np.concatenate([base[r.random(len(base)) > 0.03], r.integers(0, 2**63, 2).astype(np.uint64)])))
+            known.append(g)
+    known = np.array(known)
+    known[7], known[52] = 100, 101  # two classes whose links are not known yet
+    maps, size = [jj.bitmap(s, jj.width_of(len(s))).tobytes() for s in sets], np.array([len(s) for s in sets])
+    least = Fraction(17, 20)
+    plain, pruned = jj.candidates(maps, size, least), jj.candidates(maps, size, least, None, known)
+    similar = {i for i in range(len(sets)) for j in range(len(sets)) if known[i] != known[j] and jj.similar(sets[i], sets[j], least)}
+    assert 7 in similar and 52 in similar and similar <= set(np.flatnonzero(pruned).tolist())
+    assert plain.sum() > 100 and pruned.sum() < 30
+    side = np.arange(len(sets)) % 2
+    across = {i for i in similar if any(side[i] != side[j] and known[i] != known[j] and jj.similar(sets[i], sets[j], least) for j in range(len(sets)))}
+    assert across <= set(np.flatnonzero(jj.candidates(maps, size, least, side, known)).tolist())
+
+
+def test_jaccard_sketch_counts_sets(spark):
+    """The sketch's cells stay within 16 MB, are sent compressed, and count each text once a shingle."""
+    assert jj.MOST_CELLS <= 1 << 24
+    texts = ["a b c d e f", "A b  c d e f", "a b c d x", "a b c d a b c d", "", "a b"]
+    docs = spark.createDataFrame([(bytes(t, "utf8"),) for t in texts], "text binary").coalesce(1)
+    level, want = jj.sketch(docs, 4), np.zeros(jj.LEAST_CELLS, np.int64)
+    for i, (_, s) in enumerate(jj.shingle_sets(iter([(t.encode(),) for t in texts]), 4)):
+        if i != 1:  # a copy
+            want[np.unique(jj.cells_of(s, len(want)))] += 1
+    assert (level == np.round(4 * np.log2(want + 1))).all()
+    values = np.array([5, 1, 5, 9, 1], np.uint64)
+    assert jj.distinct(values).tolist() == [1, 5, 9] and jj.distinct(values[:0]).tolist() == []
+
+
 def test_line_dedup_query_makes_page_texts_once(spark, tmp_path):
     """op1 counts lines in, and cuts them from, one staged text: the markup is taken out once."""
     rows = [(i, f"https://H{i % 2}.net/{i}", f"<html><p>menu</p><p>page {i}</p></html>") for i in range(40)] + [(40, None, None)]

@@ -14,7 +14,8 @@
    possible overlap or size ratio is too small.  It runs twice: over bitmaps alone, which
    leaves the classes that may have a partner, and over those with their shingles, where node
    pairs whose classes are all connected already are dropped too and what is left at the
-   leaves is compared exactly.
+   leaves is compared exactly.  Before the items that hold several components are compared, the
+   bitmaps rule out the classes that can have no partner in another component.
 5. Links form components (smallest class key, label propagation over the links alone).
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from vulnlake.llm.common import LOWER, batch, grouped, raw_text, rows, small_batches, stage_table
 
 #: Cells (bytes) of the sketch: one for ``CELL_TEXT`` bytes of text, between these bounds.
-LEAST_CELLS, MOST_CELLS, CELL_TEXT = 1 << 20, 1 << 26, 16
+LEAST_CELLS, MOST_CELLS, CELL_TEXT = 1 << 20, 1 << 24, 16
 CELL_BLOCK = 1 << 13
 BLOCK = 1024
 LEAF = 8
@@ -63,8 +64,8 @@ class WordHashes(dict):
         return h
 
 
-def shingle_sets(texts: Iterator[tuple], words: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """(row, sorted distinct 64-bit hashes of the runs of ``words`` words) of each row, whose last
+def shingles(texts: Iterator[tuple], words: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(row, 64-bit hashes of the runs of ``words`` words in order) of each row, whose last
     item is the text (A-Z lower-cased, split at white space).  A shorter text is one run; no word,
     no run.  Hashes of about ``CHUNK`` bytes of text are combined at once."""
     known = WordHashes()
@@ -80,10 +81,24 @@ def shingle_sets(texts: Iterator[tuple], words: int) -> Iterator[tuple[tuple, np
         at = 0
         for row, n in zip(group, size, strict=True):
             run = min(words, n)
-            yield row, np.unique(out[run - 1][at:at + n - run + 1] + np.uint64(run)) if n else np.zeros(0, np.uint64)
+            yield row, out[run - 1][at:at + n - run + 1] + np.uint64(run) if n else np.zeros(0, np.uint64)
             at += n
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a plain sort, which for one text is faster than ``np.unique``."""
+    s = np.sort(values)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
+
+
+def shingle_sets(texts: Iterator[tuple], words: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(row, sorted distinct hashes of its runs) of each row."""
+    for row, s in shingles(texts, words):
+        yield row, distinct(s)
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """128-bit key of a shingle set, as two signed numbers."""
     d = xxhash.xxh3_128_digest(s.tobytes())
@@ -107,23 +122,23 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
         total, seen = np.zeros(cells, np.uint8), set()
-        for _, s in shingle_sets(rows(batches), words):
+        for _, s in shingles(rows(batches), words):
             if not len(s) or (key := set_key(s)) in seen:
-                continue  # a copy that this task has counted
+                continue  # a copy, word by word, that this task has counted
             if len(seen) > 1 << 17:
                 seen.clear()
             seen.add(key)
             at = cells_of(s, cells)
-            total[at] += total[at] < 255
+            total[at] += total[at] < 255  # once a text, however often it has the shingle
         for first in range(0, cells, CELL_BLOCK << 8):  # 2 MB a batch
             some = [i for i in range(first, min(cells, first + (CELL_BLOCK << 8)), CELL_BLOCK) if total[i:i + CELL_BLOCK].any()]
             if some:
-                yield batch(schema, [i // CELL_BLOCK for i in some], [total[i:i + CELL_BLOCK].tobytes() for i in some])
+                yield batch(schema, [i // CELL_BLOCK for i in some], [pa.compress(total[i:i + CELL_BLOCK].tobytes(), "zstd", asbytes=True) for i in some])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELL_BLOCK, np.int64)
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.uint8)
+            total += np.frombuffer(pa.decompress(x, CELL_BLOCK, "zstd"), np.uint8)
         level = np.minimum(np.round(4 * np.log2(total + 1)), 255).astype(np.uint8)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "level": [level.tobytes()]})
     out = np.zeros(cells, np.uint8)
@@ -165,8 +180,10 @@ class Tree:
             cut = np.arange(0, len(m), LEAF)
             self.levels.append((np.bitwise_or.reduceat(m, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(more, cut)))
 
-    def below(self, level: int, i: int, j: int, least: float, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of children of two nodes that may hold a similar pair (i = j: each pair once)."""
+    def below(self, level: int, i: int, j: int, least: float, side: np.ndarray | None,
+              known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children of two nodes that may hold a similar pair (i = j: each pair once), of
+        different numbers in ``known``."""
         n = len(self.levels[level - 1][0])
         a, b = np.arange(i * LEAF, min((i + 1) * LEAF, n)), np.arange(j * LEAF, min((j + 1) * LEAF, n))
         x, y = np.repeat(a, len(b)), np.tile(b, len(a))
@@ -176,6 +193,8 @@ class Tree:
             keep = x != y
             if side is not None:
                 keep &= side[x] != side[y]
+            if known is not None:
+                keep &= known[x] != known[y]
             x, y = x[keep], y[keep]
         ok = self.possible(level - 1, x, y, least)
         return x[ok], y[ok]
@@ -205,8 +224,9 @@ def connected(label: np.ndarray, level: int, i: int, j: int) -> bool:
     return a[0] == b[0] and bool((a == a[0]).all()) and bool((b == a[0]).all())
 
 
-def candidates(maps: list[bytes], size: np.ndarray, least: Fraction, side: np.ndarray | None = None) -> np.ndarray:
-    """Which classes may have a similar one, by bitmaps alone.
+def candidates(maps: list[bytes], size: np.ndarray, least: Fraction, side: np.ndarray | None = None,
+               known: np.ndarray | None = None) -> np.ndarray:
+    """Which classes may have a similar one, by bitmaps alone; with ``known`` one of another number there.
 
     Bitmaps are as wide as sets are large; similar sets have equal widths or neighbouring ones, so
     a tree holds the classes of one width and, folded to it, those of the next that are near
@@ -216,23 +236,25 @@ def candidates(maps: list[bytes], size: np.ndarray, least: Fraction, side: np.nd
         own = width == w
         near = np.flatnonzero(own | (width == 2 * w) & (size * float(least) <= size[own].max() + 1e-6))
         data = np.array([np.frombuffer(maps[i][:w], np.uint8) | np.frombuffer(maps[i][-w:], np.uint8) for i in near])
-        out[near[possible_partners(data, size[near], float(least), None if side is None else side[near])]] = True
+        some = [None if x is None else x[near] for x in (side, known)]
+        out[near[possible_partners(data, size[near], float(least), *some)]] = True
     return out
 
 
-def possible_partners(maps: np.ndarray, size: np.ndarray, least: float, side: np.ndarray | None) -> np.ndarray:
+def possible_partners(maps: np.ndarray, size: np.ndarray, least: float, side: np.ndarray | None,
+                      known: np.ndarray | None = None) -> np.ndarray:
     """Dual traversal over one tree.  Node pairs whose classes are all known to have a possible
-    partner are not opened."""
+    partner, or are all of one number in ``known``, are not opened."""
     order = np.argsort(size, kind="stable")
-    side = None if side is None else side[order]
+    side, known = (None if x is None else x[order] for x in (side, known))
     tree, may = Tree(maps[order], size[order]), np.zeros(len(size), bool)
     stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
         w = LEAF**level
-        if level == 0 or (may[i * w:(i + 1) * w].all() and may[j * w:(j + 1) * w].all()):
+        if level == 0 or (may[i * w:(i + 1) * w].all() and may[j * w:(j + 1) * w].all()) or known is not None and connected(known, level, i, j):
             continue
-        x, y = tree.below(level, i, j, least, side)
+        x, y = tree.below(level, i, j, least, side, known)
         if level == 1:
             may[x] = may[y] = True
         else:
@@ -414,15 +436,21 @@ def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block:
         may = candidates(table["bits"].to_pylist(), table["n"].to_numpy(), least, sides(key, table))
         return table.filter(pa.array(may)).select(["list", "i", "j", "side", "a", "b"])
 
+    def prune_known(key, table):
+        known = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        may = candidates(table["bits"].to_pylist(), table["n"].to_numpy(), least, sides(key, table), known)
+        return table.filter(pa.array(may)).select([*columns, "component"])
+
     def compare(key, table):
         a, b = table["a"].to_pylist(), table["b"].to_pylist()
         known = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
         pairs = link([np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()], least, sides(key, table), known)
         ends = [[a[i] for i, _ in pairs], [b[i] for i, _ in pairs], [a[j] for _, j in pairs], [b[j] for _, j in pairs]]
         return pa.table([pa.array(x, pa.int64()) for x in ends], names=["a1", "b1", "a2", "b2"])
-    columns = ["list", "i", "j", "side", "a", "b"]
-    items = items.join(one.select("a", "b", "n", "bits"), ["a", "b"]).select(*columns, "n", "bits")
-    items = stage_table(items.groupBy("list", "i", "j").applyInArrow(prune, "list long, i int, j int, side int, a long, b long"), "items")
+    columns, columns_sql = ["list", "i", "j", "side", "a", "b"], "list long, i int, j int, side int, a long, b long"
+    bits = one.select("a", "b", "n", "bits")
+    items = items.join(bits, ["a", "b"]).select(*columns, "n", "bits")
+    items = stage_table(items.groupBy("list", "i", "j").applyInArrow(prune, columns_sql), "items")
     sets = stage_table(sets_of(docs, items.select("a", "b").distinct(), words), "sets")
 
     def linked(rows_: DataFrame) -> DataFrame:
@@ -437,7 +465,9 @@ def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block:
     label = components(first).select("a", "b", F.xxhash64("ra", "rb").alias("component"))
     rest = stage_table(items.join(label, ["a", "b"], "left").withColumn("component", F.coalesce("component", F.xxhash64("a", "b"))), "rest")
     mixed = rest.groupBy("list", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    return first.unionByName(linked(rest.join(mixed, ["list", "i", "j"], "left_semi")))
+    rest = rest.join(mixed, ["list", "i", "j"], "left_semi").join(bits, ["a", "b"]).select(*columns, "component", "n", "bits")
+    rest = stage_table(rest.groupBy("list", "i", "j").applyInArrow(prune_known, f"{columns_sql}, component long"), "mixed")
+    return first.unionByName(linked(rest))
 
 
 def components(edges: DataFrame) -> DataFrame:
