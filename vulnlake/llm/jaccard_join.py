@@ -15,7 +15,8 @@
    leaves the classes that may have a partner, and over those with their shingles, where node
    pairs whose classes are all connected already are dropped too and what is left at the
    leaves is compared exactly.  Before the items that hold several components are compared, the
-   bitmaps rule out the classes that can have no partner in another component.
+   bitmaps, and then bitmaps ``FINE`` times as wide, rule out the classes that can have no partner in
+   another component; of items with equal classes left one is compared.
 5. Links form components (smallest class key, label propagation over the links alone).
 """
 
@@ -39,6 +40,7 @@ LEAST_CELLS, MOST_CELLS, CELL_TEXT = 1 << 20, 1 << 24, 16
 CELL_BLOCK = 1 << 13
 BLOCK = 1024
 LEAF = 8
+FINE = 4
 CHUNK = 2 << 20
 #: Bits of the filter of shared prefix shingles: ``TOKEN_SPACE`` a shingle, up to 64 MB.
 TOKEN_SPACE, LEAST_TOKEN_CELLS, MOST_TOKEN_CELLS, TOKEN_BLOCKS = 8, 1 << 22, 1 << 29, 1 << 10
@@ -318,6 +320,25 @@ def classes(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, ROWS_SQL)
 
 
+def fine_bitmaps(sets: DataFrame) -> DataFrame:
+    """(a, b, n, fine): bitmaps ``FINE`` times as wide of classes (a, b, shingles), a fraction of the
+    shingles' bytes."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("fine", pa.binary())])
+        for b in batches:
+            found = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(2)]
+            yield batch(schema, b.column(0), b.column(1), [len(s) for s in found], [bitmap(s, FINE * width_of(len(s))).tobytes() for s in found])
+    return sets.select("a", "b", "shingles").mapInArrow(work, "a long, b long, n long, fine binary")
+
+
+def unequal(items: DataFrame) -> DataFrame:
+    """The rows of one of all work items that hold the same classes on the same sides."""
+    mark = F.xxhash64("a", "b", "side")
+    once = (items.groupBy("list", "i", "j").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark % (1 << 40)).alias("y"))
+            .groupBy("m", "x", "y").agg(F.min(F.struct("list", "i", "j")).alias("w")).select("w.list", "w.i", "w.j"))
+    return items.join(once, ["list", "i", "j"], "left_semi")
+
+
 class Marks:
     """Bitmap of cells; a value's cell is its bits from the 20th on, modulo their number."""
 
@@ -438,7 +459,7 @@ def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block:
 
     def prune_known(key, table):
         known = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
-        may = candidates(table["bits"].to_pylist(), table["n"].to_numpy(), least, sides(key, table), known)
+        may = candidates(table.column(table.num_columns - 1).to_pylist(), table["n"].to_numpy(), least, sides(key, table), known)
         return table.filter(pa.array(may)).select([*columns, "component"])
 
     def compare(key, table):
@@ -467,6 +488,9 @@ def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block:
     mixed = rest.groupBy("list", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     rest = rest.join(mixed, ["list", "i", "j"], "left_semi").join(bits, ["a", "b"]).select(*columns, "component", "n", "bits")
     rest = stage_table(rest.groupBy("list", "i", "j").applyInArrow(prune_known, f"{columns_sql}, component long"), "mixed")
+    fine = stage_table(fine_bitmaps(sets.join(rest.select("a", "b").distinct(), ["a", "b"], "left_semi")), "fine")
+    rest = unequal(rest).join(fine, ["a", "b"]).select(*columns, "component", "n", "fine")
+    rest = unequal(stage_table(rest.groupBy("list", "i", "j").applyInArrow(prune_known, f"{columns_sql}, component long"), "near"))
     return first.unionByName(linked(rest))
 
 
