@@ -386,8 +386,8 @@ def cell_of(values: np.ndarray, count: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """(a, b, shingles) once for each class in ``keys`` (a, b).  A bitmap of fixed size drops most
-    other documents before the shuffle."""
+    """(a, b, shingles) once for each class in ``keys`` (a, b, each once), with what else ``keys`` has.  A bitmap of
+    fixed size drops most other documents before the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(marked(keys.select(F.array("a").alias("v")), MARKS, 256, 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +406,17 @@ def sets_of(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
         for group in grouped(some(), lambda r: len(r[-1]), 1 << 21):
             yield batch(schema, *zip(*group, strict=True))
     found = docs.select("text").mapInArrow(work, "a long, b long, shingles binary")
-    return found.join(keys, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    return found.join(keys, ["a", "b"]).dropDuplicates(["a", "b"])
+
+
+def sets_among(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b, shingles) of the classes in ``keys``, and of a few more: a bitmap of fixed size drops most others."""
+    sent = sets.sparkSession.sparkContext.broadcast(marked(keys.select(F.array("a").alias("v")), MARKS, 256, 1))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sent.value.has(b.column(0).to_numpy())))
+    return sets.select("a", "b", "shingles").mapInArrow(work, "a long, b long, shingles binary")
 
 
 def shared_tokens(prefixes: DataFrame) -> DataFrame:
@@ -472,26 +482,25 @@ def links(docs: DataFrame, found: DataFrame, words: int, least: Fraction, block:
     bits = one.select("a", "b", "n", "bits")
     items = items.join(bits, ["a", "b"]).select(*columns, "n", "bits")
     items = stage_table(items.groupBy("list", "i", "j").applyInArrow(prune, columns_sql), "items")
-    sets = stage_table(sets_of(docs, items.select("a", "b").distinct(), words), "sets")
-
-    def linked(rows_: DataFrame) -> DataFrame:
-        return stage_table(rows_.join(sets, ["a", "b"]).select(*columns, "component", "shingles").groupBy("list", "i", "j")
-                           .applyInArrow(compare, "a1 long, b1 long, a2 long, b2 long").distinct(), "edges")
     # first each class in its largest list only; then the lists that still hold several components
     where = F.struct("list", "i", "j")
     size = items.groupBy("list", "i", "j").agg(F.count(F.lit(1)).alias("size"))
-    largest = items.join(size, ["list", "i", "j"]).groupBy("a", "b").agg(F.max_by(where, F.struct("size", "list", "i", "j")).alias("w"))
-    largest = largest.select("a", "b", "w.list", "w.i", "w.j")
-    first = linked(items.join(largest, ["a", "b", "list", "i", "j"], "left_semi").withColumn("component", F.xxhash64("a", "b")))
+    largest = items.join(size, ["list", "i", "j"]).groupBy("a", "b").agg(F.max_by(F.struct("list", "i", "j", "side"), F.struct("size", where)).alias("w"))
+    sets = stage_table(sets_of(docs, largest.select("a", "b", "w.list", "w.i", "w.j", "w.side"), words), "sets")
+
+    def linked(rows_: DataFrame) -> DataFrame:
+        return stage_table(rows_.select(*columns, "component", "shingles").groupBy("list", "i", "j")
+                           .applyInArrow(compare, "a1 long, b1 long, a2 long, b2 long").distinct(), "edges")
+    first = linked(sets.withColumn("component", F.xxhash64("a", "b")))
     label = components(first).select("a", "b", F.xxhash64("ra", "rb").alias("component"))
     rest = stage_table(items.join(label, ["a", "b"], "left").withColumn("component", F.coalesce("component", F.xxhash64("a", "b"))), "rest")
     mixed = rest.groupBy("list", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     rest = rest.join(mixed, ["list", "i", "j"], "left_semi").join(bits, ["a", "b"]).select(*columns, "component", "n", "bits")
     rest = stage_table(rest.groupBy("list", "i", "j").applyInArrow(prune_known, f"{columns_sql}, component long"), "mixed")
-    fine = stage_table(fine_bitmaps(sets.join(rest.select("a", "b").distinct(), ["a", "b"], "left_semi")), "fine")
-    rest = unequal(rest).join(fine, ["a", "b"]).select(*columns, "component", "n", "fine")
+    rest = unequal(rest).join(fine_bitmaps(sets), ["a", "b"]).select(*columns, "component", "n", "fine")
     rest = unequal(stage_table(rest.groupBy("list", "i", "j").applyInArrow(prune_known, f"{columns_sql}, component long"), "near"))
-    return first.unionByName(linked(rest))
+    rest = stage_table(rest, "last")
+    return first.unionByName(linked(rest.join(sets_among(sets, rest.select("a", "b").distinct()), ["a", "b"])))
 
 
 def components(edges: DataFrame) -> DataFrame:
