@@ -20,6 +20,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, f) -> Column:
+    """``f(value)``, where ``value`` is evaluated once a row however often ``f`` refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def basename(p) -> Column:
     """Last path component."""
     return F.substring_index(_c(p), "/", -1)
@@ -51,14 +56,17 @@ def fenced_json(text) -> Column:
     either marker is missing, ``empty`` for an empty body, else ``ok``."""
     t = _c(text)
     opener = FENCE + "json"
-    start = F.instr(t, opener)
-    body_from = start + F.lit(len(opener))
-    # locate() with a column start position: no copy of the text after the opener
-    close = F.when(start > 0, F.call_function("locate", F.lit(FENCE), t, body_from)).otherwise(F.lit(0))
-    body = F.substring(t, body_from, close - body_from)
-    body = F.when((start > 0) & (close > 0), F.btrim(body, F.lit(" \t\n\r\x0b\x0c")))
-    status = (F.when(body.isNull(), F.lit("no_markers")).when(body == "", F.lit("empty")).otherwise(F.lit("ok")))
-    return F.struct(body.alias("body"), status.alias("status"))
+
+    def from_start(start):
+        body_from = start + F.lit(len(opener))
+        # locate() with a column start position: no copy of the text after the opener
+        close = F.when(start > 0, F.call_function("locate", F.lit(FENCE), t, body_from)).otherwise(F.lit(0))
+        return let(close, lambda end: F.when((start > 0) & (end > 0), F.btrim(F.substring(t, body_from, end - body_from), F.lit(" \t\n\r\x0b\x0c"))))
+
+    def from_body(body):
+        status = (F.when(body.isNull(), F.lit("no_markers")).when(body == "", F.lit("empty")).otherwise(F.lit("ok")))
+        return F.struct(body.alias("body"), status.alias("status"))
+    return let(let(F.instr(t, opener), from_start), from_body)
 
 
 def fenced_json_or_all(text) -> Column:

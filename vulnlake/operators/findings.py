@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.functions.text import fenced_json
+from vulnlake.functions.text import fenced_json, let
 from vulnlake.functions.urls import safe_name
 from vulnlake.session import scratch_dir
 
@@ -19,20 +19,19 @@ STATUSES = ["no_markers", "empty", "bad_json", "not_list", "item_not_dict", "ok"
 def parse_findings(text: Column) -> Column:
     """``struct(status, items array<struct<file_path, line_numbers>>)``; one bad item
     rejects the whole list."""
-    fj = fenced_json(text)
-    v = F.try_parse_json(fj["body"])
-    kind = F.schema_of_variant(v)
-    items = F.when(kind.startswith("ARRAY"), v.cast("array<variant>"))
-    all_obj = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    status = (F.when(fj["status"] != "ok", fj["status"])
-              .when(v.isNull(), F.lit("bad_json"))
-              .when(~kind.startswith("ARRAY"), F.lit("not_list"))
-              .when(~all_obj, F.lit("item_not_dict"))
-              .otherwise(F.lit("ok")))
-    parsed = F.transform(items, lambda x: F.struct(
-        F.try_variant_get(x, "$.file_path", "string").alias("file_path"),
-        F.try_variant_get(x, "$.line_numbers", "array<int>").alias("line_numbers")))
-    return F.struct(status.alias("status"), F.when(status == "ok", parsed).alias("items"), fj["body"].alias("body"))
+    def from_items(fj, v, kind, items):
+        all_obj = F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+        status = (F.when(fj["status"] != "ok", fj["status"])
+                  .when(v.isNull(), F.lit("bad_json"))
+                  .when(~kind.startswith("ARRAY"), F.lit("not_list"))
+                  .when(~all_obj, F.lit("item_not_dict"))
+                  .otherwise(F.lit("ok")))
+        parsed = F.transform(items, lambda x: F.struct(
+            F.try_variant_get(x, "$.file_path", "string").alias("file_path"),
+            F.try_variant_get(x, "$.line_numbers", "array<int>").alias("line_numbers")))
+        return let(status, lambda st: F.struct(st.alias("status"), F.when(st == "ok", parsed).alias("items"), fj["body"].alias("body")))
+    return let(fenced_json(text), lambda fj: let(F.try_parse_json(fj["body"]), lambda v: let(F.schema_of_variant(v), lambda kind: let(
+        F.when(kind.startswith("ARRAY"), v.cast("array<variant>")), lambda items: from_items(fj, v, kind, items)))))
 
 
 def correction_prompt(cve_id: Column, status: Column, body: Column) -> Column:
